@@ -12,7 +12,7 @@ PREDICTION_ID_PATTERN = r"\A[0-9a-f]{64}\z"
 
 _CLOCK = (
     r"\A(\d{4}-\d{2}-\d{2})[Tt _](\d{2}:\d{2})(:\d{2})?(?:[.,](\d{1,6})\d*)?"
-    r"([Zz]|[+−-]\d{2}:?\d{2})\z"
+    r"([Zz]|[+\x{2212}-]\d{2}:?\d{2})\z"
 )
 _NUMBER = r"\A[+-]?(?:\d+\.?\d*|\.\d+)\z"
 _MILLIS_FROM = 20_000_000_000  # larger digit strings are milliseconds

@@ -9,7 +9,8 @@ from reviewflow.schema import HEAD_TOKENS, MAX_LENGTH, SPECIAL_TOKENS, TAIL_TOKE
 
 # Fixed value: the characters a Unicode-aware strip removes.
 WHITESPACE = (
-    r"\x09-\x0d\x1c-\x20\x85\xa0  -     　"
+    r"\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
+    r"\x{202f}\x{205f}\x{3000}"
 )
 
 
@@ -18,7 +19,7 @@ def is_nonblank(text: Column) -> Column:
     return F.coalesce(F.rlike(text, F.lit(f"[^{WHITESPACE}]")), F.lit(False))
 
 
-def has_visible_ascii_sense(text: Column) -> Column:
+def has_ascii_nonspace(text: Column) -> Column:
     """The document store's ``\\S``: only ASCII white space counts as blank."""
     return F.coalesce(F.rlike(text, F.lit(r"[^ \t\n\x0b\f\r]")), F.lit(False))
 
