@@ -1,16 +1,20 @@
-"""Calibrated decisions over three class scores, as native column expressions."""
+"""Calibrated decisions over three class scores.
+
+The functions add their columns in steps, each step a projection of its own:
+written as one expression, every use of a score would repeat all that leads to it.
+"""
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from reviewflow.functions import double
 from reviewflow.schema import LABELS, NUM_LABELS, STRATEGIES
 
-Scores = tuple[Column, Column, Column]
+CLASSES = range(NUM_LABELS)
 
 
 @dataclass(frozen=True)
@@ -32,96 +36,95 @@ class DecisionConfig:
             raise ValueError(f"{self.strategy} needs {NUM_LABELS} values")
 
 
-def scores(logits: Column) -> Scores:
-    """The three scores of an array column; any other length is an error."""
-    checked = F.when(logits.isNull() | (F.size(logits) == NUM_LABELS), logits).otherwise(
-        F.raise_error(F.concat(F.lit("expected 3 logits, got "), F.size(logits).cast("string")))
-    )
-    return tuple(F.element_at(checked, i + 1).cast("double") for i in range(NUM_LABELS))
+def first_max(a: str, b: str, c: str) -> str:
+    """Index of the largest score; ties go to the lower index."""
+    return f"CASE WHEN {a} >= {b} AND {a} >= {c} THEN 0 WHEN {b} >= {c} THEN 1 ELSE 2 END"
 
 
-def scaled(z: Scores, temperature: float) -> Scores:
-    return tuple(x / F.lit(float(temperature)) for x in z)
+def names(prefix: str) -> list[str]:
+    return [f"{prefix}{i}" for i in CLASSES]
 
 
-def first_max(a: Column, b: Column, c: Column) -> Column:
-    """Index of the largest score; ties go to the lower index."""
-    return (
-        F.when((a >= b) & (a >= c), F.lit(0)).when(b >= c, F.lit(1)).otherwise(F.lit(2)).cast("int")
+def with_scores(df: DataFrame, logits: str = "logits", temperature: float = 1.0, prefix: str = "_z") -> DataFrame:
+    """Add the three scores ``logits / temperature``; any other number of logits is an error."""
+    checked = (
+        f"CASE WHEN {logits} IS NULL OR size({logits}) = {NUM_LABELS} THEN {logits} "
+        f"ELSE raise_error(concat('expected {NUM_LABELS} logits, got ', size({logits}))) END AS _logits"
     )
+    scale = "" if temperature == 1.0 else f" / {double(temperature)}"
+    scores = [f"CAST(_logits[{i}] AS DOUBLE){scale} AS {n}" for i, n in enumerate(names(prefix))]
+    return df.selectExpr("*", checked).selectExpr("*", *scores).drop("_logits")
 
 
-def softmax(z: Scores) -> Scores:
-    """Softmax shifted by the row maximum, so large scores stay finite."""
-    top = F.greatest(*z)
-    e = [F.exp(x - top) for x in z]
-    total = e[0] + e[1] + e[2]
-    return tuple(x / total for x in e)
-
-
-def decide_argmax(z: Scores) -> Column:
-    return first_max(*z)
+def with_softmax(df: DataFrame, scores: str = "_z", prefix: str = "_p") -> DataFrame:
+    """Add the probabilities of three score columns; shifted by the maximum to stay finite."""
+    z = names(scores)
+    top = df.selectExpr("*", f"greatest({', '.join(z)}) AS _top")
+    raised = top.selectExpr("*", *[f"exp({x} - _top) AS _e{i}" for i, x in enumerate(z)])
+    summed = raised.selectExpr("*", "_e0 + _e1 + _e2 AS _total")
+    shares = summed.selectExpr("*", *[f"_e{i} / _total AS {n}" for i, n in enumerate(names(prefix))])
+    return shares.drop("_top", "_total", "_e0", "_e1", "_e2")
 
 
-def decide_class_bias(z: Scores, bias) -> Column:
-    return first_max(*[x + F.lit(float(b)) for x, b in zip(z, bias)])
+def class_bias(z: list[str], bias) -> str:
+    return first_max(*[f"({x} + {double(b)})" for x, b in zip(z, bias)])
 
 
-def decide_thresholds(p: Scores, thresholds) -> Column:
+def thresholded(p: list[str], thresholds) -> str:
     """Most probable class among those reaching their threshold, else the most probable."""
-    passes = [x >= F.lit(float(t)) for x, t in zip(p, thresholds)]
-    masked = [F.when(ok, x).otherwise(F.lit(-1.0)) for ok, x in zip(passes, p)]
-    return F.when(passes[0] | passes[1] | passes[2], first_max(*masked)).otherwise(first_max(*p))
+    passes = [f"{x} >= {double(t)}" for x, t in zip(p, thresholds)]
+    masked = [f"IF({ok}, {x}, -1.0D)" for ok, x in zip(passes, p)]
+    return f"CASE WHEN {' OR '.join(passes)} THEN {first_max(*masked)} ELSE {first_max(*p)} END"
 
 
-def decide(logits: Column, config: DecisionConfig) -> Column:
-    """Label id of a logits array under a decision config."""
-    z = scaled(scores(logits), config.temperature)
-    if config.strategy == "argmax":
-        return decide_argmax(z)
+def decision(config: DecisionConfig, z: list[str], p: list[str]) -> str:
+    """Label id from calibrated scores and probabilities under the config's strategy."""
     if config.strategy == "class_bias":
-        return decide_class_bias(z, config.bias)
-    return decide_thresholds(softmax(z), config.thresholds)
-
-
-def probability_struct(p: Scores) -> Column:
-    return F.struct(*[x.alias(name) for x, name in zip(p, LABELS)])
+        return class_bias(z, config.bias)
+    if config.strategy == "thresholds":
+        return thresholded(p, config.thresholds)
+    return first_max(*z)
 
 
-def probabilities(logits: Column, temperature: float = 1.0) -> Column:
-    """Calibrated class probabilities; a bias never enters them."""
-    return probability_struct(softmax(scaled(scores(logits), temperature)))
+def with_decision(df: DataFrame, config: DecisionConfig, logits: str = "logits", out: str = "pred") -> DataFrame:
+    """Add the decided label id."""
+    df = with_scores(df, logits, config.temperature)
+    if config.strategy == "thresholds":
+        df = with_softmax(df)
+    decided = df.selectExpr("*", f"{decision(config, names('_z'), names('_p'))} AS {out}")
+    return decided.drop(*names("_z"), *names("_p"))
 
 
-def label_name(label_id: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in LABELS]), label_id + 1)
+def label_name(label_id: str) -> str:
+    return f"element_at(array({', '.join(repr(x) for x in LABELS)}), {label_id} + 1)"
 
 
-def chosen_probability(probs: Column, label_id: Column) -> Column:
+def chosen_probability(probs: str, label_id: str) -> str:
     """Confidence: the probability of the chosen class, not the largest one."""
-    out = F.when(label_id == 0, probs[LABELS[0]])
-    for i in (1, 2):
-        out = out.when(label_id == i, probs[LABELS[i]])
-    return out
+    cases = " ".join(f"WHEN {i} THEN {probs}.{name}" for i, name in enumerate(LABELS))
+    return f"CASE {label_id} {cases} END"
 
 
-def add_prediction(df, config: DecisionConfig, logits: str = "logits"):
-    """Add ``sentiment, label_id, confidence, probabilities`` next to the logits."""
-    decided = df.withColumns(
-        {"probabilities": probabilities(F.col(logits), config.temperature),
-         "label_id": decide(F.col(logits), config)}
-    )
-    return decided.withColumns(
-        {"sentiment": label_name(F.col("label_id")),
-         "confidence": chosen_probability(F.col("probabilities"), F.col("label_id"))}
+def add_prediction(df: DataFrame, config: DecisionConfig, logits: str = "logits") -> DataFrame:
+    """Add ``probabilities, label_id, sentiment, confidence`` next to the logits.
+
+    The probabilities are calibrated but never biased, so the confidence of a
+    biased decision can be lower than the largest probability.
+    """
+    df = with_softmax(with_scores(df, logits, config.temperature))
+    z, p = names("_z"), names("_p")
+    probs = ", ".join(f"'{n}', {x}" for x, n in zip(p, LABELS))
+    decided = df.selectExpr(
+        "*", f"named_struct({probs}) AS probabilities", f"{decision(config, z, p)} AS label_id"
     )
+    return decided.selectExpr(
+        "*",
+        f"{label_name('label_id')} AS sentiment",
+        f"{chosen_probability('probabilities', 'label_id')} AS confidence",
+    ).drop(*z, *p)
 
 
 def class_permutation(external_names: dict[int, str], to_label: dict[str, str]) -> list[int]:
     """External output position of each class in canonical order."""
     position = {to_label[name]: i for i, name in external_names.items()}
     return [position[label] for label in LABELS]
-
-
-def reorder(p: Scores, permutation: list[int]) -> Scores:
-    return tuple(p[i] for i in permutation)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from reviewflow.functions import matches, quoted
 
 # Identifier formats. \z, not $, so a trailing newline never passes.
 OBJECT_ID_PATTERN = r"\A[0-9a-f]{24}\z"
@@ -18,70 +17,62 @@ _NUMBER = r"\A[+-]?(?:\d+\.?\d*|\.\d+)\z"
 _MILLIS_FROM = 20_000_000_000  # larger digit strings are milliseconds
 
 
-def matches(value: Column, pattern: str) -> Column:
-    return F.coalesce(F.rlike(value, F.lit(pattern)), F.lit(False))
-
-
-def object_id(value: Column) -> Column:
+def object_id(value: str) -> str:
     """Lower-cased object id, or NULL when it is not 24 hex digits."""
-    lowered = F.lower(value.cast("string"))
-    return F.when(matches(lowered, OBJECT_ID_PATTERN), lowered)
+    lowered = f"lower(CAST({value} AS STRING))"
+    return f"CASE WHEN {matches(lowered, OBJECT_ID_PATTERN)} THEN {lowered} END"
 
 
-def event_id(review_id: Column) -> Column:
-    return F.concat(F.lit("review:"), review_id)
+def event_id(review_id: str) -> str:
+    return f"concat('review:', {review_id})"
 
 
-def prediction_id(source_event_id: Column, model_name: Column, model_version: Column) -> Column:
+def prediction_id(source_event_id: str, model_name: str, model_version: str) -> str:
     """Stable id of one model version's prediction; NULL if a part is NULL."""
-    nul = F.lit("\0")
-    return F.sha2(F.concat(source_event_id, nul, model_name, nul, model_version), 256)
+    return f"sha2(concat({source_event_id}, chr(0), {model_name}, chr(0), {model_version}), 256)"
 
 
-def decode_key(key: Column) -> Column:
+def decode_key(key: str) -> str:
     """Key bytes as text; NULL for a NULL or invalid key."""
-    return F.when(F.is_valid_utf8(key), key.cast("string"))
+    return f"CASE WHEN is_valid_utf8({key}) THEN CAST({key} AS STRING) END"
 
 
-def plain_base64(raw: Column) -> Column:
+def plain_base64(raw: str) -> str:
     """Base64 on one line."""
-    return F.translate(F.base64(raw), "\r\n", "")
+    return f"translate(base64({raw}), '\\r\\n', '')"
 
 
-def parse_utc(value: Column) -> Column:
+def parse_utc(value: str) -> str:
     """Instant named by a text with an offset, or by a digit string; else NULL.
 
     A time without an offset is NULL on purpose. Digits past the microsecond
     are cut.
     """
-    part = lambda i: F.regexp_extract(value, _CLOCK, i)
-    seconds = F.when(part(3) == "", F.lit(":00")).otherwise(part(3))
-    local = F.try_to_timestamp(
-        F.concat(part(1), F.lit("T"), part(2), seconds, F.lit("."), F.rpad(part(4), 6, "0"), F.lit("Z"))
+    part = lambda i: f"regexp_extract({value}, {quoted(_CLOCK)}, {i})"
+    seconds = f"coalesce(nullif({part(3)}, ''), ':00')"
+    local = f"concat({part(1)}, 'T', {part(2)}, {seconds}, '.', rpad({part(4)}, 6, '0'), 'Z')"
+    digits = f"regexp_replace({part(5)}, '[^0-9]', '')"
+    hours, minutes = (f"CAST(substring({digits}, {at}, 2) AS INT)" for at in (1, 3))
+    shift = (
+        f"CASE WHEN {digits} = '' THEN 0 WHEN {hours} < 24 AND {minutes} < 60 "
+        f"THEN ({hours} * 60 + {minutes}) * IF(startswith({part(5)}, '+'), 1, -1) END"
     )
-    digits = F.regexp_replace(part(5), "[^0-9]", "")
-    hours = F.substring(digits, 1, 2).try_cast("int")
-    minutes = F.substring(digits, 3, 2).try_cast("int")
-    west = F.substring(part(5), 1, 1) != "+"
-    shift = F.when(digits == "", F.lit(0)).when(
-        (hours < 24) & (minutes < 60),
-        F.when(west, -(hours * 60 + minutes)).otherwise(hours * 60 + minutes),
+    clock = f"timestamp_micros(unix_micros(try_to_timestamp({local})) - ({shift}) * 60000000L)"
+    number = f"try_cast({value} AS DECIMAL(30, 9))"
+    micros = f"round({number} * IF(abs({number}) > {_MILLIS_FROM}, 1000, 1000000))"
+    return (
+        f"CASE WHEN {matches(value, _CLOCK)} THEN {clock} "
+        f"WHEN {matches(value, _NUMBER)} THEN timestamp_micros(try_cast({micros} AS BIGINT)) END"
     )
-    clock = F.timestamp_micros(F.unix_micros(local) - shift.cast("long") * 60_000_000)
 
-    number = value.try_cast("decimal(30,9)")
-    micros = F.when(
-        F.abs(number) > _MILLIS_FROM, F.round(number * 1000)
-    ).otherwise(F.round(number * 1_000_000))
-    epoch = F.timestamp_micros(micros.try_cast("long"))
-    return F.when(matches(value, _CLOCK), clock).when(matches(value, _NUMBER), epoch)
 
-
-def format_utc(instant: Column) -> Column:
+def format_utc(instant: str) -> str:
     """ISO text in UTC; the fraction appears only when it is not zero.
 
     Needs the session time zone UTC.
     """
-    seconds = F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.date_format(instant, ".SSSSSS")
-    return F.concat(seconds, F.when(fraction == ".000000", F.lit("")).otherwise(fraction), F.lit("Z"))
+    fraction = f"date_format({instant}, '.SSSSSS')"
+    return (
+        f"concat(date_format({instant}, \"yyyy-MM-dd'T'HH:mm:ss\"), "
+        f"CASE WHEN {fraction} = '.000000' THEN '' ELSE {fraction} END, 'Z')"
+    )

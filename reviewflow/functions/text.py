@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from reviewflow.functions import matches, quoted
 from reviewflow.schema import HEAD_TOKENS, MAX_LENGTH, SPECIAL_TOKENS, TAIL_TOKENS
 
 # Fixed value: the characters a Unicode-aware strip removes.
@@ -14,43 +12,44 @@ WHITESPACE = (
 )
 
 
-def is_nonblank(text: Column) -> Column:
+def is_nonblank(text: str) -> str:
     """True when something is left after stripping; NULL counts as blank."""
-    return F.coalesce(F.rlike(text, F.lit(f"[^{WHITESPACE}]")), F.lit(False))
+    return matches(text, f"[^{WHITESPACE}]")
 
 
-def has_ascii_nonspace(text: Column) -> Column:
+def has_ascii_nonspace(text: str) -> str:
     """The document store's ``\\S``: only ASCII white space counts as blank."""
-    return F.coalesce(F.rlike(text, F.lit(r"[^ \t\n\x0b\f\r]")), F.lit(False))
+    return matches(text, r"[^ \t\n\x0b\f\r]")
 
 
-def strip_text(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{WHITESPACE}]+|[{WHITESPACE}]+\z", "")
+def strip_text(text: str) -> str:
+    return f"regexp_replace({text}, {quoted(rf'\A[{WHITESPACE}]+|[{WHITESPACE}]+\z')}, '')"
 
 
-def decode_lossy(raw: Column) -> Column:
+def decode_lossy(raw: str) -> str:
     """UTF-8 text of raw bytes, invalid sequences replaced, line ends as LF."""
-    return F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "\r\n?", "\n")
+    return f"regexp_replace(make_valid_utf8(CAST({raw} AS STRING)), {quoted(r'\r\n?')}, '\\n')"
 
 
-def tokens(text: Column) -> Column:
+def tokens(text: str) -> str:
     """Default tokenizer: pieces between runs of white space."""
-    return F.filter(F.split(text, "[ \\t\\n\\r]+"), lambda t: t != "")
+    return f"filter(split({text}, {quoted(r'[ \t\n\r]+')}), t -> t != '')"
 
 
-def token_count(toks: Column) -> Column:
+def token_count(toks: str) -> str:
     """Number of tokens including the two special ones."""
-    return F.size(toks) + SPECIAL_TOKENS
+    return f"(size({toks}) + {SPECIAL_TOKENS})"
 
 
 def head_tail(
-    toks: Column,
+    toks: str,
     max_length: int = MAX_LENGTH,
     head: int = HEAD_TOKENS,
     tail: int = TAIL_TOKENS,
-) -> Column:
+) -> str:
     """The first ``head`` and last ``tail`` tokens of a sequence that is too long."""
-    if head <= 0 or tail <= 0 or head + tail > max_length - SPECIAL_TOKENS:
+    room = max_length - SPECIAL_TOKENS
+    if head <= 0 or tail <= 0 or head + tail > room:
         raise ValueError("head + tail must fit into max_length without the special tokens")
-    shortened = F.concat(F.slice(toks, 1, head), F.slice(toks, -tail, tail))
-    return F.when(F.size(toks) > max_length - SPECIAL_TOKENS, shortened).otherwise(toks)
+    shortened = f"concat(slice({toks}, 1, {head}), slice({toks}, -{tail}, {tail}))"
+    return f"CASE WHEN size({toks}) > {room} THEN {shortened} ELSE {toks} END"

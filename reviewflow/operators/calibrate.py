@@ -4,42 +4,61 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewflow.functions.decision import DecisionConfig, Scores, decide, first_max, scaled, scores, softmax
-from reviewflow.operators.metrics import f1, macro, macro_f1, tallies
+from reviewflow.functions import double
+from reviewflow.functions.decision import (
+    CLASSES,
+    DecisionConfig,
+    first_max,
+    names,
+    with_decision,
+    with_scores,
+    with_softmax,
+)
+from reviewflow.operators.metrics import Tally, macro_f1
 
 # The search grids.
 BIAS_START, BIAS_STEP, BIAS_COUNT = -2.0, 0.25, 17
-THRESHOLD_START, THRESHOLD_STEP, THRESHOLD_COUNT = 0.20, 0.05, 13
-
-
-def bias_grid() -> list[float]:
-    return [BIAS_START + i * BIAS_STEP for i in range(BIAS_COUNT)]
+THRESHOLD_START, THRESHOLD_COUNT = 0.20, 13
+THRESHOLD_STEP = (0.20 + 0.05) - 0.20  # a little under 0.05, as the grid is built by addition
 
 
 def threshold_grid() -> list[float]:
     return [THRESHOLD_START + i * THRESHOLD_STEP for i in range(THRESHOLD_COUNT)]
 
 
+def bias_at(place: str) -> str:
+    return f"({double(BIAS_START)} + {place} * {double(BIAS_STEP)})"
+
+
+def threshold_at(place: str) -> str:
+    return f"({double(THRESHOLD_START)} + {place} * {double(THRESHOLD_STEP)})"
+
+
 # --------------------------------------------------------------------------- loss
-def nll(z: Scores, label: Column) -> Column:
-    """Cross-entropy of one row."""
-    top = F.greatest(*z)
-    log_sum = top + F.log(F.exp(z[0] - top) + F.exp(z[1] - top) + F.exp(z[2] - top))
-    return log_sum - F.when(label == 0, z[0]).when(label == 1, z[1]).when(label == 2, z[2])
+def _true_score(z: list[str]) -> str:
+    cases = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(z))
+    return f"CASE label_id {cases} END"
+
+
+def with_nll(df: DataFrame, out: str = "nll", logits: str = "logits", temperature: float = 1.0) -> DataFrame:
+    """Add the cross-entropy of each row."""
+    z = names("_z")
+    scored = with_scores(df, logits, temperature).selectExpr("*", f"greatest({', '.join(z)}) AS _top")
+    rest = " + ".join(f"exp({x} - _top)" for x in z)
+    return scored.selectExpr("*", f"_top + ln({rest}) - {_true_score(z)} AS {out}").drop("_top", *z)
 
 
 def nll_by_temperature(df: DataFrame, temperatures: list[float], logits: str = "logits") -> DataFrame:
     """Mean cross-entropy at each temperature, all in one pass."""
-    z, label = scores(F.col(logits)), F.col("label_id")
-    means = df.agg(*[F.avg(nll(scaled(z, t), label)).alias(f"t{i}") for i, t in enumerate(temperatures)])
-    rows = [
-        F.struct(F.lit(float(t)).alias("temperature"), F.col(f"t{i}").alias("nll"))
-        for i, t in enumerate(temperatures)
-    ]
-    return means.select(F.inline(F.array(*rows)))
+    rows = df.select("label_id", logits)
+    for i, t in enumerate(temperatures):
+        rows = with_nll(rows, f"nll{i}", logits, t)
+    means = rows.agg(*[F.expr(f"avg(nll{i}) AS t{i}") for i in range(len(temperatures))])
+    listed = [f"named_struct('temperature', {double(t)}, 'nll', t{i})" for i, t in enumerate(temperatures)]
+    return means.selectExpr(f"inline(array({', '.join(listed)}))")
 
 
 def fit_temperature(df: DataFrame, logits: str = "logits", tol: float = 1e-12, passes: int = 60) -> float:
@@ -49,25 +68,24 @@ def fit_temperature(df: DataFrame, logits: str = "logits", tol: float = 1e-12, p
     curvature. Newton steps from ``b = 1`` are kept inside the bracket the
     signs of the slope give. A best ``b`` that is not positive is an error.
     """
-    z, label = scores(F.col(logits)), F.col("label_id")
-    rows = df.select(z[0].alias("z0"), z[1].alias("z1"), z[2].alias("z2"), label).persist()
-    raw = (F.col("z0"), F.col("z1"), F.col("z2"))
+    rows = with_scores(df.select("label_id", logits), logits, prefix="raw").drop(logits).persist()
+    raw = names("raw")
+    mean = " + ".join(f"_p{i} * {x}" for i, x in enumerate(raw))
+    square = " + ".join(f"_p{i} * {x} * {x}" for i, x in enumerate(raw))
     try:
         low, high, b = 0.0, math.inf, 1.0
         for _ in range(passes):
-            p = softmax(tuple(x * F.lit(b) for x in raw))
-            mean = p[0] * raw[0] + p[1] * raw[1] + p[2] * raw[2]
-            square = p[0] * raw[0] * raw[0] + p[1] * raw[1] * raw[1] + p[2] * raw[2] * raw[2]
-            true = F.when(label == 0, raw[0]).when(label == 1, raw[1]).when(label == 2, raw[2])
-            slope, curve = rows.agg(F.avg(mean - true), F.avg(square - mean * mean)).first()
+            at_b = with_softmax(rows.selectExpr("*", *[f"{x} * {double(b)} AS _z{i}" for i, x in enumerate(raw)]))
+            moments = at_b.selectExpr(f"{mean} AS m", f"{square} AS s", f"{_true_score(raw)} AS y")
+            slope, curve = moments.selectExpr("avg(m - y)", "avg(s - m * m)").first()
             if slope is None:
                 raise ValueError("no rows to fit a temperature on")
             low, high = (low, b) if slope > 0 else (b, high)
             step = b - slope / curve if curve > 0 else math.inf
-            if not low < step < high:
-                step = 2.0 * low if math.isinf(high) else 0.5 * (low + high)
             if abs(step - b) <= tol * b:
                 return 1.0 / step
+            if not low < step < high:
+                step = 2.0 * low if math.isinf(high) else 0.5 * (low + high)
             b = step
             if not 1e-9 < b < 1e9:
                 break
@@ -77,24 +95,24 @@ def fit_temperature(df: DataFrame, logits: str = "logits", tol: float = 1e-12, p
 
 
 # --------------------------------------------------------------------------- grids
-def _candidates(cells: DataFrame, grid: list[tuple[int, ...]], decision) -> DataFrame:
-    """Macro F1 of every candidate from counted cells.
+def _candidates(cells: DataFrame, count: int, dims: int, decision: str) -> DataFrame:
+    """Macro F1 of every point of a ``count ** dims`` grid from counted cells.
 
-    A cell table has a bounded number of rows, and each row meets the whole
-    (fixed) grid in place, without a join.
+    The cell table has a bounded number of rows, and each row meets the whole
+    (fixed) grid in place, without a join. ``decision`` reads the grid
+    positions ``i0``, ``i1``, ... of the first, second, ... class.
     """
-    names = [f"i{k}" for k in range(len(grid[0]))]
-    points = F.array(
-        *[
-            F.struct(F.lit(g).alias("grid_idx"), *[F.lit(v).alias(n) for n, v in zip(names, point)])
-            for g, point in enumerate(grid)
-        ]
-    )
-    wide = cells.withColumn("g", F.explode(points)).withColumn("pred", decision)
+    places = [
+        f"CAST((grid_idx DIV {count ** (dims - 1 - k)}) % {count} AS INT) AS i{k}" for k in range(dims)
+    ]
+    t = Tally()
     return (
-        wide.groupBy("g")
-        .agg(*tallies(F.col("label_id"), F.col("pred"), F.col("n")))
-        .select("g.grid_idx", *[F.col(f"g.{n}") for n in names], macro(f1).alias("macro_f1"))
+        cells.selectExpr("*", f"explode(sequence(0, {count**dims - 1})) AS grid_idx")
+        .selectExpr("*", *places)
+        .selectExpr("grid_idx", "label_id", "n", f"{decision} AS pred")
+        .groupBy("grid_idx")
+        .agg(*t.aggregates("label_id", "pred", "n"))
+        .selectExpr("grid_idx", *places, t.macro_f1())
     )
 
 
@@ -107,42 +125,32 @@ def grid_class_bias(df: DataFrame, temperature: float, logits: str = "logits") -
     quarters of the three differences (a few thousand cells for any number of
     rows); rows at a quarter are counted per exact scores and compared exactly.
     """
-    z = scaled(scores(F.col(logits)), temperature)
-    rows = df.select("label_id", *[x.alias(f"z{i}") for i, x in enumerate(z)])
-    z = (F.col("z0"), F.col("z1"), F.col("z2"))
-    steps = 1.0 / BIAS_STEP
-    slack = F.lit(1e-9) * F.greatest(F.lit(1.0), *[F.abs(x) for x in z])
-    keys, at_quarter = {}, F.lit(False)
-    for name, a, b in (("q01", 0, 1), ("q02", 0, 2), ("q12", 1, 2)):
-        quarters = (z[a] - z[b]) * steps
-        limit = float(BIAS_COUNT)  # beyond the largest difference of two biases
-        near = F.abs(quarters - F.rint(quarters)) <= slack * steps
-        at_quarter = at_quarter | (near & (F.abs(quarters) <= limit))
-        keys[name] = F.floor(F.greatest(F.least(quarters, F.lit(limit)), F.lit(-limit - 1)))
-    cells = rows.withColumn("exact", F.coalesce(at_quarter, F.lit(True)))
-    cells = cells.select(
-        "label_id",
-        "exact",
-        *[F.when(~F.col("exact"), k).alias(n) for n, k in keys.items()],
-        *[F.when(F.col("exact"), F.col(f"z{i}")).alias(f"z{i}") for i in range(3)],
+    rows = with_scores(df.select("label_id", logits), logits, temperature, "z").drop(logits)
+    pairs = {"q01": ("z0", "z1"), "q02": ("z0", "z2"), "q12": ("z1", "z2")}
+    limit = BIAS_COUNT  # beyond the largest difference of two biases
+    slack = f"{double(1e-9 / BIAS_STEP)} * greatest(1.0D, abs(z0), abs(z1), abs(z2))"
+    rows = rows.selectExpr(
+        "*", f"{slack} AS slack", *[f"({a} - {b}) / {double(BIAS_STEP)} AS {q}" for q, (a, b) in pairs.items()]
+    )
+    at_quarter = " OR ".join(f"(abs({q} - rint({q})) <= slack AND abs({q}) <= {limit})" for q in pairs)
+    rows = rows.selectExpr("*", f"coalesce({at_quarter}, true) AS exact")
+    keys = [
+        f"CASE WHEN NOT exact THEN floor(greatest(least({q}, {limit}.0D), -{limit + 1}.0D)) END AS {q}"
+        for q in pairs
+    ] + [f"CASE WHEN exact THEN {z} END AS {z}" for z in names("z")]
+    cells = (
+        rows.selectExpr("label_id", "exact", *keys)
+        .groupBy("label_id", "exact", *pairs, *names("z"))
+        .agg(F.count("*").alias("n"))
     )
-    cells = cells.groupBy("label_id", "exact", *keys, "z0", "z1", "z2").agg(F.count("*").alias("n"))
-
-    i, j = F.col("g.i0"), F.col("g.i1")
     zero = int(-BIAS_START / BIAS_STEP)  # grid position of a zero bias
-    ge01 = F.col("q01") >= j - i
-    ge02 = F.col("q02") >= zero - i
-    ge12 = F.col("q12") >= zero - j
-    by_cell = F.when(ge01 & ge02, 0).when(~(ge01 & ge02) & ge12, 1).otherwise(2)
-    by_score = first_max(
-        F.col("z0") + (F.lit(BIAS_START) + i * F.lit(BIAS_STEP)),
-        F.col("z1") + (F.lit(BIAS_START) + j * F.lit(BIAS_STEP)),
-        F.col("z2") + F.lit(0.0),
+    ge01, ge02, ge12 = "q01 >= i1 - i0", f"q02 >= {zero} - i0", f"q12 >= {zero} - i1"
+    by_cell = f"CASE WHEN {ge01} AND {ge02} THEN 0 WHEN {ge12} THEN 1 ELSE 2 END"
+    by_score = first_max(f"(z0 + {bias_at('i0')})", f"(z1 + {bias_at('i1')})", "(z2 + 0.0D)")
+    found = _candidates(cells, BIAS_COUNT, 2, f"CASE WHEN exact THEN {by_score} ELSE {by_cell} END")
+    return found.selectExpr(
+        "grid_idx", f"{bias_at('i0')} AS bias_neg", f"{bias_at('i1')} AS bias_neu", "macro_f1"
     )
-    grid = [(a, b) for a in range(BIAS_COUNT) for b in range(BIAS_COUNT)]
-    found = _candidates(cells, grid, F.when(F.col("exact"), by_score).otherwise(by_cell))
-    bias = lambda k: (F.lit(BIAS_START) + F.col(k) * F.lit(BIAS_STEP))
-    return found.select("grid_idx", bias("i0").alias("bias_neg"), bias("i1").alias("bias_neu"), "macro_f1")
 
 
 def grid_thresholds(df: DataFrame, temperature: float, logits: str = "logits") -> DataFrame:
@@ -152,33 +160,29 @@ def grid_thresholds(df: DataFrame, temperature: float, logits: str = "logits") -
     and on the order of the probabilities, so rows are counted per label and
     these six values: a bounded table, whatever the number of rows.
     """
-    p = softmax(scaled(scores(F.col(logits)), temperature))
-    rows = df.select("label_id", *[x.alias(f"p{i}") for i, x in enumerate(p)])
-    p = (F.col("p0"), F.col("p1"), F.col("p2"))
-    values = threshold_grid()
-    reached = [sum(((x >= F.lit(t)).cast("int") for t in values), F.lit(0)) for x in p]
-    cells = rows.groupBy(
-        "label_id",
-        *[r.alias(f"r{i}") for i, r in enumerate(reached)],
-        (p[0] >= p[1]).alias("ge01"),
-        (p[0] >= p[2]).alias("ge02"),
-        (p[1] >= p[2]).alias("ge12"),
-    ).agg(F.count("*").alias("n"))
-
-    passed = [F.col(f"r{i}") > F.col(f"g.i{i}") for i in range(3)]
-    none = ~(passed[0] | passed[1] | passed[2])
-    in0, in1, in2 = [none | x for x in passed]
-    zero = in0 & (~in1 | F.col("ge01")) & (~in2 | F.col("ge02"))
-    one = in1 & (~in2 | F.col("ge12"))
-    n = THRESHOLD_COUNT
-    grid = [(a, b, c) for a in range(n) for b in range(n) for c in range(n)]
-    found = _candidates(cells, grid, F.when(zero, 0).when(one, 1).otherwise(2))
-    value = lambda k: F.lit(THRESHOLD_START) + F.col(k) * F.lit(THRESHOLD_STEP)
-    return found.select(
+    rows = with_softmax(with_scores(df.select("label_id", logits), logits, temperature), prefix="p")
+    reached = [
+        " + ".join(f"IF({p} >= {double(t)}, 1, 0)" for t in threshold_grid()) + f" AS r{i}"
+        for i, p in enumerate(names("p"))
+    ]
+    order = ["p0 >= p1 AS ge01", "p0 >= p2 AS ge02", "p1 >= p2 AS ge12"]
+    cells = (
+        rows.selectExpr("label_id", *reached, *order)
+        .groupBy("label_id", "r0", "r1", "r2", "ge01", "ge02", "ge12")
+        .agg(F.count("*").alias("n"))
+    )
+    none = "(r0 <= i0 AND r1 <= i1 AND r2 <= i2)"
+    in0, in1, in2 = (f"(r{i} > i{i} OR {none})" for i in CLASSES)
+    decision = (
+        f"CASE WHEN {in0} AND (NOT {in1} OR ge01) AND (NOT {in2} OR ge02) THEN 0 "
+        f"WHEN {in1} AND (NOT {in2} OR ge12) THEN 1 ELSE 2 END"
+    )
+    found = _candidates(cells, THRESHOLD_COUNT, 3, decision)
+    return found.selectExpr(
         "grid_idx",
-        value("i0").alias("threshold_neg"),
-        value("i1").alias("threshold_neu"),
-        value("i2").alias("threshold_pos"),
+        f"{threshold_at('i0')} AS threshold_neg",
+        f"{threshold_at('i1')} AS threshold_neu",
+        f"{threshold_at('i2')} AS threshold_pos",
         "macro_f1",
     )
 
@@ -191,27 +195,18 @@ def best_candidate(found: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- selection
 def compare_strategies(validation: DataFrame, temperature: float, logits: str = "logits") -> DataFrame:
     """The best configuration of each strategy on the validation rows."""
-    decided = validation.withColumn(
-        "pred", decide(F.col(logits), DecisionConfig(temperature=temperature))
-    )
-    none = F.lit(None).cast("array<double>")
-    argmax = macro_f1(decided).select(
-        F.lit(0).alias("place"), F.lit("argmax").alias("strategy"), none.alias("bias"),
-        none.alias("thresholds"), "macro_f1",
+    none = "CAST(NULL AS ARRAY<DOUBLE>)"
+    decided = with_decision(validation, DecisionConfig(temperature=temperature), logits)
+    argmax = macro_f1(decided).selectExpr(
+        "0 AS place", "'argmax' AS strategy", f"{none} AS bias", f"{none} AS thresholds", "macro_f1"
     )
-    bias = best_candidate(grid_class_bias(validation, temperature, logits)).select(
-        F.lit(1).alias("place"),
-        F.lit("class_bias").alias("strategy"),
-        F.array("bias_neg", "bias_neu", F.lit(0.0)).alias("bias"),
-        none.alias("thresholds"),
-        "macro_f1",
+    bias = best_candidate(grid_class_bias(validation, temperature, logits)).selectExpr(
+        "1 AS place", "'class_bias' AS strategy", "array(bias_neg, bias_neu, 0.0D) AS bias",
+        f"{none} AS thresholds", "macro_f1",
     )
-    thresholds = best_candidate(grid_thresholds(validation, temperature, logits)).select(
-        F.lit(2).alias("place"),
-        F.lit("thresholds").alias("strategy"),
-        none.alias("bias"),
-        F.array("threshold_neg", "threshold_neu", "threshold_pos").alias("thresholds"),
-        "macro_f1",
+    thresholds = best_candidate(grid_thresholds(validation, temperature, logits)).selectExpr(
+        "2 AS place", "'thresholds' AS strategy", f"{none} AS bias",
+        "array(threshold_neg, threshold_neu, threshold_pos) AS thresholds", "macro_f1",
     )
     return argmax.unionByName(bias).unionByName(thresholds)
 
@@ -221,35 +216,16 @@ def select_strategy(compared: DataFrame) -> DataFrame:
     return compared.orderBy(F.desc("macro_f1"), F.asc("place")).limit(1)
 
 
-def to_config(selected: DataFrame, temperature: float) -> DecisionConfig:
-    """The selected one-row strategy as a decision config."""
-    row = selected.first()
-    return DecisionConfig(
-        temperature=temperature,
-        strategy=row.strategy,
-        bias=tuple(row.bias) if row.bias else None,
-        thresholds=tuple(row.thresholds) if row.thresholds else None,
-    )
-
-
 def heldout_gain(test: DataFrame, config: DecisionConfig, logits: str = "logits") -> DataFrame:
     """Macro F1 of the selected config and of plain argmax on test rows, in one pass."""
-    label = F.col("label_id")
-    decided = test.select(
-        label,
-        decide(F.col(logits), config).alias("winner"),
-        decide(F.col(logits), DecisionConfig()).alias("plain"),
-    )
-    both = decided.select("label_id", F.inline(F.array(
-        F.struct(F.lit("winner").alias("who"), F.col("winner").alias("pred")),
-        F.struct(F.lit("plain").alias("who"), F.col("plain").alias("pred")),
-    )))
-    scored = both.groupBy("who").agg(*tallies(label, F.col("pred"))).select("who", macro(f1).alias("m"))
-    wide = scored.agg(
-        F.max(F.when(F.col("who") == "winner", F.col("m"))).alias("test_macro_f1"),
-        F.max(F.when(F.col("who") == "plain", F.col("m"))).alias("baseline_test_macro_f1"),
+    winner, plain = Tally("winner_"), Tally("plain_")
+    decided = with_decision(test.select("label_id", logits), config, logits, "winner")
+    decided = with_decision(decided, DecisionConfig(), logits, "plain")
+    tallied = decided.agg(
+        *winner.aggregates("label_id", "winner"), *plain.aggregates("label_id", "plain")
     )
-    return wide.withColumn("gain", F.col("test_macro_f1") - F.col("baseline_test_macro_f1"))
+    scored = tallied.selectExpr(winner.macro_f1("test_macro_f1"), plain.macro_f1("baseline_test_macro_f1"))
+    return scored.selectExpr("*", "test_macro_f1 - baseline_test_macro_f1 AS gain")
 
 
 def calibrate(validation: DataFrame, test: DataFrame, logits: str = "logits") -> tuple[DecisionConfig, DataFrame]:
@@ -259,19 +235,19 @@ def calibrate(validation: DataFrame, test: DataFrame, logits: str = "logits") ->
     parameters, validation and test scores.
     """
     temperature = fit_temperature(validation, logits)
-    best = select_strategy(compare_strategies(validation, temperature, logits)).persist()
-    config = to_config(best, temperature)
-    val_f1 = best.first().macro_f1
-    best.unpersist()
-    params = F.struct(
-        F.lit(list(config.bias) if config.bias else None).cast("array<double>").alias("bias"),
-        F.lit(list(config.thresholds) if config.thresholds else None).cast("array<double>").alias("thresholds"),
+    best = select_strategy(compare_strategies(validation, temperature, logits)).first()
+    config = DecisionConfig(
+        temperature=temperature,
+        strategy=best.strategy,
+        bias=tuple(best.bias) if best.bias else None,
+        thresholds=tuple(best.thresholds) if best.thresholds else None,
     )
-    report = heldout_gain(test, config, logits).select(
-        F.lit(temperature).alias("temperature"),
-        F.lit(config.strategy).alias("strategy"),
-        params.alias("params"),
-        F.lit(val_f1).alias("val_macro_f1"),
+    listed = lambda v: f"array({', '.join(map(double, v))})" if v else "CAST(NULL AS ARRAY<DOUBLE>)"
+    report = heldout_gain(test, config, logits).selectExpr(
+        f"{double(temperature)} AS temperature",
+        f"'{config.strategy}' AS strategy",
+        f"named_struct('bias', {listed(config.bias)}, 'thresholds', {listed(config.thresholds)}) AS params",
+        f"{double(best.macro_f1)} AS val_macro_f1",
         "test_macro_f1",
         "baseline_test_macro_f1",
         "gain",

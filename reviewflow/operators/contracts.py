@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from reviewflow.functions import ids
+from reviewflow.functions import chain, ids, matches
 from reviewflow.functions.text import has_ascii_nonspace, is_nonblank
-from reviewflow.operators.rules import Rule, violations
+from reviewflow.operators.rules import Rule, fence, violations
 from reviewflow.schema import LABELS, PROBABILITY_TOLERANCE, SCHEMA_VERSION
 
 # The recorded error types.
@@ -17,6 +16,7 @@ KEY_DECODE_ERROR = "UnicodeDecodeError"
 
 _NUMBER_TYPES = r"\A(BIGINT|DOUBLE|FLOAT|DECIMAL.*)\z"
 _LITERAL_TYPES = r"\A(BIGINT|DOUBLE|FLOAT|BOOLEAN|DECIMAL.*)\z"
+_LABEL_LIST = ", ".join(f"'{x}'" for x in LABELS)
 
 
 # --------------------------------------------------------------------------- typed rows
@@ -26,222 +26,184 @@ def validate_reviews(df: DataFrame, id_column: str = "review_id") -> DataFrame:
     Columns beyond the contract are dropped. ``created_at`` may be an instant
     or a text, which then needs an offset.
     """
-    created = F.col("created_at")
-    textual = df.schema["created_at"].dataType.typeName() == "string"
     rules = [
-        ("review_id", ids.object_id(F.col(id_column)).isNull()),
-        ("text", ~is_nonblank(F.col("text"))),
-        ("movie_id", F.col("movie_id").isNotNull() & ~is_nonblank(F.col("movie_id"))),
+        ("review_id", "_id_ok IS NULL"),
+        ("text", f"NOT {is_nonblank('text')}"),
+        ("movie_id", f"movie_id IS NOT NULL AND NOT {is_nonblank('movie_id')}"),
     ]
-    if textual:
-        rules.append(("created_at", created.isNotNull() & ids.parse_utc(created).isNull()))
-    return df.select(
-        F.coalesce(ids.object_id(F.col(id_column)), F.col(id_column).cast("string")).alias("review_id"),
-        "text",
-        "movie_id",
-        (ids.parse_utc(created) if textual else created).alias("created_at"),
-        violations(rules).alias("violations"),
+    instant = "created_at"
+    if df.schema["created_at"].dataType.typeName() == "string":
+        instant = ids.parse_utc("created_at")
+        rules.append(("created_at", "created_at IS NOT NULL AND _instant IS NULL"))
+    checked = df.selectExpr(
+        f"CAST({id_column} AS STRING) AS _id_text", "text", "movie_id", "created_at",
+        f"{ids.object_id(id_column)} AS _id_ok", f"{instant} AS _instant",
+    )
+    return checked.selectExpr(
+        "coalesce(_id_ok, _id_text) AS review_id", "text", "movie_id", "_instant AS created_at",
+        f"{violations(rules)} AS violations",
     )
 
 
-def review_store_violations(id_column: str = "_id") -> Column:
+def review_store_violations(id_column: str = "_id") -> str:
     """The looser check of the document store: ASCII white space only."""
     return violations(
         [
-            ("_id", ~ids.matches(F.col(id_column).cast("string"), r"\A[0-9a-fA-F]{24}\z")),
-            ("text", ~has_ascii_nonspace(F.col("text"))),
-            ("movie_id", F.col("movie_id").isNotNull() & ~has_ascii_nonspace(F.col("movie_id"))),
+            ("_id", f"NOT {matches(id_column, r'\A[0-9a-fA-F]{24}\z')}"),
+            ("text", f"NOT {has_ascii_nonspace('text')}"),
+            ("movie_id", f"movie_id IS NOT NULL AND NOT {has_ascii_nonspace('movie_id')}"),
         ]
     )
 
 
-def _outside_unit(p: Column) -> Column:
-    return ~F.coalesce(p.between(0.0, 1.0), F.lit(False))
+def _in_unit(p: str) -> str:
+    return f"coalesce({p} BETWEEN 0.0D AND 1.0D, false)"
 
 
-def prediction_rules(
-    sentiment: Column, label_id: Column, confidence: Column, p: dict[str, Column]
-) -> list[Rule]:
+def prediction_rules(sentiment: str, label_id: str, confidence: str, p: dict[str, str]) -> list[Rule]:
     """Rules of a prediction core; NULL breaks a rule."""
-    name = F.element_at(F.array(*[F.lit(x) for x in LABELS]), label_id.cast("int") + 1)
-    known = F.coalesce(label_id.isin(0, 1, 2), F.lit(False))
-    in_range = ~(_outside_unit(p["neg"]) | _outside_unit(p["neu"]) | _outside_unit(p["pos"]))
-    chosen = F.when(sentiment == "neg", p["neg"]).when(sentiment == "neu", p["neu"]).when(
-        sentiment == "pos", p["pos"]
-    )
-    far = lambda a, b: F.abs(a - b) > PROBABILITY_TOLERANCE
+    ranged = chain(p.values(), "coalesce({0} BETWEEN 0.0D AND 1.0D, false)", " AND ")
+    total = " + ".join(p.values())
+    named = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(LABELS))
+    chosen = " ".join(f"WHEN '{n}' THEN {x}" for n, x in p.items())
+    far = f"> {PROBABILITY_TOLERANCE!r}D"
     return [
-        ("sentiment", ~F.coalesce(sentiment.isin(*LABELS), F.lit(False))),
-        ("label_id", ~known),
-        ("confidence", _outside_unit(confidence)),
-        ("probabilities", ~in_range),
-        ("label_mapping", F.when(known, sentiment != name)),
-        ("probability_sum", in_range & far(p["neg"] + p["neu"] + p["pos"], F.lit(1.0))),
-        ("confidence_matches", in_range & ~_outside_unit(confidence) & far(confidence, chosen)),
+        ("sentiment", f"NOT coalesce({sentiment} IN ({_LABEL_LIST}), false)"),
+        ("label_id", f"NOT coalesce({label_id} IN (0, 1, 2), false)"),
+        ("confidence", f"NOT {_in_unit(confidence)}"),
+        ("probabilities", f"NOT ({ranged})"),
+        ("label_mapping", f"{sentiment} != CASE {label_id} {named} END"),
+        ("probability_sum", f"({ranged}) AND abs({total} - 1.0D) {far}"),
+        (
+            "confidence_matches",
+            f"({ranged}) AND {_in_unit(confidence)} AND abs({confidence} - CASE {sentiment} {chosen} END) {far}",
+        ),
     ]
 
 
-def _struct_probabilities(name: str = "probabilities") -> dict[str, Column]:
-    return {label: F.col(name)[label] for label in LABELS}
-
-
 def validate_predictions(df: DataFrame) -> DataFrame:
     """Add ``violations`` to typed prediction cores."""
-    rules = prediction_rules(
-        F.col("sentiment"), F.col("label_id"), F.col("confidence"), _struct_probabilities()
-    )
-    return df.withColumn("violations", violations(rules))
+    probs = {label: f"probabilities.{label}" for label in LABELS}
+    rules = prediction_rules("sentiment", "label_id", "confidence", probs)
+    return df.selectExpr("*", f"{violations(rules)} AS violations")
 
 
 def history_checks() -> list[Rule]:
     """The storage constraints of a history row; an unknown result passes."""
-    c = F.col
-    probs = {"neg": c("probability_neg"), "neu": c("probability_neu"), "pos": c("probability_pos")}
-    label_probability = (
-        F.when(c("label_id") == 0, probs["neg"])
-        .when(c("label_id") == 1, probs["neu"])
-        .when(c("label_id") == 2, probs["pos"])
-    )
-    mapping = (
-        ((c("label_id") == 0) & (c("sentiment") == "neg"))
-        | ((c("label_id") == 1) & (c("sentiment") == "neu"))
-        | ((c("label_id") == 2) & (c("sentiment") == "pos"))
-    )
-    unspaced = lambda name: F.trim(c(name)) != ""
+    columns = [f"probability_{x}" for x in LABELS]
+    near = f"<= {PROBABILITY_TOLERANCE!r}D"
+    mapping = " OR ".join(f"(label_id = {i} AND sentiment = '{n}')" for i, n in enumerate(LABELS))
+    chosen = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(columns))
     checks = [
-        ("schema_version_v1", c("schema_version") == SCHEMA_VERSION),
-        ("prediction_id_sha256", c("prediction_id").rlike(ids.PREDICTION_ID_PATTERN)),
-        ("review_id_object_id", c("review_id").rlike(ids.OBJECT_ID_PATTERN)),
-        ("source_event_id", c("source_event_id") == ids.event_id(c("review_id"))),
-        ("movie_id_non_blank", unspaced("movie_id")),
-        ("sentiment", c("sentiment").isin(*LABELS)),
-        ("label", c("label_id").between(0, 2)),
+        ("schema_version_v1", f"schema_version = {SCHEMA_VERSION}"),
+        ("prediction_id_sha256", matches("prediction_id", ids.PREDICTION_ID_PATTERN)),
+        ("review_id_object_id", matches("review_id", ids.OBJECT_ID_PATTERN)),
+        ("source_event_id", f"source_event_id = {ids.event_id('review_id')}"),
+        ("movie_id_non_blank", "trim(movie_id) != ''"),
+        ("sentiment", f"sentiment IN ({_LABEL_LIST})"),
+        ("label", "label_id BETWEEN 0 AND 2"),
         ("label_mapping", mapping),
-        ("confidence_range", c("confidence").between(0.0, 1.0)),
-        *[(f"probability_{k}_range", probs[k].between(0.0, 1.0)) for k in LABELS],
-        (
-            "probability_sum",
-            F.abs(probs["neg"] + probs["neu"] + probs["pos"] - 1.0) <= PROBABILITY_TOLERANCE,
-        ),
-        (
-            "confidence_matches_label",
-            F.abs(c("confidence") - label_probability) <= PROBABILITY_TOLERANCE,
-        ),
-        ("model_name_non_blank", unspaced("model_name")),
-        ("model_version_non_blank", unspaced("model_version")),
-        ("model_run_id_non_blank", unspaced("model_run_id")),
+        ("confidence_range", "confidence BETWEEN 0.0D AND 1.0D"),
+        *[(f"{c}_range", f"{c} BETWEEN 0.0D AND 1.0D") for c in columns],
+        ("probability_sum", f"abs({' + '.join(columns)} - 1.0D) {near}"),
+        ("confidence_matches_label", f"abs(confidence - CASE label_id {chosen} END) {near}"),
+        ("model_name_non_blank", "trim(model_name) != ''"),
+        ("model_version_non_blank", "trim(model_version) != ''"),
+        ("model_run_id_non_blank", "trim(model_run_id) != ''"),
     ]
     required = (
         "prediction_id", "schema_version", "source_event_id", "review_id", "sentiment", "label_id",
-        "confidence", "probability_neg", "probability_neu", "probability_pos", "model_name",
-        "model_version", "predicted_at",
+        "confidence", *columns, "model_name", "model_version", "predicted_at",
     )
-    return [(f"{name}_not_null", c(name).isNull()) for name in required] + [
-        (name, ~passed) for name, passed in checks
+    return [(f"{name}_not_null", f"{name} IS NULL") for name in required] + [
+        (name, f"NOT ({passed})") for name, passed in checks
     ]
 
 
 def check_constraints(df: DataFrame) -> DataFrame:
     """Add the names of the storage constraints each history row breaks."""
-    return df.withColumn("violations", violations(history_checks()))
+    return df.selectExpr("*", f"{violations(history_checks())} AS violations")
 
 
 # --------------------------------------------------------------------------- JSON events
-class _Fields:
-    """Typed access to the members of a JSON object held as VARIANT."""
+def _member(path: str, as_type: str) -> str:
+    return f"try_variant_get(_doc, '$.{path}', '{as_type}')" if path else f"try_variant_get(_doc, '$', '{as_type}')"
+
 
-    def __init__(self, doc: str, path: str = "$"):
-        self.doc, self.path = doc, path
+def _type_of(path: str) -> str:
+    return f"coalesce(schema_of_variant({_member(path, 'variant')}), 'MISSING')"
 
-    def type(self, name: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(F.col(self.doc), f"{self.path}.{name}", "variant"))
 
-    def get(self, name: str, as_type: str) -> Column:
-        return F.try_variant_get(F.col(self.doc), f"{self.path}.{name}", as_type)
+def _absent(path: str) -> str:
+    """Whether the member is missing or null."""
+    return f"{_type_of(path)} IN ('MISSING', 'VOID')"
 
-    def missing(self, name: str) -> Column:
-        return self.type(name).isNull()
 
-    def null_or_missing(self, name: str) -> Column:
-        return F.coalesce(self.type(name), F.lit("VOID")) == "VOID"
+def _string(path: str) -> str:
+    return f"CASE WHEN {_type_of(path)} = 'STRING' THEN {_member(path, 'string')} END"
 
-    def string(self, name: str) -> Column:
-        return F.when(self.type(name) == "STRING", self.get(name, "string"))
 
-    def number(self, name: str) -> Column:
-        return F.when(ids.matches(self.type(name), _NUMBER_TYPES), self.get(name, "double"))
+def _number(path: str) -> str:
+    return f"CASE WHEN {matches(_type_of(path), _NUMBER_TYPES)} THEN {_member(path, 'double')} END"
 
-    def literal(self, name: str) -> Column:
-        """A number or boolean usable as a literal integer."""
-        return F.when(ids.matches(self.type(name), _LITERAL_TYPES), self.get(name, "double"))
 
-    def instant(self, name: str) -> Column:
-        return ids.parse_utc(self.string(name))
+def _literal(path: str) -> str:
+    """A number or boolean usable as a literal integer."""
+    return f"CASE WHEN {matches(_type_of(path), _LITERAL_TYPES)} THEN {_member(path, 'double')} END"
 
-    def is_object(self) -> Column:
-        whole = F.schema_of_variant(F.try_variant_get(F.col(self.doc), self.path, "variant"))
-        return F.coalesce(F.startswith(whole, F.lit("OBJECT")), F.lit(False))
 
-    def unknown(self, allowed: tuple[str, ...]) -> Column:
-        members = F.try_variant_get(F.col(self.doc), self.path, "map<string,variant>")
-        extra = F.array_except(F.map_keys(members), F.array(*[F.lit(a) for a in allowed]))
-        return self.is_object() & (F.size(extra) > 0)
+def _unknown(path: str, allowed: tuple[str, ...]) -> str:
+    """Whether the object at ``path`` has a member beyond the allowed ones."""
+    members = f"CASE WHEN startswith({_type_of(path)}, 'OBJECT') THEN {_member(path, 'map<string,variant>')} END"
+    listed = ", ".join(f"'{a}'" for a in allowed)
+    return f"coalesce(size(array_except(map_keys({members}), array({listed}))) > 0, false)"
 
 
-def _parsed(df: DataFrame) -> DataFrame:
-    """Add the payload as VARIANT, NULL unless it is one whole JSON object.
+def _with_document(records: DataFrame) -> DataFrame:
+    """Add the payload as VARIANT ``_doc``, NULL unless it is one whole JSON object.
 
     The JSON reader stops after the first value, so the payload is read as the
     first of two list items; the second, a digest of the payload that the
     payload cannot contain, proves that nothing else came between.
     """
-    text = F.when(F.is_valid_utf8(F.col("value")), F.col("value").cast("string"))
-    listed = F.concat(F.lit("["), text, F.lit(',"'), F.md5(F.col("value")), F.lit('"]'))
-    df = df.withColumn("_list", F.try_parse_json(listed))
-    end = F.try_variant_get(F.col("_list"), "$[1]", "string")
-    whole = (end == F.md5(F.col("value"))) & F.try_variant_get(
-        F.col("_list"), "$[2]", "variant"
-    ).isNull()
-    first = F.try_variant_get(F.col("_list"), "$[0]", "variant")
-    df = df.withColumn("_first", F.when(whole, first))
-    return df.withColumn(
-        "_doc", F.when(F.startswith(F.schema_of_variant(F.col("_first")), F.lit("OBJECT")), F.col("_first"))
-    ).drop("_list", "_first")
-
-
-def _text_rule(f: _Fields, name: str, optional: bool = False) -> Rule:
-    broken = ~is_nonblank(f.string(name))
-    return (name, (~f.null_or_missing(name) & broken) if optional else broken)
-
-
-def _instant_rule(f: _Fields, name: str, optional: bool = False) -> Rule:
-    broken = f.instant(name).isNull()
-    return (name, (~f.null_or_missing(name) & broken) if optional else broken)
-
-
-def _literal_rule(f: _Fields, name: str, allowed: tuple[int, ...]) -> Rule:
-    return (name, ~F.coalesce(f.literal(name).isin(*[float(a) for a in allowed]), F.lit(False)))
-
-
-def _key_columns(df: DataFrame, review_id: Column) -> DataFrame:
-    """Error type and message by precedence: null value, contract, key bytes, key match."""
-    bad_key = F.col("key").isNotNull() & ~F.is_valid_utf8(F.col("key"))
-    same = ids.decode_key(F.col("key")).eqNullSafe(review_id)
-    broken = F.size("violations") > 0
-    null_value = F.col("value").isNull()
-    kind = (
-        F.when(null_value, NULL_OR_KEY_ERROR)
-        .when(broken, CONTRACT_ERROR)
-        .when(bad_key, KEY_DECODE_ERROR)
-        .when(~same, NULL_OR_KEY_ERROR)
+    text = "CASE WHEN is_valid_utf8(value) THEN CAST(value AS STRING) END AS _text"
+    df = records.selectExpr("*", text, "md5(value) AS _digest")
+    df = df.selectExpr("*", "try_parse_json(concat('[', _text, ',\"', _digest, '\"]')) AS _list")
+    whole = (
+        "try_variant_get(_list, '$[1]', 'string') = _digest "
+        "AND try_variant_get(_list, '$[2]', 'variant') IS NULL "
+        "AND startswith(schema_of_variant(try_variant_get(_list, '$[0]', 'variant')), 'OBJECT')"
     )
-    message = (
-        F.when(null_value, "message value is null")
-        .when(broken, F.concat(F.lit("contract violated: "), F.array_join("violations", ", ")))
-        .when(bad_key, "key is not valid UTF-8")
-        .when(~same, "key does not match review_id")
+    return df.selectExpr("*", f"CASE WHEN {whole} THEN try_variant_get(_list, '$[0]', 'variant') END AS _doc")
+
+
+def _conclude(df: DataFrame, raw: list[str], rules: list[Rule], event: str) -> DataFrame:
+    """Add ``violations``, ``error_type``, ``error_message`` and ``event``.
+
+    The first error counts: null value, contract, key bytes, key and id differ.
+    """
+    broken = (
+        "CASE WHEN value IS NULL THEN CAST(array() AS ARRAY<STRING>) "
+        f"WHEN _doc IS NULL THEN array('json_object') ELSE {violations(rules)} END AS violations"
     )
-    return df.withColumns({"error_type": kind, "error_message": message})
+    df = df.selectExpr(*raw, broken, f"{event} AS _event")
+    df = df.selectExpr(
+        "*",
+        "CASE WHEN value IS NULL THEN 1 WHEN size(violations) > 0 THEN 2 "
+        "WHEN key IS NOT NULL AND NOT is_valid_utf8(key) THEN 3 "
+        f"WHEN NOT ({ids.decode_key('key')} <=> _event.review_id) THEN 4 END AS _error",
+    )
+    out = df.selectExpr(
+        *raw,
+        "violations",
+        f"CASE WHEN _error IN (1, 4) THEN '{NULL_OR_KEY_ERROR}' WHEN _error = 2 THEN '{CONTRACT_ERROR}' "
+        f"WHEN _error = 3 THEN '{KEY_DECODE_ERROR}' END AS error_type",
+        "CASE _error WHEN 1 THEN 'message value is null' "
+        "WHEN 2 THEN concat('contract violated: ', array_join(violations, ', ')) "
+        "WHEN 3 THEN 'key is not valid UTF-8' WHEN 4 THEN 'key does not match review_id' END AS error_message",
+        "CASE WHEN _error IS NULL THEN _event END AS event",
+    )
+    return fence(out, ["violations", "error_type", "error_message", "event"])
 
 
 # The members of the two event records.
@@ -252,19 +214,9 @@ PREDICTION_EVENT_FIELDS = (
     "sentiment", "label_id", "confidence", "probabilities", "schema_version", "prediction_id",
     "source_event_id", "review_id", "movie_id", "source_created_at", "model", "predicted_at",
 )
-
-
-def _finish(df: DataFrame, rules: list[Rule], event: Column) -> DataFrame:
-    unreadable = F.col("value").isNotNull() & F.col("_doc").isNull()
-    names = (
-        F.when(F.col("value").isNull(), F.array().cast("array<string>"))
-        .when(unreadable, F.array(F.lit("json_object")))
-        .otherwise(violations(rules))
-    )
-    checked = df.withColumn("violations", names).withColumn("_event", event)
-    checked = _key_columns(checked, F.col("_event.review_id"))
-    valid = F.col("error_type").isNull()
-    return checked.withColumn("event", F.when(valid, F.col("_event"))).drop("_doc", "_event")
+_VERSION_RULE = ("schema_version", f"NOT coalesce(_version = {SCHEMA_VERSION}, false)")
+_MOVIE_RULE = ("movie_id", f"NOT _no_movie AND NOT {is_nonblank('_movie_id')}")
+_CREATED_RULE = ("source_created_at", "NOT _no_created AND _created IS NULL")
 
 
 def parse_review_events(records: DataFrame) -> DataFrame:
@@ -272,77 +224,110 @@ def parse_review_events(records: DataFrame) -> DataFrame:
 
     ``event`` is NULL exactly when ``error_type`` is set; no record is dropped.
     """
-    df = _parsed(records)
-    f = _Fields("_doc")
-    # Any JSON scalar is read as text here, as ids are normalised from text.
-    review_id = ids.object_id(f.get("review_id", "string"))
-    event_id = f.string("event_id")
-    well_formed = ids.matches(event_id, ids.EVENT_ID_PATTERN)
+    raw = records.columns
+    df = _with_document(records).selectExpr(
+        *raw,
+        "_doc",
+        f"{_unknown('', REVIEW_EVENT_FIELDS)} AS _unknown_field",
+        f"{_literal('schema_version')} AS _version",
+        f"{_string('event_id')} AS _event_id",
+        # Any JSON scalar is read as text here, as ids are normalised from text.
+        f"{_member('review_id', 'string')} AS _review_text",
+        f"{_absent('movie_id')} AS _no_movie",
+        f"{_string('movie_id')} AS _movie_id",
+        f"{_string('text')} AS _body",
+        f"{_absent('source_created_at')} AS _no_created",
+        f"{_string('source_created_at')} AS _created_text",
+        f"{_string('emitted_at')} AS _emitted_text",
+    )
+    df = df.selectExpr(
+        "*",
+        f"{ids.object_id('_review_text')} AS _review_id",
+        f"{ids.parse_utc('_created_text')} AS _created",
+        f"{ids.parse_utc('_emitted_text')} AS _emitted",
+        f"{matches('_event_id', ids.EVENT_ID_PATTERN)} AS _event_ok",
+    )
     rules = [
-        ("unknown_field", f.unknown(REVIEW_EVENT_FIELDS)),
-        _literal_rule(f, "schema_version", (SCHEMA_VERSION,)),
-        ("event_id", ~well_formed),
-        ("review_id", review_id.isNull()),
-        _text_rule(f, "movie_id", optional=True),
-        _text_rule(f, "text"),
-        _instant_rule(f, "source_created_at", optional=True),
-        _instant_rule(f, "emitted_at"),
-        ("event_id_matches", well_formed & (event_id != ids.event_id(review_id))),
+        ("unknown_field", "_unknown_field"),
+        _VERSION_RULE,
+        ("event_id", "NOT _event_ok"),
+        ("review_id", "_review_id IS NULL"),
+        _MOVIE_RULE,
+        ("text", f"NOT {is_nonblank('_body')}"),
+        _CREATED_RULE,
+        ("emitted_at", "_emitted IS NULL"),
+        ("event_id_matches", f"_event_ok AND _event_id != {ids.event_id('_review_id')}"),
     ]
-    event = F.struct(
-        F.lit(SCHEMA_VERSION).alias("schema_version"),
-        event_id.alias("event_id"),
-        review_id.alias("review_id"),
-        f.string("movie_id").alias("movie_id"),
-        f.string("text").alias("text"),
-        f.instant("source_created_at").alias("source_created_at"),
-        f.instant("emitted_at").alias("emitted_at"),
+    event = (
+        f"named_struct('schema_version', {SCHEMA_VERSION}, 'event_id', _event_id, "
+        "'review_id', _review_id, 'movie_id', _movie_id, 'text', _body, "
+        "'source_created_at', _created, 'emitted_at', _emitted)"
     )
-    return _finish(df, rules, event)
+    return _conclude(df, raw, rules, event)
 
 
 def parse_prediction_events(records: DataFrame) -> DataFrame:
     """As :func:`parse_review_events`, for prediction records."""
-    df = _parsed(records)
-    f, probs, model = _Fields("_doc"), _Fields("_doc", "$.probabilities"), _Fields("_doc", "$.model")
-    review_id = ids.object_id(f.get("review_id", "string"))
-    source_event, prediction = f.string("source_event_id"), f.string("prediction_id")
-    name, version = model.string("name"), model.string("version")
-    p = {label: probs.number(label) for label in LABELS}
-    source_ok = ids.matches(source_event, ids.EVENT_ID_PATTERN)
-    id_ok = ids.matches(prediction, ids.PREDICTION_ID_PATTERN)
+    raw = records.columns
+    df = _with_document(records).selectExpr(
+        *raw,
+        "_doc",
+        f"{_unknown('', PREDICTION_EVENT_FIELDS)} AS _unknown_field",
+        f"{_unknown('probabilities', LABELS)} AS _unknown_probability",
+        f"{_unknown('model', ('name', 'version', 'run_id'))} AS _unknown_model_field",
+        f"{_literal('schema_version')} AS _version",
+        f"{_literal('label_id')} AS _label_id",
+        f"{_string('sentiment')} AS _sentiment",
+        f"{_number('confidence')} AS _confidence",
+        *[f"{_number(f'probabilities.{x}')} AS _p_{x}" for x in LABELS],
+        f"{_string('prediction_id')} AS _prediction_id",
+        f"{_string('source_event_id')} AS _source",
+        f"{_member('review_id', 'string')} AS _review_text",
+        f"{_absent('movie_id')} AS _no_movie",
+        f"{_string('movie_id')} AS _movie_id",
+        f"{_absent('source_created_at')} AS _no_created",
+        f"{_string('source_created_at')} AS _created_text",
+        f"{_string('predicted_at')} AS _predicted_text",
+        f"{_string('model.name')} AS _name",
+        f"{_string('model.version')} AS _model_version",
+        f"{_absent('model.run_id')} AS _no_run",
+        f"{_string('model.run_id')} AS _run_id",
+    )
+    df = df.selectExpr(
+        "*",
+        f"{ids.object_id('_review_text')} AS _review_id",
+        f"{ids.parse_utc('_created_text')} AS _created",
+        f"{ids.parse_utc('_predicted_text')} AS _predicted",
+        f"{matches('_source', ids.EVENT_ID_PATTERN)} AS _source_ok",
+        f"{matches('_prediction_id', ids.PREDICTION_ID_PATTERN)} AS _id_ok",
+        f"{ids.prediction_id('_source', '_name', '_model_version')} AS _expected_id",
+    )
+    p = {label: f"_p_{label}" for label in LABELS}
     rules = [
-        ("unknown_field", f.unknown(PREDICTION_EVENT_FIELDS)),
-        ("unknown_probability", probs.unknown(LABELS)),
-        ("unknown_model_field", model.unknown(("name", "version", "run_id"))),
-        _literal_rule(f, "schema_version", (SCHEMA_VERSION,)),
-        ("prediction_id", ~id_ok),
-        ("source_event_id", ~source_ok),
-        ("review_id", review_id.isNull()),
-        _text_rule(f, "movie_id", optional=True),
-        _instant_rule(f, "source_created_at", optional=True),
-        _instant_rule(f, "predicted_at"),
-        ("model_name", ~is_nonblank(name)),
-        ("model_version", ~is_nonblank(version)),
-        ("model_run_id", ~model.null_or_missing("run_id") & ~is_nonblank(model.string("run_id"))),
-        *prediction_rules(f.string("sentiment"), f.literal("label_id"), f.number("confidence"), p),
-        ("source_event_id_matches", source_ok & (source_event != ids.event_id(review_id))),
-        ("prediction_id_matches", id_ok & (prediction != ids.prediction_id(source_event, name, version))),
+        ("unknown_field", "_unknown_field"),
+        ("unknown_probability", "_unknown_probability"),
+        ("unknown_model_field", "_unknown_model_field"),
+        _VERSION_RULE,
+        ("prediction_id", "NOT _id_ok"),
+        ("source_event_id", "NOT _source_ok"),
+        ("review_id", "_review_id IS NULL"),
+        _MOVIE_RULE,
+        _CREATED_RULE,
+        ("predicted_at", "_predicted IS NULL"),
+        ("model_name", f"NOT {is_nonblank('_name')}"),
+        ("model_version", f"NOT {is_nonblank('_model_version')}"),
+        ("model_run_id", f"NOT _no_run AND NOT {is_nonblank('_run_id')}"),
+        *prediction_rules("_sentiment", "_label_id", "_confidence", p),
+        ("source_event_id_matches", f"_source_ok AND _source != {ids.event_id('_review_id')}"),
+        ("prediction_id_matches", "_id_ok AND _prediction_id != _expected_id"),
     ]
-    event = F.struct(
-        f.string("sentiment").alias("sentiment"),
-        f.literal("label_id").cast("int").alias("label_id"),
-        f.number("confidence").alias("confidence"),
-        F.struct(*[p[label].alias(label) for label in LABELS]).alias("probabilities"),
-        F.lit(SCHEMA_VERSION).alias("schema_version"),
-        prediction.alias("prediction_id"),
-        source_event.alias("source_event_id"),
-        review_id.alias("review_id"),
-        f.string("movie_id").alias("movie_id"),
-        f.instant("source_created_at").alias("source_created_at"),
-        F.struct(
-            name.alias("name"), version.alias("version"), model.string("run_id").alias("run_id")
-        ).alias("model"),
-        f.instant("predicted_at").alias("predicted_at"),
+    event = (
+        "named_struct('sentiment', _sentiment, 'label_id', try_cast(_label_id AS INT), "
+        "'confidence', _confidence, 'probabilities', "
+        "named_struct('neg', _p_neg, 'neu', _p_neu, 'pos', _p_pos), "
+        f"'schema_version', {SCHEMA_VERSION}, 'prediction_id', _prediction_id, 'source_event_id', _source, "
+        "'review_id', _review_id, 'movie_id', _movie_id, 'source_created_at', _created, "
+        "'model', named_struct('name', _name, 'version', _model_version, 'run_id', _run_id), "
+        "'predicted_at', _predicted)"
     )
-    return _finish(df, rules, event)
+    return _conclude(df, raw, rules, event)

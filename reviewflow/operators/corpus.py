@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewflow.functions.text import is_nonblank
@@ -13,10 +12,9 @@ from reviewflow.schema import LABELS, NUM_LABELS
 SPLITS = ("train", "val", "test")
 
 
-def round_half_even(x: Column, digits: int) -> Column:
+def round_half_even(x: str, digits: int) -> str:
     """Rounding by scaling to the nearest even integer."""
-    scale = F.lit(float(10**digits))
-    return F.rint(x * scale) / scale
+    return f"(rint(({x}) * 1e{digits}D) / 1e{digits}D)"
 
 
 def clean(corpus: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -25,7 +23,7 @@ def clean(corpus: DataFrame, key: str = "doc_id") -> DataFrame:
     Ordering by a short hash before the text spares most comparisons of long
     texts; the text stays part of the key, so only equal texts are merged.
     """
-    kept = corpus.where(is_nonblank(F.col("text"))).withColumn("_hash", F.xxhash64("text"))
+    kept = corpus.where(is_nonblank("text")).withColumn("_hash", F.xxhash64("text"))
     return first_per_key(kept, ["_hash", "text"], [F.asc("label_id"), F.asc(key)]).drop("_hash")
 
 
@@ -34,8 +32,8 @@ def clean_report(corpus: DataFrame) -> DataFrame:
 
     Counts texts by 256-bit digest, so the shuffle carries digests, not texts.
     """
-    digest = F.when(is_nonblank(F.col("text")), F.unhex(F.sha2("text", 256)))
-    groups = corpus.groupBy(digest.alias("d")).agg(F.count("*").alias("n"))
+    digest = f"CASE WHEN {is_nonblank('text')} THEN unhex(sha2(text, 256)) END AS d"
+    groups = corpus.selectExpr(digest).groupBy("d").agg(F.count("*").alias("n"))
     totals = groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows_before"), F.count("d").alias("rows_after")
     )
@@ -49,8 +47,8 @@ def class_counts(corpus: DataFrame) -> DataFrame:
 def class_shares(split_corpus: DataFrame) -> DataFrame:
     """Rows and share of each class within each split, to 3 decimals."""
     n = split_corpus.groupBy("split", "label").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(W.partitionBy("split"))
-    return n.withColumn("share", round_half_even(F.col("n") / total, 3))
+    share = round_half_even("n / sum(n) OVER (PARTITION BY split)", 3)
+    return n.selectExpr("*", f"{share} AS share")
 
 
 def class_weights(corpus: DataFrame) -> DataFrame:
@@ -58,16 +56,15 @@ def class_weights(corpus: DataFrame) -> DataFrame:
 
     A class without rows is an error.
     """
-    tally = corpus.agg(*[F.count_if(F.col("label_id") == i).alias(f"n{i}") for i in range(NUM_LABELS)])
-    total = sum((F.col(f"n{i}") for i in range(NUM_LABELS)), F.lit(0))
-    one = lambda i: F.struct(
-        F.lit(i).alias("label_id"),
-        F.col(f"n{i}").alias("n"),
-        F.when(
-            F.col(f"n{i}") == 0, F.raise_error(F.lit(f"class {LABELS[i]} has no rows")).cast("double")
-        ).otherwise(total / (NUM_LABELS * F.col(f"n{i}"))).alias("weight"),
+    tally = corpus.selectExpr(*[f"count_if(label_id = {i}) AS n{i}" for i in range(NUM_LABELS)])
+    total = " + ".join(f"n{i}" for i in range(NUM_LABELS))
+    rows = ", ".join(
+        f"named_struct('label_id', {i}, 'n', n{i}, 'weight', CASE WHEN n{i} = 0 "
+        f"THEN CAST(raise_error('class {LABELS[i]} has no rows') AS DOUBLE) "
+        f"ELSE ({total}) / ({NUM_LABELS} * n{i}) END)"
+        for i in range(NUM_LABELS)
     )
-    return tally.select(F.inline(F.array(*[one(i) for i in range(NUM_LABELS)])))
+    return tally.selectExpr(f"inline(array({rows}))")
 
 
 PERCENTILES = (0.5, 0.75, 0.9, 0.95, 0.99)
@@ -80,27 +77,24 @@ def length_profile(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
     Rows are first reduced to one per distinct length, so the final task sees a
     table no longer than the longest text.
     """
-    x = F.col(column)
-    hist = lengths.groupBy(column).agg(F.count("*").alias("f"))
-    f = F.col("f")
-    sums = hist.agg(
-        F.sum("f").alias("n"),
-        F.sum(x.cast("decimal(20,0)") * f).alias("s1"),
-        F.sum((x.cast("decimal(18,0)") * x).cast("decimal(25,0)") * f).alias("s2"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-        F.expr(f"percentile({column}, array({','.join(map(str, PERCENTILES))}), f)").alias("p"),
-        *[F.sum(F.when(x > lim, f).otherwise(0)).alias(f"over{lim}") for lim in LIMITS],
+    hist = lengths.groupBy(F.col(column).alias("x")).agg(F.count("*").alias("f"))
+    sums = hist.selectExpr(
+        "sum(f) AS n",
+        "CAST(sum(CAST(x AS DECIMAL(20, 0)) * f) AS DOUBLE) AS s1",
+        "CAST(sum(CAST(x AS DECIMAL(10, 0)) * CAST(x AS DECIMAL(10, 0)) * f) AS DOUBLE) AS s2",
+        "min(x) AS min",
+        "max(x) AS max",
+        f"percentile(x, array({', '.join(map(str, PERCENTILES))}), f) AS p",
+        *[f"sum(IF(x > {limit}, f, 0L)) AS over{limit}" for limit in LIMITS],
     )
-    n, s1, s2 = F.col("n"), F.col("s1").cast("double"), F.col("s2").cast("double")
-    return sums.select(
-        F.col("n").alias("n"),
-        (s1 / n).alias("mean"),
-        F.when(n > 1, F.sqrt((s2 - s1 * s1 / n) / (n - 1))).alias("std"),
-        F.col("min").cast("bigint").alias("min"),
-        *[F.col("p")[i].alias(f"p{int(round(q * 100))}") for i, q in enumerate(PERCENTILES)],
-        F.col("max").cast("bigint").alias("max"),
-        *[round_half_even(F.col(f"over{lim}") / n, 3).alias(f"share_over_{lim}") for lim in LIMITS],
+    return sums.selectExpr(
+        "n",
+        "s1 / n AS mean",
+        "CASE WHEN n > 1 THEN sqrt((s2 - s1 * s1 / n) / (n - 1)) END AS std",
+        "CAST(min AS BIGINT) AS min",
+        *[f"p[{i}] AS p{round(q * 100)}" for i, q in enumerate(PERCENTILES)],
+        "CAST(max AS BIGINT) AS max",
+        *[f"{round_half_even(f'over{limit} / n', 3)} AS share_over_{limit}" for limit in LIMITS],
     )
 
 
@@ -115,43 +109,34 @@ def stratified_split(
     place by comparing with at most two cut points per class. Nothing of the
     size of the data is shuffled or broadcast.
     """
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    narrow = df.select(F.col(label).alias("_class"), order.alias("_order")).withColumn(
-        "_bucket", F.substring("_order", 1, prefix)
+    order = f"md5(concat('{seed}:', CAST({key} AS STRING))) AS _order"
+    narrow = df.selectExpr(f"{label} AS _class", order).selectExpr(
+        "*", f"substring(_order, 1, {prefix}) AS _bucket"
     )
-    cuts = _cut_points(narrow)
-    joined = df.withColumn("_order", order).join(
-        F.broadcast(cuts), F.col(label) == F.col("_class"), "left"
-    )
-    split = (
-        F.when(F.col("_order") <= F.col("_train_end"), "train")
-        .when(F.col("_order") <= F.col("_val_end"), "val")
-        .otherwise("test")
-    )
-    return joined.withColumn("split", split).drop("_class", "_order", "_train_end", "_val_end")
+    cuts = F.broadcast(_cut_points(narrow))
+    joined = df.selectExpr("*", order).join(cuts, F.expr(f"{label} <=> _class"), "left")
+    split = "CASE WHEN _order <= _train_end THEN 'train' WHEN _order <= _val_end THEN 'val' ELSE 'test' END"
+    return joined.selectExpr(*df.columns, f"{split} AS split")
 
 
 def _cut_points(narrow: DataFrame) -> DataFrame:
     """Per class the digest of the last train and the last validation row."""
     counts = narrow.groupBy("_class", "_bucket").agg(F.count("*").alias("n"))
-    by_class = W.partitionBy("_class")
-    running = by_class.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = counts.withColumns(
-        {"upto": F.sum("n").over(running), "size": F.sum("n").over(by_class)}
-    ).withColumn("before", F.col("upto") - F.col("n"))
-    sized = _split_sizes(placed)
+    placed = counts.selectExpr(
+        "*",
+        "sum(n) OVER (PARTITION BY _class ORDER BY _bucket) AS upto",
+        "sum(n) OVER (PARTITION BY _class) AS size",
+    )
+    sized = placed.join(F.broadcast(_split_sizes(placed)), "_class")
     # Only buckets holding a cut, at most two per class.
-    cut_in = lambda end: (F.col(end) > F.col("before")) & (F.col(end) <= F.col("upto"))
-    holding = sized.where(cut_in("train_end") | cut_in("val_end"))
-    rank = F.row_number().over(W.partitionBy("_class", "_bucket").orderBy("_order"))
-    ranked = (
-        narrow.join(F.broadcast(holding), ["_class", "_bucket"])
-        .withColumn("rank", F.col("before") + rank)
-        .where((F.col("rank") == F.col("train_end")) | (F.col("rank") == F.col("val_end")))
+    cut_in = "({0} > upto - n AND {0} <= upto)"
+    holding = sized.where(f"{cut_in.format('train_end')} OR {cut_in.format('val_end')}")
+    ranked = narrow.join(F.broadcast(holding), ["_class", "_bucket"]).selectExpr(
+        "*", "upto - n + row_number() OVER (PARTITION BY _class, _bucket ORDER BY _order) AS rank"
     )
     return ranked.groupBy("_class").agg(
-        F.max(F.when(F.col("rank") == F.col("train_end"), F.col("_order"))).alias("_train_end"),
-        F.max(F.when(F.col("rank") == F.col("val_end"), F.col("_order"))).alias("_val_end"),
+        F.expr("max(CASE WHEN rank = train_end THEN _order END) AS _train_end"),
+        F.expr("max(CASE WHEN rank = val_end THEN _order END) AS _val_end"),
     )
 
 
@@ -160,33 +145,24 @@ def _split_sizes(placed: DataFrame) -> DataFrame:
 
     The held-out part is 30 % of all rows, rounded up, the test part half of
     it, rounded up; each is shared among the classes by largest remainder.
+    Works on one row per class.
     """
     classes = placed.groupBy("_class").agg(F.max("size").alias("size"))
-    everything = W.partitionBy()
-    total = F.sum("size").over(everything)
-    held = classes.withColumn("held_total", F.ceil(total * F.lit(3) / F.lit(10)))
-    held = _largest_remainder(held, "held_total", "size", "held")
-    held = held.withColumn("test_total", F.ceil(F.col("held_total") / F.lit(2)))
-    sizes = _largest_remainder(held, "test_total", "held", "test").select(
-        "_class",
-        (F.col("size") - F.col("held")).alias("train_end"),
-        (F.col("size") - F.col("test")).alias("val_end"),
-    )
-    return placed.join(F.broadcast(sizes), "_class")
+    held = _share_out(classes, "ceil(sum(size) OVER () * 3 / 10)", "size", "held")
+    test = _share_out(held, "ceil(sum(held) OVER () / 2)", "held", "test")
+    return test.selectExpr("_class", "size - held AS train_end", "size - test AS val_end")
 
 
-def _largest_remainder(classes: DataFrame, total: str, weight: str, out: str) -> DataFrame:
-    """Share ``total`` among the classes in proportion to ``weight``, in whole numbers."""
-    everything = W.partitionBy()
-    product = F.col(total) * F.col(weight)
-    whole = F.sum(weight).over(everything)
-    parts = classes.withColumns({"_sum": whole}).withColumns(
-        {"_floor": F.floor(product / F.col("_sum")), "_rest": product % F.col("_sum")}
+def _share_out(classes: DataFrame, total: str, weight: str, out: str) -> DataFrame:
+    """Share a total among the classes in proportion to a weight, by largest remainder."""
+    kept = classes.columns
+    totals = classes.selectExpr("*", f"{total} AS _total", f"sum({weight}) OVER () AS _sum")
+    floors = totals.selectExpr(
+        "*", f"(_total * {weight}) DIV _sum AS _floor", f"(_total * {weight}) % _sum AS _rest"
     )
-    left = F.col(total) - F.sum("_floor").over(everything)
-    rank = F.row_number().over(everything.orderBy(F.desc("_rest"), F.asc("_class")))
-    return (
-        parts.withColumns({"_left": left, "_place": rank})
-        .withColumn(out, F.col("_floor") + F.when(F.col("_place") <= F.col("_left"), 1).otherwise(0))
-        .drop("_sum", "_floor", "_rest", "_left", "_place")
+    places = floors.selectExpr(
+        "*",
+        "_total - sum(_floor) OVER () AS _left",
+        "row_number() OVER (ORDER BY _rest DESC, _class) AS _place",
     )
+    return places.selectExpr(*kept, f"_floor + IF(_place <= _left, 1L, 0L) AS {out}")

@@ -5,40 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewflow.functions.decision import Scores, first_max, reorder, scores, softmax
-from reviewflow.operators.metrics import CLASSES, f1, macro, tallies
-from reviewflow.schema import LABELS
+from reviewflow.functions import double
+from reviewflow.functions.decision import first_max, names, with_scores, with_softmax
+from reviewflow.operators.metrics import Tally
 
 # The weight grid 0, 0.05, ..., 1.
 WEIGHT_STEP, WEIGHT_COUNT = 0.05, 21
 
-
-def weight_grid() -> list[float]:
-    return [i * WEIGHT_STEP for i in range(WEIGHT_COUNT)]
+OWN, EXTERNAL = names("a"), names("b")
 
 
 def aligned_probabilities(
     own: DataFrame, external: DataFrame, permutation: list[int], key: str = "row_key"
 ) -> DataFrame:
     """Both models' uncalibrated probabilities per row, in canonical class order."""
-    a = softmax(scores(F.col("logits")))
-    b = reorder(softmax(scores(F.col("logits"))), permutation)
-    left = own.select(key, "label_id", *[x.alias(f"a{i}") for i, x in enumerate(a)])
-    right = external.select(key, *[x.alias(f"b{i}") for i, x in enumerate(b)])
+    a = with_softmax(with_scores(own.select(key, "label_id", "logits")), prefix="a")
+    b = with_softmax(with_scores(external.select(key, "logits")), prefix="x")
+    left = a.select(key, "label_id", *OWN)
+    right = b.selectExpr(key, *[f"x{p} AS {n}" for p, n in zip(permutation, EXTERNAL)])
     return left.join(right, key)
 
 
-def _columns(prefix: str) -> Scores:
-    return tuple(F.col(f"{prefix}{i}") for i in CLASSES)
-
-
-def mix(weight: float) -> Scores:
-    w = F.lit(float(weight))
-    return tuple(w * x + (F.lit(1.0) - w) * y for x, y in zip(_columns("a"), _columns("b")))
-
-
-def mixed_label(weight: float) -> Column:
-    return first_max(*mix(weight))
+def mix(weight: float) -> list[str]:
+    w = double(weight)
+    return [f"({w} * {x} + (1.0D - {w}) * {y})" for x, y in zip(OWN, EXTERNAL)]
 
 
 def weight_sweep(aligned: DataFrame) -> DataFrame:
@@ -47,76 +37,70 @@ def weight_sweep(aligned: DataFrame) -> DataFrame:
     Along the weights a row's label changes at most twice, so the rows share
     few label sequences; these are counted first and expanded afterwards.
     """
-    sequence = F.concat(*[mixed_label(w).cast("string") for w in weight_grid()])
-    counted = aligned.groupBy("label_id", sequence.alias("sequence")).agg(F.count("*").alias("n"))
-    points = F.array(
-        *[
-            F.struct(F.lit(i).alias("grid_idx"), F.lit(w).alias("weight"))
-            for i, w in enumerate(weight_grid())
-        ]
-    )
-    wide = counted.withColumn("g", F.explode(points)).withColumn(
-        "pred", F.substring(F.col("sequence"), F.col("g.grid_idx") + 1, F.lit(1)).cast("int")
+    labels = ", ".join(f"CAST({first_max(*mix(i * WEIGHT_STEP))} AS STRING)" for i in range(WEIGHT_COUNT))
+    counted = (
+        aligned.selectExpr("label_id", f"concat({labels}) AS sequence")
+        .groupBy("label_id", "sequence")
+        .agg(F.count("*").alias("n"))
     )
+    t = Tally()
     return (
-        wide.groupBy("g")
-        .agg(*tallies(F.col("label_id"), F.col("pred"), F.col("n")))
-        .select("g.grid_idx", "g.weight", macro(f1).alias("macro_f1"))
+        counted.selectExpr("*", f"explode(sequence(0, {WEIGHT_COUNT - 1})) AS grid_idx")
+        .selectExpr("*", "CAST(substring(sequence, grid_idx + 1, 1) AS INT) AS pred")
+        .groupBy("grid_idx")
+        .agg(*t.aggregates("label_id", "pred", "n"))
+        .selectExpr("grid_idx", f"grid_idx * {double(WEIGHT_STEP)} AS weight", t.macro_f1())
     )
 
 
-def diagnostics(aligned: DataFrame) -> DataFrame:
-    """Share of rows where the models differ and where both are wrong."""
-    a, b, y = first_max(*_columns("a")), first_max(*_columns("b")), F.col("label_id")
-    return aligned.agg(
-        F.avg((a != b).cast("double")).alias("disagreement_rate"),
-        F.avg(((a != y) & (b != y)).cast("double")).alias("both_wrong_rate"),
-    )
+def best_weight(swept: DataFrame) -> DataFrame:
+    """The weight with the highest macro F1; among equals the lower weight."""
+    return swept.orderBy(F.desc("macro_f1"), F.asc("grid_idx")).limit(1)
 
 
-def compare_on_test(aligned: DataFrame, weight: float) -> DataFrame:
-    """Macro and per-class F1 of both models and of the mix, in one pass."""
-    models = [("own", first_max(*_columns("a"))), ("external", first_max(*_columns("b"))),
-              ("ensemble", mixed_label(weight))]
-    each = aligned.select(
-        "label_id",
-        F.inline(F.array(*[F.struct(F.lit(n).alias("model"), p.alias("pred")) for n, p in models])),
-    )
-    return (
-        each.groupBy("model")
-        .agg(*tallies(F.col("label_id"), F.col("pred")))
-        .select(
-            "model",
-            macro(f1).alias("test_macro_f1"),
-            *[f1(c).alias(f"test_f1_{LABELS[c]}") for c in CLASSES],
-        )
-    )
+def _diagnostics() -> list[Column]:
+    a, b = first_max(*OWN), first_max(*EXTERNAL)
+    return [
+        F.expr(f"avg(IF({a} != {b}, 1.0D, 0.0D)) AS disagreement_rate"),
+        F.expr(f"avg(IF({a} != label_id AND {b} != label_id, 1.0D, 0.0D)) AS both_wrong_rate"),
+    ]
+
+
+def diagnostics(aligned: DataFrame) -> DataFrame:
+    """Share of rows where the models differ and where both are wrong."""
+    return aligned.agg(*_diagnostics())
 
 
 def evaluate(validation: DataFrame, test: DataFrame) -> DataFrame:
-    """Choose the weight on validation, evaluate on test: one nested report row."""
+    """Choose the weight on validation, evaluate on test: one nested report row.
+
+    The test rows are read once for both models, the mix and the diagnostics.
+    """
     swept = weight_sweep(validation).orderBy("grid_idx").collect()  # 21 rows
     best = max(swept, key=lambda r: (r.macro_f1, -r.grid_idx))
-    per_model = compare_on_test(test, best.weight).groupBy().agg(
-        F.map_from_entries(F.collect_list(F.struct("model", F.struct(
-            "test_macro_f1", *[f"test_f1_{x}" for x in LABELS]
-        )))).alias("m")
+    own, external, mixed = Tally("own_"), Tally("external_"), Tally("ensemble_")
+    decided = test.selectExpr(
+        "*", f"{first_max(*OWN)} AS _own", f"{first_max(*EXTERNAL)} AS _external",
+        f"{first_max(*mix(best.weight))} AS _mixed",
+    )
+    tallied = decided.agg(
+        *own.aggregates("label_id", "_own"),
+        *external.aggregates("label_id", "_external"),
+        *mixed.aggregates("label_id", "_mixed"),
+        *_diagnostics(),
     )
-    sweep = F.array(*[
-        F.struct(F.lit(round(r.weight, 2)).alias("weight"), F.lit(r.macro_f1).alias("macro_f1"))
-        for r in swept
-    ])
-    model = lambda name: F.element_at("m", F.lit(name))
-    gain = model("ensemble")["test_macro_f1"] - model("own")["test_macro_f1"]
-    ensemble = F.struct(
-        F.lit(best.weight).alias("best_weight"),
-        F.lit(best.macro_f1).alias("val_macro_f1"),
-        model("ensemble").alias("test"),
-        gain.alias("gain"),
+
+    def tested(t: Tally) -> str:
+        return f"{t.macro_f1('test_macro_f1')}, struct({', '.join(t.class_f1(''))}) AS test_per_class_f1"
+
+    sweep = ", ".join(
+        f"named_struct('weight', {double(round(r.weight, 2))}, 'macro_f1', {double(r.macro_f1)})" for r in swept
     )
-    return per_model.join(diagnostics(test)).select(
-        model("own").alias("own"),
-        model("external").alias("external"),
-        ensemble.alias("ensemble"),
-        F.struct("disagreement_rate", "both_wrong_rate", sweep.alias("weight_sweep_val")).alias("diagnostics"),
+    gain = f"{mixed.macro(mixed.f1)} - {own.macro(own.f1)} AS gain_over_own"
+    return tallied.selectExpr(
+        f"struct({tested(own)}) AS own_model",
+        f"struct({tested(external)}) AS external_model",
+        f"struct({double(best.weight)} AS best_weight_own, {double(best.macro_f1)} AS val_macro_f1, "
+        f"{tested(mixed)}, {gain}) AS ensemble",
+        f"struct(disagreement_rate, both_wrong_rate, array({sweep}) AS weight_sweep_val) AS diagnostics",
     )

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from reviewflow.functions import ids
+from reviewflow.functions import ids, quoted
 from reviewflow.schema import (
     DEAD_LETTER_TOPIC,
     DEAD_LETTER_WORKER,
@@ -17,6 +16,10 @@ from reviewflow.schema import (
     SCHEMA_VERSION,
 )
 
+HEADERS = "array(%s)" % ", ".join(
+    f"named_struct('key', '{k}', 'value', CAST('{v}' AS BINARY))" for k, v in JSON_HEADERS
+)
+
 
 @dataclass(frozen=True)
 class ModelIdentity:
@@ -30,121 +33,98 @@ class ModelIdentity:
         if not self.name.strip() or not self.version.strip():
             raise ValueError("model name and version must not be blank")
 
-    def column(self) -> Column:
-        return F.struct(
-            F.lit(self.name).alias("name"),
-            F.lit(self.version).alias("version"),
-            F.lit(self.run_id).cast("string").alias("run_id"),
-        )
+    def struct(self) -> str:
+        run = "CAST(NULL AS STRING)" if self.run_id is None else quoted(self.run_id)
+        return f"named_struct('name', {quoted(self.name)}, 'version', {quoted(self.version)}, 'run_id', {run})"
+
+    def prediction_id(self, source_event_id: str) -> str:
+        return ids.prediction_id(source_event_id, quoted(self.name), quoted(self.version))
 
 
-def review_events(reviews: DataFrame, emitted_at: Column) -> DataFrame:
+def _struct(source: str, *names: str) -> str:
+    return ", ".join(f"'{n}', {source}{n}" for n in names)
+
+
+def review_events(reviews: DataFrame, emitted_at: str) -> DataFrame:
     """Versioned events of validated reviews; one ``emitted_at`` per batch."""
-    return reviews.select(
-        F.lit(SCHEMA_VERSION).alias("schema_version"),
-        ids.event_id(F.col("review_id")).alias("event_id"),
+    return reviews.selectExpr(
+        f"{SCHEMA_VERSION} AS schema_version",
+        f"{ids.event_id('review_id')} AS event_id",
         "review_id",
         "movie_id",
         "text",
-        F.col("created_at").alias("source_created_at"),
-        emitted_at.alias("emitted_at"),
+        "created_at AS source_created_at",
+        f"{emitted_at} AS emitted_at",
     )
 
 
-def json_headers() -> Column:
-    return F.array(
-        *[F.struct(F.lit(k).alias("key"), F.lit(v).cast("binary").alias("value")) for k, v in JSON_HEADERS]
+def review_records(events: DataFrame, topic: str = REVIEWS_TOPIC) -> DataFrame:
+    """Keyed topic records of review events; absent values are left out of the JSON."""
+    members = _struct("", "schema_version", "event_id", "review_id", "movie_id", "text")
+    json = (
+        f"to_json(named_struct({members}, 'source_created_at', {ids.format_utc('source_created_at')}, "
+        f"'emitted_at', {ids.format_utc('emitted_at')}))"
     )
-
-
-def review_event_json() -> Column:
-    """JSON of a review event; absent values are left out."""
-    return F.to_json(
-        F.struct(
-            "schema_version", "event_id", "review_id", "movie_id", "text",
-            ids.format_utc(F.col("source_created_at")).alias("source_created_at"),
-            ids.format_utc(F.col("emitted_at")).alias("emitted_at"),
-        )
+    return events.selectExpr(
+        "CAST(review_id AS BINARY) AS key",
+        f"CAST({json} AS BINARY) AS value",
+        f"{quoted(topic)} AS topic",
+        f"{HEADERS} AS headers",
     )
 
 
-def review_records(events: DataFrame, topic: str = REVIEWS_TOPIC) -> DataFrame:
-    """Keyed topic records of review events."""
-    return events.select(
-        F.col("review_id").cast("binary").alias("key"),
-        review_event_json().cast("binary").alias("value"),
-        F.lit(topic).alias("topic"),
-        json_headers().alias("headers"),
+def prediction_event(event: str, prediction: str, model: ModelIdentity, at: str) -> str:
+    """Prediction event of a review event and its prediction core."""
+    core = _struct(f"{prediction}.", "sentiment", "label_id", "confidence", "probabilities")
+    source = _struct(f"{event}.", "review_id", "movie_id", "source_created_at")
+    return (
+        f"named_struct({core}, 'schema_version', {SCHEMA_VERSION}, "
+        f"'prediction_id', {model.prediction_id(f'{event}.event_id')}, "
+        f"'source_event_id', {event}.event_id, {source}, "
+        f"'model', {model.struct()}, 'predicted_at', {at})"
     )
 
 
-def prediction_event(event: Column, prediction: Column, model: ModelIdentity, at: Column) -> Column:
-    """Prediction event of a parsed review event and its prediction core."""
-    return F.struct(
-        prediction["sentiment"].alias("sentiment"),
-        prediction["label_id"].alias("label_id"),
-        prediction["confidence"].alias("confidence"),
-        prediction["probabilities"].alias("probabilities"),
-        F.lit(SCHEMA_VERSION).alias("schema_version"),
-        ids.prediction_id(event["event_id"], F.lit(model.name), F.lit(model.version)).alias("prediction_id"),
-        event["event_id"].alias("source_event_id"),
-        event["review_id"].alias("review_id"),
-        event["movie_id"].alias("movie_id"),
-        event["source_created_at"].alias("source_created_at"),
-        model.column().alias("model"),
-        at.alias("predicted_at"),
+def prediction_event_json(e: str) -> str:
+    members = _struct(
+        e, "sentiment", "label_id", "confidence", "probabilities", "schema_version", "prediction_id",
+        "source_event_id", "review_id", "movie_id",
     )
-
-
-def prediction_event_json(e: Column) -> Column:
-    return F.to_json(
-        F.struct(
-            *[e[n].alias(n) for n in ("sentiment", "label_id", "confidence", "probabilities",
-                                      "schema_version", "prediction_id", "source_event_id",
-                                      "review_id", "movie_id")],
-            ids.format_utc(e["source_created_at"]).alias("source_created_at"),
-            e["model"].alias("model"),
-            ids.format_utc(e["predicted_at"]).alias("predicted_at"),
-        )
+    return (
+        f"to_json(named_struct({members}, 'source_created_at', {ids.format_utc(e + 'source_created_at')}, "
+        f"'model', {e}model, 'predicted_at', {ids.format_utc(e + 'predicted_at')}))"
     )
 
 
-def dead_letter(failed_at: Column) -> Column:
+def dead_letter(failed_at: str) -> str:
     """Dead letter of a rejected record: raw bytes, coordinates and the error."""
-    key = F.when(F.length("key") > 0, ids.plain_base64(F.col("key")))
-    return F.struct(
-        F.lit(SCHEMA_VERSION).alias("schema_version"),
-        F.lit(DEAD_LETTER_WORKER).alias("worker"),
-        F.col("topic").alias("source_topic"),
-        F.col("partition").alias("source_partition"),
-        F.col("offset").alias("source_offset"),
-        key.alias("key_base64"),
-        F.coalesce(ids.plain_base64(F.col("value")), F.lit("")).alias("payload_base64"),
-        F.col("error_type").alias("error_type"),
-        F.col("error_message").alias("error_message"),
-        failed_at.alias("failed_at"),
+    return (
+        f"named_struct('schema_version', {SCHEMA_VERSION}, 'worker', '{DEAD_LETTER_WORKER}', "
+        "'source_topic', topic, 'source_partition', partition, 'source_offset', offset, "
+        f"'key_base64', CASE WHEN length(key) > 0 THEN {ids.plain_base64('key')} END, "
+        f"'payload_base64', coalesce({ids.plain_base64('value')}, ''), "
+        f"'error_type', error_type, 'error_message', error_message, 'failed_at', {failed_at})"
     )
 
 
-def dead_letters(parsed: DataFrame, failed_at: Column) -> DataFrame:
+def dead_letters(parsed: DataFrame, failed_at: str) -> DataFrame:
     """One dead letter per rejected record."""
-    return parsed.where(F.col("error_type").isNotNull()).select(
-        dead_letter(failed_at).alias("d")
-    ).select("d.*")
+    rejected = parsed.where("error_type IS NOT NULL")
+    return rejected.selectExpr(f"{dead_letter(failed_at)} AS d").select("d.*")
 
 
-def dead_letter_json(d: Column) -> Column:
-    names = ("schema_version", "worker", "source_topic", "source_partition", "source_offset",
-             "key_base64", "payload_base64", "error_type", "error_message")
-    return F.to_json(
-        F.struct(*[d[n].alias(n) for n in names], ids.format_utc(d["failed_at"]).alias("failed_at"))
+def dead_letter_json(d: str) -> str:
+    members = _struct(
+        d, "schema_version", "worker", "source_topic", "source_partition", "source_offset",
+        "key_base64", "payload_base64", "error_type", "error_message",
     )
+    return f"to_json(named_struct({members}, 'failed_at', {ids.format_utc(d + 'failed_at')}))"
 
 
 def route(
     scored: DataFrame,
     model: ModelIdentity,
-    at: Column,
+    at: str,
     output_topic: str = PREDICTIONS_TOPIC,
     dead_letter_topic: str = DEAD_LETTER_TOPIC,
 ) -> DataFrame:
@@ -154,41 +134,42 @@ def route(
     review, the others dead letters under their raw key. One projection, so a
     record is parsed and scored once and keeps its place in its partition.
     """
-    ok = F.col("error_type").isNull()
-    made = scored.withColumns(
-        {"_out": F.when(ok, prediction_event(F.col("event"), F.col("prediction"), model, at)),
-         "_dead": F.when(~ok, dead_letter(at))}
+    made = scored.selectExpr(
+        "*",
+        "error_type IS NULL AS _ok",
+        f"CASE WHEN error_type IS NULL THEN {prediction_event('event', 'prediction', model, at)} END AS _out",
+        f"CASE WHEN error_type IS NOT NULL THEN {dead_letter(at)} END AS _dead",
     )
-    value = F.when(ok, prediction_event_json(F.col("_out"))).otherwise(dead_letter_json(F.col("_dead")))
-    return made.select(
-        F.when(ok, F.col("event.review_id").cast("binary")).otherwise(F.col("key")).alias("key"),
-        value.cast("binary").alias("value"),
-        F.when(ok, F.lit(output_topic)).otherwise(F.lit(dead_letter_topic)).alias("topic"),
+    value = f"CASE WHEN _ok THEN {prediction_event_json('_out.')} ELSE {dead_letter_json('_dead.')} END"
+    return made.selectExpr(
+        "CASE WHEN _ok THEN CAST(event.review_id AS BINARY) ELSE key END AS key",
+        f"CAST({value} AS BINARY) AS value",
+        f"CASE WHEN _ok THEN {quoted(output_topic)} ELSE {quoted(dead_letter_topic)} END AS topic",
         "partition",
         "offset",
-        at.alias("timestamp"),
-        json_headers().alias("headers"),
+        f"{at} AS timestamp",
+        f"{HEADERS} AS headers",
     )
 
 
-def history_rows(events: DataFrame) -> DataFrame:
+def history_rows(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Prediction events flattened to the 16 columns written to the history."""
-    c = F.col
-    return events.select(
+    return events.selectExpr(
         "prediction_id",
-        c("schema_version").cast("smallint").alias("schema_version"),
+        "CAST(schema_version AS SMALLINT) AS schema_version",
         "source_event_id",
         "review_id",
         "movie_id",
         "source_created_at",
         "sentiment",
-        c("label_id").cast("smallint").alias("label_id"),
+        "CAST(label_id AS SMALLINT) AS label_id",
         "confidence",
-        c("probabilities.neg").alias("probability_neg"),
-        c("probabilities.neu").alias("probability_neu"),
-        c("probabilities.pos").alias("probability_pos"),
-        c("model.name").alias("model_name"),
-        c("model.version").alias("model_version"),
-        c("model.run_id").alias("model_run_id"),
+        "probabilities.neg AS probability_neg",
+        "probabilities.neu AS probability_neu",
+        "probabilities.pos AS probability_pos",
+        "model.name AS model_name",
+        "model.version AS model_version",
+        "model.run_id AS model_run_id",
         "predicted_at",
+        *keep,
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewflow.operators.history import path_exists
@@ -38,7 +38,7 @@ def keyset_page(reviews: DataFrame, cursor: str | None, size: int = PAGE_SIZE) -
     return after(reviews, cursor).orderBy("review_id").limit(size)
 
 
-def advance_cursor(published: DataFrame, cursors: DataFrame, at: Column) -> DataFrame:
+def advance_cursor(published: DataFrame, cursors: DataFrame, at: str) -> DataFrame:
     """Cursor rows after publishing: the highest id per pipeline, never lower than before.
 
     ``published`` has ``checkpoint_id, source_collection, target_topic,
@@ -53,7 +53,7 @@ def advance_cursor(published: DataFrame, cursors: DataFrame, at: Column) -> Data
         F.greatest("new_id", "old_id").alias("last_review_id"),
         "source_collection",
         "target_topic",
-        at.alias("updated_at"),
+        F.expr(f"{at} AS updated_at"),
     )
 
 

@@ -2,79 +2,102 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewflow.schema import LABELS, NUM_LABELS
-
-CLASSES = range(NUM_LABELS)
+from reviewflow.functions import double
+from reviewflow.functions.decision import CLASSES
+from reviewflow.schema import LABELS
 
 
 def confusion(df: DataFrame, label: str = "label_id", predicted: str = "pred") -> DataFrame:
     return df.groupBy(label, predicted).agg(F.count("*").alias("n"))
 
 
-def tallies(label: Column, predicted: Column, n: Column | None = None) -> list[Column]:
-    """Aggregates with the hits, true rows and predicted rows of each class."""
-    n = F.lit(1) if n is None else n
-    add = lambda cond, name: F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).alias(name)
-    out = []
-    for c in CLASSES:
-        out += [
-            add((label == c) & (predicted == c), f"tp{c}"),
-            add(label == c, f"true{c}"),
-            add(predicted == c, f"pred{c}"),
-        ]
-    return out
+def _ratio(a: str, b: str) -> str:
+    """``a / b`` with an empty denominator counting as zero."""
+    return f"IF(({b}) > 0, CAST({a} AS DOUBLE) / ({b}), 0.0D)"
 
 
-def _ratio(a: Column, b: Column) -> Column:
-    """``a / b`` with an empty denominator counting as zero."""
-    return F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
+@dataclass(frozen=True)
+class Tally:
+    """Hits, true rows and predicted rows of each class, and the metrics they give.
 
+    ``aggregates`` are computed with ``agg``; the other methods are expressions
+    over their columns. Several models are tallied in one ``agg`` under
+    different prefixes.
+    """
 
-def precision(c: int) -> Column:
-    return _ratio(F.col(f"tp{c}"), F.col(f"pred{c}"))
+    prefix: str = ""
+
+    def aggregates(self, label: str, predicted: str, n: str = "1") -> list[Column]:
+        conditions = {}
+        for c in CLASSES:
+            conditions[f"hit{c}"] = f"{label} = {c} AND {predicted} = {c}"
+            conditions[f"true{c}"] = f"{label} = {c}"
+            conditions[f"pred{c}"] = f"{predicted} = {c}"
+        return [
+            F.expr(f"coalesce(sum(CASE WHEN {cond} THEN {n} END), 0) AS {self.prefix}{name}")
+            for name, cond in conditions.items()
+        ]
+
+    def _col(self, name: str, c: int) -> str:
+        return f"{self.prefix}{name}{c}"
 
+    def _seen(self, c: int) -> str:
+        return f"({self._col('true', c)} + {self._col('pred', c)})"
 
-def recall(c: int) -> Column:
-    return _ratio(F.col(f"tp{c}"), F.col(f"true{c}"))
+    def precision(self, c: int) -> str:
+        return _ratio(self._col("hit", c), self._col("pred", c))
 
+    def recall(self, c: int) -> str:
+        return _ratio(self._col("hit", c), self._col("true", c))
 
-def f1(c: int) -> Column:
-    return _ratio(F.lit(2.0) * F.col(f"tp{c}"), F.col(f"true{c}") + F.col(f"pred{c}"))
+    def f1(self, c: int) -> str:
+        return _ratio(f"(2 * {self._col('hit', c)})", self._seen(c))
 
+    def support(self) -> str:
+        return "(" + " + ".join(self._col("true", c) for c in CLASSES) + ")"
 
-def macro(of) -> Column:
-    """Mean over the classes present in truth or prediction."""
-    present = [(F.col(f"true{c}") + F.col(f"pred{c}") > 0) for c in CLASSES]
-    total = sum((F.when(p, of(c)).otherwise(F.lit(0.0)) for c, p in zip(CLASSES, present)), F.lit(0.0))
-    count = sum((p.cast("int") for p in present), F.lit(0))
-    return F.when(count > 0, total / count)
+    def accuracy(self) -> str:
+        hits = " + ".join(self._col("hit", c) for c in CLASSES)
+        return f"CASE WHEN {self.support()} > 0 THEN CAST({hits} AS DOUBLE) / {self.support()} END"
 
+    def macro(self, metric) -> str:
+        """Mean over the classes present in truth or prediction."""
+        total = " + ".join(f"IF({self._seen(c)} > 0, {metric(c)}, 0.0D)" for c in CLASSES)
+        count = "(" + " + ".join(f"IF({self._seen(c)} > 0, 1, 0)" for c in CLASSES) + ")"
+        return f"CASE WHEN {count} > 0 THEN ({total}) / {count} END"
 
-def support() -> Column:
-    return sum((F.col(f"true{c}") for c in CLASSES), F.lit(0))
+    def weighted(self, metric) -> str:
+        """Mean weighted by the true rows of each class."""
+        total = " + ".join(f"{metric(c)} * {self._col('true', c)}" for c in CLASSES)
+        return _ratio(f"({total})", self.support())
 
+    def macro_f1(self, alias: str = "macro_f1") -> str:
+        return f"{self.macro(self.f1)} AS {alias}"
 
-def accuracy() -> Column:
-    hits = sum((F.col(f"tp{c}") for c in CLASSES), F.lit(0))
-    return F.when(support() > 0, hits.cast("double") / support())
+    def class_f1(self, alias: str = "f1_") -> list[str]:
+        return [f"{self.f1(c)} AS {alias}{LABELS[c]}" for c in CLASSES]
 
 
 def macro_f1(df: DataFrame, label: str = "label_id", predicted: str = "pred") -> DataFrame:
     """One row with ``macro_f1``."""
-    return df.agg(*tallies(F.col(label), F.col(predicted))).select(macro(f1).alias("macro_f1"))
+    t = Tally()
+    return df.agg(*t.aggregates(label, predicted)).selectExpr(t.macro_f1())
 
 
 def eval_metrics(df: DataFrame, label: str = "label_id", predicted: str = "pred") -> DataFrame:
-    """One row: macro F1, precision and recall, accuracy, F1 of each class."""
-    return df.agg(*tallies(F.col(label), F.col(predicted))).select(
-        macro(f1).alias("macro_f1"),
-        accuracy().alias("accuracy"),
-        macro(precision).alias("macro_precision"),
-        macro(recall).alias("macro_recall"),
-        *[f1(c).alias(f"f1_{LABELS[c]}") for c in CLASSES],
+    """One row: macro F1, accuracy, macro precision and recall, F1 of each class."""
+    t = Tally()
+    return df.agg(*t.aggregates(label, predicted)).selectExpr(
+        t.macro_f1(),
+        f"{t.accuracy()} AS accuracy",
+        f"{t.macro(t.precision)} AS macro_precision",
+        f"{t.macro(t.recall)} AS macro_recall",
+        *t.class_f1(),
     )
 
 
@@ -83,37 +106,22 @@ def per_class_report(df: DataFrame, label: str = "label_id", predicted: str = "p
 
     A class without rows is listed with zeros and left out of the macro average.
     """
-    rows = [
-        F.struct(
-            F.lit(LABELS[c]).alias("class"),
-            precision(c).alias("precision"),
-            recall(c).alias("recall"),
-            f1(c).alias("f1"),
-            F.col(f"true{c}").alias("support"),
-        )
-        for c in CLASSES
-    ]
-
-    def weighted(of) -> Column:
-        total = sum((of(c) * F.col(f"true{c}") for c in CLASSES), F.lit(0.0))
-        return _ratio(total, support())
-
-    for name, mean in (("macro avg", macro), ("weighted avg", weighted)):
-        rows.append(
-            F.struct(
-                F.lit(name).alias("class"),
-                mean(precision).alias("precision"),
-                mean(recall).alias("recall"),
-                mean(f1).alias("f1"),
-                support().alias("support"),
-            )
+    t = Tally()
+
+    def line(name: str, of, support: str) -> str:
+        return (
+            f"named_struct('class', '{name}', 'precision', {of(t.precision)}, 'recall', {of(t.recall)}, "
+            f"'f1', {of(t.f1)}, 'support', {support})"
         )
-    return df.agg(*tallies(F.col(label), F.col(predicted))).select(F.inline(F.array(*rows)))
+
+    lines = [line(LABELS[c], lambda m, c=c: m(c), f"true{c}") for c in CLASSES]
+    lines.append(line("macro avg", t.macro, t.support()))
+    lines.append(line("weighted avg", t.weighted, t.support()))
+    return df.agg(*t.aggregates(label, predicted)).selectExpr(f"inline(array({', '.join(lines)}))")
 
 
-def weighted_cross_entropy(nll: Column, label: Column, weights: dict[int, float]) -> Column:
+def weighted_cross_entropy(weights: dict[int, float], nll: str = "nll", label: str = "label_id") -> Column:
     """Class-weighted mean of a row loss, as one aggregate."""
-    w = F.when(label == 0, F.lit(float(weights[0])))
-    for c in (1, 2):
-        w = w.when(label == c, F.lit(float(weights[c])))
-    return F.sum(w * nll) / F.sum(w)
+    w = " ".join(f"WHEN {c} THEN {double(x)}" for c, x in weights.items())
+    w = f"CASE {label} {w} END"
+    return F.expr(f"sum({w} * {nll}) / sum({w})")

@@ -7,12 +7,13 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewflow.functions.decision import DecisionConfig, add_prediction
 from reviewflow.functions.text import is_nonblank
 from reviewflow.schema import NUM_LABELS
+from reviewflow.session import ship_package
 
 BATCH_SIZE = 16
 
@@ -54,28 +55,28 @@ def scorer_udf(name: str, factory: Callable[[], Scorer], batch_size: int = BATCH
     """
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
+    ship_package(SparkSession.active())
 
     @F.pandas_udf("array<double>")
     def logits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = None
         for texts in batches:
-            present = texts.notna().to_numpy()
-            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-            if present.any():
+            present = np.flatnonzero(texts.notna())
+            rows: list = [None] * len(texts)
+            if len(present):
                 model = model or _load(name, factory)
-                scored = score_texts(model, texts[present].tolist(), batch_size)
-                out[present] = list(scored)
-            yield out
+                scored = score_texts(model, texts.iloc[present].tolist(), batch_size)
+                for place, row in zip(present, scored):
+                    rows[place] = row
+            yield pd.Series(rows, dtype=object)
 
     return logits
 
 
 def score(df: DataFrame, udf, text: str = "text", out: str = "logits") -> DataFrame:
     """Add logits; a blank text is an error."""
-    usable = F.when(is_nonblank(F.col(text)), F.col(text)).otherwise(
-        F.raise_error(F.lit("text to score must be a non-blank string")).cast("string")
-    )
-    return df.withColumn(out, udf(usable))
+    blank = "raise_error('text to score must be a non-blank string')"
+    return df.withColumn(out, udf(F.expr(f"CASE WHEN {is_nonblank(text)} THEN {text} ELSE {blank} END")))
 
 
 def predict(df: DataFrame, udf, config: DecisionConfig, text: str = "text") -> DataFrame:
@@ -87,10 +88,8 @@ def predict_events(parsed: DataFrame, udf, config: DecisionConfig) -> DataFrame:
     """Add ``prediction`` to parsed review records; rejected records get NULL."""
     scored = parsed.withColumn("logits", udf(F.col("event.text")))
     decided = add_prediction(scored, config)
-    names = ("sentiment", "label_id", "confidence", "probabilities")
-    return decided.withColumn(
-        "prediction", F.when(F.col("event").isNotNull(), F.struct(*names))
-    ).drop("logits", *names)
+    core = "struct(sentiment, label_id, confidence, probabilities)"
+    return decided.selectExpr(*parsed.columns, f"CASE WHEN event IS NOT NULL THEN {core} END AS prediction")
 
 
 class ConstantScorer:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -15,6 +17,8 @@ def build_session(master: str = "local[*]", app: str = "reviewflow", **conf) ->
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
@@ -35,6 +39,18 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, which may not have it installed."""
+    name = "reviewflow-package.zip"
+    context = spark.sparkContext
+    if any(str(x).endswith(name) for x in context._python_includes):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="reviewflow-")) / name
+    shutil.make_archive(str(target.with_suffix("")), "zip", package.parent, package.name)
+    context.addPyFile(str(target))
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new sub-folder of the cluster's shared checkpoint folder.
 
