@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
-from reviewflow.functions import matches, quoted
+from reviewflow.functions import quoted
 from reviewflow.schema import HEAD_TOKENS, MAX_LENGTH, SPECIAL_TOKENS, TAIL_TOKENS
 
-# Fixed value: the characters a Unicode-aware strip removes.
+# The code points a Unicode-aware strip removes.
 WHITESPACE = (
-    r"\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
-    r"\x{202f}\x{205f}\x{3000}"
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 )
+ASCII_WHITESPACE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
+
+
+def _characters(points) -> str:
+    return "'" + "".join(f"\\u{p:04x}" for p in points) + "'"
 
 
 def is_nonblank(text: str) -> str:
     """True when something is left after stripping; NULL counts as blank."""
-    return matches(text, f"[^{WHITESPACE}]")
+    return f"coalesce(trim(LEADING {_characters(WHITESPACE)} FROM {text}) != '', false)"
 
 
 def has_ascii_nonspace(text: str) -> str:
     """The document store's ``\\S``: only ASCII white space counts as blank."""
-    return matches(text, r"[^ \t\n\x0b\f\r]")
+    return f"coalesce(trim(LEADING {_characters(ASCII_WHITESPACE)} FROM {text}) != '', false)"
 
 
 def strip_text(text: str) -> str:
-    return f"regexp_replace({text}, {quoted(rf'\A[{WHITESPACE}]+|[{WHITESPACE}]+\z')}, '')"
+    return f"trim(BOTH {_characters(WHITESPACE)} FROM {text})"
 
 
 def decode_lossy(raw: str) -> str:

@@ -148,8 +148,8 @@ def _split_sizes(placed: DataFrame) -> DataFrame:
     Works on one row per class.
     """
     classes = placed.groupBy("_class").agg(F.max("size").alias("size"))
-    held = _share_out(classes, "ceil(sum(size) OVER () * 3 / 10)", "size", "held")
-    test = _share_out(held, "ceil(sum(held) OVER () / 2)", "held", "test")
+    held = _share_out(classes, "(sum(size) OVER () * 3 + 9) DIV 10", "size", "held")
+    test = _share_out(held, "(sum(held) OVER () + 1) DIV 2", "held", "test")
     return test.selectExpr("_class", "size - held AS train_end", "size - test AS val_end")
 
 

@@ -31,7 +31,7 @@ from reviewflow.schema import (
     SHORT_MAX_LENGTH,
     SHORT_TAIL_TOKENS,
 )
-from reviewflow.session import work_folder
+from reviewflow.session import stored, work_folder
 from reviewflow.sources import topics
 from reviewflow.streaming import jobs
 
@@ -332,7 +332,8 @@ def grid_thresholds(spark, sf):
 
 
 def _split_logits(logits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    keyed = corpus.stratified_split(logits, "row_key")
+    """Validation and test rows; written once, as every search reads them again."""
+    keyed = stored(corpus.stratified_split(logits, "row_key"), "split", "split")
     return keyed.where("split = 'val'").drop("split"), keyed.where("split = 'test'").drop("split")
 
 
@@ -351,8 +352,8 @@ def strategy_select(spark, sf):
 
 
 def heldout_gain(spark, sf):
-    _, test = _split_logits(views.logits_a(spark, sf))
-    gain = calibrate.heldout_gain(test, views.CLASS_BIAS)
+    keyed = corpus.stratified_split(views.logits_a(spark, sf), "row_key")
+    gain = calibrate.heldout_gain(keyed.where("split = 'test'"), views.CLASS_BIAS)
     return gain.selectExpr(*[r9(c) for c in gain.columns])
 
 
@@ -520,8 +521,9 @@ def text_classifier(spark, sf):
     """A class-weighted classifier trained on the split corpus, evaluated on its test rows."""
     from reviewflow.operators import classifier
 
-    split = corpus.stratified_split(corpus.clean(views.corpus(spark, sf)), "doc_id")
-    part = lambda name: split.where(F.col("split") == name)
+    clean = stored(corpus.clean(views.corpus(spark, sf)), "corpus")
+    split = stored(corpus.stratified_split(clean, "doc_id"), "split", "split")
+    part = lambda name: split.where(f"split = '{name}'")
     model = classifier.train(part("train"), part("val"))
     logits = classifier.add_logits(model, part("test"))
     return metrics.eval_metrics(decision.with_decision(logits, views.ARGMAX))

@@ -63,3 +63,15 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder all executors can reach")
         shared = os.environ.get("REVIEWFLOW_LOCAL_WORK") or tempfile.mkdtemp(prefix="reviewflow-")
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df, purpose: str, *partition_by: str):
+    """The same rows read back from a table written to the shared folder.
+
+    Used where a result is read several times: its input is computed once, and
+    a lost executor costs a re-read instead of a recomputation.
+    """
+    spark = df.sparkSession
+    path = work_folder(spark, purpose)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
