@@ -39,7 +39,7 @@ def decode_key(key: str) -> str:
 
 def plain_base64(raw: str) -> str:
     """Base64 on one line."""
-    return f"translate(base64({raw}), '\\r\\n', '')"
+    return f"replace(base64({raw}), '\\r\\n', '')"
 
 
 def parse_utc(value: str) -> str:
