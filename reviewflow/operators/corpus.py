@@ -103,10 +103,10 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split``: a 70/15/15 division within each class, exact and repeatable.
 
-    Rows are ordered by a seeded digest of a unique ``key``. Where each class is
-    cut follows from counts per digest prefix and from ranking only the rows
-    whose prefix a cut falls into; the rows themselves are then labelled in
-    place by comparing with at most two cut points per class. Nothing of the
+    Rows are ordered by a seeded digest of ``key``, which should be unique. Where
+    each class is cut follows from counts per digest prefix and from ranking only
+    the rows whose prefix a cut falls into; the rows themselves are then labelled
+    in place by comparing with at most two cut points per class. Nothing of the
     size of the data is shuffled or broadcast.
     """
     order = f"md5(concat('{seed}:', CAST({key} AS STRING))) AS _order"
@@ -131,12 +131,19 @@ def _cut_points(narrow: DataFrame) -> DataFrame:
     # Only buckets holding a cut, at most two per class.
     cut_in = "({0} > upto - n AND {0} <= upto)"
     holding = sized.where(f"{cut_in.format('train_end')} OR {cut_in.format('val_end')}")
-    ranked = narrow.join(F.broadcast(holding), ["_class", "_bucket"]).selectExpr(
-        "*", "upto - n + row_number() OVER (PARTITION BY _class, _bucket ORDER BY _order) AS rank"
+    # Equal keys are counted first, so a repeated key costs one row and stays in one split.
+    keys = ["_class", "_bucket", "_order", "before", "train_end", "val_end"]
+    distinct = (
+        narrow.join(F.broadcast(holding.selectExpr("*", "upto - n AS before")), ["_class", "_bucket"])
+        .groupBy(*keys)
+        .agg(F.count("*").alias("m"))
     )
+    ranked = distinct.selectExpr(
+        "*", "before + sum(m) OVER (PARTITION BY _class, _bucket ORDER BY _order) AS rank"
+    )
+    first_at = "min(CASE WHEN {0} > 0 AND rank >= {0} THEN _order END) AS _{0}"
     return ranked.groupBy("_class").agg(
-        F.expr("max(CASE WHEN rank = train_end THEN _order END) AS _train_end"),
-        F.expr("max(CASE WHEN rank = val_end THEN _order END) AS _val_end"),
+        F.expr(first_at.format("train_end")), F.expr(first_at.format("val_end"))
     )
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reviewflow.operators.sizes import BROADCAST_ROWS, at_most, without_keys
+from reviewflow.operators.sizes import BROADCAST_ROWS, without_keys
 from reviewflow.schema import HISTORY, HISTORY_COLUMNS
 
 MODEL_COLUMNS = ("model_name", "model_version")
+MAX_RANGES = 100  # model versions of one batch for which ranges are worth listing
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -38,26 +39,31 @@ def stored_ids(batch: DataFrame, history: DataFrame) -> DataFrame:
     """Prediction ids of the batch that are already stored.
 
     An id is derived from the review and the model version, so only stored rows
-    of the batch's model versions and review range can collide: the first
-    restricts the partitions, the second the files and row groups that are read.
+    of the batch's model versions and review ranges can collide: the first
+    restricts the partitions, the second the files and row groups that are
+    read. One aggregate over the batch tells both, and its size.
     """
-    low, high = batch.agg(F.min("review_id"), F.max("review_id")).first()
-    if low is None:
-        return history.select("prediction_id").limit(0)
-    candidates = history.where(F.col("review_id").between(low, high))
-    models = batch.select(*MODEL_COLUMNS).distinct().limit(101).collect()
-    if len(models) <= 100:
+    ranges = (
+        batch.groupBy(*MODEL_COLUMNS)
+        .agg(F.min("review_id").alias("low"), F.max("review_id").alias("high"), F.count("*").alias("n"))
+        .limit(MAX_RANGES + 1)
+        .collect()
+    )
+    candidates, rows = history, None
+    if len(ranges) <= MAX_RANGES:
+        rows = sum(r.n for r in ranges)
         wanted = F.lit(False)
-        for m in models:
+        for r in ranges:
             wanted = wanted | (
-                (F.col("model_name") == m.model_name) & (F.col("model_version") == m.model_version)
+                (F.col("model_name") == r.model_name)
+                & (F.col("model_version") == r.model_version)
+                & F.col("review_id").between(r.low, r.high)
             )
-        candidates = candidates.where(wanted)
-    candidates = candidates.select("prediction_id")
+        candidates = history.where(wanted)
     ids = batch.select("prediction_id").distinct()
-    if at_most(ids, BROADCAST_ROWS):
+    if rows is not None and rows <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    return candidates.join(ids, "prediction_id", "left_semi")
+    return candidates.select("prediction_id").join(ids, "prediction_id", "left_semi")
 
 
 def insert_if_absent(
@@ -65,8 +71,9 @@ def insert_if_absent(
 ) -> int:
     """Append the batch's new rows to the history table; return how many.
 
-    Safe to repeat: after a crash between this write and the commit of the
-    input position, the replayed rows are found stored and left out.
+    Safe to repeat: after a crash during this write, or between it and the
+    commit of the input position, the replayed rows that were stored are found
+    and left out. One writer at a time per table.
     """
     stored = stored_ids(batch, read_history(spark, path))
     fresh = first_per_key(batch, ["prediction_id"], arrival).join(stored, "prediction_id", "left_anti")

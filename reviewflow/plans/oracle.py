@@ -381,11 +381,6 @@ DISAGREE = f"avg(CASE WHEN {OWN_PRED} != {EXT_PRED} THEN 1::DOUBLE ELSE 0 END)"
 BOTH_WRONG = f"avg(CASE WHEN {OWN_PRED} != label_id AND {EXT_PRED} != label_id THEN 1::DOUBLE ELSE 0 END)"
 
 # --------------------------------------------------------------------------- scoring
-SCORED = (
-    "length(text)::DOUBLE"
-)
-
-
 def cue_scores(source: str) -> list[tuple[str, str]]:
     z = ", ".join(
         f"{dbl(CUE_SCALE)} * (length(text) - length(replace(text, '{c}', ''))) / length(text)::DOUBLE AS z{i}"
@@ -602,6 +597,19 @@ def oracle_sql() -> dict[str, str]:
     sql["history_counts"] = nested(*HISTORY, final="SELECT sentiment, model_name, model_version, count(*) AS n FROM history GROUP BY ALL")
     sql["history_delete"] = nested(*HISTORY, final=(
         "SELECT prediction_id, review_id, model_version FROM history WHERE review_id NOT IN (SELECT review_id FROM h2 WHERE sentiment = 'neg')"))
+    sql["history_table"] = nested(*HISTORY, final=(
+        f"SELECT prediction_id, review_id, sentiment, label_id, {r9('confidence', 'confidence')}, model_version, model_run_id, "
+        f"{stamp('predicted_at')} AS predicted_at, true AS stored FROM history"))
+    sql["corpus_snapshot"] = sql["clean_corpus"]
+    sql["corpus_csv"] = nested(CORPUS, final="SELECT doc_id, md5(text) AS text_md5, label, label_id FROM corpus")
+    sql["decide_from_report"] = nested(
+        *SPLIT_A, *newton("val"), ("vx", "SELECT * FROM val, (SELECT t FROM fit)"), *softmax("c", "vx", "t"), *strategies("c"),
+        ("best", "SELECT * FROM compared ORDER BY f DESC, place LIMIT 1"),
+        ("tx", "SELECT la.*, fit.t FROM la, fit"), *softmax("tc", "tx", "t"),
+        final=f"SELECT row_key, label_id, {by_strategy} AS pred FROM tc, (SELECT strategy, b0, b1, h0, h1, h2 FROM best)")
+    sql["incremental_publish"] = nested(REVIEWS, final=(
+        "SELECT NULL::VARCHAR AS error_type, 'review:' || review_id AS event_id, movie_id, md5(text) AS text_md5, "
+        f"{stamp('created_at')} AS source_created_at, (SELECT max(review_id) FROM reviews) AS cursor FROM reviews"))
     sql["scored_predictions"] = nested(*cue_scores("documents"), final=(
         f"SELECT doc_id, lab AS label_id, {named('lab')} AS sentiment, round([p0, p1, p2][lab + 1], 9) AS confidence, {p9} FROM d"))
     sql["stream_history"] = nested(*RECORDS, *cue_scores(f"(SELECT * FROM errors WHERE {VALID})"), final=(

@@ -32,7 +32,7 @@ from reviewflow.schema import (
     SHORT_TAIL_TOKENS,
 )
 from reviewflow.session import stored, work_folder
-from reviewflow.sources import topics
+from reviewflow.sources import files, topics
 from reviewflow.streaming import jobs
 
 CUES, CUE_SCALE = ("e", "a", "n"), 16.0
@@ -467,6 +467,63 @@ def history_delete(spark, sf):
     return history.delete_by_key(rows, keys, "review_id").select("prediction_id", "review_id", "model_version")
 
 
+# --------------------------------------------------------------------------- tables and files
+def history_table(spark, sf):
+    """The stored history after two batches, the second repeating the first."""
+    path = work_folder(views.configure(spark), "history")
+    one, two = views.history_a(spark, sf), views.history_b(spark, sf)
+    batches = one.drop("stored_at"), one.unionByName(two).unionByName(two).drop("stored_at")
+    for rows in batches:
+        history.insert_if_absent(spark, path, rows, F.current_timestamp(), [F.asc("predicted_at")])
+    return history.read_history(spark, path).selectExpr(
+        "prediction_id", "review_id", "sentiment", "label_id", r9("confidence"), "model_version",
+        "model_run_id", stamp("predicted_at"), "stored_at IS NOT NULL AS stored",
+    )
+
+
+def corpus_snapshot(spark, sf):
+    """The cleaned corpus written as Parquet once and read back."""
+    path = work_folder(views.configure(spark), "snapshot")
+    for _ in range(2):
+        kept = files.snapshot(spark, path, lambda: corpus.clean(views.corpus(spark, sf)))
+    return kept.selectExpr("doc_id", "md5(text) AS text_md5", "label", "label_id")
+
+
+def corpus_csv(spark, sf):
+    """The corpus written as CSV and read back, texts with line breaks and quotes included."""
+    path = work_folder(views.configure(spark), "csv")
+    files.write_snapshot(views.corpus(spark, sf), path, "csv")
+    back = files.read_csv(spark, path, "doc_id BIGINT, text STRING, label STRING, label_id INT")
+    return back.selectExpr("doc_id", "md5(text) AS text_md5", "label", "label_id")
+
+
+def decide_from_report(spark, sf):
+    """Calibrate, write the report, read it back as a config and decide all rows with it."""
+    rows = views.logits_a(spark, sf)
+    _, report = calibrate.calibrate(*_split_logits(rows))
+    path = work_folder(spark, "report")
+    files.write_report(report, path)
+    config = files.read_decision_config(spark, path)
+    return decision.with_decision(rows, config).select("row_key", "label_id", "pred")
+
+
+def incremental_publish(spark, sf):
+    """Publish above the cursor twice; the second run finds nothing new."""
+    folder = work_folder(views.configure(spark), "published")
+    cursor = ingest.CursorTable(spark, f"{folder}-cursor", "reviews-to-topic", "documents", REVIEWS_TOPIC)
+
+    def write(records: DataFrame) -> None:
+        topics.write_topic_log(records.selectExpr("*", "0 AS partition", "0L AS offset"), folder)
+
+    for _ in range(2):
+        jobs.publish_after(spark, views.reviews(spark, sf), cursor, write)
+    parsed = contracts.parse_review_events(topics.read_topic_log(spark, folder, REVIEWS_TOPIC))
+    return parsed.selectExpr(
+        "error_type", "event.event_id", "event.movie_id", "md5(event.text) AS text_md5",
+        stamp("source_created_at", "event."), f"'{cursor.load()}' AS cursor",
+    )
+
+
 # --------------------------------------------------------------------------- scoring
 def scored_predictions(spark, sf):
     """Every document scored by a Python model in Arrow batches, decided natively."""
@@ -481,7 +538,7 @@ def scored_predictions(spark, sf):
 def _scored_log(spark, sf) -> str:
     """Run publish, score and route as a stream over ``documents``; return the log folder."""
     folder = work_folder(views.configure(spark), "topic-log")
-    docs = spark.readStream.schema(views.table(spark, sf, "documents").schema).parquet(
+    docs = spark.readStream.schema(views.TABLES["documents"]).parquet(
         f"{sf}/documents.parque[t]"
     )
     records = views.review_log_of(views.documents_as_reviews(docs, views.table(spark, sf, "events")))
@@ -547,7 +604,8 @@ def queries():
         grid_class_bias, grid_thresholds, strategy_compare, strategy_select, heldout_gain,
         calibration_report, ensemble_probs, ensemble_sweep, ensemble_diagnostics, ensemble_report,
         keyset_page, advance_cursor, next_offsets, insert_if_absent, history_lookup,
-        history_counts, history_delete, scored_predictions, stream_history, stream_dead_letters,
+        history_counts, history_delete, history_table, corpus_snapshot, corpus_csv, decide_from_report,
+        incremental_publish, scored_predictions, stream_history, stream_dead_letters,
         text_classifier,
     ):
         found[f.__name__] = f

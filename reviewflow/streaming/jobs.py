@@ -41,22 +41,21 @@ def publish_after(
     """One incremental run: read above the cursor, publish, then move the cursor.
 
     Without ``page`` everything above the cursor is published at once, spread
-    over the cluster. ``write`` receives the records and must return only when
-    they are stored. Returns the number of published reviews.
+    over the cluster. The end of the run is fixed first, from the ids alone, so
+    that the cursor never passes a review that was not published. ``write``
+    receives the records and must return only when they are stored. Returns the
+    number of published reviews.
     """
     start = cursor.load()
-    batch = ingest.after(reviews, start, lookback)
+    above = ingest.after(reviews, start, lookback)
+    ids = above.select("review_id")
     if page is not None:
-        batch = batch.orderBy("review_id").limit(page)
-    batch = batch.persist()
-    try:
-        count, last = batch.agg(F.count("*"), F.max(F.lower("review_id"))).first()
-        if count:
-            write(publish(batch, cursor.target_topic))
-            cursor.save(last if start is None else max(last, start))
-        return count
-    finally:
-        batch.unpersist()
+        ids = ids.orderBy("review_id").limit(page)
+    count, last = ids.agg(F.count("*"), F.max("review_id")).first()
+    if count:
+        write(publish(above.where(F.col("review_id") <= last), cursor.target_topic))
+        cursor.save(last if start is None else max(last, start))
+    return count
 
 
 def score(

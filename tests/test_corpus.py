@@ -96,6 +96,12 @@ def test_split_is_exact_complete_and_repeatable(spark, sizes, prefix):
     assert total < 10 or other != got
 
 
+def test_rows_of_a_repeated_key_stay_together(spark):
+    df = spark.range(9000).selectExpr("IF(id % 3 = 0, -1, id) AS k", "CAST(id % 2 AS INT) AS label_id")
+    got = corpus.stratified_split(df, "k", prefix=1).groupBy("label_id", "k").agg({"split": "approx_count_distinct"})
+    assert {r[2] for r in got.collect()} == {1}
+
+
 def test_split_shuffles_only_counts_and_cut_buckets(spark):
     df = spark.range(1000).selectExpr("id AS k", "CAST(id % 3 AS INT) AS label_id", "repeat('x', 50) AS payload")
     plan = corpus.stratified_split(df, "k")._jdf.queryExecution().executedPlan().toString()
