@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
-import shutil
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -43,12 +44,18 @@ def ship_package(spark: SparkSession) -> None:
     """Hand this package to the Python workers, which may not have it installed."""
     name = "reviewflow-package.zip"
     context = spark.sparkContext
-    if any(str(x).endswith(name) for x in context._python_includes):
+    if name in context._python_includes:
         return
     package = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="reviewflow-")) / name
-    shutil.make_archive(str(target.with_suffix("")), "zip", package.parent, package.name)
-    context.addPyFile(str(target))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{work_folder(spark, 'package')}/{name}")
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(packed.getvalue())
+    out.close()
+    context.addPyFile(target.toString())
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
