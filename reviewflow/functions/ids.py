@@ -10,7 +10,7 @@ EVENT_ID_PATTERN = r"\Areview:[0-9a-f]{24}\z"
 PREDICTION_ID_PATTERN = r"\A[0-9a-f]{64}\z"
 
 _CLOCK = (
-    r"\A(\d{4}-\d{2}-\d{2})[Tt _](\d{2}:\d{2})(:\d{2})?(?:[.,](\d{1,6})\d*)?"
+    r"\A((?!0000)\d{4}-\d{2}-\d{2})[Tt _](\d{2}:\d{2})(:\d{2})?(?:[.,](\d{1,6})\d*)?"
     r"([Zz]|[+\x{2212}-]\d{2}:?\d{2})\z"
 )
 _NUMBER = r"\A[+-]?(?:\d+\.?\d*|\.\d+)\z"

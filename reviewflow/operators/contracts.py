@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from reviewflow.functions import chain, ids, matches
+from reviewflow.functions import chain, ids, matches, quoted
 from reviewflow.functions.text import has_ascii_nonspace, is_nonblank
 from reviewflow.operators.rules import Rule, fence, violations
 from reviewflow.schema import LABELS, PROBABILITY_TOLERANCE, SCHEMA_VERSION
@@ -159,6 +159,14 @@ def _unknown(path: str, allowed: tuple[str, ...]) -> str:
     return f"coalesce(size(array_except(map_keys({members}), array({listed}))) > 0, false)"
 
 
+def _lone_surrogate(text: str) -> str:
+    """Whether a JSON text escapes half of a surrogate pair, which is not valid text."""
+    pair = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+    unescaped = f"replace({text}, {quoted(chr(92) * 2)}, '')"
+    rest = f"regexp_replace({unescaped}, {quoted(pair)}, '')"
+    return f"contains({text}, {quoted(chr(92) + 'u')}) AND rlike({rest}, {quoted(r'\\u[dD][89a-fA-F]')})"
+
+
 def _with_document(records: DataFrame) -> DataFrame:
     """Add the payload as VARIANT ``_doc``, NULL unless it is one whole JSON object.
 
@@ -168,7 +176,8 @@ def _with_document(records: DataFrame) -> DataFrame:
     """
     text = "CASE WHEN is_valid_utf8(value) THEN CAST(value AS STRING) END AS _text"
     df = records.selectExpr("*", text, "md5(value) AS _digest")
-    df = df.selectExpr("*", "try_parse_json(concat('[', _text, ',\"', _digest, '\"]')) AS _list")
+    listed = "concat('[', _text, ',\"', _digest, '\"]')"
+    df = df.selectExpr("*", f"CASE WHEN NOT ({_lone_surrogate('_text')}) THEN try_parse_json({listed}) END AS _list")
     whole = (
         "try_variant_get(_list, '$[1]', 'string') = _digest "
         "AND try_variant_get(_list, '$[2]', 'variant') IS NULL "

@@ -43,6 +43,8 @@ VALID = {
     "milliseconds": record({"emitted_at": "1767225600000"}),
     "upper review id": record({"review_id": RID.upper()}),
     "repeated key": record(raw=json.dumps(GOOD).replace("{", '{"text": "", ', 1).encode()),
+    "surrogate pair": record(raw=json.dumps({**GOOD, "text": chr(0x1F600)}).encode()),
+    "escaped backslash before u": record({"text": chr(92) + "ud800"}),
     "surrounding space": record(raw=b" \n" + json.dumps(GOOD).encode() + b"\n"),
     "numeric id": record(
         {"event_id": "review:" + "1" * 24, "review_id": int("1" * 24)}, key="1" * 24
@@ -58,6 +60,10 @@ CONTRACT = {
     "two values": (record(raw=json.dumps(GOOD).encode() * 2), "json_object"),
     "two list items": (record(raw=json.dumps(GOOD).encode() + b"," + json.dumps(GOOD).encode()), "json_object"),
     "closed list": (record(raw=json.dumps(GOOD).encode() + b"] ["), "json_object"),
+    "high surrogate": (record({"text": "a" + chr(0xD800)}), "json_object"),
+    "low surrogate": (record({"text": chr(92) + chr(0xDC00)}), "json_object"),
+    "swapped surrogates": (record({"text": chr(0xDE00) + chr(0xD83D)}), "json_object"),
+    "year zero": (record({"emitted_at": "0000-01-01T00:00:00Z"}), "emitted_at"),
     "version text": (record({"schema_version": "1"}), "schema_version"),
     "version two": (record({"schema_version": 2}), "schema_version"),
     "version false": (record({"schema_version": False}), "schema_version"),
