@@ -89,6 +89,7 @@ def write_history(rows: DataFrame, path: str, mode: str = "append") -> None:
         rows.sortWithinPartitions("review_id", F.desc("predicted_at"))
         .write.mode(mode)
         .option("parquet.bloom.filter.enabled#prediction_id", "true")
+        .option("parquet.bloom.filter.adaptive.enabled", "true")  # sized to the file's rows
         .partitionBy(*MODEL_COLUMNS)
         .parquet(path)
     )
