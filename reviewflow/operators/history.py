@@ -122,6 +122,11 @@ def delete_by_key(history: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return without_keys(history, keys, on, F.col("prediction_id"))
 
 
+def rewrite_without(spark: SparkSession, path: str, target: str, keys: DataFrame, on: str) -> None:
+    """Write the history at ``path`` without the given keys to a new table at ``target``."""
+    write_history(delete_by_key(read_history(spark, path), keys, on), target, mode="errorifexists")
+
+
 def uniqueness_violations(history: DataFrame) -> DataFrame:
     """Keys stored more than once, for both unique constraints."""
 

@@ -58,6 +58,20 @@ def publish_after(
     return count
 
 
+def publish_until_empty(
+    spark: SparkSession, read, cursor: ingest.CursorTable, write, page: int | None = None
+) -> int:
+    """Publish run after run until nothing is above the cursor; return how many in all.
+
+    ``read`` gives the reviews anew for each run. A caller that polls waits
+    after this returns and calls it again.
+    """
+    total = 0
+    while count := publish_after(spark, read(), cursor, write, page):
+        total += count
+    return total
+
+
 def score(
     records: DataFrame,
     udf,

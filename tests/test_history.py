@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from reviewflow.operators import history, ingest
@@ -68,6 +69,14 @@ def test_insert_is_idempotent(spark, tmp_path):
     assert history.counts(stored, "a").collect()[0].n == 1
 
 
+def test_rows_are_deleted_by_rewriting(spark, tmp_path):
+    path, target = str(tmp_path / "a"), str(tmp_path / "b")
+    history.write_history(rows(spark, ("a", RIDS[0], 1, 0, "1"), ("b", RIDS[0], 1, 0, "2"), ("c", RIDS[1], 1, 0, "1")), path)
+    keys = spark.createDataFrame([(RIDS[0],)], "review_id STRING")
+    history.rewrite_without(spark, path, target, keys, "review_id")
+    assert [r.prediction_id for r in history.read_history(spark, target).collect()] == ["c"]
+
+
 def test_history_layout_is_pruned_by_model_version(spark, tmp_path):
     path = str(tmp_path / "history")
     history.write_history(rows(spark, ("a", RIDS[0], 1, 0, "1"), ("b", RIDS[0], 1, 0, "2")), path)
@@ -141,6 +150,25 @@ def test_incremental_publishing_resumes_and_sees_late_rows_only_with_lookback(sp
     assert c.load() == RIDS[4]
 
 
+def test_pages_are_published_until_none_is_left(spark, tmp_path):
+    c, published = cursor(spark, tmp_path), []
+
+    def write(records):
+        published.append(sorted(r.key.decode() for r in records.collect()))
+
+    read = lambda: reviews(spark, [RIDS[2], RIDS[0], RIDS[1]])
+    assert jobs.publish_until_empty(spark, read, c, write, page=2) == 3
+    assert published == [RIDS[:2], [RIDS[2]]]
+    assert jobs.publish_until_empty(spark, read, c, write) == 0
+
+
+def test_an_invalid_review_stops_publishing(spark, tmp_path):
+    c = cursor(spark, tmp_path)
+    with pytest.raises(PySparkException, match="contract violated"):
+        jobs.publish_after(spark, reviews(spark, [RIDS[0], "x"]), c, lambda records: records.collect())
+    assert c.load() is None
+
+
 def test_a_failed_write_leaves_the_cursor(spark, tmp_path):
     c = cursor(spark, tmp_path)
 
