@@ -154,7 +154,9 @@ def _literal(path: str) -> str:
 
 def _unknown(path: str, allowed: tuple[str, ...]) -> str:
     """Whether the object at ``path`` has a member beyond the allowed ones."""
-    members = f"CASE WHEN startswith({_type_of(path)}, 'OBJECT') THEN {_member(path, 'map<string,variant>')} END"
+    members = _member(path, "map<string,variant>")
+    if path:
+        members = f"CASE WHEN startswith({_type_of(path)}, 'OBJECT') THEN {members} END"
     listed = ", ".join(f"'{a}'" for a in allowed)
     return f"coalesce(size(array_except(map_keys({members}), array({listed}))) > 0, false)"
 
@@ -181,7 +183,7 @@ def _with_document(records: DataFrame) -> DataFrame:
     whole = (
         "try_variant_get(_list, '$[1]', 'string') = _digest "
         "AND try_variant_get(_list, '$[2]', 'variant') IS NULL "
-        "AND startswith(schema_of_variant(try_variant_get(_list, '$[0]', 'variant')), 'OBJECT')"
+        "AND startswith(trim(LEADING ' \\t\\n\\r' FROM _text), '{')"
     )
     return df.selectExpr("*", f"CASE WHEN {whole} THEN try_variant_get(_list, '$[0]', 'variant') END AS _doc")
 
