@@ -244,3 +244,21 @@ def test_utc_text_round_trip(spark):
     df = spark.sql("SELECT timestamp'2026-01-01 00:00:00.000120' a, timestamp'2026-01-01 00:00:00' b")
     row = df.selectExpr(f"{ids.format_utc('a')} AS a", f"{ids.format_utc('b')} AS b").first()
     assert (row.a, row.b) == ("2026-01-01T00:00:00.000120Z", "2026-01-01T00:00:00Z")
+
+
+def test_parsed_records_have_the_declared_types(spark):
+    from reviewflow import schema
+
+    declared = lambda ddl: spark.createDataFrame([], ddl).schema.simpleString()
+    log = spark.createDataFrame([], TOPIC)
+    reviews = contracts.parse_review_events(log)
+    assert reviews.select("event.*").schema.simpleString() == declared(schema.REVIEW_EVENT)
+    predictions = contracts.parse_prediction_events(log).select("event.*")
+    assert predictions.schema.simpleString() == declared(schema.PREDICTION_EVENT)
+    stored = events.history_rows(predictions).selectExpr("*", "now() AS stored_at")
+    assert stored.schema.simpleString() == declared(schema.HISTORY)
+    letters = events.dead_letters(reviews, "now()")
+    assert letters.schema.simpleString() == declared(schema.DEAD_LETTER)
+    checked = contracts.validate_reviews(spark.createDataFrame([], schema.REVIEW)).drop("violations")
+    assert checked.schema.simpleString() == declared(schema.REVIEW)
+    assert reviews.count() == predictions.count() == letters.count() == 0
