@@ -5,11 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from reviewflow.llm import exact_dedup, mixing, ngram_join
+from pyspark.sql import functions as F
+
+from reviewflow.llm import (
+    chat,
+    exact_dedup,
+    fingerprints,
+    line_dedup,
+    mixing,
+    ngram_join,
+    pii,
+    quality,
+    secret_scan,
+    spans,
+    unigram,
+)
 from reviewflow.llm.common import documents
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.remove_boilerplate(documents(spark, sf_dir))
+    return cleaned.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(documents(spark, sf_dir), size=4, percent=85)
 
@@ -18,6 +36,47 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, most=2.0)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir)).drop("packed", "edited_packed")
+
+
+def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    masks = F.zip_with("mask_starts", "mask_ends", lambda a, b: F.concat_ws("-", a.cast("string"), b.cast("string")))
+    return rows.select(
+        "conv_id", "speaker", "part", F.col("n_turns").cast("long").alias("n_turns"), "text",
+        F.array_join(masks, ",").alias("masks"), F.col("trained_chars").cast("long").alias("trained_chars"),
+    )
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode(documents(spark, sf_dir))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = list(pii.KINDS)
+    found = pii.find(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", *[F.size(spans.of_kind("base", k)).cast("long").alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(spans.listed(F.col("base"), kinds), 256).alias("base_sha256"),
+        spans.listed(F.concat("base", "added"), kinds).alias("spans"),
+    )
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, kinds = [r.kind for r in secret_scan.BASE], [r.kind for r in secret_scan.RULES]
+    found = secret_scan.scan(documents(spark, sf_dir))
+    of_base = F.filter("findings", lambda f: f["kind"].isin(base))
+    return found.select(
+        "doc_id", *[F.size(spans.of_kind("findings", k)).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(spans.listed(of_base, kinds), 256).alias("base_sha256"), spans.listed(F.col("findings"), kinds).alias("spans"),
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir))
 
@@ -28,9 +87,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_chat_perspectives": OP5_SQL, "op10_exact_dedup": OP10_SQL}
 
 
+OP1_SQL = rf"""
+WITH lines AS (
+  SELECT doc_id, coalesce('s' || source, '-') AS site, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS no
+  FROM documents),
+keyed AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS k FROM lines),
+common AS (
+  SELECT k, min((doc_id, no)) AS first FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT site) >= {line_dedup.MIN_SITES}),
+marked AS (SELECT doc_id, no, line, coalesce((doc_id, no) <> first, false) AS gone FROM keyed LEFT JOIN common USING (k)),
+cleaned AS (
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '') AS text, count(*) AS n_lines,
+    count(*) FILTER (WHERE gone) AS n_removed
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, c.text, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN cleaned c USING (doc_id)
+"""
+
+OP5_SQL = rf"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, role, replace(coalesce(text, ''), '<|', '<\|') AS text,
+    CAST(floor(coalesce(turn, -1) / {chat.PART_TURNS}) AS BIGINT) AS part
+  FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+s AS (
+  SELECT p.conv_id, p.speaker, part, coalesce(role = speaker, false) AS trained,
+    '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant' WHEN role IS NULL THEN 'user'
+      ELSE 'user name=' || replace(role, '<|', '<\|') END || chr(10) AS head,
+    text || '<|im_end|>' AS body,
+    row_number() OVER (PARTITION BY p.conv_id, p.speaker, part ORDER BY turn NULLS LAST, role NULLS LAST, text) AS no
+  FROM p JOIN t ON p.conv_id IS NOT DISTINCT FROM t.conv_id),
+o AS (
+  SELECT *, CAST(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY no) AS BIGINT) - 1 AS stop
+  FROM s)
+SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY no) AS text,
+  string_agg((stop - length(body)) || '-' || stop, ',' ORDER BY no) FILTER (WHERE trained) AS masks,
+  CAST(sum(length(body)) FILTER (WHERE trained) AS BIGINT) AS trained_chars
+FROM o GROUP BY conv_id, speaker, part
+"""
+
 OP10_SQL = r"""
 WITH n AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
