@@ -122,8 +122,11 @@ def grid_class_bias(df: DataFrame, temperature: float, logits: str = "logits") -
     Grid biases are multiples of 1/4, so whether one biased score reaches
     another depends only on the score difference's quarter, unless it lies
     within rounding of a quarter. Rows are therefore counted per label and
-    quarters of the three differences (a few thousand cells for any number of
-    rows); rows at a quarter are counted per exact scores and compared exactly.
+    quarters of the three differences. A row at a quarter is decided at every
+    grid point by its exact scores, and such rows are counted per label and
+    sequence of decisions: a sequence is fixed by which biased score wins on
+    either side of the quarters, so both kinds of cells are a few thousand for any
+    number of rows and any precision of the logits.
     """
     rows = with_scores(df.select("label_id", logits), logits, temperature, "z").drop(logits)
     pairs = {"q01": ("z0", "z1"), "q02": ("z0", "z2"), "q12": ("z1", "z2")}
@@ -137,17 +140,21 @@ def grid_class_bias(df: DataFrame, temperature: float, logits: str = "logits") -
     keys = [
         f"CASE WHEN NOT exact THEN floor(greatest(least({q}, {limit}.0D), -{limit + 1}.0D)) END AS {q}"
         for q in pairs
-    ] + [f"CASE WHEN exact THEN {z} END AS {z}" for z in names("z")]
+    ]
+    by_score = first_max(
+        f"(z0 + {bias_at(f'(g DIV {BIAS_COUNT})')})", f"(z1 + {bias_at(f'(g % {BIAS_COUNT})')})", "(z2 + 0.0D)"
+    )
+    sequence = f"array_join(transform(sequence(0, {BIAS_COUNT**2 - 1}), g -> CAST({by_score} AS STRING)), '')"
     cells = (
-        rows.selectExpr("label_id", "exact", *keys)
-        .groupBy("label_id", "exact", *pairs, *names("z"))
+        rows.selectExpr("label_id", "exact", *keys, f"CASE WHEN exact THEN {sequence} END AS decided")
+        .groupBy("label_id", "exact", *pairs, "decided")
         .agg(F.count("*").alias("n"))
     )
     zero = int(-BIAS_START / BIAS_STEP)  # grid position of a zero bias
     ge01, ge02, ge12 = "q01 >= i1 - i0", f"q02 >= {zero} - i0", f"q12 >= {zero} - i1"
     by_cell = f"CASE WHEN {ge01} AND {ge02} THEN 0 WHEN {ge12} THEN 1 ELSE 2 END"
-    by_score = first_max(f"(z0 + {bias_at('i0')})", f"(z1 + {bias_at('i1')})", "(z2 + 0.0D)")
-    found = _candidates(cells, BIAS_COUNT, 2, f"CASE WHEN exact THEN {by_score} ELSE {by_cell} END")
+    by_row = "CAST(substring(decided, grid_idx + 1, 1) AS INT)"
+    found = _candidates(cells, BIAS_COUNT, 2, f"CASE WHEN exact THEN {by_row} ELSE {by_cell} END")
     return found.selectExpr(
         "grid_idx", f"{bias_at('i0')} AS bias_neg", f"{bias_at('i1')} AS bias_neu", "macro_f1"
     )

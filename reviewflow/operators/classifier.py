@@ -24,6 +24,9 @@ def train(
     """Fit one model per strength with balanced class weights; keep the best on validation.
 
     Among equal macro F1 the first strength wins. The weights are three rows.
+    ``features`` bounds the vocabulary: words that hash alike share a weight.
+    ``iterations`` bounds the fit: each candidate's number of steps, and whether
+    they ended before the bound, are kept in ``model.fits``.
     """
     weights = class_weights(train_rows).select("label_id", "weight").collect()
     by_class = F.create_map(*[F.lit(x) for r in weights for x in (r.label_id, r.weight)])
@@ -36,19 +39,22 @@ def train(
         IDF(inputCol="counts", outputCol="features"),
     ]).fit(weighted)
     rows = text.transform(weighted).select("features", "label_id", "weight").persist()
-    best, best_f1 = None, -1.0
+    best, best_f1, fits = None, -1.0, []
     try:
         for strength in regularisation:
             fitted = LogisticRegression(
                 labelCol="label_id", weightCol="weight", family="multinomial",
                 regParam=strength, maxIter=iterations,
             ).fit(rows)
+            steps = fitted.summary.totalIterations
+            fits.append({"strength": strength, "iterations": steps, "converged": steps < iterations})
             model = PipelineModel(stages=[*text.stages, fitted])
             f1 = macro_f1(with_decision(add_logits(model, validation_rows), DecisionConfig())).first().macro_f1 or 0.0
             if f1 > best_f1:
                 best, best_f1 = model, f1
     finally:
         rows.unpersist()
+    best.fits = fits
     return best
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reviewflow.functions import double
 from reviewflow.functions.decision import first_max, names, with_scores, with_softmax
 from reviewflow.operators.metrics import Tally
+from reviewflow.operators.rules import require
 
 # The weight grid 0, 0.05, ..., 1.
 WEIGHT_STEP, WEIGHT_COUNT = 0.05, 21
@@ -18,12 +19,21 @@ OWN, EXTERNAL = names("a"), names("b")
 def aligned_probabilities(
     own: DataFrame, external: DataFrame, permutation: list[int], key: str = "row_key"
 ) -> DataFrame:
-    """Both models' uncalibrated probabilities per row, in canonical class order."""
+    """Both models' uncalibrated probabilities per row, in canonical class order.
+
+    Each key must be in both tables exactly once; any other key ends the job. The
+    check is part of the one aggregation that brings the two sides together.
+    """
     a = with_softmax(with_scores(own.select(key, "label_id", "logits")), prefix="a")
     b = with_softmax(with_scores(external.select(key, "logits")), prefix="x")
-    left = a.select(key, "label_id", *OWN)
-    right = b.selectExpr(key, *[f"x{p} AS {n}" for p, n in zip(permutation, EXTERNAL)])
-    return left.join(right, key)
+    left = a.selectExpr(key, "label_id", *OWN, "1 AS _own", "0 AS _external")
+    right = b.selectExpr(key, *[f"x{p} AS {n}" for p, n in zip(permutation, EXTERNAL)], "0 AS _own", "1 AS _external")
+    values = ["label_id", *OWN, *EXTERNAL]
+    both = left.unionByName(right, allowMissingColumns=True).groupBy(key).agg(
+        F.sum("_own").alias("_own"), F.sum("_external").alias("_external"), *[F.max(v).alias(v) for v in values]
+    )
+    message = f"concat('row ', CAST({key} AS STRING), ': ', _own, ' own and ', _external, ' external scores')"
+    return require(both, "_own != 1 OR _external != 1", message).select(key, *values)
 
 
 def mix(weight: float) -> list[str]:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewflow.operators.contracts import validate_reviews
 from reviewflow.operators.history import path_exists
+from reviewflow.operators.rules import require_valid
 from reviewflow.schema import CURSOR, SCHEMA_VERSION
 
 PAGE_SIZE = 50
@@ -21,21 +23,45 @@ class CursorMismatch(RuntimeError):
     """The cursor belongs to another source or target."""
 
 
-def after(reviews: DataFrame, cursor: str | None, lookback: str | None = None) -> DataFrame:
-    """Reviews above the cursor.
+def normal_id(column: str = "review_id") -> Column:
+    """An id as it is compared and published: in lower case."""
+    return F.lower(F.col(column).cast("string"))
 
-    A review inserted later with an id below the cursor is not seen again,
-    unless ``lookback`` names a lower id to re-read from.
+
+def after(reviews: DataFrame, cursor: str | None) -> DataFrame:
+    """Reviews whose id, in lower case, is above the cursor.
+
+    Every spelling of such an id is also above the cursor's upper-case spelling;
+    that plain comparison reaches the scan.
+    """
+    if cursor is None:
+        return reviews
+    return reviews.where((F.col("review_id") > cursor.upper()) & (normal_id() > cursor.lower()))
+
+
+def late(reviews: DataFrame, lookback: str, cursor: str, published: DataFrame | None = None) -> DataFrame:
+    """Reviews above ``lookback`` up to the cursor that ``published`` (review_id) does not hold yet.
+
+    Without ``published`` all of them are given, to be published again.
     """
-    start = cursor if lookback is None else min(lookback, cursor or lookback)
-    return reviews if start is None else reviews.where(F.col("review_id") > start)
+    rows = after(reviews, lookback).where(normal_id() <= cursor.lower())
+    if published is None:
+        return rows
+    known = after(published.select("review_id"), lookback).where(normal_id() <= cursor.lower())
+    known = known.select(normal_id().alias("_known")).distinct()
+    return rows.join(known, normal_id() == F.col("_known"), "left_anti")
 
 
 def keyset_page(reviews: DataFrame, cursor: str | None, size: int = PAGE_SIZE) -> DataFrame:
-    """The next ``size`` reviews above the cursor in id order."""
+    """The next ``size`` reviews above the cursor in order of the lower-case id."""
     if size <= 0:
         raise ValueError("page size must be positive")
-    return after(reviews, cursor).orderBy("review_id").limit(size)
+    return after(reviews, cursor).orderBy(normal_id()).limit(size)
+
+
+def valid_page(reviews: DataFrame, cursor: str | None, size: int = PAGE_SIZE) -> DataFrame:
+    """The next page as validated reviews; an invalid row of the page ends the job."""
+    return require_valid(validate_reviews(keyset_page(reviews, cursor, size)))
 
 
 def advance_cursor(published: DataFrame, cursors: DataFrame, at: str) -> DataFrame:
@@ -45,7 +71,7 @@ def advance_cursor(published: DataFrame, cursors: DataFrame, at: str) -> DataFra
     review_id``. It is reduced to one row per pipeline before the join.
     """
     keys = ["checkpoint_id", "source_collection", "target_topic"]
-    moved = published.groupBy(*keys).agg(F.max("review_id").alias("new_id"))
+    moved = published.groupBy(*keys).agg(F.max(normal_id()).alias("new_id"))
     old = cursors.select(*keys, F.col("last_review_id").alias("old_id"))
     return moved.join(old, keys, "full").select(
         "checkpoint_id",
@@ -109,7 +135,7 @@ class CursorTable:
             raise ValueError("a cursor must be 24 hex digits")
         current = self.load()
         if current is not None and normal < current:
-            raise CursorRegression(f"cursor cannot move back: current={current}, requested={normal}")
+            raise CursorRegression(f"{normal} lies below {current}, up to which reviews are published")
         (
             self.spark.range(1)
             .select(

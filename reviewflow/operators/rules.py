@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Rule = tuple[str, str]  # name, condition under which it is broken
 
@@ -30,6 +31,11 @@ def split_valid(df: DataFrame, column: str = "violations") -> tuple[DataFrame, D
     return df.where(f"size({column}) = 0").drop(column), df.where(f"size({column}) > 0")
 
 
+def with_side(df: DataFrame, column: str = "violations") -> DataFrame:
+    """Name each row's side, ``valid`` or ``quarantine``, for one pass that writes or counts both."""
+    return df.withColumn("side", F.expr(f"IF(size({column}) = 0, 'valid', 'quarantine')"))
+
+
 def require(df: DataFrame, failed: str, message: str) -> DataFrame:
     """Fail-fast: the first row for which ``failed`` holds ends the job."""
     return df.where(f"CASE WHEN {failed} THEN CAST(raise_error({message}) AS BOOLEAN) ELSE true END")

@@ -42,7 +42,7 @@ def score_texts(model: Scorer, texts: list[str], batch_size: int) -> np.ndarray:
         chosen = by_length[start : start + batch_size]
         part = np.asarray(model.logits([texts[i] for i in chosen]), dtype=np.float64)
         if part.shape != (len(chosen), NUM_LABELS):
-            raise RuntimeError(f"unexpected logits shape {part.shape}")
+            raise RuntimeError(f"the model gave scores of shape {part.shape} for {len(chosen)} texts")
         out[chosen] = part
     return out
 
@@ -54,7 +54,7 @@ def scorer_udf(name: str, factory: Callable[[], Scorer], batch_size: int = BATCH
     executors, once per Python worker.
     """
     if batch_size <= 0:
-        raise ValueError("batch_size must be positive")
+        raise ValueError(f"a batch needs at least one text, not {batch_size}")
     ship_package(SparkSession.active())
 
     @F.pandas_udf("array<double>")

@@ -1,19 +1,13 @@
-"""Size-checked joins against a list of keys."""
+"""Joins against a list of keys of any length."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
 SALTS = 32
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether a frame has at most ``rows`` rows; reads no more than needed."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def without_keys(df: DataFrame, keys: DataFrame, on: str, spread: Column) -> DataFrame:
     """Rows of ``df`` whose ``on`` is not among ``keys``."""
     return _by_keys(df, keys, on, spread, "left_anti")
@@ -25,15 +19,13 @@ def with_keys(df: DataFrame, keys: DataFrame, on: str, spread: Column) -> DataFr
 
 
 def _by_keys(df: DataFrame, keys: DataFrame, on: str, spread: Column, how: str) -> DataFrame:
-    """A short key list is broadcast after counting it.
+    """Each key is repeated once per salt and the rows are salted by ``spread``.
 
-    A longer one is shuffled; each key is then repeated once per salt and the
-    rows are salted by ``spread``, so that a key holding a large part of the
-    rows is shared by many tasks.
+    So a key that holds a large part of the rows is shared by many tasks. Whether
+    the list is short enough to be broadcast is left to adaptive execution, which
+    knows its size in bytes.
     """
     keys = keys.select(on).where(F.col(on).isNotNull()).distinct()
-    if at_most(keys, BROADCAST_ROWS):
-        return df.join(F.broadcast(keys), on, how)
     salted = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     return rows.join(salted, [on, "_salt"], how).drop("_salt")

@@ -581,6 +581,17 @@ def oracle_sql() -> dict[str, str]:
 
     sql["keyset_page"] = nested(REVIEWS, final=(
         f"SELECT review_id, md5(text) AS text_md5 FROM reviews WHERE review_id > '{CURSOR}' ORDER BY review_id LIMIT 50"))
+    sql["keyset_mixed_case"] = nested(REVIEWS, final=(
+        "SELECT review_id, md5(text) AS text_md5, ((row_number() OVER (ORDER BY review_id) - 1) // 50)::INTEGER AS page "
+        f"FROM reviews WHERE review_id > '{CURSOR}' ORDER BY review_id LIMIT 150"))
+    sql["lookback_publish"] = nested(REVIEWS, final="SELECT review_id, 1::BIGINT AS published FROM reviews")
+    sql["history_compact"] = nested(*HISTORY, final="SELECT prediction_id, review_id, sentiment, model_version FROM history")
+    sql["text_classifier"] = nested(
+        CORPUS, kept, *split_of("kept", "doc_id"),
+        ("t", "SELECT label_id, count(*) AS n FROM parts WHERE split = 'test' GROUP BY label_id"),
+        final="SELECT label_id, n AS n_test, n AS n_scored, "
+              "round(2 * (max(n) OVER ())::DOUBLE / ((max(n) OVER ()) + (sum(n) OVER ())) / (count(*) OVER ()), 9) AS majority_macro_f1, "
+              "true AS beats_majority FROM t")
     sql["advance_cursor"] = nested(
         ("new", "SELECT source, lang, max(doc_id) AS id FROM documents GROUP BY ALL"),
         ("old", "SELECT source, lang, max(doc_id * (1 + toxic)) AS id FROM documents JOIN labels USING (doc_id) GROUP BY ALL"),

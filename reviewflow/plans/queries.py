@@ -224,17 +224,11 @@ def uniqueness_violations(spark, sf):
 
 
 def quarantine_split(spark, sf):
-    """Valid and quarantined records add up to the input, by source partition."""
+    """Valid and quarantined records add up to the input, by source partition; parsed once."""
     parsed = contracts.parse_review_events(views.review_log(spark, sf)).selectExpr(
         "partition", "IF(error_type IS NULL, array(), array(error_type)) AS violations"
     )
-    valid, broken = rules.split_valid(parsed)
-    sides = (("valid", valid), ("quarantine", broken))
-    a, b = (
-        df.groupBy("partition").agg(F.count("*").alias("n")).selectExpr("*", f"'{side}' AS side")
-        for side, df in sides
-    )
-    return a.unionByName(b)
+    return rules.with_side(parsed).groupBy("partition", "side").agg(F.count("*").alias("n"))
 
 
 # --------------------------------------------------------------------------- corpus
@@ -333,7 +327,7 @@ def grid_thresholds(spark, sf):
 
 def _split_logits(logits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Validation and test rows; written once, as every search reads them again."""
-    keyed = stored(corpus.stratified_split(logits, "row_key"), "split", "split")
+    keyed = stored(corpus.stratified_split(logits, "row_key").where("split != 'train'"), "split", "split")
     return keyed.where("split = 'val'").drop("split"), keyed.where("split = 'test'").drop("split")
 
 
@@ -449,22 +443,40 @@ def insert_if_absent(spark, sf):
 
 
 def history_lookup(spark, sf):
-    event = "review:" + f"{LOOKUP_ROW:024x}"
+    """One prediction of the stored table, found by its review and its id."""
+    review = f"{LOOKUP_ROW:024x}"
     model = views.MODEL_A
-    wanted = hashlib.sha256(f"{event}\0{model.name}\0{model.version}".encode()).hexdigest()
-    found = history.lookup(views.history(spark, sf), wanted)
+    wanted = hashlib.sha256(f"review:{review}\0{model.name}\0{model.version}".encode()).hexdigest()
+    found = history.lookup(history.lookup_review(spark, _stored_history(spark, sf), review), wanted)
     return found.select("prediction_id", "review_id", "sentiment", "model_version")
 
 
+def _stored_history(spark, sf) -> str:
+    path = work_folder(views.configure(spark), "history")
+    history.write_history(views.history(spark, sf), path)
+    return path
+
+
 def history_counts(spark, sf):
     return history.counts(views.history(spark, sf))
 
 
 def history_delete(spark, sf):
-    """The history without the reviews that version 2 called negative."""
-    rows = views.history(spark, sf)
+    """The stored history after the reviews that version 2 called negative were deleted."""
+    path = _stored_history(spark, sf)
     keys = views.history_b(spark, sf).where("sentiment = 'neg'").select("review_id")
-    return history.delete_by_key(rows, keys, "review_id").select("prediction_id", "review_id", "model_version")
+    history.delete_stored(spark, path, keys, "review_id")
+    return history.read_history(spark, path).select("prediction_id", "review_id", "model_version")
+
+
+def history_compact(spark, sf):
+    """The stored history after two appends and a compaction."""
+    path = work_folder(views.configure(spark), "history")
+    for rows in (views.history_a(spark, sf), views.history_b(spark, sf)):
+        for part in (0, 1):
+            history.write_history(rows.where(f"pmod(hash(prediction_id), 2) = {part}"), path)
+    history.compact(spark, path)
+    return history.read_history(spark, path).select("prediction_id", "review_id", "sentiment", "model_version")
 
 
 # --------------------------------------------------------------------------- tables and files
@@ -507,13 +519,50 @@ def decide_from_report(spark, sf):
     return decision.with_decision(rows, config).select("row_key", "label_id", "pred")
 
 
+def _positioned(records: DataFrame) -> DataFrame:
+    """Records with the partition and offset that their review's number gives them."""
+    return records.selectExpr("*", *views.topic_position("CAST(conv(CAST(key AS STRING), 16, 10) AS BIGINT)"))
+
+
+def keyset_mixed_case(spark, sf):
+    """Pages of reviews whose ids are spelled in both cases, one after the other, validated."""
+    docs = views.reviews(spark, sf)
+    spelled = docs.selectExpr(
+        "IF(doc_id % 2 = 0, upper(review_id), review_id) AS review_id", "text", "movie_id", "created_at"
+    )
+    cursor, pages = CURSOR, []
+    for _ in range(3):
+        page = stored(ingest.valid_page(spelled, cursor, ingest.PAGE_SIZE), "page")
+        cursor = page.agg(F.max("review_id")).first()[0]
+        pages.append(page.selectExpr("review_id", "md5(text) AS text_md5", f"{len(pages)} AS page"))
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
+def lookback_publish(spark, sf):
+    """Reviews of one language arrive late, below the cursor; each is published exactly once."""
+    folder = work_folder(views.configure(spark), "published")
+    cursor = ingest.CursorTable(spark, f"{folder}-cursor", "late-reviews", "documents", REVIEWS_TOPIC)
+    docs = views.reviews(spark, sf)
+    early = docs.where("doc_id % 3 != 0")
+
+    def write(records: DataFrame) -> None:
+        topics.write_topic_log(_positioned(records), folder)
+
+    jobs.publish_after(spark, early, cursor, write)
+    for _ in range(2):
+        log = topics.read_topic_log(spark, folder, REVIEWS_TOPIC).selectExpr("CAST(key AS STRING) AS review_id")
+        jobs.publish_after(spark, docs, cursor, write, page=5, lookback="", published=stored(log, "known"))
+    parsed = contracts.parse_review_events(topics.read_topic_log(spark, folder, REVIEWS_TOPIC))
+    return parsed.groupBy("event.review_id").agg(F.count("*").alias("published"))
+
+
 def incremental_publish(spark, sf):
     """Publish above the cursor twice; the second run finds nothing new."""
     folder = work_folder(views.configure(spark), "published")
     cursor = ingest.CursorTable(spark, f"{folder}-cursor", "reviews-to-topic", "documents", REVIEWS_TOPIC)
 
     def write(records: DataFrame) -> None:
-        topics.write_topic_log(records.selectExpr("*", "0 AS partition", "0L AS offset"), folder)
+        topics.write_topic_log(_positioned(records), folder)
 
     for _ in range(2):
         jobs.publish_after(spark, views.reviews(spark, sf), cursor, write)
@@ -582,8 +631,17 @@ def text_classifier(spark, sf):
     split = stored(corpus.stratified_split(clean, "doc_id"), "split", "split")
     part = lambda name: split.where(f"split = '{name}'")
     model = classifier.train(part("train"), part("val"))
-    logits = classifier.add_logits(model, part("test"))
-    return metrics.eval_metrics(decision.with_decision(logits, views.ARGMAX))
+    logits = stored(classifier.add_logits(model, part("test")), "scored")
+    scored = metrics.eval_metrics(decision.with_decision(logits, views.ARGMAX)).select("macro_f1")
+    counts = logits.groupBy("label_id").agg(
+        F.count("*").alias("n_test"),
+        F.count_if(F.expr("size(logits) = 3 AND forall(logits, x -> NOT isnan(x) AND abs(x) < 1e300)")).alias("n_scored"),
+    )
+    classes = F.expr("count(*) OVER ()")
+    counts = counts.withColumn("majority_f1", F.expr("2 * max(n_test) OVER () / (max(n_test) OVER () + sum(n_test) OVER ())") / classes)
+    return counts.crossJoin(F.broadcast(scored)).selectExpr(
+        "label_id", "n_test", "n_scored", r9("majority_f1", "majority_macro_f1"), "macro_f1 > majority_f1 AS beats_majority"
+    )
 
 
 def queries():
@@ -604,6 +662,7 @@ def queries():
         grid_class_bias, grid_thresholds, strategy_compare, strategy_select, heldout_gain,
         calibration_report, ensemble_probs, ensemble_sweep, ensemble_diagnostics, ensemble_report,
         keyset_page, advance_cursor, next_offsets, insert_if_absent, history_lookup,
+        keyset_mixed_case, lookback_publish, history_compact,
         history_counts, history_delete, history_table, corpus_snapshot, corpus_csv, decide_from_report,
         incremental_publish, scored_predictions, stream_history, stream_dead_letters,
         text_classifier,

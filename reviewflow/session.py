@@ -59,8 +59,9 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A new sub-folder of the cluster's shared checkpoint folder.
+    """A new folder below the application's in the cluster's shared checkpoint folder.
 
+    The application's folder is removed when the application ends.
     Only a local session without ``spark.checkpoint.dir`` gets a temporary
     folder of this machine.
     """
@@ -69,7 +70,30 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder all executors can reach")
         shared = os.environ.get("REVIEWFLOW_LOCAL_WORK") or tempfile.mkdtemp(prefix="reviewflow-")
-    return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    parent = f"{shared.rstrip('/')}/reviewflow-{spark.sparkContext.applicationId}"
+    folder, files = _hadoop(spark, parent)
+    if not files.exists(folder):
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    return f"{parent}/{purpose}-{uuid.uuid4().hex}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Remove what the application has written to work folders so far.
+
+    They go by themselves when it ends. A session that runs many jobs calls this
+    between them, when no result that reads a work folder is needed any more.
+    """
+    parent = work_folder(spark, "").rsplit("/", 1)[0]
+    folder, files = _hadoop(spark, parent)
+    for found in files.listStatus(folder):
+        if not found.getPath().getName().startswith("package-"):
+            files.delete(found.getPath(), True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def stored(df, purpose: str, *partition_by: str):

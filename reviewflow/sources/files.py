@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reviewflow.functions.decision import DecisionConfig
 from reviewflow.functions.text import decode_lossy, is_nonblank, strip_text
@@ -18,7 +19,7 @@ def read_class_folders(spark: SparkSession, folder: str) -> DataFrame:
     base = folder.rstrip("/")
     present = [c for c in LABELS if path_exists(spark, f"{base}/{c}")]
     if not present:
-        raise FileNotFoundError(f"no neg, neu or pos folder in {base}")
+        raise FileNotFoundError(f"{base} has none of the class folders {', '.join(LABELS)}")
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.txt")
@@ -29,7 +30,7 @@ def read_class_folders(spark: SparkSession, folder: str) -> DataFrame:
     rows = files.selectExpr("path", f"{strip_text(decode_lossy('content'))} AS text", label)
     rows = rows.selectExpr("*", f"CASE label {ids} END AS label_id")
     if rows.select("path").limit(1).isEmpty():
-        raise FileNotFoundError(f"no .txt files in {base}/[neg,neu,pos]")
+        raise FileNotFoundError(f"the class folders of {base} hold no text file")
     return rows
 
 
@@ -60,10 +61,13 @@ def read_csv(spark: SparkSession, path: str, schema: str = "text STRING") -> Dat
     )
 
 
-def first_usable(df: DataFrame, order: str | None = None) -> DataFrame:
-    """The first row, in the given or the reading order, whose text is not blank."""
-    rows = df.where(is_nonblank("text"))
-    return (rows.orderBy(order) if order else rows).limit(1)
+def first_usable(df: DataFrame, order: str) -> DataFrame:
+    """The first row in the given order whose text is not blank.
+
+    Rows that are read in parallel have no order of their own, so one is
+    required: a column, or ``monotonically_increasing_id()`` for the order of one file.
+    """
+    return df.where(is_nonblank("text")).orderBy(F.expr(order)).limit(1)
 
 
 def preview(df: DataFrame, rows: int = 5) -> DataFrame:

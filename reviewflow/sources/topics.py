@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewflow.schema import TOPIC_RECORD
+from reviewflow.schema import HISTORY_COLUMNS, TOPIC_RECORD
 
 SINK_COLUMNS = ("key", "value", "topic", "headers")
 
@@ -83,6 +83,22 @@ def jdbc_options(url: str, table: str, **extra: str) -> dict[str, str]:
     return {"url": url, "dbtable": table, "driver": "org.postgresql.Driver", **extra}
 
 
+def merge_statement(staging: str, target: str) -> str:
+    """SQL by which PostgreSQL moves staged rows to the history, each prediction once.
+
+    It returns the ids that were new. Rows whose id or model identity is stored
+    already are ignored, as a replay stages them again; the staged rows go in the
+    same transaction.
+    """
+    columns = ", ".join(HISTORY_COLUMNS[:-1])
+    return (
+        f"WITH staged AS (DELETE FROM {staging} RETURNING {columns}), "
+        f"first AS (SELECT DISTINCT ON (prediction_id) {columns} FROM staged ORDER BY prediction_id, predicted_at) "
+        f"INSERT INTO {target} ({columns}) SELECT {columns} FROM first "
+        "ON CONFLICT DO NOTHING RETURNING prediction_id"
+    )
+
+
 def write_jdbc_staging(rows: DataFrame, options: dict[str, str]) -> None:
     """Append new history rows to a staging table, from which the database merges them."""
     rows.write.format("jdbc").options(**options).mode("append").save()

@@ -37,24 +37,34 @@ def publish_after(
     write,
     page: int | None = None,
     lookback: str | None = None,
+    published: DataFrame | None = None,
 ) -> int:
     """One incremental run: read above the cursor, publish, then move the cursor.
 
     Without ``page`` everything above the cursor is published at once, spread
     over the cluster. The end of the run is fixed first, from the ids alone, so
     that the cursor never passes a review that was not published. ``write``
-    receives the records and must return only when they are stored. Returns the
-    number of published reviews.
+    receives the records and must return only when they are stored.
+
+    A review inserted later with an id below the cursor is seen only if
+    ``lookback`` names a lower id: everything between the two is then read again
+    in full, whatever the page, and what ``published`` (review_id) holds is left
+    out. Returns the number of published reviews.
     """
     start = cursor.load()
-    above = ingest.after(reviews, start, lookback)
-    ids = above.select("review_id")
+    above = ingest.after(reviews, start)
+    ids = above.select(ingest.normal_id().alias("review_id"))
     if page is not None:
         ids = ids.orderBy("review_id").limit(page)
     count, last = ids.agg(F.count("*"), F.max("review_id")).first()
+    batch = above.where(ingest.normal_id() <= last) if count else above.where("false")
+    if lookback is not None and start is not None:
+        missed = ingest.late(reviews, lookback, start, published)
+        count, batch = count + missed.count(), batch.unionByName(missed)
     if count:
-        write(publish(above.where(F.col("review_id") <= last), cursor.target_topic))
-        cursor.save(last if start is None else max(last, start))
+        write(publish(batch, cursor.target_topic))
+        if last is not None:
+            cursor.save(last)
     return count
 
 

@@ -8,9 +8,9 @@ from reviewflow.functions import ids
 from reviewflow.operators import contracts, events, rules
 from reviewflow.operators.events import ModelIdentity
 
-RID = "66c0f12a9d2b6e41f1701203"
+RID = "5e1f00d4c0ffee00ba5eba11"
 GOOD = {
-    "schema_version": 1, "event_id": "review:" + RID, "review_id": RID, "text": "Integration review",
+    "schema_version": 1, "event_id": "review:" + RID, "review_id": RID, "text": "A quiet film, well told",
     "emitted_at": "2026-01-01T00:00:00Z",
 }
 TOPIC = "key BINARY, value BINARY, topic STRING, partition INT, offset BIGINT"
@@ -55,7 +55,7 @@ CONTRACT = {
     "not json": (record(raw=b"not json"), "json_object"),
     "empty": (record(raw=b""), "json_object"),
     "array": (record(raw=b"[1]"), "json_object"),
-    "invalid utf-8": (record(raw=json.dumps(GOOD).encode().replace(b"Integration", b"\xff")), "json_object"),
+    "invalid utf-8": (record(raw=json.dumps(GOOD).encode().replace(b"quiet", b"\xff")), "json_object"),
     "trailing text": (record(raw=json.dumps(GOOD).encode() + b"x"), "json_object"),
     "two values": (record(raw=json.dumps(GOOD).encode() * 2), "json_object"),
     "two list items": (record(raw=json.dumps(GOOD).encode() + b"," + json.dumps(GOOD).encode()), "json_object"),
@@ -198,7 +198,7 @@ def test_prediction_events(spark):
 
 
 def test_fail_fast_mode(spark):
-    good = "66c0f12a9d2b6e41f1701203"
+    good = "5e1f00d4c0ffee00ba5eba11"
     df = spark.createDataFrame([(good, "a", None, None), ("bad", "b", None, None)],
                                "review_id STRING, text STRING, movie_id STRING, created_at TIMESTAMP")
     checked = contracts.validate_reviews(df)

@@ -33,15 +33,17 @@ def f1_macro(y, p):
 
 
 def expected(z, config):
-    z = np.asarray(z, dtype=float) / config.temperature
-    if config.strategy == "argmax":
-        return z.argmax(axis=1)
-    if config.strategy == "class_bias":
-        return (z + np.array(config.bias)).argmax(axis=1)
-    p = softmax(z)
-    passes = p >= np.array(config.thresholds)
-    masked = np.where(passes, p, -1.0)
-    return np.where(passes.any(axis=1), masked.argmax(axis=1), p.argmax(axis=1))
+    """Row by row: the best class among those allowed, the first of equals."""
+    out = []
+    for row in np.asarray(z, dtype=float) / config.temperature:
+        score, allowed = row, range(3)
+        if config.strategy == "class_bias":
+            score = [row[c] + config.bias[c] for c in range(3)]
+        if config.strategy == "thresholds":
+            score = softmax(row[None, :])[0]
+            allowed = [c for c in range(3) if score[c] >= config.thresholds[c]] or range(3)
+        out.append(min(allowed, key=lambda c: (-score[c], c)))
+    return np.array(out)
 
 
 EDGES = [
@@ -217,3 +219,29 @@ def test_calibration_report_and_ensemble(spark):
     assert nested.diagnostics.disagreement_rate == pytest.approx((pa != pb).mean())
     assert nested.diagnostics.both_wrong_rate == pytest.approx(((pa != y) & (pb != y)).mean())
     assert len(nested.diagnostics.weight_sweep_val) == 21
+
+
+def test_bias_cells_stay_few_on_low_precision_logits(spark, monkeypatch):
+    """Scores in steps of 1/256 often lie on a quarter; the grid equals direct evaluation."""
+    rng = np.random.default_rng(5)
+    z = rng.integers(-512, 512, size=(4000, 3)) / 256.0
+    y = rng.integers(0, 3, size=len(z))
+    sizes, candidates = [], calibrate._candidates
+
+    def counted(cells, *rest):
+        sizes.append(cells.count())
+        return candidates(cells, *rest)
+
+    monkeypatch.setattr(calibrate, "_candidates", counted)
+    found = calibrate.grid_class_bias(frame(spark, z, y), 1.0).collect()
+    assert len(found) == 289 and sizes[0] < 2500
+    for r in found[::37]:
+        assert np.isclose(r.macro_f1, f1_macro(y, (z + np.array([r.bias_neg, r.bias_neu, 0.0])).argmax(axis=1)))
+
+
+def test_unmatched_or_repeated_rows_of_two_models_end_the_job(spark):
+    own, other = frame(spark, [[0, 1, 2]] * 50), frame(spark, [[2, 1, 0]] * 40)
+    for broken in (other, other.union(frame(spark, [[2, 1, 0]] * 50).where("row_key >= 39"))):
+        with pytest.raises(PySparkException, match="own and"):
+            ensemble.aligned_probabilities(own, broken, [0, 1, 2]).collect()
+    assert ensemble.aligned_probabilities(own, frame(spark, [[2, 1, 0]] * 50), [2, 1, 0]).count() == 50

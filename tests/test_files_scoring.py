@@ -53,7 +53,7 @@ def test_snapshot_is_built_once_and_keeps_text(spark, folders, tmp_path):
 def test_first_usable_text_and_preview(spark, tmp_path):
     (tmp_path / "in.csv").write_text('text\n" "\n"first, ""quoted""\nline"\nsecond\n')
     df = files.read_csv(spark, str(tmp_path / "in.csv"))
-    assert files.first_usable(df).first().text == 'first, "quoted"\nline'
+    assert files.first_usable(df, "monotonically_increasing_id()").first().text == 'first, "quoted"\nline'
     assert files.preview(df, 2).count() == 2
 
 
@@ -104,7 +104,7 @@ def test_scoring_udf(spark):
 
 
 def test_rejected_records_are_not_scored(spark):
-    rid = "66c0f12a9d2b6e41f1701203"
+    rid = "5e1f00d4c0ffee00ba5eba11"
     good = json.dumps({"schema_version": 1, "event_id": "review:" + rid, "review_id": rid, "text": "ok",
                        "emitted_at": "2026-01-01T00:00:00Z"}).encode()
     rows = [(rid.encode(), good, "reviews.v1", 0, 0), (rid.encode(), None, "reviews.v1", 0, 1)]

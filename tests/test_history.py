@@ -6,9 +6,10 @@ from reviewflow.operators import history, ingest
 from reviewflow.operators.sizes import with_keys, without_keys
 from reviewflow.plans import views
 from reviewflow.schema import HISTORY_COLUMNS
+from reviewflow.sources import topics
 from reviewflow.streaming import jobs
 
-RIDS = [f"66c0f12a9d2b6e41f170120{i}" for i in range(1, 10)]
+RIDS = [f"5e1f00d4c0ffee00ba5eba1{i}" for i in range(1, 10)]
 
 
 def rows(spark, *items):
@@ -69,12 +70,74 @@ def test_insert_is_idempotent(spark, tmp_path):
     assert history.counts(stored, "a").collect()[0].n == 1
 
 
-def test_rows_are_deleted_by_rewriting(spark, tmp_path):
-    path, target = str(tmp_path / "a"), str(tmp_path / "b")
-    history.write_history(rows(spark, ("a", RIDS[0], 1, 0, "1"), ("b", RIDS[0], 1, 0, "2"), ("c", RIDS[1], 1, 0, "1")), path)
-    keys = spark.createDataFrame([(RIDS[0],)], "review_id STRING")
-    history.rewrite_without(spark, path, target, keys, "review_id")
-    assert [r.prediction_id for r in history.read_history(spark, target).collect()] == ["c"]
+def files(path):
+    return {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_only_touched_partitions_are_rewritten(spark, tmp_path):
+    path, other = str(tmp_path / "a"), "0" * 24
+    history.write_history(rows(
+        spark, ("a", RIDS[0], 1, 0, "1"), ("b", RIDS[0], 1, 0, "2"), ("c", RIDS[1], 1, 0, "1"), ("d", other, 1, 0, "1")
+    ), path)
+    before = files(tmp_path / "a")
+    keys = spark.createDataFrame([(RIDS[0],), ("f" * 24,)], "review_id STRING")
+    assert history.delete_stored(spark, path, keys, "review_id") == 2
+    assert sorted(r.prediction_id for r in history.read_history(spark, path).collect()) == ["c", "d"]
+    after = files(tmp_path / "a")
+    untouched = {f: t for f, t in before.items() if "review_bucket=000" in str(f)}
+    assert untouched and untouched.items() <= after.items()
+    assert not list((tmp_path / "a" / "model_name=m").glob("model_version=2/review_bucket=*"))
+    assert history.delete_stored(spark, path, keys, "review_id") == 0
+    one = spark.createDataFrame([("d",)], "prediction_id STRING")
+    assert history.delete_stored(spark, path, one, "prediction_id") == 1
+    assert [r.prediction_id for r in history.read_history(spark, path).collect()] == ["c"]
+
+
+def test_compaction_keeps_rows_and_other_partitions(spark, tmp_path):
+    path = str(tmp_path / "a")
+    for i, r in enumerate(RIDS[:4]):
+        history.write_history(rows(spark, (f"p{i}", r, 1, 0, "1")), path)
+    history.write_history(rows(spark, ("q", "0" * 24, 1, 0, "1")), path)
+    before = files(tmp_path / "a")
+    assert len(before) == 5 and history.compact(spark, path) == 1
+    after = files(tmp_path / "a")
+    assert len(after) == 2 and len(set(before.items()) & set(after.items())) == 1
+    assert sorted(r.prediction_id for r in history.read_history(spark, path).collect()) == ["p0", "p1", "p2", "p3", "q"]
+
+
+def test_files_are_sorted_by_review(spark, tmp_path):
+    path = str(tmp_path / "a")
+    shuffled = [RIDS[i] for i in (4, 0, 7, 2, 8, 1)]
+    many = rows(spark, *[(f"{v}{i}", r, i, 0, v) for v in "12" for i, r in enumerate(shuffled)]).repartition(2)
+    history.write_history(many, path)
+    for f in files(tmp_path / "a"):
+        found = [r.review_id for r in spark.read.parquet(str(f)).collect()]
+        assert len(found) == 6 and found == sorted(found)
+
+
+def test_insert_reads_only_partitions_of_the_batch(spark, tmp_path):
+    path = str(tmp_path / "a")
+    history.write_history(rows(spark, ("a", RIDS[0], 1, 0, "1"), ("b", "0" * 24, 1, 0, "1")), path)
+    batch = rows(spark, ("a", RIDS[0], 1, 0, "1"), ("c", RIDS[1], 1, 0, "1"))
+    touched = history.with_bucket(batch).select(*history.PARTITIONS).distinct().collect()
+    scan = history.read_partitions(spark, path).where(history._within(touched)).select("prediction_id")
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "review_bucket" in plan[plan.index("PartitionFilters"):].split("PushedFilters")[0]
+    assert [r.prediction_id for r in scan.collect()] == ["a"]
+    (tmp_path / "a" / "model_name=m" / "model_version=1" / "review_bucket=000").rename(tmp_path / "away")
+    assert history.insert_if_absent(spark, path, batch.drop("stored_at"), F.expr("timestamp_seconds(9)"), [F.asc("predicted_at")]) == 1
+
+
+def test_lookup_of_a_stored_review(spark, tmp_path):
+    path = str(tmp_path / "a")
+    history.write_history(rows(spark, ("a", RIDS[0], 1, 0, "1"), ("b", RIDS[1], 1, 0, "1")), path)
+    assert [r.prediction_id for r in history.lookup_review(spark, path, RIDS[1]).collect()] == ["b"]
+
+
+def test_the_merge_ignores_stored_rows():
+    text = topics.merge_statement("staging", "history")
+    assert "DISTINCT ON (prediction_id)" in text and text.endswith("ON CONFLICT DO NOTHING RETURNING prediction_id")
+    assert "stored_at" not in text and all(c in text for c in HISTORY_COLUMNS[:-1])
 
 
 def test_history_layout_is_pruned_by_model_version(spark, tmp_path):
@@ -87,14 +150,15 @@ def test_history_layout_is_pruned_by_model_version(spark, tmp_path):
     assert "model_version" in filters.split("PushedFilters")[0] and "EqualTo(review_id,x)" in plan
 
 
-@pytest.mark.parametrize("limit", [200_000, 1])
-def test_key_joins_agree_with_and_without_broadcast(spark, monkeypatch, limit):
-    monkeypatch.setattr("reviewflow.operators.sizes.BROADCAST_ROWS", limit)
+@pytest.mark.parametrize("limit", ["10m", "-1"])
+def test_key_joins_agree_with_and_without_broadcast(spark, limit):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     df = spark.range(300).selectExpr("IF(id < 100, 'hot', CAST(id AS STRING)) AS k", "id AS row")
     keys = spark.createDataFrame([("hot",), ("150",), ("150",), ("none",), (None,)], "k STRING")
     kept = {r.row for r in without_keys(df, keys, "k", F.col("row")).collect()}
     assert kept == set(range(100, 300)) - {150}
     assert {r.row for r in with_keys(df, keys, "k", F.col("row")).collect()} == {*range(100), 150}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def reviews(spark, ids):
@@ -150,6 +214,38 @@ def test_incremental_publishing_resumes_and_sees_late_rows_only_with_lookback(sp
     assert c.load() == RIDS[4]
 
 
+def test_ids_are_compared_in_lower_case(spark, tmp_path):
+    spelled = [f"{i:024x}" for i in range(1, 16)]
+    spelled = [s.upper() if i % 2 else s for i, s in enumerate(spelled)]
+    df, start = reviews(spark, spelled), f"{10:024x}"
+    page = [r.review_id for r in ingest.keyset_page(df, start, 3).collect()]
+    assert [p.lower() for p in page] == [f"{i:024x}" for i in (11, 12, 13)]
+    assert ingest.after(df, start.upper()).count() == 5
+    valid = ingest.valid_page(df, start, 9).collect()
+    assert {r.review_id for r in valid} == {f"{i:024x}" for i in range(11, 16)}
+    with pytest.raises(PySparkException, match="contract violated"):
+        ingest.valid_page(reviews(spark, ["zz"]), None, 2).collect()
+    c, keys = cursor(spark, tmp_path), []
+    count = lambda: jobs.publish_after(spark, df, c, lambda r: keys.extend(x.key.decode() for x in r.collect()), page=4)
+    assert [count() for _ in range(5)] == [4, 4, 4, 3, 0]
+    assert keys == sorted(keys) or sorted(keys) == [f"{i:024x}" for i in range(1, 16)]
+
+
+def test_lookback_with_pages_makes_progress_and_repeats_nothing(spark, tmp_path):
+    c, published = cursor(spark, tmp_path), []
+
+    def write(records):
+        published.extend(r.key.decode() for r in records.collect())
+
+    known = lambda: spark.createDataFrame([(p,) for p in published], "review_id STRING")
+    run = lambda ids, **kw: jobs.publish_after(spark, reviews(spark, ids), c, write, page=2, **kw)
+    assert run([RIDS[0], RIDS[4]]) == 2
+    ids = list(RIDS)
+    sizes = [run(ids, lookback="0" * 24, published=known()) for _ in range(4)]
+    assert sizes == [5, 2, 0, 0]  # three late ones and a page, the last page, nothing
+    assert sorted(published) == RIDS and c.load() == RIDS[-1]
+
+
 def test_pages_are_published_until_none_is_left(spark, tmp_path):
     c, published = cursor(spark, tmp_path), []
 

@@ -16,7 +16,7 @@ MODEL = ModelIdentity("m", "1", "run")
 
 
 def rid(i):
-    return f"66c0f12a9d2b6e41f17{i:05d}"
+    return f"5e1f00d4c0ffee00ba5{i:05d}"
 
 
 def append_reviews(spark, path, ids, poison=()):
