@@ -42,26 +42,35 @@ def plain_base64(raw: str) -> str:
     return f"replace(base64({raw}), '\\r\\n', '')"
 
 
-def parse_utc(value: str) -> str:
+def utc_parts(value: str) -> str:
+    """A time text as (local time, fraction, offset), by one match; one entry if it has no such form.
+
+    Kept as a column of its own, it spares :func:`parse_utc` a match per part.
+    """
+    marked = f"regexp_replace({value}, {quoted(_CLOCK)}, concat('$1T$2$3', chr(1), '$4', chr(1), '$5'))"
+    return f"CASE WHEN contains({value}, chr(1)) THEN array('') ELSE split({marked}, chr(1)) END"
+
+
+def parse_utc(value: str, parts: str | None = None) -> str:
     """Instant named by a text with an offset, or by a digit string; else NULL.
 
     A time without an offset is NULL on purpose. Digits past the microsecond
-    are cut.
+    are cut. ``parts`` names a column with the text's :func:`utc_parts`.
     """
-    part = lambda i: f"regexp_extract({value}, {quoted(_CLOCK)}, {i})"
-    seconds = f"coalesce(nullif({part(3)}, ''), ':00')"
-    local = f"concat({part(1)}, 'T', {part(2)}, {seconds}, '.', rpad({part(4)}, 6, '0'), 'Z')"
-    digits = f"regexp_replace({part(5)}, '[^0-9]', '')"
-    hours, minutes = (f"CAST(substring({digits}, {at}, 2) AS INT)" for at in (1, 3))
+    parts = parts or utc_parts(value)
+    local = f"concat(rpad({parts}[0], 19, ':00'), '.', rpad({parts}[1], 6, '0'), 'Z')"
+    zone = f"{parts}[2]"
+    hours = f"CAST(substring({zone}, 2, 2) AS INT)"
+    minutes = f"CAST(right({zone}, 2) AS INT)"
     shift = (
-        f"CASE WHEN {digits} = '' THEN 0 WHEN {hours} < 24 AND {minutes} < 60 "
-        f"THEN ({hours} * 60 + {minutes}) * IF(startswith({part(5)}, '+'), 1, -1) END"
+        f"CASE WHEN length({zone}) = 1 THEN 0 WHEN {hours} < 24 AND {minutes} < 60 "
+        f"THEN ({hours} * 60 + {minutes}) * IF(startswith({zone}, '+'), 1, -1) END"
     )
     clock = f"timestamp_micros(unix_micros(try_to_timestamp({local})) - ({shift}) * 60000000L)"
     number = f"try_cast({value} AS DECIMAL(30, 9))"
     micros = f"round({number} * IF(abs({number}) > {_MILLIS_FROM}, 1000, 1000000))"
     return (
-        f"CASE WHEN {matches(value, _CLOCK)} THEN {clock} "
+        f"CASE WHEN size({parts}) = 3 THEN {clock} "
         f"WHEN {matches(value, _NUMBER)} THEN timestamp_micros(try_cast({micros} AS BIGINT)) END"
     )
 

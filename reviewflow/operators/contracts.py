@@ -126,12 +126,16 @@ def check_constraints(df: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- JSON events
-def _member(path: str, as_type: str) -> str:
-    return f"try_variant_get(_doc, '$.{path}', '{as_type}')" if path else f"try_variant_get(_doc, '$', '{as_type}')"
+_END = "end of the payload"
+
+
+def _v(path: str) -> str:
+    """The column that holds a member as VARIANT."""
+    return "_v_" + path.replace(".", "_")
 
 
 def _type_of(path: str) -> str:
-    return f"coalesce(schema_of_variant({_member(path, 'variant')}), 'MISSING')"
+    return "_t_" + path.replace(".", "_")
 
 
 def _absent(path: str) -> str:
@@ -139,28 +143,49 @@ def _absent(path: str) -> str:
     return f"{_type_of(path)} IN ('MISSING', 'VOID')"
 
 
+def _as(path: str, as_type: str) -> str:
+    return f"try_variant_get({_v(path)}, '$', '{as_type}')"
+
+
 def _string(path: str) -> str:
-    return f"CASE WHEN {_type_of(path)} = 'STRING' THEN {_member(path, 'string')} END"
+    return f"CASE WHEN {_type_of(path)} = 'STRING' THEN {_as(path, 'string')} END"
 
 
 def _number(path: str) -> str:
-    return f"CASE WHEN {matches(_type_of(path), _NUMBER_TYPES)} THEN {_member(path, 'double')} END"
+    return f"CASE WHEN {matches(_type_of(path), _NUMBER_TYPES)} THEN {_as(path, 'double')} END"
 
 
 def _literal(path: str) -> str:
     """A number or boolean usable as a literal integer."""
-    return f"CASE WHEN {matches(_type_of(path), _LITERAL_TYPES)} THEN {_member(path, 'double')} END"
+    return f"CASE WHEN {matches(_type_of(path), _LITERAL_TYPES)} THEN {_as(path, 'double')} END"
 
 
-def _unknown(path: str, allowed: tuple[str, ...]) -> str:
-    """Whether the object at ``path`` has a member beyond the allowed ones."""
-    members = _member(path, "map<string,variant>")
-    if path:
-        members = f"CASE WHEN startswith({_type_of(path)}, 'OBJECT') THEN {members} END"
+def _unknown(members: str, allowed: tuple[str, ...]) -> str:
+    """Whether an object's map of members has one beyond the allowed ones."""
     listed = ", ".join(f"'{a}'" for a in allowed)
     return f"coalesce(size(array_except(map_keys({members}), array({listed}))) > 0, false)"
 
 
+def _with_members(df: DataFrame, raw: list[str], fields: tuple[str, ...], nested: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Add each member of ``_doc`` as VARIANT (``_v_...``) and its type (``_t_...``), taken once.
+
+    The members of an object are read in one go, as a map; ``_m`` and
+    ``_m_<name>`` keep the maps of the document and of its nested objects.
+    """
+    def typed(df: DataFrame, paths: list[str], source: str) -> DataFrame:
+        taken = [f"{source}['{p.split('.')[-1]}'] AS {_v(p)}" for p in paths]
+        df = df.selectExpr("*", *taken)
+        return df.selectExpr("*", *[f"coalesce(schema_of_variant({_v(p)}), 'MISSING') AS {_type_of(p)}" for p in paths])
+
+    df = df.selectExpr(*raw, "_doc", "try_variant_get(_doc, '$', 'map<string,variant>') AS _m")
+    df = typed(df, list(fields), "_m")
+    for name in nested:
+        members = f"try_variant_get({_v(name)}, '$', 'map<string,variant>')"
+        df = df.selectExpr("*", f"CASE WHEN startswith({_type_of(name)}, 'OBJECT') THEN {members} END AS _m_{name}")
+        df = typed(df, [f"{name}.{x}" for x in nested[name]], f"_m_{name}")
+    return df
+
+
 def _lone_surrogate(text: str) -> str:
     """Whether a JSON text escapes half of a surrogate pair, which is not valid text."""
     pair = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
@@ -173,11 +198,13 @@ def _with_document(records: DataFrame) -> DataFrame:
     """Add the payload as VARIANT ``_doc``, NULL unless it is one whole JSON object.
 
     The JSON reader stops after the first value, so the payload is read as the
-    first of two list items; the second, a digest of the payload that the
-    payload cannot contain, proves that nothing else came between.
+    first of two list items; the second, a text that the payload does not
+    contain, proves that nothing else came between. It is a fixed one, or, for a
+    payload that contains that, the payload's digest.
     """
     text = "CASE WHEN is_valid_utf8(value) THEN CAST(value AS STRING) END AS _text"
-    df = records.selectExpr("*", text, "md5(value) AS _digest")
+    df = records.selectExpr("*", text)
+    df = df.selectExpr("*", f"IF(contains(_text, '{_END}'), md5(value), '{_END}') AS _digest")
     listed = "concat('[', _text, ',\"', _digest, '\"]')"
     df = df.selectExpr("*", f"CASE WHEN NOT ({_lone_surrogate('_text')}) THEN try_parse_json({listed}) END AS _list")
     whole = (
@@ -236,14 +263,14 @@ def parse_review_events(records: DataFrame) -> DataFrame:
     ``event`` is NULL exactly when ``error_type`` is set; no record is dropped.
     """
     raw = records.columns
-    df = _with_document(records).selectExpr(
+    df = _with_members(_with_document(records), raw, REVIEW_EVENT_FIELDS, {}).selectExpr(
         *raw,
         "_doc",
-        f"{_unknown('', REVIEW_EVENT_FIELDS)} AS _unknown_field",
+        f"{_unknown('_m', REVIEW_EVENT_FIELDS)} AS _unknown_field",
         f"{_literal('schema_version')} AS _version",
         f"{_string('event_id')} AS _event_id",
         # Any JSON scalar is read as text here, as ids are normalised from text.
-        f"{_member('review_id', 'string')} AS _review_text",
+        f"{_as('review_id', 'string')} AS _review_text",
         f"{_absent('movie_id')} AS _no_movie",
         f"{_string('movie_id')} AS _movie_id",
         f"{_string('text')} AS _body",
@@ -251,11 +278,14 @@ def parse_review_events(records: DataFrame) -> DataFrame:
         f"{_string('source_created_at')} AS _created_text",
         f"{_string('emitted_at')} AS _emitted_text",
     )
+    df = df.selectExpr(
+        "*", f"{ids.utc_parts('_created_text')} AS _created_parts", f"{ids.utc_parts('_emitted_text')} AS _emitted_parts"
+    )
     df = df.selectExpr(
         "*",
         f"{ids.object_id('_review_text')} AS _review_id",
-        f"{ids.parse_utc('_created_text')} AS _created",
-        f"{ids.parse_utc('_emitted_text')} AS _emitted",
+        f"{ids.parse_utc('_created_text', '_created_parts')} AS _created",
+        f"{ids.parse_utc('_emitted_text', '_emitted_parts')} AS _emitted",
         f"{matches('_event_id', ids.EVENT_ID_PATTERN)} AS _event_ok",
     )
     rules = [
@@ -280,12 +310,13 @@ def parse_review_events(records: DataFrame) -> DataFrame:
 def parse_prediction_events(records: DataFrame) -> DataFrame:
     """As :func:`parse_review_events`, for prediction records."""
     raw = records.columns
-    df = _with_document(records).selectExpr(
+    nested = {"probabilities": LABELS, "model": ("name", "version", "run_id")}
+    df = _with_members(_with_document(records), raw, PREDICTION_EVENT_FIELDS, nested).selectExpr(
         *raw,
         "_doc",
-        f"{_unknown('', PREDICTION_EVENT_FIELDS)} AS _unknown_field",
-        f"{_unknown('probabilities', LABELS)} AS _unknown_probability",
-        f"{_unknown('model', ('name', 'version', 'run_id'))} AS _unknown_model_field",
+        f"{_unknown('_m', PREDICTION_EVENT_FIELDS)} AS _unknown_field",
+        f"{_unknown('_m_probabilities', LABELS)} AS _unknown_probability",
+        f"{_unknown('_m_model', nested['model'])} AS _unknown_model_field",
         f"{_literal('schema_version')} AS _version",
         f"{_literal('label_id')} AS _label_id",
         f"{_string('sentiment')} AS _sentiment",
@@ -293,7 +324,7 @@ def parse_prediction_events(records: DataFrame) -> DataFrame:
         *[f"{_number(f'probabilities.{x}')} AS _p_{x}" for x in LABELS],
         f"{_string('prediction_id')} AS _prediction_id",
         f"{_string('source_event_id')} AS _source",
-        f"{_member('review_id', 'string')} AS _review_text",
+        f"{_as('review_id', 'string')} AS _review_text",
         f"{_absent('movie_id')} AS _no_movie",
         f"{_string('movie_id')} AS _movie_id",
         f"{_absent('source_created_at')} AS _no_created",
@@ -304,11 +335,14 @@ def parse_prediction_events(records: DataFrame) -> DataFrame:
         f"{_absent('model.run_id')} AS _no_run",
         f"{_string('model.run_id')} AS _run_id",
     )
+    df = df.selectExpr(
+        "*", f"{ids.utc_parts('_created_text')} AS _created_parts", f"{ids.utc_parts('_predicted_text')} AS _predicted_parts"
+    )
     df = df.selectExpr(
         "*",
         f"{ids.object_id('_review_text')} AS _review_id",
-        f"{ids.parse_utc('_created_text')} AS _created",
-        f"{ids.parse_utc('_predicted_text')} AS _predicted",
+        f"{ids.parse_utc('_created_text', '_created_parts')} AS _created",
+        f"{ids.parse_utc('_predicted_text', '_predicted_parts')} AS _predicted",
         f"{matches('_source', ids.EVENT_ID_PATTERN)} AS _source_ok",
         f"{matches('_prediction_id', ids.PREDICTION_ID_PATTERN)} AS _id_ok",
         f"{ids.prediction_id('_source', '_name', '_model_version')} AS _expected_id",
