@@ -14,13 +14,13 @@ import statistics
 import time
 
 from reviewflow.plans.queries import queries
-from reviewflow.session import build_session
+from reviewflow.session import build_session, clear_work
 
 HEADLINE = (
     "sentiment_summary latest_prediction decide_class_bias prediction_events event_envelope validate_event "
     "validate_prediction_event route_by_topic dead_letters clean_corpus clean_report stratified_split "
     "length_profile head_tail eval_metrics grid_class_bias grid_thresholds calibration_report "
-    "ensemble_sweep insert_if_absent scored_predictions"
+    "ensemble_sweep insert_if_absent scored_predictions quarantine_split history_table stream_history text_classifier"
 ).split()
 
 
@@ -40,6 +40,7 @@ def main() -> None:
             start = time.perf_counter()
             registered[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             taken.append(time.perf_counter() - start)
+            clear_work(spark)
         times[name] = round(statistics.median(taken[1:]), 4)
     spark.stop()
     total = round(sum(times.values()), 4)

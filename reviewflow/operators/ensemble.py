@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewflow.functions import double
+from reviewflow.functions import double, quoted
 from reviewflow.functions.decision import first_max, names, with_scores, with_softmax
 from reviewflow.operators.metrics import Tally
 from reviewflow.operators.rules import require
@@ -81,11 +81,15 @@ def diagnostics(aligned: DataFrame) -> DataFrame:
     return aligned.agg(*_diagnostics())
 
 
-def evaluate(validation: DataFrame, test: DataFrame) -> DataFrame:
+def evaluate(
+    validation: DataFrame, test: DataFrame, external_name: str, permutation: list[int]
+) -> DataFrame:
     """Choose the weight on validation, evaluate on test: one nested report row.
 
-    The test rows are read once for both models, the mix and the diagnostics.
+    The test rows are read once for both models, the mix and the diagnostics. The
+    report names the external model and the permutation of its classes.
     """
+    order = ", ".join(map(str, permutation))
     swept = weight_sweep(validation).orderBy("grid_idx").collect()  # 21 rows
     best = max(swept, key=lambda r: (r.macro_f1, -r.grid_idx))
     own, external, mixed = Tally("own_"), Tally("external_"), Tally("ensemble_")
@@ -109,7 +113,7 @@ def evaluate(validation: DataFrame, test: DataFrame) -> DataFrame:
     gain = f"{mixed.macro(mixed.f1)} - {own.macro(own.f1)} AS gain_over_own"
     return tallied.selectExpr(
         f"struct({tested(own)}) AS own_model",
-        f"struct({tested(external)}) AS external_model",
+        f"struct({quoted(external_name)} AS name, array({order}) AS permutation, {tested(external)}) AS external_model",
         f"struct({double(best.weight)} AS best_weight_own, {double(best.macro_f1)} AS val_macro_f1, "
         f"{tested(mixed)}, {gain}) AS ensemble",
         f"struct(disagreement_rate, both_wrong_rate, array({sweep}) AS weight_sweep_val) AS diagnostics",

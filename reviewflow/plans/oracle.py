@@ -8,7 +8,7 @@ broken record must yield follows from its source instead of from parsing it.
 from __future__ import annotations
 
 from reviewflow.plans import views
-from reviewflow.plans.queries import CLASS_LOSS_WEIGHTS, CUES, CUE_SCALE, CURSOR, LOOKUP_ROW, TEMPERATURES
+from reviewflow.plans.queries import CLASS_LOSS_WEIGHTS, CUES, CUE_SCALE, CURSOR, LOOKUP_ROW, SECOND_CUES, TEMPERATURES
 
 T = f"{views.TEMPERATURE!r}::DOUBLE"
 NAMES = ("neg", "neu", "pos")
@@ -574,11 +574,20 @@ def oracle_sql() -> dict[str, str]:
         ("o", f"SELECT {macro(F1)} AS f FROM o_s"), ("x", f"SELECT {macro(F1)} AS f FROM x_s"),
         ("e", f"SELECT {macro(F1)} AS f, " + ", ".join(f"{F1[c]} AS f{c}" for c in range(3)) + " FROM e_s"),
         ("g", f"SELECT {DISAGREE} AS dis, {BOTH_WRONG} AS wrong FROM ts"),
-        final="SELECT round(o.f, 9) AS own_macro_f1, round(x.f, 9) AS external_macro_f1, round(best.w, 9) AS best_weight, "
+        final="SELECT 'external-demo' AS external_name, '2,0,1' AS external_permutation, round(o.f, 9) AS own_macro_f1, round(x.f, 9) AS external_macro_f1, round(best.w, 9) AS best_weight, "
               "round(best.f, 9) AS val_macro_f1, round(e.f, 9) AS ensemble_macro_f1, round(e.f0, 9) AS ensemble_f1_neg, "
               "round(e.f1, 9) AS ensemble_f1_neu, round(e.f2, 9) AS ensemble_f1_pos, round(e.f - o.f, 9) AS gain, "
               "round(dis, 9) AS disagreement_rate, round(wrong, 9) AS both_wrong_rate FROM o, x, e, g, best")
 
+    count = lambda c, i: f"{dbl(CUE_SCALE)} * (length(text) - length(replace(text, '{c}', ''))) / length(text)::DOUBLE AS z{i}"
+    cues = lambda chosen: ", ".join(count(c, i) for i, c in enumerate(chosen))
+    sql["ensemble_scored"] = nested(
+        CORPUS, ("own", "SELECT doc_id, label_id, text FROM corpus WHERE text != ''"),
+        ("oz", f"SELECT doc_id AS row_key, label_id, {cues(CUES)} FROM own"), *softmax("pa", "oz"),
+        ("xt", f"SELECT doc_id, {TOKENS} AS t FROM own"), ("xs", f"SELECT doc_id, array_to_string({cut(254, 128, 126)}, ' ') AS text FROM xt"),
+        ("xz", f"SELECT doc_id AS row_key, {cues(SECOND_CUES)} FROM xs"), *softmax("pb", "xz"),
+        ("al", "SELECT a.row_key, a.label_id, a.p0 AS a0, a.p1 AS a1, a.p2 AS a2, b.p2 AS b0, b.p0 AS b1, b.p1 AS b2 FROM pa a JOIN pb b USING (row_key)"),
+        *sweep("al"), final="SELECT grid_idx::INTEGER AS grid_idx, round(w, 9) AS weight, round(f, 9) AS macro_f1 FROM sw")
     sql["keyset_page"] = nested(REVIEWS, final=(
         f"SELECT review_id, md5(text) AS text_md5 FROM reviews WHERE review_id > '{CURSOR}' ORDER BY review_id LIMIT 50"))
     sql["keyset_mixed_case"] = nested(REVIEWS, final=(

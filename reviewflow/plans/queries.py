@@ -36,6 +36,7 @@ from reviewflow.sources import files, topics
 from reviewflow.streaming import jobs
 
 CUES, CUE_SCALE = ("e", "a", "n"), 16.0
+SECOND_CUES = ("o", "t", "i")  # in the second scorer's class order
 CURSOR = "0" * 21 + "064"  # the id of document 100
 LOOKUP_ROW = 7
 TEMPERATURES = [0.5, 1.0, 1.3, 2.0]
@@ -362,11 +363,26 @@ def calibration_report(spark, sf):
 
 
 # --------------------------------------------------------------------------- ensemble
+def _permutation() -> list[int]:
+    return decision.class_permutation(views.EXTERNAL_NAMES, views.EXTERNAL_TO_LABEL)
+
+
 def _aligned(spark, sf):
-    permutation = decision.class_permutation(views.EXTERNAL_NAMES, views.EXTERNAL_TO_LABEL)
     return ensemble.aligned_probabilities(
-        views.logits_a(spark, sf), views.logits_b(spark, sf, external=True), permutation
+        views.logits_a(spark, sf), views.logits_b(spark, sf, external=True), _permutation()
+    )
+
+
+def ensemble_scored(spark, sf):
+    """Weights for two scorers over the same texts, the second with its own class order and text profile."""
+    texts = views.corpus(spark, sf).where("text != ''").select("doc_id", "label_id", "text")
+    short = head_tail("t", SHORT_MAX_LENGTH, SHORT_HEAD_TOKENS, SHORT_TAIL_TOKENS)
+    cut = texts.selectExpr("doc_id", f"{tokens('text')} AS t").selectExpr("doc_id", f"array_join({short}, ' ') AS text")
+    second = scoring.scorer_udf("cue:2", lambda: scoring.CueScorer(SECOND_CUES, CUE_SCALE))
+    aligned = ensemble.aligned_probabilities(
+        scoring.score(texts, cue_udf()), scoring.score(cut, second), _permutation(), "doc_id"
     )
+    return ensemble.weight_sweep(aligned).selectExpr("grid_idx", r9("weight"), r9("macro_f1"))
 
 
 def ensemble_probs(spark, sf):
@@ -386,8 +402,10 @@ def ensemble_diagnostics(spark, sf):
 
 def ensemble_report(spark, sf):
     """The mixing weight chosen on validation rows, evaluated once on test rows."""
-    report = ensemble.evaluate(*_split_logits(_aligned(spark, sf)))
+    report = ensemble.evaluate(*_split_logits(_aligned(spark, sf)), "external-demo", _permutation())
     return report.selectExpr(
+        "external_model.name AS external_name",
+        "array_join(transform(external_model.permutation, x -> CAST(x AS STRING)), ',') AS external_permutation",
         r9("own_model.test_macro_f1", "own_macro_f1"),
         r9("external_model.test_macro_f1", "external_macro_f1"),
         r9("ensemble.best_weight_own", "best_weight"),
@@ -660,7 +678,7 @@ def queries():
         class_counts, stratified_split, class_shares, class_weights, length_profile, confusion,
         per_class_report, eval_metrics, weighted_ce, nll_by_temperature, temperature_fit,
         grid_class_bias, grid_thresholds, strategy_compare, strategy_select, heldout_gain,
-        calibration_report, ensemble_probs, ensemble_sweep, ensemble_diagnostics, ensemble_report,
+        calibration_report, ensemble_probs, ensemble_sweep, ensemble_diagnostics, ensemble_report, ensemble_scored,
         keyset_page, advance_cursor, next_offsets, insert_if_absent, history_lookup,
         keyset_mixed_case, lookback_publish, history_compact,
         history_counts, history_delete, history_table, corpus_snapshot, corpus_csv, decide_from_report,

@@ -213,7 +213,8 @@ def test_calibration_report_and_ensemble(spark):
     best = [f1_macro(y, (w * a + (1 - w) * b).argmax(axis=1)) for w in weights]
     got = [r.macro_f1 for r in ensemble.weight_sweep(al).orderBy("grid_idx").collect()]
     assert np.allclose(got, best, atol=1e-12)
-    nested = ensemble.evaluate(al, al).first()
+    nested = ensemble.evaluate(al, al, "other", [2, 0, 1]).first()
+    assert nested.external_model.name == "other" and nested.external_model.permutation == [2, 0, 1]
     assert nested.ensemble.best_weight_own == weights[int(np.argmax(best))]
     pa, pb = a.argmax(axis=1), b.argmax(axis=1)
     assert nested.diagnostics.disagreement_rate == pytest.approx((pa != pb).mean())
