@@ -105,4 +105,13 @@ def stored(df, purpose: str, *partition_by: str):
     spark = df.sparkSession
     path = work_folder(spark, purpose)
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def discard(*frames) -> None:
+    """Remove the folders of frames made by :func:`stored` that nothing will read any more."""
+    for frame in frames:
+        folder, files = _hadoop(frame.sparkSession, frame._stored_at)
+        files.delete(folder, True)
