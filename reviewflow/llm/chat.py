@@ -24,7 +24,8 @@ def perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     part; parts follow each other in order of their number, and mask offsets are
     within the part. A participant is a role other than ``system``; a turn whose
     role is null is a user without a name and no participant. Turns are in order
-    of turn, role, text, nulls last; a null text is empty. Identical rows are one
+    of turn, role (null last) and text; a null text is empty, and turns without a
+    number form a part of their own, whose number is null. Identical rows are one
     turn. Rows without conv_id form a dialogue of their own. In texts and names
     ``<|`` is written ``<\\|``, so that no text can imitate a mark. Other columns
     are not read; a dialogue without participants has no rows.
@@ -33,7 +34,7 @@ def perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     rows = turns.select(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), safe("text").alias("text")
     ).withColumn("known", F.col("conv_id").isNotNull()).withColumn("conv_id", F.coalesce("conv_id", F.lit(0)))
-    rows = rows.withColumn("part", F.floor(F.coalesce("turn", F.lit(-1)) / part_turns)).distinct()
+    rows = rows.withColumn("part", F.floor(F.col("turn") / part_turns)).distinct()
     parts = rows.groupBy("known", "conv_id", "part").agg(
         F.sort_array(F.collect_list(F.struct(
             F.col("turn").isNull().alias("no_turn"), "turn", F.col("role").isNull().alias("no_role"), "role", "text",

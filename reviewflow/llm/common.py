@@ -14,19 +14,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def hot_keys(counts: DataFrame, keys: list[str], rows: int, count: str = "n") -> DataFrame:
+    """The keys of ``counts`` with more than ``rows / HOT_SHARE`` of the ``rows`` rows, and their salts.
+
+    They are HOT_SHARE at most, so the table may be broadcast at any size of data.
+    """
+    salts = F.ceil(F.col(count) * F.lit(HOT_SHARE) / F.lit(max(rows, 1))).cast("int")
+    return counts.where(salts > 1).select(*keys, salts.alias("_salts"))
+
+
 def spread_join(
-    left: DataFrame, right: DataFrame, keys: list[str], rows: int, spread: Column, how: str = "inner", count: str = "n"
+    left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, spread: Column, how: str = "inner"
 ) -> DataFrame:
-    """Equi-join in which no key gathers more than about ``rows / HOT_SHARE`` left rows in a task.
+    """Equi-join in which a hot key of ``left`` is shared by many tasks.
 
-    ``right`` has one row per key and in ``count`` how many of the ``rows`` left
-    rows have it. The right row of a hot key is repeated once per salt. Only hot
-    keys and their number of salts are broadcast: HOT_SHARE short rows at most.
+    ``right`` has one row per key; that of a hot key is repeated once per salt, and
+    left rows are salted by ``spread``. Each side is shuffled once, by key and salt.
     """
-    salts = F.greatest(F.lit(1), F.ceil(F.col(count) * F.lit(HOT_SHARE) / F.lit(max(rows, 1)))).cast("int")
-    hot = right.where(salts > 1).select(*keys, salts.alias("_salts"))
-    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    dealt = left.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int"), F.lit(0))
-    )
-    return dealt.drop("_salts").join(salted, [*keys, "_salt"], how).drop("_salt")
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
+    copies = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return dealt.drop("_salts").join(copies.drop("_salts"), [*keys, "_salt"], how).drop("_salt")

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewflow.llm.common import spread_join
-from reviewflow.session import ship_package, stored
+from reviewflow.llm.common import hot_keys, spread_join
+from reviewflow.session import discard, ship_package, stored
 
 PRIMES = (2147483629, 2147483587)  # below 2**31
 BASES = (1000003, 998244353)
@@ -195,9 +195,10 @@ def dedup(docs: DataFrame, primes: tuple[int, int] = PRIMES, segment: int = SEGM
     prints = stored(fingerprints(docs, primes, segment), "exact-prints")
     rows = prints.count()
     groups = prints.groupBy(*keys).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
-    dealt = spread_join(prints, groups, keys, rows, F.col("doc_id"), "left")
-    dealt = stored(dealt.select(*prints.columns, "keep_id", F.coalesce("n", F.lit(1)).alias("group_size")), "exact-groups")
+    dealt = spread_join(prints, groups, keys, hot_keys(groups, keys, rows), F.col("doc_id"), "left")
+    dealt = stored(dealt.select(*keys, "doc_id", "text_sha256", "keep_id", F.coalesce("n", F.lit(1)).alias("group_size")), "exact-groups")
 
+    discard(prints)
     differ = stored(_differing(docs, dealt), "exact-differing")
     if not differ.isEmpty():
         dealt = _divide(docs, dealt, differ)

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewflow.llm.common import spread_join
-from reviewflow.session import stored
+from reviewflow.llm.common import hot_keys, spread_join
+from reviewflow.session import discard, stored
 
 MIN_SITES = 8
 SKETCH_BITS = 10  # 2**10 registers: a standard error of 3.3 %
@@ -69,11 +69,12 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     keys = ["h1", "h2"]
     lines = stored(line_occurrences(docs), "line-hashes")
     common = stored(boilerplate(lines, min_sites), "line-common")
-    hits = spread_join(lines, common, keys, lines.count(), F.xxhash64("doc", "no"))
+    hits = spread_join(lines, common, keys, hot_keys(common, keys, lines.count()), F.xxhash64("doc", "no"))
     stays = F.col("first").eqNullSafe(F.struct(F.col("doc").isNull().alias("no_doc"), "doc", "no"))
     removed = hits.where(~stays).groupBy("doc").agg(F.collect_set("no").alias("removed"))
     # A row without doc_id is found again by no join; such rows are rare and keep their lines.
-    removed = removed.where("doc IS NOT NULL")
+    removed = stored(removed.where("doc IS NOT NULL"), "line-removed")
+    discard(lines, common)
 
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"))
     joined = rows.join(removed.hint("shuffle_hash"), "doc", "left")

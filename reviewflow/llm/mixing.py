@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewflow.llm.common import spread_join
+from reviewflow.llm.common import hot_keys, spread_join
 from reviewflow.llm.words import count_words
 from reviewflow.session import ship_package, stored
 
@@ -140,11 +140,9 @@ def mix(
 
 def _join_source(left: DataFrame, goals: DataFrame, rows: int, known: Column) -> DataFrame:
     """Attach a source's row to its documents; a hot source is dealt to many tasks."""
-    joined = spread_join(
-        left.withColumn("_source", known), goals.withColumn("_source", known).drop("source"),
-        ["_source"], rows, F.col("doc_id"),
-    )
-    return joined.drop("_source", "n")
+    goals = goals.withColumn("_source", known).drop("source")
+    hot = hot_keys(goals, ["_source"], rows)
+    return spread_join(left.withColumn("_source", known), goals, ["_source"], hot, F.col("doc_id")).drop("_source", "n")
 
 
 def _round(units: DataFrame, seed: int, bucket: int, fan_in: int) -> DataFrame:
@@ -181,8 +179,5 @@ def _round(units: DataFrame, seed: int, bucket: int, fan_in: int) -> DataFrame:
     # All open units of a source have the same whole part.
     wholes = start.where(open_).groupBy("source").agg(F.max("whole").alias("whole"), F.count("*").alias("n"))
     known = F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))
-    open_copies = spread_join(
-        ends.withColumn("_source", known), wholes.withColumn("_source", known).drop("source"), ["_source"],
-        start.count(), F.col("doc_id"),
-    )
+    open_copies = _join_source(ends, wholes, start.count(), known)
     return free.unionByName(open_copies.select("source", "doc_id", (F.col("whole") + F.col("p")).cast("long").alias("copies")))

@@ -2,38 +2,48 @@
 
 Two sets whose Jaccard similarity reaches a threshold t share a token among the
 first ``n - ceil(t n) + 1`` of each, under every order of all tokens. Tokens are
-64-bit hashes of word shingles. All orders put tokens that are frequent in the
-corpus last, by their counts, and otherwise follow a different hash each.
+64-bit hashes of word shingles. The first order puts shingles of rare words first,
+the others follow a hash each; all put shingles that are frequent in the corpus
+last, by their counts.
 
-1. Counting: frequent tokens by lossy counting over all documents. The list only
-   shapes the orders, never the result, and is bounded.
+1. Counting: frequent words and shingles by lossy counting over all documents. The
+   lists only shape the orders, never the result, and are bounded.
 2. Index: prefix tokens under the first order. Documents of one task with the same
    set are linked at once, and only one of them is indexed.
-3. First round: in every token's group each document meets the group's least one.
-4. Second round: documents that share a token but are in different components so
+3. Star rounds: in its largest groups, a document meets one member of the group
+   that is in another component so far.
+4. Last round: documents that share a token but are in different components so
    far meet, unless they have met. Components decide the result, so links inside
    a component need no test.
-A pair must also share prefix tokens under the other orders, before its whole
-sets are compared.
+A pair must also share prefix tokens under every other order, and its prefixes
+must not show more differing tokens than the threshold allows; only then are the
+whole sets compared. A pair that fails there may have hidden others from the last
+round, which is then repeated.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewflow.llm.common import spread_join
+from reviewflow.llm.common import hot_keys, spread_join
 from reviewflow.llm.components import components
-from reviewflow.llm.words import mix, shingle_sets
-from reviewflow.session import ship_package, stored
+from reviewflow.llm.words import mix, shingle_sets, word_hashes
+from reviewflow.session import discard, ship_package, stored
 
 ORDERS = 3
-WINDOW = 1 << 22  # tokens counted together in a task
-FREQUENT = 2000  # a token is frequent in one of so many documents, or more
-LISTED = 1 << 17  # frequent tokens listed at most: 2 MB
+WINDOW = 1 << 22  # shingles counted together in a task
+FREQUENT = 2000  # a shingle is frequent in one of so many documents, or more
+LISTED = 1 << 16  # frequent shingles listed at most: 1 MB
+WORDS = 1 << 15  # frequent words listed at most: 0.5 MB
+STARS, LEADERS = 2, 3  # rounds, and members that a document meets in each
 ROWS = 4096
+REMEMBERED = 1 << 16  # sets of a task by which copies are known
+BITMAP = 1 << 22  # bits: 512 KB
 
 
 def _slices(batch: pa.RecordBatch):
@@ -42,133 +52,132 @@ def _slices(batch: pa.RecordBatch):
 
 
 def _count_frequent(size: int):
-    """(token, documents) of tokens that several documents of a window share."""
+    """(kind, token, n): words (0) and shingles (1) that occur several times in a window.
+
+    A word counts each time, a shingle once a document.
+    """
 
-    def emit(sets: list[np.ndarray], docs: int):
-        tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-        many = counts >= max(4, docs // FREQUENT)
+    def emit(kind: int, parts: list[np.ndarray], least: int):
+        tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
+        many = counts >= least
         return pa.RecordBatch.from_arrays(
-            [pa.array(tokens[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], names=["token", "docs"]
+            [pa.array(np.full(many.sum(), kind, np.int8)), pa.array(tokens[many].view(np.int64)), pa.array(counts[many].astype(np.int64))],
+            names=["kind", "token", "n"],
         )
 
     def run(batches):
-        held, total = [], 0
+        words, sets, total = [], [], 0
         for batch in batches:
             for part in _slices(batch):
+                words.append(word_hashes(part.column(0))[0])
                 for tokens in shingle_sets(part.column(0), size):
-                    held.append(tokens)
+                    sets.append(tokens)
                     total += len(tokens)
                     if total >= WINDOW:
-                        yield emit(held, len(held))
-                        held, total = [], 0
+                        yield emit(0, words, 4)
+                        yield emit(1, sets, max(4, len(sets) // FREQUENT))
+                        words, sets, total = [np.zeros(0, np.uint64)], [], 0
         if total:
-            yield emit(held, len(held))
+            yield emit(0, words, 4)
+            yield emit(1, sets, max(4, len(sets) // FREQUENT))
 
     return run
 
 
 class Orders:
-    """The global token orders: listed tokens last by count, others by a hash."""
+    """The global token orders: listed shingles last by count, others by rarity or a hash.
 
-    def __init__(self, tokens: list[int], counts: list[int]):
-        listed = np.array(tokens, dtype=np.int64).view(np.uint64)
-        order = np.argsort(listed)
-        self.tokens, self.counts = listed[order], np.array(counts, dtype=np.int64)[order]
+    A key is a token's place under an order in 32 bits; tokens that fall on the
+    same key only weaken the filters.
+    """
 
-    def prefixes(self, tokens: np.ndarray, percent: int, orders: int) -> list[np.ndarray]:
+    def __init__(self, shingles: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray]):
+        self.tokens, counts = self._sorted(shingles)
+        self.rank = np.argsort(np.argsort(counts, kind="stable"), kind="stable")
+        self.words, counts = self._sorted(words)
+        self.weight = np.minimum(np.round(2 * np.log2(np.maximum(counts, 1))), 63).astype(np.int64)
+
+    @staticmethod
+    def _sorted(counted: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        tokens, counts = counted[0].view(np.uint64), counted[1]
+        order = np.argsort(tokens)
+        return tokens[order], counts[order]
+
+    def weigh(self, words: np.ndarray) -> np.ndarray:
+        """How common each word is: twice the binary logarithm of its count, 0 if not listed."""
+        if not len(self.words):
+            return np.zeros(len(words), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.weight[at], 0)
+
+    def prefix(self, tokens: np.ndarray, weights: np.ndarray, percent: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """The prefix tokens under an order and their keys, rising."""
         n = len(tokens)
         k = n + (-percent * n // 100) + 1 if n else 0
-        weight = None
+        keys = mix(tokens, order + 11)
+        if order:
+            keys = (keys >> np.uint64(33)).astype(np.int64)
+        else:
+            keys = (np.minimum(weights, 255) << 22) + (keys >> np.uint64(42)).astype(np.int64)
+        keys -= 1 << 31
         if len(self.tokens):
             at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-            found = self.tokens[at] == tokens
-            weight = np.where(found, self.counts[at], 0) if found.any() else None
-        out = []
-        for i in range(orders):
-            key = mix(tokens, i + 11)
-            if weight is None:
-                out.append(tokens[np.argpartition(key, k - 1)[:k]] if k < n else tokens)
-            else:
-                out.append(tokens[np.lexsort((key, weight))[:k]])
-        return out
-
-
-def _index(size: int, percent: int, orders: Orders):
-    """Rows (kind, doc, other, token): 0 a document and its set size, 1 a prefix token, 2 a copy of another."""
-
-    def run(batches):
-        seen: dict[bytes, int] = {}
-        for batch in batches:
-            for part in _slices(batch):
-                kinds, docs, others, tokens = [], [], [], []
-                for doc, found in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), size)):
-                    kinds.append(np.zeros(1, np.int8))
-                    docs.append(doc)
-                    others.append(np.array([len(found)], np.int64))
-                    tokens.append(np.zeros(1, np.int64))
-                    if doc is None or not len(found):
-                        continue
-                    key = found.tobytes() if len(found) <= 32 else _digest(found)
-                    first = seen.setdefault(key, doc)
-                    if len(seen) >= 1 << 16:  # forgotten copies meet in the index
-                        seen.clear()
-                    if first != doc:
-                        kinds.append(np.full(1, 2, np.int8))
-                        docs.append(doc)
-                        others.append(np.array([first], np.int64))
-                        tokens.append(np.zeros(1, np.int64))
-                        continue
-                    prefix = orders.prefixes(found, percent, 1)[0].view(np.int64)
-                    kinds.append(np.full(len(prefix), 1, np.int8))
-                    docs.append(doc)
-                    others.append(np.full(len(prefix), len(found), np.int64))
-                    tokens.append(prefix)
-                repeats = [len(k) for k in kinds]
-                ids = pa.array(docs, pa.int64()).take(pa.array(np.repeat(np.arange(len(docs)), repeats)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(kinds)), ids, pa.array(np.concatenate(others)), pa.array(np.concatenate(tokens))],
-                    names=["kind", "doc", "other", "token"],
-                )
+            keys = np.where(self.tokens[at] == tokens, self.rank[at], keys)
+        first = np.lexsort((tokens, keys))[:k]
+        return tokens[first], keys[first].astype(np.int32)
 
-    return run
 
+def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(kind) if parts else np.zeros(0, kind)))
 
-def _digest(tokens: np.ndarray) -> bytes:
-    import hashlib
 
-    return hashlib.sha256(tokens.tobytes()).digest()
+INDEX = "doc long, n long, first long, tokens array<long>, second array<int>, third array<int>"
 
 
-def _sets(size: int, percent: int, orders: Orders):
-    """Rows (doc, n, second, third, tokens): the prefixes under the other orders and the whole set."""
+def _index(size: int, percent: int, orders: Orders):
+    """Rows of INDEX: the prefix tokens under the first order, the prefix keys under the others.
 
-    def column(parts: list[np.ndarray]) -> pa.ListArray:
-        ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-        flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+    A document with the same set as an earlier one of the task names that one as
+    ``first`` and has no prefixes.
+    """
 
     def run(batches):
+        seen: dict[bytes, int] = {}
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = list(shingle_sets(part.column(1), size))
-                filters = [orders.prefixes(s, percent, ORDERS) for s in sets]
+            for part in _slices(batch):
+                ids, sizes, first, prefixes = part.column(0).to_pylist(), [], [], []
+                for doc, (found, weights) in zip(ids, shingle_sets(part.column(1), size, orders.weigh)):
+                    sizes.append(len(found))
+                    earlier = None
+                    if doc is not None and len(found):
+                        if len(seen) >= REMEMBERED:  # forgotten copies meet in the index
+                            seen.clear()
+                        earlier = seen.setdefault(hashlib.sha256(found.tobytes()).digest(), doc)
+                    alone = earlier == doc and earlier is not None
+                    first.append(None if alone else earlier)
+                    prefixes.append([orders.prefix(found, weights, percent, i) if alone else none for i in range(ORDERS)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                     *[column([f[i] for f in filters]) for i in range(1, ORDERS)], column(sets)],
-                    names=["doc", "n", "second", "third", "tokens"],
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()),
+                     _lists([p[0][0] for p in prefixes], np.int64), *[_lists([p[i][1] for p in prefixes], np.int32) for i in (1, 2)]],
+                    names=["doc", "n", "first", "tokens", "second", "third"],
                 )
 
     return run
 
 
 def frequent_tokens(texts: DataFrame, size: int) -> Orders:
-    counted = texts.select("text").mapInArrow(_count_frequent(size), "token long, docs long")
-    listed = (
-        counted.groupBy("token").agg(F.sum("docs").alias("docs")).where("docs >= 16")
-        .orderBy(F.desc("docs"), "token").limit(LISTED).collect()
-    )
-    return Orders([r.token for r in listed], [r.docs for r in listed])
+    counted = texts.select("text").mapInArrow(_count_frequent(size), "kind byte, token long, n long")
+    counted = stored(counted.groupBy("kind", "token").agg(F.sum("n").alias("n")), "ngram-counts")
+
+    def listed(kind: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        most = counted.where(f"kind = {kind} AND n >= 16").orderBy(F.desc("n"), "token").limit(limit).toPandas()
+        return most["token"].to_numpy(np.int64), most["n"].to_numpy(np.int64)
+
+    orders = Orders(listed(1, LISTED), listed(0, WORDS))
+    discard(counted)
+    return orders
 
 
 def link_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -184,71 +193,212 @@ def link_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
     ship_package(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     orders = frequent_tokens(texts, size)
-    index = stored(texts.mapInArrow(_index(size, percent, orders), "kind byte, doc long, other long, token long"), "ngram-index")
-    copies = index.where("kind = 2").select(F.col("other").alias("a"), F.col("doc").alias("b"))
-    members = stored(_members(index.where("kind = 1")), "ngram-members")
-    sets = stored(_candidate_sets(texts, members, size, percent, orders), "ngram-sets")
-
-    first = members.where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct()
-    first = stored(first, "ngram-pairs")
-    links = stored(copies.unionByName(_verified(first, sets, percent)), "ngram-links")
-    labels = stored(components(links), "ngram-labels")
-    later = _verified(_unmet(members, labels, first, percent), sets, percent)
-    later = stored(later, "ngram-links")
-    if not later.isEmpty():
-        labels = components(links.unionByName(later))
-    return index.where("kind = 0").join(labels, index["doc"] == labels["node"], "left").select(
-        F.col("doc").alias("doc_id"), F.col("other").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id")
+    index = stored(texts.mapInArrow(_index(size, percent, orders), INDEX), "ngram-index")
+    copies = index.where("first IS NOT NULL").select(F.col("first").alias("a"), F.col("doc").alias("b"))
+    members = _members(index)
+
+    likely = parts = None
+    met = []
+    for seed in range(STARS):
+        met.append(_star(members, parts, met, seed, percent))
+        grown = stored(_grown(likely, _filtered(met[-1], index, percent)), "ngram-likely")
+        if likely is not None:
+            discard(likely)
+        likely, parts = grown, _renewed(parts, copies, grown)
+    met.append(_unmet(members, parts, met, percent))
+    grown = stored(_grown(likely, _filtered(met[-1], index, percent)), "ngram-likely")
+    discard(likely)
+    likely = grown
+    sets = stored(_sets_of(texts, likely, size), "ngram-sets")
+    links = stored(_verified(likely, sets, percent), "ngram-links")
+    parts = _renewed(parts, copies, links)
+    if links.count() < likely.count():
+        # Only members of one likely component may still have to meet; all have their sets here.
+        met.append(_unmet(members, parts, met, percent))
+        hidden = stored(_filtered(met[-1], index, percent), "ngram-likely")
+        found = stored(_verified(hidden, sets, percent), "ngram-links")
+        if not found.isEmpty():
+            parts = _renewed(parts, copies, links.unionByName(found))
+        discard(hidden, found)
+    sizes = stored(index.select("doc", "n"), "ngram-sizes")
+    discard(index, members, sets, likely, links, *met)
+    return sizes.join(parts, F.col("doc") == F.col("node"), "left").select(
+        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id")
     )
 
 
-def _members(rows: DataFrame) -> DataFrame:
-    """token, doc, n, least, docs of the prefix tokens that several documents share."""
-    groups = (
-        rows.groupBy("token").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("docs"))
-        .where("least < most").drop("most")
-    )
-    joined = spread_join(rows.select("token", "doc", F.col("other").alias("n")), groups, ["token"], rows.count(), F.col("doc"), count="docs")
-    return joined.select("token", "doc", "n", "least", "docs").distinct()
+def _grown(likely: DataFrame | None, passed: DataFrame) -> DataFrame:
+    return passed if likely is None else likely.unionByName(passed)
 
 
-def _candidate_sets(texts: DataFrame, members: DataFrame, size: int, percent: int, orders: Orders) -> DataFrame:
-    wanted = members.select("doc").distinct()
-    return texts.join(wanted.hint("shuffle_hash"), "doc", "left_semi").select("doc", "text").mapInArrow(
-        _sets(size, percent, orders), "doc long, n long, second array<long>, third array<long>, tokens array<long>"
-    )
+def _renewed(parts: DataFrame | None, *links: DataFrame) -> DataFrame:
+    """The components of the links, in place of the earlier ones."""
+    all_links = links[0]
+    for more in links[1:]:
+        all_links = all_links.unionByName(more)
+    found = stored(components(all_links), "ngram-parts")
+    if parts is not None:
+        discard(parts)
+    return found
 
 
-def _unmet(members: DataFrame, labels: DataFrame, met: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share a prefix token, fit in size, are in different components and have not met."""
-    placed = members.join(labels, members["doc"] == labels["node"], "left").select(
-        "token", "doc", "n", F.coalesce("component_id", "doc").alias("part")
+def _members(index: DataFrame) -> DataFrame:
+    """token, doc, n, docs of the prefix tokens that several documents share.
+
+    Tokens with the very same documents, as those of a passage, bring the same
+    pairs; of these the least token stands for all. Equal documents are told by
+    their number, the sum and the exclusive or of their hashes.
+    """
+    rows = index.select(F.explode("tokens").alias("token"), "doc", "n")
+    groups = (
+        rows.groupBy("token").agg(
+            F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("docs"),
+            F.sum(F.hash("doc")).alias("total"), F.bit_xor(F.xxhash64("doc")).alias("mixed"),
+        )
+        .where("least < most").groupBy("least", "most", "docs", "total", "mixed").agg(F.min("token").alias("token"))
+    )
+    groups = stored(groups.select("token", "docs"), "ngram-groups")
+    total = index.agg(F.sum(F.size("tokens"))).head()[0] or 0
+    found = stored(spread_join(rows, groups, ["token"], hot_keys(groups, ["token"], total, "docs"), F.col("doc")), "ngram-members")
+    discard(groups)
+    return found
+
+
+def _placed(members: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """The members of groups that are in several components, with their component as ``part``."""
+    if parts is None:
+        return members.withColumn("part", F.col("doc"))
+    placed = members.join(parts, F.col("doc") == F.col("node"), "left").select(
+        *members.columns, F.coalesce("component_id", "doc").alias("part")
     )
     placed = stored(placed, "ngram-placed")
     split = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
-    open_ = stored(placed.join(split, "token", "left_semi"), "ngram-open")
+    found = stored(placed.join(split, "token", "left_semi"), "ngram-open")
+    discard(placed)
+    return found
+
+
+def _fits(a: str, b: str, percent: int) -> str:
+    """Whether two sets are near enough in size."""
+    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+
+
+def _star(members: DataFrame, parts: DataFrame | None, met: list[DataFrame], seed: int, percent: int) -> DataFrame:
+    """Pairs (a, b): a document and a chosen member of each of its largest groups, in another component.
+
+    The choice depends on the seed, and is the same for all of a group. The pairs
+    number LEADERS per document at most.
+    """
+    placed = _placed(members, parts)
+    lot = F.xxhash64("doc", F.lit(seed)) if seed else F.col("doc")
+    chosen = placed.groupBy("token").agg(F.min(F.struct(lot.alias("lot"), "doc", "part", "n")).alias("c"), F.count("*").alias("members"))
+    chosen = chosen.selectExpr("token", "c.doc AS leader", "c.part AS leading", "c.n AS size", "members")
+    hot = hot_keys(chosen, ["token"], placed.count(), "members")
+    offers = spread_join(placed, chosen, ["token"], hot, F.col("doc")).where("part <> leading").where(_fits("n", "size", percent))
+    offer = F.struct("docs", "leader")
+    best = offers.groupBy("doc").agg(*[
+        F.max(F.when(F.pmod("token", F.lit(LEADERS)) == i, offer)).alias(f"o{i}") for i in range(LEADERS)
+    ])
+    pairs = best.select("doc", F.explode(F.array(*[f"o{i}" for i in range(LEADERS)])).alias("o")).where("o IS NOT NULL")
+    pairs = pairs.select(F.least("doc", "o.leader").alias("a"), F.greatest("doc", "o.leader").alias("b")).distinct()
+    found = _new(pairs, met)
+    if placed is not members and hasattr(placed, "_stored_at"):
+        discard(placed)
+    return found
+
+
+def _new(pairs: DataFrame, met: list[DataFrame]) -> DataFrame:
+    """The pairs that have not met."""
+    for earlier in met:
+        pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+    return stored(pairs, "ngram-met")
+
+
+def _unmet(members: DataFrame, parts: DataFrame, met: list[DataFrame], percent: int) -> DataFrame:
+    """Pairs (a, b) that share a prefix token, fit in size, are in different components and have not met."""
+    open_ = _placed(members, parts)
     a, b = open_.alias("a"), open_.alias("b")
-    fits = f"a.token = b.token AND a.doc < b.doc AND a.part <> b.part AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
-    pairs = a.join(b, F.expr(fits)).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
-    return stored(pairs.join(met, ["a", "b"], "left_anti"), "ngram-unmet")
+    meet = f"a.token = b.token AND a.doc < b.doc AND a.part <> b.part AND {_fits('a.n', 'b.n', percent)}"
+    pairs = a.join(b, F.expr(meet)).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
+    found = _new(pairs, met)
+    discard(open_)
+    return found
+
+
+def _attach(pairs: DataFrame, side: DataFrame, key: str, rows: int) -> DataFrame:
+    """Give the pairs the columns of one side; a document of very many pairs is dealt to several tasks."""
+    side = side.select(F.col("doc").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in side.columns if c != "doc"])
+    hot = hot_keys(pairs.groupBy(key).agg(F.count("*").alias("n")), [key], rows)
+    return spread_join(pairs, side, [key], hot, F.xxhash64("a", "b"))
+
+
+def _filtered(pairs: DataFrame, index: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the prefix filters of the other orders.
+
+    A key of one prefix that lies below the other prefix's last key and is not in
+    it belongs to a token that the other set lacks.
+    """
+    rows = pairs.count()
+    indexed = index.where("first IS NULL")
+    for key in "ab":
+        pairs = _attach(pairs, indexed.select("doc", "n", "second", "third"), key, rows)
+    shared = f"ceil({percent} * (a_n + b_n) / {100 + percent})"
+    for name in ("second", "third"):
+        pairs = pairs.where(f"arrays_overlap(a_{name}, b_{name})")
+        for x, y in ("ab", "ba"):
+            lacking = f"size(array_except(filter({x}_{name}, k -> k < element_at({y}_{name}, -1)), {y}_{name}))"
+            pairs = pairs.where(f"{lacking} <= {x}_n - {shared}")
+    return pairs.select("a", "b").distinct()
+
+
+def _bits(pairs: DataFrame) -> np.ndarray:
+    """A bitmap of BITMAP bits, whatever the data, with those of all documents of the pairs set."""
+    docs = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
+    bits = docs.selectExpr(f"CAST(pmod(xxhash64(doc), {BITMAP}) AS INT) AS bit").selectExpr("bit DIV 32 AS word", "shiftleft(1L, bit % 32) AS mask")
+    found = bits.groupBy("word").agg(F.bit_or("mask").alias("bits")).toPandas()
+    out = np.zeros(BITMAP // 32, dtype=np.uint32)
+    out[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    return out
+
+
+def _wanted(bitmap: np.ndarray):
+    """Rows (doc, text, bit) whose bit is set."""
 
+    def run(batches):
+        for batch in batches:
+            bit = np.asarray(batch.column(2))
+            yield batch.filter(pa.array(bitmap[bit >> 5] >> (bit & 31).astype(np.uint32) & 1 == 1)).select(["doc", "text"])
+
+    return run
+
+
+def _sets_of(texts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """doc and tokens of the documents of the pairs.
+
+    A bitmap of fixed size drops most other texts before the shuffle; the join
+    drops the rest.
+    """
+    bit = F.pmod(F.xxhash64("doc"), F.lit(BITMAP))
+    near = texts.where("doc IS NOT NULL").select("doc", "text", bit.alias("bit")).mapInArrow(_wanted(_bits(pairs)), "doc long, text string")
+    docs = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), _lists(list(shingle_sets(part.column(1), size)), np.int64)], names=["doc", "tokens"]
+                )
 
-def _attach(pairs: DataFrame, sets: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Give the pairs the columns of one side; a document of many pairs is dealt to several tasks."""
-    counts = pairs.groupBy(key).agg(F.count("*").alias("pairs"))
-    side = sets.select(F.col("doc").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in columns]).join(counts, key)
-    return spread_join(pairs, side, [key], pairs.count(), F.xxhash64("a", "b"), count="pairs").drop("pairs")
+    return near.join(docs.hint("shuffle_hash"), "doc", "left_semi").select("doc", "text").mapInArrow(run, "doc long, tokens array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold."""
-    sized = _attach(_attach(pairs, sets, "a", ["n"]), sets, "b", ["n"])
-    sized = stored(sized.where(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)").select("a", "b"), "ngram-sized")
-    others = ["second", "third"]
-    filtered = _attach(_attach(sized, sets, "a", others), sets, "b", others)
-    for name in others:
-        filtered = filtered.where(F.arrays_overlap(f"a_{name}", f"b_{name}"))
-    filtered = stored(filtered.select("a", "b"), "ngram-filtered")
-    whole = _attach(_attach(filtered, sets, "a", ["n", "tokens"]), sets, "b", ["n", "tokens"])
+    rows = pairs.count()
+    whole = pairs
+    for key in "ab":
+        whole = _attach(whole, sets, key, rows)
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return whole.where(100 * shared >= percent * (F.col("a_n") + F.col("b_n") - shared)).select("a", "b")
+    union = F.size("a_tokens") + F.size("b_tokens") - shared
+    return whole.where(100 * shared >= percent * union).select("a", "b").distinct()

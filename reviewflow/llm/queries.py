@@ -110,7 +110,7 @@ FROM documents d LEFT JOIN cleaned c USING (doc_id)
 OP5_SQL = rf"""
 WITH t AS (
   SELECT DISTINCT conv_id, turn, role, replace(coalesce(text, ''), '<|', '<\|') AS text,
-    CAST(floor(coalesce(turn, -1) / {chat.PART_TURNS}) AS BIGINT) AS part
+    CAST(floor(turn / {chat.PART_TURNS}) AS BIGINT) AS part
   FROM conversations),
 p AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
 s AS (

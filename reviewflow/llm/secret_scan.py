@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewflow.llm import spans
-from reviewflow.llm.common import spread_join
+from reviewflow.llm.common import hot_keys, spread_join
 from reviewflow.session import stored, work_folder
 
 FINDINGS = "array<struct<rule:string,kind:string,start:int,end:int>>"
@@ -51,7 +51,7 @@ BASE = (
 )
 #: Formats that name their issuer, so that ordinary text does not hold them.
 MORE = (
-    Rule("pem", 1, r"-----BEGIN (?:[A-Z]++ )*+PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END (?:[A-Z]++ )*+PRIVATE KEY-----", ("private key",)),
+    Rule("pem", 1, r"-----BEGIN (?:(?!PRIVATE)[A-Z]++ )*+PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END (?:(?!PRIVATE)[A-Z]++ )*+PRIVATE KEY-----", ("private key",)),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", ("eyj",)),
     Rule("forge", 1, r"gh[pousr]_[A-Za-z0-9]{36,}+", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("chat", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}+", ("xox",)),
@@ -139,6 +139,5 @@ def scan(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...
     # A blob that two rows with one id hold was scanned twice, with equal findings.
     hits = hits.withColumn("findings", F.array_distinct(F.filter("findings", lambda f: f["rule"].isin(current))))
     counts = at.groupBy("blob").agg(F.count("*").alias("n"))
-    hits = hits.join(counts, "blob")
-    found = spread_join(at, hits, ["blob"], at.count(), F.col("doc"), "left")
+    found = spread_join(at, hits, ["blob"], hot_keys(counts, ["blob"], at.count()), F.col("doc"), "left")
     return found.select("doc_id", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))

@@ -131,11 +131,12 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts_all), at)
 
 
-def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, size: int, weigh=None) -> Iterator:
     """Per text the sorted distinct hashes of its word shingles.
 
     A text of fewer words has one shingle, its whole sequence; one without words
-    has none.
+    has none. With ``weigh``, which gives an integer per word hash, the sums of the
+    weights of each shingle's words come too, as pairs (hashes, weights).
     """
     words, first = word_hashes(column)
     steps = [_U(pow(MULTIPLIER, 2 * j + 1, 1 << 64)) for j in range(size)]
@@ -144,10 +145,19 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     for j in range(size):
         rolled += words[j : j + n] * steps[j]
     rolled = mix(rolled, size)
+    if weigh:
+        single = weigh(words)
+        weights = sum((single[j : j + n] for j in range(size)), np.zeros(n, dtype=np.int64))
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= size:
-            yield np.unique(rolled[a : b - size + 1])
-        elif b > a:
-            yield mix(np.sum(words[a:b] * np.array(steps[: b - a]), keepdims=True, dtype=np.uint64), b - a)
+            part = slice(a, b - size + 1)
+            if weigh:
+                found, at = np.unique(rolled[part], return_index=True)
+                yield found, weights[part][at]
+            else:
+                yield np.unique(rolled[part])
         else:
-            yield np.zeros(0, dtype=np.uint64)
+            found = np.zeros(0, dtype=np.uint64)
+            if b > a:
+                found = mix(np.sum(words[a:b] * np.array(steps[: b - a]), keepdims=True, dtype=np.uint64), b - a)
+            yield (found, np.zeros(len(found), dtype=np.int64)) if weigh else found
