@@ -15,8 +15,8 @@ last, by their counts.
 4. Last round: documents that share a token but are in different components so
    far meet, unless they have met. Components decide the result, so links inside
    a component need no test.
-A pair must also share prefix tokens under every other order, and its prefixes
-must not show more differing tokens than the threshold allows; only then are the
+A pair must fit in size and by the places of its first shared token, share prefix
+tokens under every other order, and its prefixes must not show more differing tokens than the threshold allows; only then are the
 whole sets compared. A pair that fails there may have hidden others from the last
 round, which is then repeated.
 """
@@ -243,21 +243,22 @@ def _renewed(parts: DataFrame | None, *links: DataFrame) -> DataFrame:
 
 
 def _members(index: DataFrame) -> DataFrame:
-    """token, doc, n, docs of the prefix tokens that several documents share.
+    """token, pos, doc, n, docs of the prefix tokens that several documents share.
 
-    Tokens with the very same documents, as those of a passage, bring the same
-    pairs; of these the least token stands for all. Equal documents are told by
-    their number, the sum and the exclusive or of their hashes.
+    ``pos`` is the token's place in the document's prefix. Tokens with the very
+    same documents, as those of a passage, bring the same pairs; of these the
+    first in order stands for all, which is first in each document too. Equal
+    documents are told by their number, the sum and the exclusive or of their hashes.
     """
-    rows = index.select(F.explode("tokens").alias("token"), "doc", "n")
+    rows = index.select(F.posexplode("tokens").alias("pos", "token"), "doc", "n")
     groups = (
         rows.groupBy("token").agg(
             F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("docs"),
-            F.sum(F.hash("doc")).alias("total"), F.bit_xor(F.xxhash64("doc")).alias("mixed"),
+            F.sum(F.hash("doc")).alias("total"), F.bit_xor(F.xxhash64("doc")).alias("mixed"), F.min("pos").alias("at"),
         )
-        .where("least < most").groupBy("least", "most", "docs", "total", "mixed").agg(F.min("token").alias("token"))
+        .where("least < most").groupBy("least", "most", "docs", "total", "mixed").agg(F.min(F.struct("at", "token")).alias("f"))
     )
-    groups = stored(groups.select("token", "docs"), "ngram-groups")
+    groups = stored(groups.select("f.token", "docs"), "ngram-groups")
     total = index.agg(F.sum(F.size("tokens"))).head()[0] or 0
     found = stored(spread_join(rows, groups, ["token"], hot_keys(groups, ["token"], total, "docs"), F.col("doc")), "ngram-members")
     discard(groups)
@@ -278,9 +279,14 @@ def _placed(members: DataFrame, parts: DataFrame | None) -> DataFrame:
     return found
 
 
-def _fits(a: str, b: str, percent: int) -> str:
-    """Whether two sets are near enough in size."""
-    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+def _fits(n: str, at: str, m: str, place: str, percent: int) -> str:
+    """Whether two sets of n and m tokens can reach the threshold if the token at these places is the first they share.
+
+    They then share at most the tokens from there on. Of the tokens that a pair
+    shares the first is tried too, so a pair that passes at none cannot link.
+    """
+    needed = f"ceil({percent} * ({n} + {m}) / {100 + percent})"
+    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) AND least({n} - {at}, {m} - {place}) >= {needed}"
 
 
 def _star(members: DataFrame, parts: DataFrame | None, met: list[DataFrame], seed: int, percent: int) -> DataFrame:
@@ -291,10 +297,13 @@ def _star(members: DataFrame, parts: DataFrame | None, met: list[DataFrame], see
     """
     placed = _placed(members, parts)
     lot = F.xxhash64("doc", F.lit(seed)) if seed else F.col("doc")
-    chosen = placed.groupBy("token").agg(F.min(F.struct(lot.alias("lot"), "doc", "part", "n")).alias("c"), F.count("*").alias("members"))
-    chosen = chosen.selectExpr("token", "c.doc AS leader", "c.part AS leading", "c.n AS size", "members")
+    chosen = placed.groupBy("token").agg(
+        F.min(F.struct(lot.alias("lot"), "doc", "part", "n", "pos")).alias("c"), F.count("*").alias("members")
+    )
+    chosen = chosen.selectExpr("token", "c.doc AS leader", "c.part AS leading", "c.n AS size", "c.pos AS place", "members")
     hot = hot_keys(chosen, ["token"], placed.count(), "members")
-    offers = spread_join(placed, chosen, ["token"], hot, F.col("doc")).where("part <> leading").where(_fits("n", "size", percent))
+    offers = spread_join(placed, chosen, ["token"], hot, F.col("doc")).where("part <> leading")
+    offers = offers.where(_fits("n", "pos", "size", "place", percent))
     offer = F.struct("docs", "leader")
     best = offers.groupBy("doc").agg(*[
         F.max(F.when(F.pmod("token", F.lit(LEADERS)) == i, offer)).alias(f"o{i}") for i in range(LEADERS)
@@ -318,7 +327,7 @@ def _unmet(members: DataFrame, parts: DataFrame, met: list[DataFrame], percent:
     """Pairs (a, b) that share a prefix token, fit in size, are in different components and have not met."""
     open_ = _placed(members, parts)
     a, b = open_.alias("a"), open_.alias("b")
-    meet = f"a.token = b.token AND a.doc < b.doc AND a.part <> b.part AND {_fits('a.n', 'b.n', percent)}"
+    meet = f"a.token = b.token AND a.doc < b.doc AND a.part <> b.part AND {_fits('a.n', 'a.pos', 'b.n', 'b.pos', percent)}"
     pairs = a.join(b, F.expr(meet)).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
     found = _new(pairs, met)
     discard(open_)
