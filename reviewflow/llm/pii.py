@@ -125,7 +125,7 @@ def proposals(docs: DataFrame) -> DataFrame:
     ``f`` are the features. A null text has none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("number", F.col("text").rlike("[0-9]{2}|[0-9]\\."))
+    rows = rows.withColumn("number", F.col("text").rlike("[0-9][ .-]?[0-9]"))
     has = lambda *texts: F.expr(" OR ".join(f"contains(text, '{t}')" for t in texts))
     number = F.col("number")
     gates = {

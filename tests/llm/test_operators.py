@@ -356,6 +356,13 @@ def test_base_spans_of_personal_data(spark):
         assert r.s == ",".join(f"{k}:{a}:{b}" for k, a, b in brute.pii(PRIVATE[r.doc_id])), PRIVATE[r.doc_id]
 
 
+def test_cards_of_single_digits_alone_in_a_text(spark):
+    texts = ["4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "a 4 1-1 1-1 1-1 1-1 1-1 1-1 1-1 1 b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find(docs).collect():
+        assert [tuple(b) for b in r.base] == brute.pii(texts[r.doc_id]) != []
+
+
 def test_personal_data_of_a_whole_table(spark, sf_mid):
     texts = {r.doc_id: r.text for r in documents(spark, sf_mid).collect()}
     for r in entry.queries()["op7_pii"](spark, sf_mid).collect():
