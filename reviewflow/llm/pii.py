@@ -2,11 +2,13 @@
 
 Generators propose spans with high recall, which may overlap. A span of the base
 patterns that passes its check is personal data for certain and always stays.
-Trees are boosted on a bounded sample of proposals, labelled by whether they are
-such spans, with features of format and context; a proposal outside the base is
-selected when its score reaches its kind's threshold, the least at which the
-calibration rows show the required precision. The trees become CASE expressions,
-so scoring is a projection.
+For each kind trees are boosted on a bounded sample of proposals. A proposal's label is its
+evidence: the rules that numbers and addresses of its kind obey, such as check
+digits and numbering plans, or that it lies within a base span of its kind. The
+features are others, of format and context, and hold none of these rules. A
+proposal outside the base is selected when its score reaches its kind's
+threshold, the least at which the calibration rows show the required precision.
+The trees become CASE expressions, so scoring is a projection.
 """
 
 from __future__ import annotations
@@ -38,10 +40,12 @@ BASE_PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 # Generators beyond the base; their spans may overlap it and each other.
+AT = r"\x20?[\[({]\x20?(?:at|AT|@)\x20?[\])}]\x20?"
+DOT = r"\x20?[\[({]\x20?(?:dot|DOT|\.)\x20?[\])}]\x20?"
 WIDE_PATTERNS = {
-    "email": rf"(?<![{LOCAL}])[{LOCAL}]++\x20?[\[({{]\x20?(?:at|AT|@)\x20?[\])}}]\x20?[A-Za-z0-9-]++"
+    "email": rf"(?<![{LOCAL}])[{LOCAL}]++{AT}[A-Za-z0-9-]++"
              r"(?:\x20?(?:\.|[\[({]\x20?(?:dot|DOT|\.)\x20?[\])}])\x20?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9.])[0-9]{1,4}+(?:\.[0-9]{1,4}+)++",
+    "ip": rf"(?<![0-9.])[0-9]{{1,4}}+(?:(?:\.|{DOT})[0-9]{{1,4}}+)++",
     "card": r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){11,22}+(?![0-9])",
     "phone": r"(?<![0-9+])\(?[0-9]{2,4}\)?(?:[\x20./-]{1,2}\(?[0-9]{2,5}\)?){2,5}(?![0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -89,20 +93,63 @@ def _passes(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
-FEATURES = [*[f"is_{k}" for k in KINDS], "length", "digits", "letters", "groups", "dots", "spaces", "hyphens", "brackets", "plus",
-            "check_digit", "octets", "cue", "glued_before", "glued_after", "at_line_start"]
+def _plain(text: Column) -> Column:
+    """``text`` with written-out at signs and dots as signs."""
+    return F.regexp_replace(F.regexp_replace(text, AT, "@"), rf"{DOT}|\x20?\.\x20?", ".")
+
+
+# An address whose host ends in a name, without empty parts.
+_ADDRESS = (r"^[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*"
+            r"@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}$")
+# International numbers; national ones with a trunk zero; North American ones.
+_DIALLED = r"^(?:00[1-9][0-9]{7,12}|0[1-9][0-9]{8,9}|1?[2-9][0-9]{2}[2-9][0-9]{6})$"
+_DATE = r"^(?:[0-3]?[0-9][./-][0-3]?[0-9][./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[./-][01]?[0-9][./-][0-3]?[0-9])(?![0-9])"
+_QUAD = r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"
+_SSN = r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"
+
+
+def _mod97(text: Column) -> Column:
+    """Whether the check digits of an account number are right."""
+    bare = F.replace(text, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substr(bare, F.lit(5), F.length(bare)), F.left(bare, F.lit(4)))
+
+    def add(rest, c):
+        letter = F.ascii(c) - 55
+        return F.when(c >= "A", rest * 100 + letter).otherwise(rest * 10 + F.ascii(c) - 48) % 97
+
+    return F.length(bare).between(15, 34) & (F.aggregate(F.split(turned, ""), F.lit(0), lambda r, c: F.when(c == "", r).otherwise(add(r, c))) == 1)
+
+
+def _evidence(kind: str, text: Column) -> Column:
+    """Whether a proposal obeys the rules of its kind."""
+    digits = _digits(text)
+    if kind == "email":
+        return _plain(text).rlike(_ADDRESS)
+    if kind == "ip":
+        plain = _plain(text)
+        return (F.size(F.split(plain, r"\.")) == 4) & _octets(plain)
+    if kind == "card":
+        return F.when(F.length(digits).between(12, 19) & digits.rlike("^[2-6]"), _luhn(digits)).otherwise(F.lit(False))
+    if kind == "phone":
+        abroad = F.startswith(text, F.lit("+")) & digits.rlike("^[1-9][0-9]{9,14}$")
+        return abroad | (digits.rlike(_DIALLED) & ~text.rlike(_DATE) & ~text.rlike(_QUAD))
+    if kind == "national_id":
+        return text.rlike(_SSN)
+    return _mod97(text)
+
+
+FEATURES = [*[f"is_{k}" for k in KINDS], "length", "letters", "groups", "dots", "spaces", "hyphens",
+            "cue", "glued_before", "glued_after", "at_line_start"]
 
 
 def _features(kind: str, s: Column) -> list[Column]:
-    text, n = s["text"], F.length(_digits(s["text"]))
+    text = s["text"]
     count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
     return [
-        *[F.lit(float(k == kind)) for k in KINDS], F.least(F.length(text), F.lit(64)), F.least(n, F.lit(40)),
+        *[F.lit(float(k == kind)) for k in KINDS], F.least(F.length(text), F.lit(64)),
         F.least(F.length(F.regexp_replace(text, "[^A-Za-z]", "")), F.lit(40)),
         F.least(F.size(F.split(text, "[^A-Za-z0-9]+")), F.lit(12)), F.least(count("."), F.lit(8)), F.least(count(" "), F.lit(8)),
-        F.least(count("-"), F.lit(8)), F.least(count("(") + count("["), F.lit(4)), (F.left(text, F.lit(1)) == "+").cast("int"),
-        F.when(n.between(12, 19), _luhn(_digits(text))).otherwise(F.lit(False)).cast("int"),
-        F.when(F.lit(kind == "ip"), _octets(text)).otherwise(F.lit(False)).cast("int"),
+        F.least(count("-"), F.lit(8)),
         F.lower(s["before"]).rlike(CUES[kind]).cast("int"), s["before"].rlike("[A-Za-z0-9]$").cast("int"),
         s["after"].rlike("^[A-Za-z0-9]").cast("int"), (s["before"] == "").cast("int"),
     ]
@@ -113,25 +160,31 @@ def _checked(kind: str) -> Column:
 
 
 def _described(name: str, kind: str) -> Column:
+    def label(s):
+        if kind not in BASE:
+            return _evidence(kind, s["text"])
+        return _evidence(kind, s["text"]) | F.exists(f"base_{kind}", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
+
     return F.transform(name, lambda s: F.struct(
         F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-        F.array(*[c.cast("double") for c in _features(kind, s)]).alias("f"),
+        F.array(*[c.cast("double") for c in _features(kind, s)]).alias("f"), label(s).cast("double").alias("label"),
     ))
 
 
 def proposals(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, base (kind, start, end) and wide (kind, start, end, f), all of its proposals.
+    """Per row: doc_id, base (kind, start, end) and wide (kind, start, end, f, label), all of its proposals.
 
-    ``f`` are the features. A null text has none.
+    ``f`` are the features, ``label`` is 1 where there is evidence. A null text has none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("number", F.col("text").rlike("[0-9][ .-]?[0-9]"))
     has = lambda *texts: F.expr(" OR ".join(f"contains(text, '{t}')" for t in texts))
     number = F.col("number")
+    dotted = F.col("text").rlike(r"[0-9](?:\.|\x20?[\[({])")
     gates = {
         "email": has("@"), "ip": F.col("text").rlike(r"[0-9]\.[0-9]"), "card": number, "phone": has("+"),
         "wide_email": has("at)", "at]", "at}", "AT)", "AT]", "AT}", "@)", "@]", "@}", " )", " ]", " }"),
-        "wide_ip": F.col("text").rlike(r"[0-9]\.[0-9]"), "wide_card": number, "wide_phone": number,
+        "wide_ip": dotted, "wide_card": number, "wide_phone": number,
         "wide_national_id": F.col("text").rlike("[0-9]-[0-9]"), "wide_iban": F.col("text").rlike("[A-Z]{2}[0-9]{2}"),
     }
     patterns = {k: (p, gates[k]) for k, p in BASE_PATTERNS.items()}
@@ -150,7 +203,7 @@ def proposals(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Trees:
-    """Boosted trees as nested tests, and the threshold of each kind (none: nothing is added)."""
+    """Boosted trees of all kinds as nested tests, and the threshold of each kind (none: nothing is added)."""
 
     trees: list[tuple[float, object]] = field(default_factory=list)
     thresholds: dict[str, float] = field(default_factory=dict)
@@ -178,22 +231,24 @@ def _read_tree(node):
 
 def fit(proposed: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Trees:
     """Boost on at most about ``sample`` proposals; a fifth of the documents calibrates."""
-    sure = F.transform("base", lambda b: F.struct(b["kind"], b["start"], b["end"]))
-    rows = proposed.withColumn("sure", sure).select("doc_id", "sure", F.explode("wide").alias("w"))
-    rows = rows.select(
-        "doc_id", "w.kind", "w.f",
-        F.array_contains("sure", F.struct(F.col("w.kind"), F.col("w.start"), F.col("w.end"))).cast("double").alias("label"),
+    rows = proposed.select("doc_id", F.explode("wide").alias("w")).select(
+        "doc_id", "w.kind", "w.f", "w.label",
         F.pmod(F.xxhash64("doc_id", "w.start", "w.kind"), F.lit(1 << 30)).alias("draw"),
         (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0).alias("calibrates"),
     )
     rows = stored(rows, "pii-proposals")
     total = rows.count()
     rows = rows.where(F.col("draw") < int(min(1.0, sample / max(total, 1)) * (1 << 30)))
-    train = stored(rows.where("NOT calibrates").coalesce(4).select("label", array_to_vector("f").alias("features")), "pii-train")
-    if train.select("label").distinct().count() < 2:
-        return Trees()
-    model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=STEP, maxBins=32, seed=5).fit(train)
-    trees = Trees([(w, _read_tree(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees)])
+    train = rows.where("NOT calibrates").coalesce(4).select("kind", "label", array_to_vector("f").alias("features"))
+    train = stored(train, "pii-train")
+    seen = {r.kind: r for r in train.groupBy("kind").agg(F.min("label").alias("low"), F.max("label").alias("high")).collect()}
+    trees = Trees()
+    for kind in (k for k in KINDS if k in seen):
+        found = [(1.0, 2 * seen[kind].low - 1)]  # nothing to tell apart: one leaf
+        if seen[kind].low < seen[kind].high:
+            model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=STEP, maxBins=32, seed=5).fit(train.where(F.col("kind") == kind))
+            found = [(w, _read_tree(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees)]
+        trees.trees += [(w, (FEATURES.index(f"is_{kind}"), 0.5, 0.0, root)) for w, root in found]
     cells = (
         rows.where("calibrates").withColumn("cell", F.floor(trees.score(F.col("f")) * 200))
         .groupBy("kind", "cell").agg(F.count("*").alias("n"), F.sum("label").alias("good")).orderBy("kind", F.desc("cell")).collect()
@@ -213,8 +268,8 @@ def find(docs: DataFrame) -> DataFrame:
     ``base`` are the base matches that pass their checks, ``added`` the selected
     proposals that overlap none of them. Offsets are code points, ends exclusive.
     Null and empty texts have no spans; identical rows each have theirs; null ids
-    are kept; other columns are not read. Without proposals of both labels no
-    trees are fitted and nothing is added.
+    are kept; other columns are not read. A kind without evidence in the
+    calibrating documents adds nothing.
     """
     proposed = stored(proposals(docs), "pii-candidates")
     trees = fit(proposed)

@@ -388,6 +388,53 @@ def test_boosted_trees_add_what_looks_and_stands_like_the_base(spark):
     proposed.unpersist()
 
 
+def _iban(account):
+    return f"DE{98 - int(account + '131400') % 97:02d}{account}"
+
+
+def test_kinds_beyond_the_base_are_selected_by_evidence(spark):
+    random_, rows, want = random.Random(6), [], {}
+    n = lambda k: "".join(random_.choice("0123456789") for _ in range(k))
+
+    def add(before, span, after, kind):
+        if kind:
+            want[len(rows)] = (kind, len(before), len(before) + len(span))
+        rows.append((len(rows), before + span + after))
+
+    for i in range(400):
+        add("my ssn is ", f"{random_.randrange(100, 600)}-{random_.randrange(10, 99)}-{random_.randrange(1000, 9999)}", " ok", "national_id")
+        add("part no ", f"9{n(2)}-{n(2)}-{n(4)}", " in stock", None)
+        add("my iban is ", _iban(f"1{n(17)}"), " thanks", "iban")
+        add("serial ", f"XQ{n(2)}{n(12)}", " thanks", None)
+        add("write to ", f"joe{i} (at) site{i % 9} (dot) org", "", "email")
+        add("the call is at ", f"(0{random_.randrange(30, 90)}) {random_.randrange(1000, 9999)} {random_.randrange(1000, 9999)}", ", bye", "phone")
+        add("dims ", f"1{n(1)} 1{n(2)} 1{n(2)} 1{n(2)}", " mm", None)
+        add("host ", f"10[.]{i % 250}[.]0[.]{i % 200}", " is up", "ip")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.added] for r in pii.find(docs).collect()}
+    for kind in ("national_id", "iban", "email", "phone", "ip"):
+        found = [w in got[i] for i, w in want.items() if w[0] == kind]
+        assert sum(found) >= 0.95 * len(found), (kind, sum(found), len(found))
+    assert not any(got[i] for i in got if i not in want)
+
+
+def test_evidence_of_a_kind(spark):
+    good = {
+        "email": ["a.b (at) c [dot] de", "x@y.org"], "ip": ["1.2.3.4", "10[.]0 (dot) 0.255"], "card": ["4222222222222", "4111 1111 1111 1111"],
+        "phone": ["(212) 555-1234", "030 1234 5678", "0044 20 7946 0958"], "national_id": ["123-45-6789"],
+        "iban": ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"],
+    }
+    bad = {
+        "email": ["a..b (at) c.de", "a@b.1"], "ip": ["1.2.3", "1.2.3.256"], "card": ["4222222222223", "9111 1111 1111 1111"],
+        "phone": ["01.02.2024 12", "145.116.239.51", "112 113 1145"], "national_id": ["000-12-3456", "666-12-3456", "123-00-6789", "123-45-0000"],
+        "iban": ["GB82 WEST 1234 5698 7654 33", "XX00 0000 0000"],
+    }
+    for kind in pii.KINDS:
+        for texts, label in ((good, True), (bad, False)):
+            rows = spark.createDataFrame([(t,) for t in texts[kind]], "t string").select("t", pii._evidence(kind, F.col("t")).alias("e")).collect()
+            assert all(r.e is label for r in rows), rows
+
+
 def test_redaction(spark):
     row = spark.createDataFrame([("mail a@b.cd or 1.2.3.4!", [("ip", 15, 22), ("email", 5, 11), ("card", 8, 11)])],
                                 "t string, s array<struct<kind:string,start:int,end:int>>")
