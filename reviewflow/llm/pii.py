@@ -25,9 +25,8 @@ from reviewflow.session import stored
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "national_id", "iban")
-SAMPLE = 20_000  # proposals used for fitting at most, chosen by hash
+SAMPLE = 20_000  # proposals used for fitting, an equal part for each kind, chosen by hash
 PRECISION = 0.98
-LEAST_SEEN = 50  # proposals at or above a threshold that must support it
 ROUNDS, DEPTH, STEP = 6, 3, 0.3
 
 # Fixed patterns of the base. Possessive quantifiers, look-behinds and the least
@@ -229,17 +228,34 @@ def _read_tree(node):
     return int(split.featureIndex()), float(split.threshold()), _read_tree(node.leftChild()), _read_tree(node.rightChild())
 
 
+def _threshold(cells: list, precision: float) -> float | None:
+    """The least score from which on the counted ``cells`` hold the share ``precision`` of good ones."""
+    found, n, good = None, 0, 0
+    for cell in sorted({c.cell for c in cells}, reverse=True):
+        n += sum(c.n for c in cells if c.cell == cell)
+        good += sum(c.good for c in cells if c.cell == cell)
+        if good >= precision * n:
+            found = cell / 200
+    return found
+
+
 def fit(proposed: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Trees:
-    """Boost on at most about ``sample`` proposals; a fifth of the documents calibrates."""
+    """Boost on at most about ``sample`` proposals, as many of each kind; a fifth of the documents calibrates.
+
+    All proposals of that fifth are counted, whatever the sample. A kind with none
+    of them takes the threshold at which those of all kinds together are precise.
+    """
     rows = proposed.select("doc_id", F.explode("wide").alias("w")).select(
         "doc_id", "w.kind", "w.f", "w.label",
         F.pmod(F.xxhash64("doc_id", "w.start", "w.kind"), F.lit(1 << 30)).alias("draw"),
         (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0).alias("calibrates"),
     )
     rows = stored(rows, "pii-proposals")
-    total = rows.count()
-    rows = rows.where(F.col("draw") < int(min(1.0, sample / max(total, 1)) * (1 << 30)))
-    train = rows.where("NOT calibrates").coalesce(4).select("kind", "label", array_to_vector("f").alias("features"))
+    counts = {r.kind: r.n for r in rows.where("NOT calibrates").groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    drawn = F.lit(False)
+    for kind, n in counts.items():
+        drawn = drawn | ((F.col("kind") == kind) & (F.col("draw") < int(min(1.0, sample / len(KINDS) / n) * (1 << 30))))
+    train = rows.where(~F.col("calibrates") & drawn).coalesce(4).select("kind", "label", array_to_vector("f").alias("features"))
     train = stored(train, "pii-train")
     seen = {r.kind: r for r in train.groupBy("kind").agg(F.min("label").alias("low"), F.max("label").alias("high")).collect()}
     trees = Trees()
@@ -251,14 +267,14 @@ def fit(proposed: DataFrame, sample: int = SAMPLE, precision: float = PRECISION)
         trees.trees += [(w, (FEATURES.index(f"is_{kind}"), 0.5, 0.0, root)) for w, root in found]
     cells = (
         rows.where("calibrates").withColumn("cell", F.floor(trees.score(F.col("f")) * 200))
-        .groupBy("kind", "cell").agg(F.count("*").alias("n"), F.sum("label").alias("good")).orderBy("kind", F.desc("cell")).collect()
+        .groupBy("kind", "cell").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
     )
-    for kind in KINDS:
-        n = good = 0
-        for cell in (c for c in cells if c.kind == kind):
-            n, good = n + cell.n, good + cell.good
-            if n >= LEAST_SEEN and good >= precision * n:
-                trees.thresholds[kind] = cell.cell / 200
+    together = _threshold(cells, precision)
+    for kind in seen:
+        own = [c for c in cells if c.kind == kind]
+        least = _threshold(own, precision) if own else together
+        if least is not None:
+            trees.thresholds[kind] = least
     return trees
 
 
@@ -268,8 +284,9 @@ def find(docs: DataFrame) -> DataFrame:
     ``base`` are the base matches that pass their checks, ``added`` the selected
     proposals that overlap none of them. Offsets are code points, ends exclusive.
     Null and empty texts have no spans; identical rows each have theirs; null ids
-    are kept; other columns are not read. A kind without evidence in the
-    calibrating documents adds nothing.
+    are kept; other columns are not read. A kind whose proposals in
+    the calibrating documents have no evidence adds nothing, nor does a table
+    without calibrating documents.
     """
     proposed = stored(proposals(docs), "pii-candidates")
     trees = fit(proposed)

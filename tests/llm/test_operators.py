@@ -418,6 +418,19 @@ def test_kinds_beyond_the_base_are_selected_by_evidence(spark):
     assert not any(got[i] for i in got if i not in want)
 
 
+def test_thresholds_of_rare_kinds_and_small_tables(spark):
+    rows = [(i, f"lot {i % 10}.{i % 7}.{i % 3} and card 4{i:015d}") for i in range(2400)]
+    rows += [(10_000 + i, f"write to joe{i} (at) site{i % 9} (dot) org") for i in range(20)]
+    large = spark.createDataFrame(rows, "doc_id long, text string")
+    proposed = pii.proposals(large).cache()
+    assert "email" in pii.fit(proposed, sample=300).thresholds
+    proposed.unpersist()
+    got = [len(r.added) for r in pii.find(large).where("doc_id >= 10000").collect()]
+    assert got == [1] * 20
+    small = [len(r.added) for r in pii.find(large.where("doc_id >= 10000")).collect()]
+    assert small == [1] * 20
+
+
 def test_evidence_of_a_kind(spark):
     good = {
         "email": ["a.b (at) c [dot] de", "x@y.org"], "ip": ["1.2.3.4", "10[.]0 (dot) 0.255"], "card": ["4222222222222", "4111 1111 1111 1111"],
