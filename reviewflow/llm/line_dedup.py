@@ -22,10 +22,15 @@ NEAR = 0.25  # estimates within this share of the threshold are counted exactly:
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"),
-        F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("-")).alias("site"),
+        F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("-")).alias("site"), _row_key(F.col("text")),
     )
 
 
+def _row_key(text: Column) -> Column:
+    """Tells the rows of a doc_id apart."""
+    return F.xxhash64(text.cast("string")).alias("row_key")
+
+
 def _line_key(line: Column) -> list[Column]:
     """128 bits of a trimmed line."""
     trimmed = F.trim(line, F.lit(" \t\r"))
@@ -33,9 +38,9 @@ def _line_key(line: Column) -> list[Column]:
 
 
 def line_occurrences(docs: DataFrame) -> DataFrame:
-    """doc, site, no, h1, h2 of each line that is not blank."""
-    lines = _rows(docs).select("doc", "site", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return lines.where(F.trim("line", F.lit(" \t\r")) != "").select("doc", "site", "no", *_line_key(F.col("line")))
+    """doc, row_key, site, no, h1, h2 of each line that is not blank."""
+    lines = _rows(docs).select("doc", "row_key", "site", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    return lines.where(F.trim("line", F.lit(" \t\r")) != "").select("doc", "row_key", "site", "no", *_line_key(F.col("line")))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -61,8 +66,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     returns; blank lines always stay. A site is a ``source``; all null sources
     are one site. Of a boilerplate line the occurrence with the least doc_id
     (null last) and line number stays; rows that share that doc_id keep it each.
-    A line that is removed from one row of a doc_id is removed from all at that
-    line number. A row without doc_id keeps its lines. A null text stays null
+    Rows that share a doc_id but not a text lose their own lines only. A row
+    without doc_id keeps its lines. A null text stays null
     with no lines. Extra columns pass through; columns called n_lines or
     n_removed are replaced.
     """
@@ -71,13 +76,13 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     common = stored(boilerplate(lines, min_sites), "line-common")
     hits = spread_join(lines, common, keys, hot_keys(common, keys, lines.count()), F.xxhash64("doc", "no"))
     stays = F.col("first").eqNullSafe(F.struct(F.col("doc").isNull().alias("no_doc"), "doc", "no"))
-    removed = hits.where(~stays).groupBy("doc").agg(F.collect_set("no").alias("removed"))
+    removed = hits.where(~stays).groupBy("doc", "row_key").agg(F.collect_set("no").alias("removed"))
     # A row without doc_id is found again by no join; such rows are rare and keep their lines.
     removed = stored(removed.where("doc IS NOT NULL"), "line-removed")
     discard(lines, common)
 
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"))
-    joined = rows.join(removed.hint("shuffle_hash"), "doc", "left")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), _row_key(F.col("text")))
+    joined = rows.join(removed.hint("shuffle_hash"), ["doc", "row_key"], "left")
     joined = joined.withColumn("lines", F.when(F.col("removed").isNotNull(), F.split(F.col("row.text").cast("string"), "\n")))
     numbers = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")
     joined = joined.withColumn("kept", F.when(

@@ -119,6 +119,13 @@ def test_sketches_and_exact_counts_agree_at_the_threshold(spark):
     assert sorted(r.n for r in got) == list(range(40, 50))
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    rows = [(i, f"own {i}\neverywhere", f"s{i}") for i in range(6)]
+    rows += [(50, "a\neverywhere\nc", "t"), (50, "d\nonly here\nf", "t"), (50, "everywhere\ng", "t"), (50, "everywhere\ng", "t")]
+    got = line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=4)
+    assert sorted((r.text, r.n_removed) for r in got.where("doc_id = 50").collect()) == [("a\nc", 1), ("d\nonly here\nf", 0), ("g", 1), ("g", 1)]
+
+
 def test_line_dedup_of_odd_rows(odd, none):
     got = line_dedup.remove_boilerplate(odd, min_sites=2)
     assert got.columns == [*odd.columns, "n_lines", "n_removed"] and got.count() == odd.count()
