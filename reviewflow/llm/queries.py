@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewflow.llm import (
     chat,
+    collocations,
     exact_dedup,
     fingerprints,
     line_dedup,
@@ -81,13 +82,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir), least=100, best=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: value for name, value in globals().items() if name.startswith("op") and callable(value)}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op5_chat_perspectives": OP5_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_chat_perspectives": OP5_SQL, "op10_exact_dedup": OP10_SQL,
+            "op11_collocations": OP11_SQL}
 
 
 OP1_SQL = rf"""
@@ -137,3 +143,31 @@ g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256
 FROM n JOIN g USING (t)
 """
+
+OP11_SQL = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM split GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+runs AS (SELECT lang, w[i:i + size - 1] AS p FROM starts, range(1, {collocations.DEPTH + 1}) s(size) WHERE i + size - 1 <= len(w)),
+counts AS (SELECT lang, p, count(*) AS f FROM runs GROUP BY lang, p HAVING count(*) >= 100),
+cuts AS (SELECT lang, p, f AS a, unnest(range(1, len(p))) AS k FROM counts WHERE len(p) > 1),
+scored AS (
+  SELECT c.lang, c.p, c.a, c.k, l.f AS l, r.f AS r, n,
+    CAST(1000 * c.a::HUGEINT * n::HUGEINT // (l.f::HUGEINT * r.f::HUGEINT) AS BIGINT) AS score
+  FROM cuts c JOIN totals USING (lang)
+  JOIN counts l ON l.lang = c.lang AND l.p = c.p[:c.k] JOIN counts r ON r.lang = c.lang AND r.p = c.p[c.k + 1:]),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+longer AS (SELECT lang, f, p AS long, unnest(range(1, len(p) + 1)) AS i FROM counts WHERE len(p) > 2),
+inside AS (
+  SELECT DISTINCT s.lang, s.p FROM longer b, range(2, {collocations.DEPTH}) z(size), counts s
+  WHERE size < len(long) AND i + size - 1 <= len(long) AND s.lang = b.lang AND s.p = long[i:i + size - 1] AND 100 * b.f >= 100 * s.f),
+ranked AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, n, score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank
+  FROM lowest ANTI JOIN inside USING (lang, p))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
