@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewflow.llm import (
+    alignment,
     chat,
     collocations,
     exact_dedup,
@@ -86,6 +87,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir), least=100, best=2000)
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_texts(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: value for name, value in globals().items() if name.startswith("op") and callable(value)}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))
