@@ -13,6 +13,7 @@ from reviewflow.llm import (
     collocations,
     exact_dedup,
     fingerprints,
+    license_scan,
     line_dedup,
     mixing,
     ngram_join,
@@ -91,6 +92,10 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_texts(documents(spark, sf_dir))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: value for name, value in globals().items() if name.startswith("op") and callable(value)}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))
