@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,35 +59,65 @@ def nll_by_temperature(df: DataFrame, temperatures: list[float], logits: str = "
     return means.selectExpr(f"inline(array({', '.join(listed)}))")
 
 
-def fit_temperature(df: DataFrame, logits: str = "logits", tol: float = 1e-12, passes: int = 60) -> float:
+def _slopes(rows: DataFrame, points: list[float]) -> list[tuple[float, float, float]]:
+    """(b, slope, curvature) of the mean cross-entropy at each inverse temperature, in one pass."""
+    raw = names("raw")
+    mean = " + ".join(f"_p{i} * {x}" for i, x in enumerate(raw))
+    square = " + ".join(f"_p{i} * {x} * {x}" for i, x in enumerate(raw))
+    scaled = rows.selectExpr("*", f"explode(array({', '.join(double(b) for b in points)})) AS b")
+    at_b = with_softmax(scaled.selectExpr("*", *[f"{x} * b AS _z{i}" for i, x in enumerate(raw)]))
+    moments = at_b.selectExpr("b", f"{mean} AS m", f"{square} AS s", f"{_true_score(raw)} AS y")
+    found = moments.groupBy("b").agg(F.expr("avg(m - y)").alias("slope"), F.expr("avg(s - m * m)").alias("curve"))
+    return sorted((r.b, r.slope, r.curve) for r in found.collect())  # a row per point
+
+
+def _cubic_root(a: tuple[float, float, float], c: tuple[float, float, float]) -> float:
+    """Where the cubic with the slopes and curvatures of both ends crosses zero."""
+    width, low, high = c[0] - a[0], 0.0, 1.0
+    for _ in range(80):
+        t = 0.5 * (low + high)
+        value = (
+            (1 + 2 * t) * (1 - t) ** 2 * a[1] + t * (1 - t) ** 2 * width * a[2]
+            + t * t * (3 - 2 * t) * c[1] + t * t * (t - 1) * width * c[2]
+        )
+        low, high = (low, t) if value > 0 else (t, high)
+    return a[0] + width * 0.5 * (low + high)
+
+
+def fit_temperature(df: DataFrame, logits: str = "logits", points: int = 17) -> float:
     """Temperature with the lowest mean cross-entropy.
 
-    The loss is convex in ``b = 1 / T``; each pass aggregates its slope and
-    curvature. Newton steps from ``b = 1`` are kept inside the bracket the
-    signs of the slope give. A best ``b`` that is not positive is an error.
+    The loss is convex in ``b = 1 / T``, so its slope rises with ``b``. Each pass
+    takes slope and curvature at many ``b`` together: the first brackets the zero
+    between powers of two, the second divides the bracket and interpolates in the
+    cell that holds it, the third corrects the outcome by a Newton step. A best
+    ``b`` that is not positive and finite is an error.
     """
     rows = with_scores(df.select("label_id", logits), logits, prefix="raw").drop(logits).persist()
-    raw = names("raw")
-    mean = " + ".join(f"_p{i} * {x}" for i, x in enumerate(raw))
-    square = " + ".join(f"_p{i} * {x} * {x}" for i, x in enumerate(raw))
     try:
-        low, high, b = 0.0, math.inf, 1.0
-        for _ in range(passes):
-            at_b = with_softmax(rows.selectExpr("*", *[f"{x} * {double(b)} AS _z{i}" for i, x in enumerate(raw)]))
-            moments = at_b.selectExpr(f"{mean} AS m", f"{square} AS s", f"{_true_score(raw)} AS y")
-            slope, curve = moments.selectExpr("avg(m - y)", "avg(s - m * m)").first()
-            if slope is None:
+        grid = [2.0 ** (k - points // 2) for k in range(points)]
+        while True:
+            found = _slopes(rows, grid)
+            if not found or found[0][1] is None:
                 raise ValueError("no rows to fit a temperature on")
-            low, high = (low, b) if slope > 0 else (b, high)
-            step = b - slope / curve if curve > 0 else math.inf
-            if abs(step - b) <= tol * b:
-                return 1.0 / step
-            if not low < step < high:
-                step = 2.0 * low if math.isinf(high) else 0.5 * (low + high)
-            b = step
-            if not 1e-9 < b < 1e9:
+            above = next((i for i, f in enumerate(found) if f[1] > 0), points)
+            if 0 < above < points:
                 break
-        raise ValueError("the best temperature is not positive and finite")
+            if not 1e-9 < grid[0] < grid[-1] < 1e9:
+                raise ValueError("the best temperature is not positive and finite")
+            grid = [b * grid[0] / grid[-1] if above == 0 else b * grid[-1] / grid[0] for b in grid]
+        low, high = found[above - 1], found[above]
+        while True:
+            ratio = (high[0] / low[0]) ** (1 / (points + 1))
+            found = [low, *_slopes(rows, [low[0] * ratio ** (k + 1) for k in range(points)]), high]
+            above = next((i for i, f in enumerate(found) if f[1] > 0), len(found) - 1)
+            low, high = found[max(above - 1, 0)], found[above]
+            b = _cubic_root(low, high)
+            ((_, slope, curve),) = _slopes(rows, [b])
+            best = b - slope / curve if curve > 0 else b
+            # Far from the cubic, or at the end of what doubles tell apart.
+            if abs(best - b) <= 1e-6 * b or high[0] - low[0] <= 1e-12 * b:
+                return 1.0 / min(max(best, low[0]), high[0])
     finally:
         rows.unpersist()
 

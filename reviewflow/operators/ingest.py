@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from dataclasses import dataclass
+from datetime import UTC, datetime
+from typing import ClassVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewflow.operators.contracts import validate_reviews
-from reviewflow.operators.history import path_exists
 from reviewflow.operators.rules import require_valid
-from reviewflow.schema import CURSOR, SCHEMA_VERSION
+from reviewflow.schema import SCHEMA_VERSION
 
 PAGE_SIZE = 50
 
@@ -88,12 +93,19 @@ def next_offsets(records: DataFrame) -> DataFrame:
     return records.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("next_offset"))
 
 
+class CursorConflict(RuntimeError):
+    """Another writer has moved the cursor meanwhile."""
+
+
 @dataclass(frozen=True)
 class CursorTable:
-    """Append-only cursor rows on shared storage; the highest id counts.
+    """Cursors on shared storage, as numbered one-row files; the highest number counts.
 
-    Appending a row and reading the maximum is an upsert that cannot go back,
-    and a repeated save after a crash is harmless.
+    A save writes its row aside and renames it to the next number, which fails if
+    that number exists: of two writers that start from the same number one
+    succeeds, the other gets ``CursorConflict``. Loading lists one small folder and
+    reads one file, however often the cursor has been saved; numbers further back
+    than ``KEPT`` go. The rename must be atomic, as it is on HDFS.
     """
 
     spark: SparkSession
@@ -102,51 +114,84 @@ class CursorTable:
     source_collection: str
     target_topic: str
 
+    KEPT: ClassVar[int] = 8
+
     def load(self) -> str | None:
         """The last published id, or None before the first save."""
-        if not path_exists(self.spark, self.path):
-            return None
-        row = (
-            self.spark.read.schema(CURSOR)
-            .parquet(self.path)
-            .where(F.col("checkpoint_id") == self.checkpoint_id)
-            .agg(
-                F.max(F.struct("last_review_id", "source_collection", "target_topic")).alias("top"),
-                F.count_if(
-                    (F.col("source_collection") != self.source_collection)
-                    | (F.col("target_topic") != self.target_topic)
-                ).alias("foreign"),
-            )
-            .first()
-        )
-        if row.top is None:
-            return None
-        if row.foreign:
-            raise CursorMismatch(
-                f"cursor {self.checkpoint_id!r} belongs to "
-                f"{row.top.source_collection!r} -> {row.top.target_topic!r}"
-            )
-        return row.top.last_review_id
+        return self._latest()[1]
 
-    def save(self, review_id: str) -> str:
-        """Record progress; moving backwards is an error."""
+    def save(self, review_id: str, expected: str | None = "") -> str:
+        """Record progress; moving backwards is an error.
+
+        With ``expected`` (an id, or None for no cursor) the cursor is only moved from there.
+        """
         normal = str(review_id).lower()
         if len(normal) != 24 or any(ch not in "0123456789abcdef" for ch in normal):
             raise ValueError("a cursor must be 24 hex digits")
-        current = self.load()
+        number, current = self._latest()
+        if expected != "" and current != expected:
+            raise CursorConflict(f"the cursor is at {current}, not at {expected}")
         if current is not None and normal < current:
             raise CursorRegression(f"{normal} lies below {current}, up to which reviews are published")
-        (
-            self.spark.range(1)
-            .select(
-                F.lit(self.checkpoint_id).alias("checkpoint_id"),
-                F.lit(SCHEMA_VERSION).alias("schema_version"),
-                F.lit(normal).alias("last_review_id"),
-                F.lit(self.source_collection).alias("source_collection"),
-                F.lit(self.target_topic).alias("target_topic"),
-                F.current_timestamp().alias("updated_at"),
+        if normal != current:
+            self._create(number + 1, normal)
+        return normal
+
+    def _files(self):
+        """(file system, folder) of this cursor's numbers."""
+        name = hashlib.sha256(self.checkpoint_id.encode()).hexdigest()[:32]
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
+
+    def _numbers(self) -> list[int]:
+        files, folder = self._files()
+        if not files.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in files.listStatus(folder)]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self._files()[1], name)
+
+    def _latest(self) -> tuple[int, str | None]:
+        numbers = self._numbers()
+        if not numbers:
+            return 0, None
+        stream = self._files()[0].open(self._at(f"{numbers[-1]:012d}.json"))
+        try:
+            row = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        if (row["source_collection"], row["target_topic"]) != (self.source_collection, self.target_topic):
+            raise CursorMismatch(
+                f"cursor {self.checkpoint_id!r} belongs to {row['source_collection']!r} -> {row['target_topic']!r}"
             )
-            .write.mode("append")
-            .parquet(self.path)
-        )
-        return self.load()
+        return numbers[-1], row["last_review_id"]
+
+    def _create(self, number: int, review_id: str) -> None:
+        row = {
+            "checkpoint_id": self.checkpoint_id, "schema_version": SCHEMA_VERSION, "last_review_id": review_id,
+            "source_collection": self.source_collection, "target_topic": self.target_topic,
+            "updated_at": datetime.now(UTC).isoformat(),
+        }
+        files, folder = self._files()
+        files.mkdirs(folder)
+        aside, target = self._at(f".{uuid.uuid4().hex}"), self._at(f"{number:012d}.json")
+        out = files.create(aside, False)
+        out.write(json.dumps(row).encode())
+        out.close()
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), self.spark._jsc.hadoopConfiguration())
+        no_overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(files.makeQualified(aside), files.makeQualified(target), no_overwrite)
+        except Py4JJavaError as error:
+            files.delete(aside, False)
+            if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                raise
+            raise CursorConflict(f"cursor {self.checkpoint_id!r} has been saved by another writer") from error
+        numbers = self._numbers()
+        if numbers[-1] != number:
+            raise CursorConflict(f"cursor {self.checkpoint_id!r} has been saved by another writer")
+        for old in numbers[: -self.KEPT]:
+            files.delete(self._at(f"{old:012d}.json"), False)

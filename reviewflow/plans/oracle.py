@@ -627,6 +627,11 @@ def oracle_sql() -> dict[str, str]:
         ("best", "SELECT * FROM compared ORDER BY f DESC, place LIMIT 1"),
         ("tx", "SELECT la.*, fit.t FROM la, fit"), *softmax("tc", "tx", "t"),
         final=f"SELECT row_key, label_id, {by_strategy} AS pred FROM tc, (SELECT strategy, b0, b1, h0, h1, h2 FROM best)")
+    sql["cursor_identity"] = nested(REVIEWS, final=(
+        "SELECT 'pipeline-' || doc_id % 3 AS checkpoint_id, 'none' AS before, max(review_id) AS last_review_id, "
+        "CASE WHEN count(*) > 1 THEN 'CursorRegression' ELSE max(review_id) END AS backwards, "
+        "CASE WHEN count(*) > 1 THEN 'CursorConflict' ELSE max(review_id) END AS outdated, "
+        "'CursorMismatch' AS other_source, 'CursorMismatch' AS other_topic FROM reviews GROUP BY doc_id % 3"))
     sql["incremental_publish"] = nested(REVIEWS, final=(
         "SELECT NULL::VARCHAR AS error_type, 'review:' || review_id AS event_id, movie_id, md5(text) AS text_md5, "
         f"{stamp('created_at')} AS source_created_at, (SELECT max(review_id) FROM reviews) AS cursor FROM reviews"))
@@ -636,6 +641,7 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT {PREDICTION_ID} AS prediction_id, review_id, movie_id, {stamp('created_at')} AS source_created_at, "
         f"{named('lab')} AS sentiment, lab::SMALLINT AS label_id, round([p0, p1, p2][lab + 1], 9) AS confidence, "
         "'1' AS model_version, 'run-a' AS model_run_id FROM d"))
+    sql["stream_history_deduped"] = sql["stream_history"]
     sql["stream_dead_letters"] = nested(*RECORDS, final=(
         "SELECT 'reviews.v1' AS source_topic, (doc_id % 3)::INTEGER AS source_partition, doc_id // 3 AS source_offset, "
         f"{KEY_BASE64} AS key_base64, error_type, error_message FROM errors WHERE NOT ({VALID})"))

@@ -574,6 +574,36 @@ def lookback_publish(spark, sf):
     return parsed.groupBy("event.review_id").agg(F.count("*").alias("published"))
 
 
+def cursor_identity(spark, sf):
+    """Three pipelines over the reviews: where each one's cursor is, and what others may do with it."""
+    folder = work_folder(views.configure(spark), "cursors")
+    ends = (
+        views.reviews(spark, sf).groupBy(F.expr("doc_id % 3").alias("k"))
+        .agg(F.min("review_id").alias("first"), F.max("review_id").alias("last")).orderBy("k").collect()
+    )
+
+    def outcome(call) -> str:
+        try:
+            return call() or "none"
+        except (ingest.CursorMismatch, ingest.CursorRegression, ingest.CursorConflict) as error:
+            return type(error).__name__
+
+    rows = []
+    for end in ends:  # one row per pipeline
+        name = f"pipeline-{end.k}"
+        own = ingest.CursorTable(spark, folder, name, "documents", REVIEWS_TOPIC)
+        before = outcome(own.load)
+        own.save(end.first)
+        own.save(end.last, expected=end.first)
+        rows.append((
+            name, before, own.load(), outcome(lambda: own.save(end.first)), outcome(lambda: own.save(end.last, expected=end.first)),
+            outcome(ingest.CursorTable(spark, folder, name, "events", REVIEWS_TOPIC).load),
+            outcome(ingest.CursorTable(spark, folder, name, "documents", PREDICTIONS_TOPIC).load),
+        ))
+    names = ("checkpoint_id", "before", "last_review_id", "backwards", "outdated", "other_source", "other_topic")
+    return spark.createDataFrame(rows, ", ".join(f"{n} STRING" for n in names))
+
+
 def incremental_publish(spark, sf):
     """Publish above the cursor twice; the second run finds nothing new."""
     folder = work_folder(views.configure(spark), "published")
@@ -631,6 +661,24 @@ def stream_history(spark, sf):
     )
 
 
+def stream_history_deduped(spark, sf):
+    """A log that holds every prediction twice; the stream's state drops the second copies."""
+    log = _scored_log(spark, sf)
+    records = topics.read_topic_log(spark, log, PREDICTIONS_TOPIC)
+    both = work_folder(spark, "topic-log")
+    topics.write_topic_log(records, both)
+    topics.write_topic_log(records.withColumn("offset", F.expr("offset + 1000000000000")), both)
+    table = work_folder(spark, "history")
+    jobs.start_history_sink(
+        topics.stream_topic_log(spark, both, PREDICTIONS_TOPIC), table, f"{table}-once", {"availableNow": True}, horizon="1 hour"
+    ).awaitTermination()
+    rows = history.read_history(spark, table)
+    return rows.selectExpr(
+        "prediction_id", "review_id", "movie_id", stamp("source_created_at"), "sentiment", "label_id",
+        r9("confidence"), "model_version", "model_run_id",
+    )
+
+
 def stream_dead_letters(spark, sf):
     """Dead letters of the streamed scoring job."""
     letters = topics.read_topic_log(spark, _scored_log(spark, sf), DEAD_LETTER_TOPIC)
@@ -682,7 +730,7 @@ def queries():
         keyset_page, advance_cursor, next_offsets, insert_if_absent, history_lookup,
         keyset_mixed_case, lookback_publish, history_compact,
         history_counts, history_delete, history_table, corpus_snapshot, corpus_csv, decide_from_report,
-        incremental_publish, scored_predictions, stream_history, stream_dead_letters,
+        cursor_identity, incremental_publish, scored_predictions, stream_history, stream_history_deduped, stream_dead_letters,
         text_classifier,
     ):
         found[f.__name__] = f

@@ -64,7 +64,7 @@ def publish_after(
     if count:
         write(publish(batch, cursor.target_topic))
         if last is not None:
-            cursor.save(last)
+            cursor.save(last, expected=start)
     return count
 
 
@@ -141,12 +141,24 @@ def start_history_sink(
     checkpoint: str,
     trigger: dict | None = None,
     strict: bool = True,
+    horizon: str | None = None,
 ) -> StreamingQuery:
-    """Insert prediction records into the history table, each prediction once."""
+    """Insert prediction records into the history table, each prediction once.
+
+    With ``horizon`` (an interval such as ``1 hour``) a prediction that has arrived
+    within it is dropped before the table is asked, so a replay costs no read of
+    stored ids. The state holds the ids of one horizon, and what lies further back
+    is still found in the table. Time is that of arrival, the batch's: no record
+    is ever late. Of copies in one batch any may be the one that goes on.
+    """
     spark = records.sparkSession
+    if horizon is not None:
+        rows = predictions_to_history(records, strict).withColumn("_arrived", F.current_timestamp())
+        rows = rows.withWatermark("_arrived", horizon).dropDuplicatesWithinWatermark(["prediction_id"])
+        records = rows.drop("_arrived")
 
     def insert(batch: DataFrame, _epoch: int) -> None:
-        rows = predictions_to_history(batch, strict).persist()
+        rows = (batch if horizon is not None else predictions_to_history(batch, strict)).persist()
         try:
             order = [F.asc(c) for c in ARRIVAL]
             history.insert_if_absent(spark, path, rows, F.current_timestamp(), order)

@@ -175,6 +175,29 @@ def test_temperature_minimises_the_loss(spark):
     assert got[t] == pytest.approx(loss(t), abs=1e-12) and got[2.0] == pytest.approx(loss(2.0), abs=1e-12)
 
 
+@pytest.mark.parametrize("scale", [1e-4, 0.3, 1.0, 40.0, 3000.0])
+def test_temperature_in_few_passes(spark, scale):
+    z, y = sample("smooth")
+    z = np.asarray(z) * scale
+
+    def slope(b):
+        p = softmax(z * b)
+        return ((p * z).sum(axis=1) - z[np.arange(len(y)), y]).mean()
+
+    low, high = 1e-9, 1e9
+    for _ in range(200):
+        middle = (low * high) ** 0.5
+        low, high = (low, middle) if slope(middle) > 0 else (middle, high)
+    spark.sparkContext.setJobGroup(f"fit-{scale}", "fit")
+    try:
+        t = calibrate.fit_temperature(frame(spark, z.tolist(), y))
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit-{scale}")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert t == pytest.approx(1 / low, rel=1e-9)
+    assert 0 < len(jobs) <= (8 if 0.01 < scale < 100 else 12)  # a pass is a job or two
+
+
 def test_temperature_without_a_positive_optimum_is_an_error(spark):
     # Truth is always the least likely class: the best inverse temperature is not positive.
     with pytest.raises(ValueError, match="not positive"):

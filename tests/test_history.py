@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -258,6 +260,49 @@ def test_pages_are_published_until_none_is_left(spark, tmp_path):
     assert jobs.publish_until_empty(spark, read, c, write) == 0
 
 
+def test_of_two_writers_one_moves_the_cursor(spark, tmp_path):
+    c = cursor(spark, tmp_path)
+    c.save(RIDS[0])
+    number, _ = c._latest()
+    c._create(number + 1, RIDS[1])
+    with pytest.raises(ingest.CursorConflict):
+        cursor(spark, tmp_path)._create(number + 1, RIDS[2])  # has seen the same number
+    assert c.load() == RIDS[1]
+    with pytest.raises(ingest.CursorConflict):
+        c.save(RIDS[2], expected=RIDS[0])
+    with pytest.raises(ingest.CursorConflict):
+        c.save(RIDS[2], expected=None)
+    assert c.save(RIDS[2], expected=RIDS[1]) == RIDS[2] == c.load()
+
+
+def test_old_cursor_numbers_go_and_do_not_come_back(spark, tmp_path):
+    c = cursor(spark, tmp_path)
+    ids = [f"{i:024x}" for i in range(1, 16)]
+    for i in ids:
+        c.save(i)
+    assert len(c._numbers()) == c.KEPT and c.load() == ids[-1]
+    with pytest.raises(ingest.CursorConflict):
+        c._create(2, ids[3])  # its number is free again, but others count
+    assert c.load() == ids[-1]
+
+
+def test_concurrent_saves_leave_the_highest(spark, tmp_path):
+    ids = [f"{i:024x}" for i in range(1, 41)]
+
+    def save(i):
+        while True:
+            try:
+                return cursor(spark, tmp_path).save(i)
+            except ingest.CursorConflict:
+                continue
+            except ingest.CursorRegression:
+                return None
+
+    with ThreadPoolExecutor(4) as pool:
+        saved = [x for x in pool.map(save, ids) if x]
+    assert ids[-1] in saved and cursor(spark, tmp_path).load() == ids[-1]
+
+
 def test_an_invalid_review_stops_publishing(spark, tmp_path):
     c = cursor(spark, tmp_path)
     with pytest.raises(PySparkException, match="contract violated"):

@@ -127,3 +127,37 @@ def test_idle_query_stops_on_request(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert not query.isActive and topic(spark, tmp_path, PREDICTIONS_TOPIC).count() == 1
+
+
+def test_replays_within_the_horizon_never_reach_the_table(spark, tmp_path, monkeypatch):
+    append_reviews(spark, str(tmp_path / "reviews"), range(6))
+    run_scoring(spark, tmp_path)
+    first = topic(spark, tmp_path, PREDICTIONS_TOPIC).collect()
+    log, seen = str(tmp_path / "log"), []
+    whole = history.insert_if_absent
+
+    def spy(spark, path, rows, *more):
+        seen.append(rows.count())
+        return whole(spark, path, rows, *more)
+
+    monkeypatch.setattr(history, "insert_if_absent", spy)
+
+    def run(table, horizon):
+        seen.clear()
+        records = topics.stream_topic_log(spark, log, PREDICTIONS_TOPIC, max_files=1)
+        query = jobs.start_history_sink(
+            records, str(tmp_path / table), str(tmp_path / f"{table}-check"), ONCE, horizon=horizon
+        )
+        query.awaitTermination()
+        states = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+        stored = history.read_history(spark, str(tmp_path / table))
+        return sorted(r.review_id for r in stored.collect()), sum(seen), states
+
+    for copy in range(3):
+        rows = spark.createDataFrame([{**r.asDict(), "offset": r.offset + 100 * copy} for r in first], TOPIC_RECORD)
+        topics.write_topic_log(rows.coalesce(1), log)
+    ids = sorted(rid(i) for i in range(6))
+    assert run("long", "1 hour")[:2] == (ids, 6)
+    stored, asked, states = run("none", "0 seconds")
+    # The state is bounded by the horizon; what it has forgotten is found in the table.
+    assert stored == ids and asked >= 6 and max(states) <= 6 and states[-1] <= 6
