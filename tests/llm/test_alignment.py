@@ -3,8 +3,10 @@
 import hashlib
 import random
 from collections import Counter
+from types import SimpleNamespace
 
-import pytest
+import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -120,17 +122,36 @@ def test_textual_keys_and_groups(spark):
     assert len(row.groups.split(";")) == row.n_groups
 
 
-def test_forgetting_changes_nothing(spark, sf_small, monkeypatch):
+def aligner():
     with open(alignment.MODEL_A, encoding="utf-8") as a, open(alignment.MODEL_B, "rb") as b:
-        aligner = alignment.Aligner(a.read(), b.read())
-    texts = [f" w{i} and {i * 7}".encode() for i in range(50)]
-    at = aligner.places(texts)  # before ``sums`` is read, which it replaces
-    first = aligner.sums[at].tolist()
-    monkeypatch.setattr(alignment, "REMEMBERED", 60)
-    aligner.places([f" other{i}".encode() for i in range(30)])
-    assert len(aligner.place) == 30
-    at = aligner.places(texts)
-    assert aligner.sums[at].tolist() == first
+        return alignment.Aligner(a.read(), b.read())
+
+
+def test_runs_of_many_texts(monkeypatch):
+    draw, both = random.Random(3), aligner()
+    monkeypatch.setattr(alignment, "_aligner", lambda number, shared: both)
+    texts = [draw.choice(ODD) + " ".join(draw.choice(ODD)[:9] for _ in range(draw.randrange(40))) for _ in range(200)] + [None, ""]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["key", "text"])
+    sizes = []
+    for run in (1, 500, 1 << 20):
+        monkeypatch.setattr(alignment, "RUN", run)
+        ids = pa.Table.from_batches(alignment._tokenize(0, None)([batch])).combine_chunks().to_batches()
+        counts = Counter()
+        for part in alignment._count_links(0, None)([x.select(["a", "b"]) for x in ids]):
+            for row in part.to_pylist():
+                counts[row["b"] << alignment._SHIFT | row["a"]] += row["n"]
+        keys = np.array(sorted(counts), np.int64)
+        most = Counter()
+        for k, n in counts.items():
+            most[k >> alignment._SHIFT] = max(most[k >> alignment._SHIFT], n)
+        n = np.array([counts[k] for k in keys.tolist()], np.int64)
+        best = np.array([counts[k] == most[k >> alignment._SHIFT] for k in keys.tolist()])
+        table = SimpleNamespace(value=(keys, n, best))
+        parts = list(alignment._sum_up(0, None, table, False)(ids))
+        sizes.append(len(parts))
+        got = [tuple(r[c] for c in ("key", *alignment.SUMS, "groups_sha256")) for part in parts for r in part.to_pylist()]
+        assert sorted(got, key=str) == plain(list(enumerate(texts)))
+    assert sizes[0] > sizes[1] > sizes[2] == 1
 
 
 @settings(max_examples=300, deadline=None)
@@ -143,20 +164,15 @@ def test_alignment_of_any_ends(a, b):
     assert groups == [(a.index(e) + 1, b.index(e) + 1) for e in a if e in set(b)]
 
 
-def test_units_are_safe_to_cut():
-    draw = random.Random(5)
-    with open(alignment.MODEL_A, encoding="utf-8") as a, open(alignment.MODEL_B, "rb") as b:
-        aligner = alignment.Aligner(a.read(), b.read())
-    signs = ["a", "the", "é", " ", " ", "  ", "\n", "\t", "'s", "'", "7", "!", "日", " ", "　", " ", "ﬁ", "😀", "\x1c", "_", "Ｘ"]
-    import pyarrow as pa
-
-    for _ in range(400):
+def test_ids_by_ranks_equal_the_tokenizers():
+    draw, both = random.Random(5), aligner()
+    assert both.quick is not None
+    signs = ["a", "the", "é", " ", " ", "  ", "\n", "\t", "'s", "'", "7", "!", "日", "\u2003", "\u3000", "\xa0", "ﬁ", "😀", "\x1c", "_", "Ｘ", "\u180e", "\u200b", "ⅷ", "²"]
+    for _ in range(2000):
         text = "".join(draw.choice(signs) for _ in range(draw.randrange(1, 40)))
-        distinct, index, _ = alignment.units(pa.array([" " + text]))
-        parts = [distinct[i].decode() for i in index]
-        assert "".join(parts) == " " + text
-        assert sum((aligner.a.encode(p, add_special_tokens=False).ids for p in parts), []) == A.encode(" " + text, add_special_tokens=False).ids
-        assert sum(aligner._pieces(parts), []) == B.encode(text)
+        assert both._ids_a(" " + text) == A.encode(" " + text, add_special_tokens=False).ids
+    every = "".join(chr(c) + draw.choice(" a1!\n") for c in range(0x10000) if both.steady[c])
+    assert both.quick.encode_ordinary(every) == A.encode(every, add_special_tokens=False).ids
 
 
 def test_link_counts(spark):
