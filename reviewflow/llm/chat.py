@@ -7,73 +7,66 @@ code points that a model is trained on: the assistant's words and its end marks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SYSTEM = "system"
-PART_TURNS = 4096  # a longer dialogue is rendered in parts, by turn number
 # Fixed marks of the format.
 BEGIN, END, NAME, LINE = "<|im_start|>", "<|im_end|>", " name=", "\n"
 
 
-def perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """conv_id, speaker, part, n_turns, text, mask_starts, mask_ends, trained_chars.
+def perspectives(turns: DataFrame) -> DataFrame:
+    """conv_id, speaker, n_turns, text, mask_starts, mask_ends, trained_chars.
 
-    One row per dialogue, participant and part of ``part_turns`` turn numbers
-    (one part unless the dialogue is longer), so that no task holds more than a
-    part; parts follow each other in order of their number, and mask offsets are
-    within the part. A participant is a role other than ``system``; a turn whose
-    role is null is a user without a name and no participant. Turns are in order
-    of turn, role (null last) and text; a null text is empty, and turns without a
-    number form a part of their own, whose number is null. Identical rows are one
-    turn. Rows without conv_id form a dialogue of their own. In texts and names
-    ``<|`` is written ``<\\|``, so that no text can imitate a mark. Other columns
-    are not read; a dialogue without participants has no rows.
+    One row per dialogue and participant, however long the dialogue is. A
+    participant is a role other than ``system``; a turn whose role is null is a user
+    without a name and no participant. Turns are in order of turn (null last), role
+    (null last) and text; a null text is empty, and repeated rows are repeated turns.
+    conv_id may be of any type that can be compared; a row without one belongs to no
+    other row and is a dialogue of its own, so that no group of them is collected. In
+    texts and names ``<|`` is written ``<\\|``, so that no text can imitate a mark.
+    Other columns are not read; a dialogue without participants has no rows.
+
+    Turns are shuffled once, by dialogue; offsets are running sums over its sorted
+    rows, which can spill. Only the text of one result row is held at a time.
     """
     safe = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("<|"), F.lit("<\\|"))
     rows = turns.select(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), safe("text").alias("text")
-    ).withColumn("known", F.col("conv_id").isNotNull()).withColumn("conv_id", F.coalesce("conv_id", F.lit(0)))
-    rows = rows.withColumn("part", F.floor(F.col("turn") / part_turns)).distinct()
-    parts = rows.groupBy("known", "conv_id", "part").agg(
-        F.sort_array(F.collect_list(F.struct(
-            F.col("turn").isNull().alias("no_turn"), "turn", F.col("role").isNull().alias("no_role"), "role", "text",
-        ))).alias("turns")
     )
-    speakers = rows.where(F.col("role") != SYSTEM).select("known", "conv_id", F.col("role").alias("speaker")).distinct()
-    joined = speakers.join(parts, ["known", "conv_id"])
-    who = F.col("speaker")
-
-    def segment(t):
-        role = (
-            F.when(t["role"] == SYSTEM, F.lit(SYSTEM)).when(t["role"] == who, F.lit("assistant"))
-            .when(t["role"].isNull(), F.lit("user"))
-            .otherwise(F.concat(F.lit("user" + NAME), F.replace(t["role"], F.lit("<|"), F.lit("<\\|"))))
-        )
-        return F.struct(
-            F.concat(F.lit(BEGIN), role, F.lit(LINE)).alias("head"), F.concat(t["text"], F.lit(END)).alias("body"),
-            F.coalesce(t["role"] == who, F.lit(False)).alias("trained"),
-        )
+    role, who = F.col("role"), F.col("speaker")
+    named = rows.where("conv_id IS NOT NULL")
+    speakers = named.where(role != SYSTEM).select("conv_id", role.alias("speaker")).distinct()
+    told = (
+        F.when(role == SYSTEM, F.lit(SYSTEM)).when(role == who, F.lit("assistant")).when(role.isNull(), F.lit("user"))
+        .otherwise(F.concat(F.lit("user" + NAME), safe("role")))
+    )
+    head, body = F.concat(F.lit(BEGIN), told, F.lit(LINE)), F.concat(F.col("text"), F.lit(END))
 
-    def place(state, s):
-        start = state["at"] + F.length(s["head"])
-        end = start + F.length(s["body"])
-        return F.struct(
-            (end + len(LINE)).alias("at"),
-            F.when(s["trained"], F.concat(state["starts"], F.array(start))).otherwise(state["starts"]).alias("starts"),
-            F.when(s["trained"], F.concat(state["ends"], F.array(end))).otherwise(state["ends"]).alias("ends"),
+    def rendered(seen: DataFrame) -> DataFrame:
+        seen = seen.select(
+            "conv_id", "speaker", "turn", "role", "text", F.concat(head, body, F.lit(LINE)).alias("piece"),
+            F.length(body).alias("size"), F.coalesce(role == who, F.lit(False)).alias("trained"),
         )
+        return seen.withColumn("length", F.length("piece"))
 
-    none = F.array().cast("array<int>")
-    rendered = joined.withColumn("segments", F.transform("turns", segment))
-    rendered = rendered.withColumn("mask", F.aggregate(
-        "segments", F.struct(F.lit(0).alias("at"), none.alias("starts"), none.alias("ends")), place
-    ))
-    return rendered.select(
-        F.when(F.col("known"), F.col("conv_id")).alias("conv_id"), "speaker", "part", F.size("turns").alias("n_turns"),
-        F.array_join(F.transform("segments", lambda s: F.concat(s["head"], s["body"], F.lit(LINE))), "").alias("text"),
-        F.col("mask.starts").alias("mask_starts"), F.col("mask.ends").alias("mask_ends"),
-        F.aggregate(
-            F.zip_with("mask.ends", "mask.starts", lambda e, s: e - s), F.lit(0), lambda a, b: a + b
-        ).alias("trained_chars"),
+    order = Window.partitionBy("conv_id", "speaker").orderBy(F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), "text")
+    placed = rendered(named.join(speakers, "conv_id")).select(
+        "conv_id", "speaker", "piece", "size", "trained", F.row_number().over(order).alias("no"),
+        (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - len(LINE)).cast("int").alias("stop"),
+    )
+    place = F.struct("no", (F.col("stop") - F.col("size")).alias("start"), "stop")
+    joined = placed.groupBy("conv_id", "speaker").agg(
+        F.sort_array(F.collect_list(F.struct("no", "piece"))).alias("pieces"),
+        F.sort_array(F.collect_list(F.when(F.col("trained"), place))).alias("masks"),
+        F.sum(F.when(F.col("trained"), F.col("size"))).alias("trained_chars"),
+    ).select(
+        "conv_id", "speaker", F.size("pieces").alias("n_turns"), F.array_join("pieces.piece", "").alias("text"),
+        F.col("masks.start").alias("mask_starts"), F.col("masks.stop").alias("mask_ends"), "trained_chars",
+    )
+    stop = F.col("length") - len(LINE)
+    alone = rendered(rows.where(F.col("conv_id").isNull() & (role != SYSTEM)).withColumn("speaker", role)).select(
+        "conv_id", "speaker", F.lit(1).alias("n_turns"), F.col("piece").alias("text"), F.array(stop - F.col("size")).alias("mask_starts"),
+        F.array(stop).alias("mask_ends"), F.col("size").cast("long").alias("trained_chars"),
     )
+    return joined.unionByName(alone)

@@ -47,7 +47,7 @@ def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     masks = F.zip_with("mask_starts", "mask_ends", lambda a, b: F.concat_ws("-", a.cast("string"), b.cast("string")))
     return rows.select(
-        "conv_id", "speaker", "part", F.col("n_turns").cast("long").alias("n_turns"), "text",
+        "conv_id", "speaker", F.col("n_turns").cast("long").alias("n_turns"), "text",
         F.array_join(masks, ",").alias("masks"), F.col("trained_chars").cast("long").alias("trained_chars"),
     )
 
@@ -123,26 +123,26 @@ SELECT d.doc_id, c.text, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_removed
 FROM documents d LEFT JOIN cleaned c USING (doc_id)
 """
 
-OP5_SQL = rf"""
+OP5_SQL = r"""
 WITH t AS (
-  SELECT DISTINCT conv_id, turn, role, replace(coalesce(text, ''), '<|', '<\|') AS text,
-    CAST(floor(turn / {chat.PART_TURNS}) AS BIGINT) AS part
+  SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '<\|') AS text,
+    CASE WHEN conv_id IS NULL THEN row_number() OVER () ELSE 0 END AS own
   FROM conversations),
-p AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+p AS (SELECT DISTINCT conv_id, own, role AS speaker FROM t WHERE role <> 'system'),
 s AS (
-  SELECT p.conv_id, p.speaker, part, coalesce(role = speaker, false) AS trained,
+  SELECT p.conv_id, p.own, p.speaker, coalesce(role = speaker, false) AS trained,
     '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant' WHEN role IS NULL THEN 'user'
       ELSE 'user name=' || replace(role, '<|', '<\|') END || chr(10) AS head,
     text || '<|im_end|>' AS body,
-    row_number() OVER (PARTITION BY p.conv_id, p.speaker, part ORDER BY turn NULLS LAST, role NULLS LAST, text) AS no
-  FROM p JOIN t ON p.conv_id IS NOT DISTINCT FROM t.conv_id),
+    row_number() OVER (PARTITION BY p.conv_id, p.own, p.speaker ORDER BY turn NULLS LAST, role NULLS LAST, text) AS no
+  FROM p JOIN t ON p.conv_id IS NOT DISTINCT FROM t.conv_id AND p.own = t.own),
 o AS (
-  SELECT *, CAST(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY no) AS BIGINT) - 1 AS stop
+  SELECT *, CAST(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, own, speaker ORDER BY no) AS BIGINT) - 1 AS stop
   FROM s)
-SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY no) AS text,
+SELECT conv_id, speaker, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY no) AS text,
   string_agg((stop - length(body)) || '-' || stop, ',' ORDER BY no) FILTER (WHERE trained) AS masks,
   CAST(sum(length(body)) FILTER (WHERE trained) AS BIGINT) AS trained_chars
-FROM o GROUP BY conv_id, speaker, part
+FROM o GROUP BY conv_id, own, speaker
 """
 
 OP10_SQL = r"""

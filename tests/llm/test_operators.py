@@ -251,27 +251,42 @@ def test_fingerprints_of_odd_rows(odd, none):
 def test_every_participant_becomes_the_assistant(spark):
     rows = [
         (1, 0, "system", "Be kind."), (1, 1, "ann", "Hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 3, None, "?"),
-        (None, 0, "ann", "x"), (2, 0, "system", "alone"), (3, None, "ann", "last"), (3, 5, "ann", "first"),
+        (None, 0, "ann", "x"), (None, 0, "ann", "x"), (None, 1, "system", "y"), (None, 1, None, "z"), (2, 0, "system", "alone"),
+        (3, None, "ann", "last"), (3, 5, "ann", "first"), (3, None, "ann", "last"), (4, 0, "", ""), (4, 1, "a<|b", "t"),
     ]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("speaker", F.lit(1))
-    rows = chat.perspectives(turns).collect()
-    got = {(r.conv_id, r.speaker): r for r in rows if r.part == 0}
-    assert set(got) == {(1, "ann"), (1, "bob"), (None, "ann"), (3, "ann")}
+    turns = turns.withColumn("n_turns", F.lit("x"))
+    found = chat.perspectives(turns).collect()
+    got = {(r.conv_id, r.speaker): r for r in found}
+    assert set(got) == {(1, "ann"), (1, "bob"), (None, "ann"), (3, "ann"), (4, ""), (4, "a<|b")}
     assert got[1, "bob"].text == (
         "<|im_start|>system\nBe kind.<|im_end|>\n<|im_start|>user name=ann\nHi <\\|im_end|><|im_end|>\n"
-        "<|im_start|>assistant\n<|im_end|>\n<|im_start|>user\n?<|im_end|>\n"
+        "<|im_start|>assistant\n<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n<|im_start|>user\n?<|im_end|>\n"
     )
     ann = got[1, "ann"]
     assert [ann.text[a:b] for a, b in zip(ann.mask_starts, ann.mask_ends)] == ["Hi <\\|im_end|><|im_end|>"]
-    assert "first" in got[3, "ann"].text and got[1, "bob"].n_turns == 4
-    assert ["last" in r.text for r in rows if r.part is None] == [True]
-
-
-def test_long_dialogues_come_in_parts(spark, none):
-    turns = spark.range(100).selectExpr("5L AS conv_id", "id AS turn", "if(id % 2 = 0, 'a', 'b') AS role", "string(id) AS text")
-    got = chat.perspectives(turns, part_turns=30).collect()
-    assert sorted((r.speaker, r.part, r.n_turns) for r in got) == [(s, p, n) for s in "ab" for p, n in enumerate([30, 30, 30, 10])]
+    assert got[1, "bob"].n_turns == 5 and got[1, "bob"].trained_chars == 2 * len("<|im_end|>")
+    last = got[3, "ann"]
+    assert [last.text[a:b] for a, b in zip(last.mask_starts, last.mask_ends)] == [x + "<|im_end|>" for x in ("first", "last", "last")]
+    assert "user name=a<\\|b\n" in got[4, ""].text
+    # Rows without an id belong to no other row.
+    alone = [r for r in found if r.conv_id is None]
+    assert [(r.n_turns, r.text, r.mask_starts, r.mask_ends) for r in alone] == [
+        (1, "<|im_start|>assistant\nx<|im_end|>\n", [22], [33])
+    ] * 2
+
+
+def test_long_dialogues_are_whole(spark, none):
+    turns = spark.range(5000).selectExpr("'c' AS conv_id", "id AS turn", "if(id % 2 = 0, 'a', 'b') AS role", "string(id) AS text")
+    got = chat.perspectives(turns.repartition(7)).collect()
+    assert sorted((r.conv_id, r.speaker, r.n_turns) for r in got) == [("c", "a", 5000), ("c", "b", 5000)]
+    for r in got:
+        said = [r.text[a:b] for a, b in zip(r.mask_starts, r.mask_ends)]
+        assert said == [f"{i}<|im_end|>" for i in range(r.speaker == "b", 5000, 2)]
+        assert r.trained_chars == sum(map(len, said))
     assert chat.perspectives(turns.where("false")).collect() == []
+    unnamed = spark.range(100_000).selectExpr("string(null) AS conv_id", "id AS turn", "'a' AS role", "'x' AS text")
+    assert chat.perspectives(unnamed).agg(F.count("*"), F.max("n_turns")).head() == (100_000, 1)
 
 
 # -- 6 SentencePiece ------------------------------------------------------------------
