@@ -133,58 +133,60 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def next_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, next_id, n_chars of each id: the next in descending order; after the last, the first.
+    """key, next_key, n_chars of each row: the next by descending ``at``; after the last, the first.
 
-    Ids are sorted in ranges, each of which needs only the first id of the range
-    that follows it; no task sees all of them. ``docs`` holds doc_id and n_chars.
+    Rows are sorted in ranges, each of which needs only the first row of the range
+    that follows it; no task sees all of them. ``docs`` holds key, at and n_chars; no
+    two rows are equal in ``at``.
     """
-    ranged = docs.repartitionByRange(F.col("doc_id").desc()).withColumn("range", F.spark_partition_id())
+    ranged = docs.repartitionByRange(F.col("at").desc()).withColumn("range", F.spark_partition_id())
     ranged = stored(ranged, "id-ranges")  # keeps the ranges fixed
-    heads = ranged.groupBy("range").agg(F.max("doc_id").alias("head"))  # a row per partition
+    heads = ranged.groupBy("range").agg(F.max_by("key", "at").alias("head"))  # a row per partition
     order = Window.orderBy("range")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select("range", F.coalesce(F.lead("head").over(order), F.first("head").over(whole)).alias("after"))
-    inside = F.lead("doc_id").over(Window.partitionBy("range").orderBy(F.col("doc_id").desc()))
+    inside = F.lead("key").over(Window.partitionBy("range").orderBy(F.col("at").desc()))
     return (
         ranged.withColumn("inside", inside).join(F.broadcast(heads), "range")
-        .select("doc_id", F.coalesce("inside", "after").alias("next_id"), "n_chars")
+        .select("key", F.coalesce("inside", "after").alias("next_key"), "n_chars")
     )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_chars, edited_sha256, both fingerprints (text and packed), near_edited, near_next.
+    """Per row: doc_id, n_chars, edited_sha256, both fingerprints (text and packed), near_edited, near_next.
 
     The edited text is the text whose last third (rounded down) of code points is
     replaced by as many, or all, first ones of the next document's, in descending
     doc_id; after the last comes the first. A null text is empty. Rows that share a
-    doc_id are one document with the greatest of their texts; a row without
-    doc_id takes no part. Other columns are not read.
+    doc_id follow each other by descending SHA-256 of their texts, rows without a
+    doc_id in the same way after all others; copies come in any order, which
+    shows in no value. Other columns are not read.
 
-    Texts are shuffled once by doc_id; what travels to a neighbour is the part
-    that it needs.
+    Texts are shuffled once by key; what travels to a neighbour is the part that it
+    needs. The key is the doc_id, or a row number where ids repeat or lack.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    counted = rows.groupBy("doc_id").agg(F.max(F.struct("text")).alias("row"), F.count("*").alias("n"))
-    ids = rows.select("doc_id", F.length("text").alias("n_chars"))
-    repeated = stored(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "id-repeats")
-    if not repeated.isEmpty():
-        rows = stored(counted.select("doc_id", "row.text"), "one-text-per-id")
-        ids = rows.select("doc_id", F.length("text").alias("n_chars"))
-    follow = stored(next_documents(ids), "next-ids")
-    wanted = follow.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), F.expr("n_chars div 3").cast("int").alias("k"))
-    given = rows.join(wanted.hint("shuffle_hash"), "doc_id").select(
-        F.col("for_id").alias("doc_id"), F.left("text", F.col("k")).alias("given"), F.col("k")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
+    if stored(repeated, "id-repeats").isEmpty():
+        rows, at = rows.withColumn("key", F.col("doc_id")), F.col("doc_id")
+    else:
+        rows = stored(rows.withColumn("key", F.monotonically_increasing_id()), "numbered-rows")
+        at = F.struct("doc_id", F.sha2("text", 256), "key")
+    follow = stored(next_documents(rows.select("key", at.alias("at"), F.length("text").alias("n_chars"))), "next-ids")
+    wanted = follow.select(F.col("next_key").alias("key"), F.col("key").alias("for_key"), F.expr("n_chars div 3").cast("int").alias("k"))
+    given = rows.join(wanted.hint("shuffle_hash"), "key").select(
+        F.col("for_key").alias("key"), F.left("text", F.col("k")).alias("given"), F.col("k")
     )
-    both = rows.join(given, "doc_id").select(
-        "doc_id", "text", F.length("text").cast("long").alias("n_chars"),
+    both = rows.join(given, "key").select(
+        "key", "doc_id", "text", F.length("text").cast("long").alias("n_chars"),
         F.concat(F.left("text", F.length("text") - F.col("k")), "given").alias("edited"),
     )
     both = both.withColumn("edited_sha256", F.sha2("edited", 256))
     made = fingerprint(both, {"packed": "text", "edited_packed": "edited"}).drop("text", "edited")
-    made = stored(made.join(follow.select("doc_id", "next_id"), "doc_id"), "fingerprints")
-    after = made.select(F.col("doc_id").alias("next_id"), F.col("packed").alias("next_packed"))
-    return made.join(after, "next_id").select(
+    made = stored(made.join(follow.select("key", "next_key"), "key"), "fingerprints")
+    after = made.select(F.col("key").alias("next_key"), F.col("packed").alias("next_packed"))
+    return made.join(after, "next_key").select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("packed")).alias("fingerprint"),
         as_text(F.col("edited_packed")).alias("edited_fingerprint"), "packed", "edited_packed",
         likeness(F.col("packed"), F.col("edited_packed")).alias("near_edited"),

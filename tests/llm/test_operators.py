@@ -236,10 +236,22 @@ def test_fingerprints_of_short_texts_fill_all_bins(spark):
 
 
 def test_fingerprints_of_odd_rows(odd, none):
-    got = table(fingerprints.fingerprints(odd))
-    assert set(got) == {d for d, _ in ODD if d is not None}
+    rows = fingerprints.fingerprints(odd).collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(d) for d, _ in ODD)
+    # Descending ids, then digests; rows without an id come last, and after the last the first.
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    line = sorted(((d is not None, d or 0, digest(t or ""), d, t or "") for d, t in ODD), reverse=True)
+    texts = [x[-1] for x in line]
+    want = []
+    for (*_, d, t), after in zip(line, texts[1:] + texts[:1]):
+        k = len(t) // 3
+        want.append((str(d), len(t), digest(t[: len(t) - k] + after[:k])))
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in rows) == sorted(want)
+    got = {r.doc_id: r for r in rows}
     assert got[1].fingerprint == "" == got[3].fingerprint and got[6].fingerprint == got[7].fingerprint
-    assert got[7].near_next == 1.0 and got[1].near_next == 0.0 and got[3].near_next == 1.0
+    assert got[7].near_next == 1.0 and got[3].near_next == 1.0
+    twice = [r for r in rows if r.doc_id == 14]
+    assert len({r.fingerprint for r in twice}) == 1 and max(r.near_next for r in twice) == 1.0
     assert fingerprints.fingerprints(none).count() == 0
     one = odd.where("doc_id = 9")
     assert fingerprints.fingerprints(one).head().near_next == 1.0
