@@ -33,6 +33,7 @@ MIN_COUNT = 100
 BEST = 2000  # phrases reported per language
 RUN = 1 << 23  # bytes of text taken together by a task
 ROUTE = 1 << 17  # pointers of a route, and occurrences above which a word is hot
+BLOCK = 1 << 17  # pointers handed on together, at route ends
 BITS = 1 << 25  # of a bitmap of words: 4 MB, whatever the data
 
 _U = np.uint64
@@ -144,6 +145,29 @@ def _set_in(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return bitmap.view(np.uint64)[at >> _U(6)] >> (at & _U(63)) & _U(1) == 1
 
 
+def _packed(run: Tokens, route: np.ndarray, begin: np.ndarray, ids: np.ndarray, done: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Rows of POINTERS of pointers in order of their routes, which begin at ``begin``."""
+    ends = np.append(begin, len(route))
+    # The words of each route, numbered from 0 in the order in which they come.
+    flat = ids.ravel()
+    inside = flat >= 0
+    group = np.repeat(np.arange(len(begin)), np.diff(ends) * DEPTH)[inside]
+    pairs = pa.array(group * len(run.words) + flat[inside]).dictionary_encode()
+    keys = pairs.dictionary.to_numpy()
+    starts = np.searchsorted(keys // len(run.words), np.arange(len(begin) + 1))
+    local = np.full(len(flat), -1, dtype=np.int32)
+    local[inside] = pairs.indices.to_numpy() - starts[group]
+    used = pa.array(keys % len(run.words))
+
+    def lists(at, values):
+        return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
+
+    return pa.RecordBatch.from_arrays([
+        pa.array(route[begin].astype(np.int32)), lists(starts, run.langs.take(used)), lists(starts, run.words.take(used)),
+        lists(ends * DEPTH, pa.array(local)), lists(ends, pa.array(done)), lists(ends, pa.array(counts)),
+    ], names=["route", "langs", "words", "ids", "done", "n"])
+
+
 def _route(shared, routes: int):
     """Suffix pointers by route, equal ones of a run counted together: rows of POINTERS.
 
@@ -183,28 +207,12 @@ def _route(shared, routes: int):
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]).any(axis=1)])
             first = np.flatnonzero(new)
             counts = np.diff(np.append(first, len(key)))
-            ids, route, done = ids[first], route[order][first], done[order][first]
+            ids, route, done, counts = ids[first], route[order][first], done[order][first], counts.astype(np.int32)
+            del lead, whole, undecided, valid, key, order, new, first
             begin = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1]]))
-            sizes = np.diff(np.append(begin, len(route)))
-            # The words of each route, numbered from 0 in the order in which they come.
-            flat = ids.ravel()
-            inside = flat >= 0
-            group = np.repeat(np.arange(len(begin)), sizes * DEPTH)[inside]
-            pairs = pa.array(group * len(run.words) + flat[inside]).dictionary_encode()
-            keys = pairs.dictionary.to_numpy()
-            starts = np.searchsorted(keys // len(run.words), np.arange(len(begin) + 1))
-            local = np.full(len(flat), -1, dtype=np.int32)
-            local[inside] = pairs.indices.to_numpy() - starts[group]
-            used = pa.array(keys % len(run.words))
-
-            def lists(ends, values):
-                return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
-
-            ends = np.append(begin, len(route))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(route[begin].astype(np.int32)), lists(starts, run.langs.take(used)), lists(starts, run.words.take(used)),
-                lists(ends * DEPTH, pa.array(local)), lists(ends, pa.array(done)), lists(ends, pa.array(counts.astype(np.int32))),
-            ], names=["route", "langs", "words", "ids", "done", "n"])
+            for some in np.split(begin, np.flatnonzero(np.diff(begin // BLOCK)) + 1):
+                lo, hi = int(some[0]), int(np.append(begin, len(route))[np.searchsorted(begin, some[-1]) + 1])
+                yield _packed(run, route[lo:hi], some - lo, ids[lo:hi], done[lo:hi], counts[lo:hi])
 
     return run
 

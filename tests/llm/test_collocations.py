@@ -3,8 +3,10 @@
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +117,17 @@ def test_hot_words_bound_a_route(spark, sf_small):
     all_, _ = collocations.phrase_counts(docs, 20, 1 << 30)
     assert some.count() == all_.count() == some.intersect(all_).count()
     assert totals.agg(F.sum("n")).head()[0] > 10_000
+
+
+def test_blocks_of_routes_hold_the_same_pointers(monkeypatch):
+    every = np.full(collocations.BITS >> 6, -1, dtype=np.int64)
+    shared = SimpleNamespace(value=(every, np.zeros_like(every)))
+    texts = [" ".join(f"w{(i * j) % 17}" for j in range(i)) for i in range(60)]
+    batch = pa.record_batch([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+    rows, parts = [], []
+    for block in (1, 50, 1 << 20):
+        monkeypatch.setattr(collocations, "BLOCK", block)
+        made = list(collocations._route(shared, 40)([batch]))
+        parts.append(len(made))
+        rows.append([row for part in made for row in part.to_pylist()])
+    assert rows[0] == rows[1] == rows[2] and parts[0] == len(rows[0]) > parts[1] > parts[2] == 1
