@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +47,8 @@ _APART = _BREAK.copy()
 _APART[[0x20, 0x09]] = True
 
 LEXICON = "lang string, word string, hash long, n long"
-POINTERS = "route int, langs array<string>, words array<string>, ids array<int>, done array<tinyint>, n array<int>"
+# Lists of numbers are packed, as wide as the greatest needs; each word is followed by a space.
+POINTERS = "route int, langs array<string>, lang_of binary, words string, ids binary, done binary, n binary"
 PHRASES = "lang string, phrase string, n long"
 
 
@@ -158,14 +160,31 @@ def _packed(run: Tokens, route: np.ndarray, begin: np.ndarray, ids: np.ndarray,
     local = np.full(len(flat), -1, dtype=np.int32)
     local[inside] = pairs.indices.to_numpy() - starts[group]
     used = pa.array(keys % len(run.words))
+    # The languages of each route likewise.
+    langs = run.langs.take(used).dictionary_encode()
+    group = np.repeat(np.arange(len(begin)), np.diff(starts))
+    pairs = pa.array(group * len(langs.dictionary) + langs.indices.to_numpy()).dictionary_encode()
+    keys = pairs.dictionary.to_numpy()
+    of = np.searchsorted(keys // len(langs.dictionary), np.arange(len(begin) + 1))
+    names = pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), langs.dictionary.take(pa.array(keys % len(langs.dictionary))))
+    data, at = buffers(pc.binary_join_element_wise(run.words.take(used), "", " "))
+    words = pa.Array.from_buffers(pa.string(), len(begin), [None, pa.py_buffer(at[starts].astype(np.int32)), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([
+        pa.array(route[begin].astype(np.int32)), names, _bytes(pairs.indices.to_numpy() - of[group], starts), words,
+        _bytes(local, ends * DEPTH), _bytes(done, ends), _bytes(counts, ends),
+    ], names=["route", "langs", "lang_of", "words", "ids", "done", "n"])
 
-    def lists(at, values):
-        return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
 
-    return pa.RecordBatch.from_arrays([
-        pa.array(route[begin].astype(np.int32)), lists(starts, run.langs.take(used)), lists(starts, run.words.take(used)),
-        lists(ends * DEPTH, pa.array(local)), lists(ends, pa.array(done)), lists(ends, pa.array(counts)),
-    ], names=["route", "langs", "words", "ids", "done", "n"])
+def _bytes(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Numbers from -1 up, cut at ``at``, as bytes of the least of three widths."""
+    kind = next(k for k in (np.int8, np.int16, np.int32) if values.max() <= np.iinfo(k).max)
+    offsets = (at * np.dtype(kind).itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values.astype(kind))])
+
+
+def _numbers(rows: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """The numbers of packed lists of known sizes, one after another."""
+    return np.concatenate([np.frombuffer(x, f"i{len(x) // n}").astype(np.int32) for x, n in zip(rows, sizes.tolist())])
 
 
 def _route(shared, routes: int):
@@ -253,14 +272,18 @@ def _mine(least: int):
     """The phrases of a route, those of hot words alone with the part of their count it holds."""
 
     def run(table: pa.Table) -> pa.Table:
-        lists = {name: table.column(name).combine_chunks() for name in ("langs", "words", "ids", "done", "n")}
-        number, langs, words = _numbered(lists["langs"].flatten(), lists["words"].flatten())
-        ids = lists["ids"].flatten().to_numpy().reshape(-1, DEPTH)
-        sizes = lists["words"].value_lengths().to_numpy()
-        begin = np.repeat(np.cumsum(sizes) - sizes, lists["n"].value_lengths().to_numpy())
-        if len(number):
-            ids = np.where(ids >= 0, number[np.maximum(ids, 0) + begin[:, None]], -1).astype(np.int32)
-        row, depth, count = equal_partitions(ids, lists["n"].flatten().to_numpy(), lists["done"].flatten().to_numpy(), least)
+        lists = {name: table.column(name).to_pylist() for name in ("langs", "lang_of", "words", "ids", "done", "n")}
+        sizes = np.array([x.count(" ") for x in lists["words"]])
+        pointers = np.array([len(x) for x in lists["done"]])
+        of = np.array([len(x) for x in lists["langs"]])
+        langs = pa.array([x for row in lists["langs"] for x in row], pa.string())
+        langs = langs.take(pa.array(_numbers(lists["lang_of"], sizes) + np.repeat(np.cumsum(of) - of, sizes)))
+        number, langs, words = _numbered(langs, pa.array("".join(lists["words"])[:-1].split(" "), pa.string()))
+        ids = _numbers(lists["ids"], pointers * DEPTH).reshape(-1, DEPTH)
+        begin = np.repeat(np.cumsum(sizes) - sizes, pointers)
+        ids = np.where(ids >= 0, number[np.maximum(ids, 0) + begin[:, None]], -1).astype(np.int32)
+        weights, done = _numbers(lists["n"], pointers), _numbers(lists["done"], pointers)
+        row, depth, count = equal_partitions(ids, weights, done, least)
         names, lang = words.to_pylist(), langs.take(pa.array(ids[row, 0]))
         phrases = [" ".join([names[i] for i in r[:d]]) for r, d in zip(ids[row].tolist(), depth.tolist())]
         return pa.table({"lang": lang, "phrase": pa.array(phrases, pa.string()), "n": pa.array(count, pa.int64())})
