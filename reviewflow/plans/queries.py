@@ -544,13 +544,15 @@ def _positioned(records: DataFrame) -> DataFrame:
 
 def keyset_mixed_case(spark, sf):
     """Pages of reviews whose ids are spelled in both cases, one after the other, validated."""
-    docs = views.reviews(spark, sf)
+    docs, moments = views.table(spark, sf, "documents"), views.table(spark, sf, "events")
     spelled = docs.selectExpr(
-        "IF(doc_id % 2 = 0, upper(review_id), review_id) AS review_id", "text", "movie_id", "created_at"
-    )
+        f"{views.hex_id('doc_id')} AS review_id", "doc_id", "text", "source AS movie_id"
+    ).withColumn("review_id", F.expr("IF(doc_id % 2 = 0, upper(review_id), review_id)"))
     cursor, pages = CURSOR, []
     for _ in range(3):
-        page = stored(ingest.valid_page(spelled, cursor, ingest.PAGE_SIZE), "page")
+        # Each document is a review at least once, so the page lies among the first documents: only they meet events.
+        first = ingest.keyset_page(spelled, cursor, ingest.PAGE_SIZE)
+        page = stored(ingest.valid_page(views.with_creation(first, moments), cursor, ingest.PAGE_SIZE), "page")
         cursor = page.agg(F.max("review_id")).first()[0]
         pages.append(page.selectExpr("review_id", "md5(text) AS text_md5", f"{len(pages)} AS page"))
     return pages[0].unionByName(pages[1]).unionByName(pages[2])

@@ -7,6 +7,7 @@ an oracle knows what each record must yield without parsing it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reviewflow.functions import ids, quoted
 from reviewflow.functions.decision import DecisionConfig, add_prediction
@@ -14,7 +15,7 @@ from reviewflow.functions.text import strip_text
 from reviewflow.operators import events
 from reviewflow.operators.events import ModelIdentity
 from reviewflow.schema import HISTORY_COLUMNS, PREDICTIONS_TOPIC, REVIEWS_TOPIC
-from reviewflow.session import configure
+from reviewflow.session import configure, stored
 
 EMITTED_AT = "2026-01-01T00:00:00Z"
 PREDICTED_AT = "2026-01-02T03:04:05.678901Z"
@@ -111,6 +112,14 @@ def documents_as_reviews(documents: DataFrame, moments: DataFrame) -> DataFrame:
     )
 
 
+def with_creation(page: DataFrame, moments: DataFrame) -> DataFrame:
+    """A page of few rows with a ``doc_id`` and its ``created_at``; ``moments`` is read past it, not shuffled."""
+    page = stored(page, "page-documents")
+    near = moments.join(F.broadcast(page.select("doc_id").distinct()), F.col("event_id") == F.col("doc_id"), "left_semi")
+    created = near.selectExpr("event_id AS doc_id", "CAST(ts AS TIMESTAMP) AS created_at")
+    return page.join(created, "doc_id", "left")
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as reviews; the creation time comes from ``events``."""
     return documents_as_reviews(table(spark, sf_dir, "documents"), table(spark, sf_dir, "events"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewflow.operators import history, ingest
 from reviewflow.operators.sizes import with_keys, without_keys
-from reviewflow.plans import views
+from reviewflow.plans import queries, views
 from reviewflow.schema import HISTORY_COLUMNS
 from reviewflow.sources import topics
 from reviewflow.streaming import jobs
@@ -331,3 +331,18 @@ def test_keyset_filter_reaches_the_scan(spark, tmp_path):
 def test_views_share_one_identity(spark, sf_small):
     a, b = views.history_a(spark, sf_small), views.history_b(spark, sf_small)
     assert a.join(b, "review_id").count() == a.count() and a.join(b, "prediction_id").count() == 0
+
+
+def test_only_the_page_meets_the_events(spark, sf_mid, monkeypatch):
+    given, valid_page = [], ingest.valid_page
+    monkeypatch.setattr(ingest, "valid_page", lambda rows, *rest: given.append(rows.count()) or valid_page(rows, *rest))
+    assert queries.keyset_mixed_case(spark, sf_mid).count() == 150
+    assert len(given) == 3 and max(given) <= ingest.PAGE_SIZE
+
+
+def test_a_page_keeps_rows_without_and_with_several_events(spark):
+    page = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id LONG, text STRING")
+    moments = spark.createDataFrame([(1, 10), (1, 20), (3, 30), (9, 90)], "event_id LONG, s LONG")
+    moments = moments.selectExpr("event_id", "timestamp_seconds(s) AS ts")
+    got = views.with_creation(page, moments).selectExpr("doc_id", "text", "unix_timestamp(created_at) AS s")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == [(1, "a", 10), (1, "a", 20), (2, "b", None), (3, "c", 30)]
