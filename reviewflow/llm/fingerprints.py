@@ -133,11 +133,11 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def next_documents(docs: DataFrame) -> DataFrame:
-    """key, next_key, n_chars of each row: the next by descending ``at``; after the last, the first.
+    """The rows with next_key in place of at: the key of the next by descending ``at``; after the last, the first.
 
     Rows are sorted in ranges, each of which needs only the first row of the range
-    that follows it; no task sees all of them. ``docs`` holds key, at and n_chars; no
-    two rows are equal in ``at``.
+    that follows it; no task sees all of them. ``docs`` holds key and at, in which
+    no two rows are equal; other columns are kept.
     """
     ranged = docs.repartitionByRange(F.col("at").desc()).withColumn("range", F.spark_partition_id())
     ranged = stored(ranged, "id-ranges")  # keeps the ranges fixed
@@ -148,7 +148,7 @@ def next_documents(docs: DataFrame) -> DataFrame:
     inside = F.lead("key").over(Window.partitionBy("range").orderBy(F.col("at").desc()))
     return (
         ranged.withColumn("inside", inside).join(F.broadcast(heads), "range")
-        .select("key", F.coalesce("inside", "after").alias("next_key"), "n_chars")
+        .withColumn("next_key", F.coalesce("inside", "after")).select(*[c for c in docs.columns if c != "at"], "next_key")
     )
 
 
@@ -173,18 +173,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     else:
         rows = stored(rows.withColumn("key", F.monotonically_increasing_id()), "numbered-rows")
         at = F.struct("doc_id", F.sha2("text", 256), "key")
-    follow = stored(next_documents(rows.select("key", at.alias("at"), F.length("text").alias("n_chars"))), "next-ids")
+    follow = next_documents(rows.select("key", "doc_id", at.alias("at"), F.length("text").cast("long").alias("n_chars")))
+    follow = stored(follow, "next-ids")
+    # Both joins read the same two columns, so that one shuffle of the texts serves both.
+    rows = rows.select("key", "text")
     wanted = follow.select(F.col("next_key").alias("key"), F.col("key").alias("for_key"), F.expr("n_chars div 3").cast("int").alias("k"))
     given = rows.join(wanted.hint("shuffle_hash"), "key").select(
         F.col("for_key").alias("key"), F.left("text", F.col("k")).alias("given"), F.col("k")
     )
     both = rows.join(given, "key").select(
-        "key", "doc_id", "text", F.length("text").cast("long").alias("n_chars"),
+        "key", "text",
         F.concat(F.left("text", F.length("text") - F.col("k")), "given").alias("edited"),
     )
     both = both.withColumn("edited_sha256", F.sha2("edited", 256))
     made = fingerprint(both, {"packed": "text", "edited_packed": "edited"}).drop("text", "edited")
-    made = stored(made.join(follow.select("key", "next_key"), "key"), "fingerprints")
+    made = stored(made.join(follow, "key"), "fingerprints")
     after = made.select(F.col("key").alias("next_key"), F.col("packed").alias("next_packed"))
     return made.join(after, "next_key").select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("packed")).alias("fingerprint"),

@@ -235,6 +235,24 @@ def test_fingerprints_of_short_texts_fill_all_bins(spark):
     assert all(abs(r.near - brute.jaccard(r.a, r.b, 5)) < 0.2 for r in made[1:])
 
 
+def test_fingerprints_shuffle_the_texts_once(spark, small, monkeypatch):
+    plans, stored = [], fingerprints.stored
+
+    def seen(df, name, *rest):
+        if name == "fingerprints":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name, *rest)
+
+    monkeypatch.setattr(fingerprints, "stored", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fingerprints.fingerprints(spark.createDataFrame(small, "doc_id long, text string, source string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ReusedExchange" in plans[0]
+
+
 def test_fingerprints_of_odd_rows(odd, none):
     rows = fingerprints.fingerprints(odd).collect()
     assert sorted(str(r.doc_id) for r in rows) == sorted(str(d) for d, _ in ODD)
