@@ -1,22 +1,24 @@
-"""N-gram Jaccard join with prefix filters under several global token orders.
+"""N-gram Jaccard join by signatures of token groups and prefix filters.
 
-Two sets whose Jaccard similarity reaches a threshold t share a token among the
-first ``n - ceil(t n) + 1`` of each, under every order of all tokens. Tokens are
-64-bit hashes of word shingles. The first order puts shingles of rare words first,
-the others follow a hash each; all put shingles that are frequent in the corpus
-last, by their counts.
+Tokens are 64-bit hashes of word shingles. Two sets whose Jaccard similarity reaches
+a threshold differ in so few tokens that, of the parts into which a hash deals all
+tokens, some are filled and the same in both: these are the signatures
+(``Orders.signatures``). They also share a token among the first ``n - ceil(t n) +
+1`` of each, under every order of all tokens. The first order puts shingles of rare
+words first, the others follow a hash each; all put shingles that are frequent in
+the corpus last, by their counts.
 
 1. Counting: frequent words and shingles by lossy counting over all documents. The
    lists only shape the orders, never the result, and are bounded.
-2. Index: prefix tokens under the first order. Documents of one task with the same
-   set are linked at once, and only one of them is indexed.
+2. Index: signatures, the rarest parts first where not all are needed. Documents of
+   one task with the same set are linked at once, and only one of them is indexed.
 3. Star rounds: in its largest groups, a document meets one member of the group
    that is in another component so far.
-4. Last round: documents that share a token but are in different components so
+4. Last round: documents that share a signature but are in different components so
    far meet, unless they have met. Components decide the result, so links inside
    a component need no test.
-A pair must fit in size and by the places of its first shared token, share prefix
-tokens under every other order, and its prefixes must not show more differing tokens than the threshold allows; only then are the
+A pair must fit in size, share prefix tokens under the other orders, and its prefixes
+must not show more differing tokens than the threshold allows; only then are the
 whole sets compared. A pair that fails there may have hidden others from the last
 round, which is then repeated.
 """
@@ -27,7 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewflow.llm.common import hot_keys, spread_join
@@ -46,6 +48,17 @@ REMEMBERED = 1 << 16  # sets of a task by which copies are known
 BITMAP = 1 << 22  # bits: 512 KB
 
 
+def _classes() -> np.ndarray:
+    """Least sizes of the classes, each half as large again as the one before."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
+    return np.array(out, dtype=np.int64)
+
+
+CLASSES = _classes()
+
+
 def _slices(batch: pa.RecordBatch):
     for at in range(0, batch.num_rows, ROWS):
         yield batch.slice(at, ROWS)
@@ -110,10 +123,8 @@ class Orders:
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
         return np.where(self.words[at] == words, self.weight[at], 0)
 
-    def prefix(self, tokens: np.ndarray, weights: np.ndarray, percent: int, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """The prefix tokens under an order and their keys, rising."""
-        n = len(tokens)
-        k = n + (-percent * n // 100) + 1 if n else 0
+    def keys(self, tokens: np.ndarray, weights: np.ndarray, order: int) -> np.ndarray:
+        """The places of tokens under an order."""
         keys = mix(tokens, order + 11)
         if order:
             keys = (keys >> np.uint64(33)).astype(np.int64)
@@ -123,8 +134,53 @@ class Orders:
         if len(self.tokens):
             at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
             keys = np.where(self.tokens[at] == tokens, self.rank[at], keys)
-        first = np.lexsort((tokens, keys))[:k]
-        return tokens[first], keys[first].astype(np.int32)
+        return keys
+
+    def prefix(self, tokens: np.ndarray, percent: int, order: int) -> np.ndarray:
+        """The keys of the prefix tokens under an order, rising."""
+        n = len(tokens)
+        k = n + (-percent * n // 100) + 1 if n else 0
+        keys = self.keys(tokens, np.zeros(n, np.int64), order)
+        return np.sort(keys)[:k].astype(np.int32)
+
+    def signatures(self, tokens: np.ndarray, weights: np.ndarray, percent: int) -> np.ndarray:
+        """Hashes of token groups, of which two sets that link have one in common.
+
+        Sizes fall into classes. A set takes part in its own class, and in those above in
+        which it can link with a larger set. In each, tokens fall into parts by a hash; two
+        sets that differ in at most d tokens differ in at most d parts, so at most d
+        filled parts of the one are not the same in the other, and the first d + 1 of
+        each in one order of all parts have one in common. A set with fewer filled
+        parts gives all of them and goes on to a finer level, where the last has a part
+        for each token.
+        """
+        n, found = len(tokens), []
+        keys, hashed = self.keys(tokens, weights, 0), mix(tokens, 5)
+        own = int(np.searchsorted(CLASSES, n, "right")) - 1
+        largest = 100 * n // percent
+        for cls in range(own, int(np.searchsorted(CLASSES, largest, "right"))):
+            top = int(CLASSES[cls + 1]) - 1
+            partner = min(top, largest)
+            differ = (100 - percent) * (n + partner) // (100 + percent)
+            most = (100 - percent) * 2 * top // (100 + percent)
+            for level, parts in enumerate((most + most // 25 + 2, 3 * most + 4, 0)):
+                seed = 100 + 3 * cls + level
+                if parts:
+                    part = mix(tokens, 7 + level) % np.uint64(parts)
+                    order = np.argsort(part, kind="stable")
+                    heads = np.flatnonzero(np.diff(part[order], prepend=np.uint64(parts)))
+                    groups = np.add.reduceat(hashed[order], heads)
+                    groups, place = mix(groups + mix(part[order][heads], 3), seed), np.minimum.reduceat(keys[order], heads)
+                else:
+                    groups, place = mix(tokens, seed), keys
+                    differ = n + (-percent * n // 100)  # tokens that the other lacks
+                if len(groups) > differ:
+                    if len(groups) > differ + 1:
+                        groups = groups[np.lexsort((groups, place))[: differ + 1]]
+                    found.append(groups)
+                    break
+                found.append(groups)
+        return np.concatenate(found)
 
 
 def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
@@ -136,15 +192,15 @@ INDEX = "doc long, n long, first long, tokens array<long>, second array<int>, th
 
 
 def _index(size: int, percent: int, orders: Orders):
-    """Rows of INDEX: the prefix tokens under the first order, the prefix keys under the others.
+    """Rows of INDEX: the signatures, and the prefix keys under the other orders.
 
     A document with the same set as an earlier one of the task names that one as
-    ``first`` and has no prefixes.
+    ``first`` and has neither.
     """
 
     def run(batches):
         seen: dict[bytes, int] = {}
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        none = np.zeros(0, np.uint64), *[np.zeros(0, np.int32)] * (ORDERS - 1)
         for batch in batches:
             for part in _slices(batch):
                 ids, sizes, first, prefixes = part.column(0).to_pylist(), [], [], []
@@ -157,10 +213,13 @@ def _index(size: int, percent: int, orders: Orders):
                         earlier = seen.setdefault(hashlib.sha256(found.tobytes()).digest(), doc)
                     alone = earlier == doc and earlier is not None
                     first.append(None if alone else earlier)
-                    prefixes.append([orders.prefix(found, weights, percent, i) if alone else none for i in range(ORDERS)])
+                    prefixes.append(
+                        (orders.signatures(found, weights, percent), *[orders.prefix(found, percent, i) for i in range(1, ORDERS)])
+                        if alone else none
+                    )
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()),
-                     _lists([p[0][0] for p in prefixes], np.int64), *[_lists([p[i][1] for p in prefixes], np.int32) for i in (1, 2)]],
+                     _lists([p[0] for p in prefixes], np.int64), *[_lists([p[i] for p in prefixes], np.int32) for i in (1, 2)]],
                     names=["doc", "n", "first", "tokens", "second", "third"],
                 )
 
@@ -243,26 +302,22 @@ def _renewed(parts: DataFrame | None, *links: DataFrame) -> DataFrame:
 
 
 def _members(index: DataFrame) -> DataFrame:
-    """token, pos, doc, n, docs of the prefix tokens that several documents share.
+    """doc, token, docs, n of the documents that share signatures.
 
-    ``pos`` is the token's place in the document's prefix. Tokens with the very
-    same documents, as those of a passage, bring the same pairs; of these the
-    first in order stands for all, which is first in each document too. Equal
-    documents are told by their number, the sum and the exclusive or of their hashes.
+    Signatures with the very same documents, as those of a passage, bring the same
+    pairs and make one group. Equal documents are told by their number, the sum and
+    the exclusive or of their hashes, which make the group's ``token``; should two
+    groups fall on the same token, their documents all meet. All signatures are shuffled
+    once, without more than the doc_id; most are of one document and go no further.
     """
-    rows = index.select(F.posexplode("tokens").alias("pos", "token"), "doc", "n")
-    groups = (
-        rows.groupBy("token").agg(
-            F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("docs"),
-            F.sum(F.hash("doc")).alias("total"), F.bit_xor(F.xxhash64("doc")).alias("mixed"), F.min("pos").alias("at"),
-        )
-        .where("least < most").groupBy("least", "most", "docs", "total", "mixed").agg(F.min(F.struct("at", "token")).alias("f"))
-    )
-    groups = stored(groups.select("f.token", "docs"), "ngram-groups")
-    total = index.agg(F.sum(F.size("tokens"))).head()[0] or 0
-    found = stored(spread_join(rows, groups, ["token"], hot_keys(groups, ["token"], total, "docs"), F.col("doc")), "ngram-members")
-    discard(groups)
-    return found
+    rows = index.select(F.explode("tokens").alias("signature"), "doc")
+    same = Window.partitionBy("signature")
+    rows = rows.select(
+        "doc", F.count("*").over(same).alias("docs"), F.min("doc").over(same).alias("least"), F.max("doc").over(same).alias("most"),
+        F.sum(F.hash("doc")).over(same).alias("total"), F.bit_xor(F.xxhash64("doc")).over(same).alias("mixed"),
+    ).where("least < most")
+    rows = rows.select(F.xxhash64("docs", "least", "most", "total", "mixed").alias("token"), "docs", "doc").distinct()
+    return stored(rows.join(index.where("first IS NULL").select("doc", "n"), "doc"), "ngram-members")
 
 
 def _placed(members: DataFrame, parts: DataFrame | None) -> DataFrame:
@@ -279,14 +334,9 @@ def _placed(members: DataFrame, parts: DataFrame | None) -> DataFrame:
     return found
 
 
-def _fits(n: str, at: str, m: str, place: str, percent: int) -> str:
-    """Whether two sets of n and m tokens can reach the threshold if the token at these places is the first they share.
-
-    They then share at most the tokens from there on. Of the tokens that a pair
-    shares the first is tried too, so a pair that passes at none cannot link.
-    """
-    needed = f"ceil({percent} * ({n} + {m}) / {100 + percent})"
-    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) AND least({n} - {at}, {m} - {place}) >= {needed}"
+def _fits(n: str, m: str, percent: int) -> str:
+    """Whether two sets of n and m tokens can reach the threshold."""
+    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
 
 
 def _star(members: DataFrame, parts: DataFrame | None, met: list[DataFrame], seed: int, percent: int) -> DataFrame:
@@ -297,14 +347,9 @@ def _star(members: DataFrame, parts: DataFrame | None, met: list[DataFrame], see
     """
     placed = _placed(members, parts)
     lot = F.xxhash64("doc", F.lit(seed)) if seed else F.col("doc")
-    chosen = placed.groupBy("token").agg(
-        F.min(F.struct(lot.alias("lot"), "doc", "part", "n", "pos")).alias("c"), F.count("*").alias("members")
-    )
-    chosen = chosen.selectExpr("token", "c.doc AS leader", "c.part AS leading", "c.n AS size", "c.pos AS place", "members")
-    hot = hot_keys(chosen, ["token"], placed.count(), "members")
-    offers = spread_join(placed, chosen, ["token"], hot, F.col("doc")).where("part <> leading")
-    offers = offers.where(_fits("n", "pos", "size", "place", percent))
-    offer = F.struct("docs", "leader")
+    chosen = F.min(F.struct(lot.alias("lot"), "doc", "part", "n")).over(Window.partitionBy("token"))
+    offers = placed.withColumn("c", chosen).where(f"part <> c.part AND {_fits('n', 'c.n', percent)}")
+    offer = F.struct("docs", F.col("c.doc").alias("leader"))
     best = offers.groupBy("doc").agg(*[
         F.max(F.when(F.pmod("token", F.lit(LEADERS)) == i, offer)).alias(f"o{i}") for i in range(LEADERS)
     ])
@@ -324,10 +369,10 @@ def _new(pairs: DataFrame, met: list[DataFrame]) -> DataFrame:
 
 
 def _unmet(members: DataFrame, parts: DataFrame, met: list[DataFrame], percent: int) -> DataFrame:
-    """Pairs (a, b) that share a prefix token, fit in size, are in different components and have not met."""
+    """Pairs (a, b) that share a signature, fit in size, are in different components and have not met."""
     open_ = _placed(members, parts)
     a, b = open_.alias("a"), open_.alias("b")
-    meet = f"a.token = b.token AND a.doc < b.doc AND a.part <> b.part AND {_fits('a.n', 'a.pos', 'b.n', 'b.pos', percent)}"
+    meet = f"a.token = b.token AND a.doc < b.doc AND a.part <> b.part AND {_fits('a.n', 'b.n', percent)}"
     pairs = a.join(b, F.expr(meet)).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
     found = _new(pairs, met)
     discard(open_)

@@ -164,6 +164,32 @@ def test_links_with_frequent_tokens_and_a_large_group(spark):
     assert got == brute.linked(rows, 4, 85)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 85])
+def test_sets_that_link_share_a_signature(percent):
+    none, random_ = np.zeros(0, np.int64), np.random.default_rng(percent)
+    orders, linked = ngram_join.Orders((none, none), (none, none)), 0
+    for _ in range(3000):
+        n = int(random_.integers(1, 160))
+        a = np.unique(random_.integers(0, 1 << 62, n).astype(np.uint64))
+        lost = random_.integers(0, n * (100 - percent) // 100 + 1)
+        more = random_.integers(0, n * (100 - percent) // percent - lost + 1) if lost * percent <= n * (100 - percent) else 0
+        b = np.unique(np.concatenate([random_.permutation(a)[lost:], random_.integers(0, 1 << 62, max(int(more), 0)).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < percent * (len(a) + len(b) - both) or not len(b):
+            continue
+        linked += 1
+        of = [orders.signatures(x, np.zeros(len(x), np.int64), percent) for x in (a, b)]
+        assert len(np.intersect1d(*of)), (n, lost, more)
+    assert linked > 500
+
+
+def test_documents_that_share_a_rare_passage_do_not_meet(spark):
+    rows = [(i, " ".join([f"own{i}w{j}" for j in range(150)] + [f"rare{j}" for j in range(6)])) for i in range(60)]
+    texts = spark.createDataFrame(rows, "doc long, text string")
+    index = texts.mapInArrow(ngram_join._index(4, 85, ngram_join.frequent_tokens(texts, 4)), ngram_join.INDEX)
+    assert ngram_join._members(ngram_join.stored(index, "index")).count() < 30
+
+
 def test_links_of_odd_rows(odd, none):
     got = ngram_join.link_documents(odd).collect()
     assert len(got) == len(ODD)
