@@ -17,6 +17,8 @@ the corpus last, by their counts.
 4. Last round: documents that share a signature but are in different components so
    far meet, unless they have met. Components decide the result, so links inside
    a component need no test.
+In the last round the sketches of a pair (``sketch``) are compared while its group is
+joined, so that of a large group only the few pairs come out that may link.
 A pair must fit in size, share prefix tokens under the other orders, and its prefixes
 must not show more differing tokens than the threshold allows; only then are the
 whole sets compared. A pair that fails there may have hidden others from the last
@@ -38,14 +40,15 @@ from reviewflow.llm.words import mix, shingle_sets, word_hashes
 from reviewflow.session import discard, ship_package, stored
 
 ORDERS = 3
-WINDOW = 1 << 22  # shingles counted together in a task
+WINDOW = 1 << 20  # shingles counted together in a task
 FREQUENT = 2000  # a shingle is frequent in one of so many documents, or more
 LISTED = 1 << 16  # frequent shingles listed at most: 1 MB
 WORDS = 1 << 15  # frequent words listed at most: 0.5 MB
 STARS, LEADERS = 2, 3  # rounds, and members that a document meets in each
-ROWS = 4096
+ROWS = 512  # texts hashed together in a task
 REMEMBERED = 1 << 16  # sets of a task by which copies are known
 BITMAP = 1 << 22  # bits: 512 KB
+SKETCH = 8  # numbers of 64 bits in a sketch
 
 
 def _classes() -> np.ndarray:
@@ -183,24 +186,34 @@ class Orders:
         return np.concatenate(found)
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """For each of 64 * SKETCH parts of all tokens, whether the set has an odd number of them.
+
+    A token that only one of two sets holds turns one bit, so they differ in at least
+    as many tokens as their sketches in bits.
+    """
+    odd = np.bincount((mix(tokens, 9) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(bool)).view(np.uint64)
+
+
 def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
     ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(kind) if parts else np.zeros(0, kind)))
 
 
-INDEX = "doc long, n long, first long, tokens array<long>, second array<int>, third array<int>"
+INDEX = "doc long, n long, first long, tokens array<long>, second array<int>, third array<int>, sketch array<long>"
 
 
 def _index(size: int, percent: int, orders: Orders):
-    """Rows of INDEX: the signatures, and the prefix keys under the other orders.
+    """Rows of INDEX: the signatures, the prefix keys under the other orders, and the sketch.
 
     A document with the same set as an earlier one of the task names that one as
-    ``first`` and has neither.
+    ``first`` and has none of them.
     """
 
     def run(batches):
         seen: dict[bytes, int] = {}
-        none = np.zeros(0, np.uint64), *[np.zeros(0, np.int32)] * (ORDERS - 1)
+        none = np.zeros(0, np.uint64), *[np.zeros(0, np.int32)] * (ORDERS - 1), np.zeros(0, np.uint64)
         for batch in batches:
             for part in _slices(batch):
                 ids, sizes, first, prefixes = part.column(0).to_pylist(), [], [], []
@@ -214,13 +227,14 @@ def _index(size: int, percent: int, orders: Orders):
                     alone = earlier == doc and earlier is not None
                     first.append(None if alone else earlier)
                     prefixes.append(
-                        (orders.signatures(found, weights, percent), *[orders.prefix(found, percent, i) for i in range(1, ORDERS)])
+                        (orders.signatures(found, weights, percent), *[orders.prefix(found, percent, i) for i in range(1, ORDERS)], sketch(found))
                         if alone else none
                     )
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()),
-                     _lists([p[0] for p in prefixes], np.int64), *[_lists([p[i] for p in prefixes], np.int32) for i in (1, 2)]],
-                    names=["doc", "n", "first", "tokens", "second", "third"],
+                     _lists([p[0] for p in prefixes], np.int64), *[_lists([p[i] for p in prefixes], np.int32) for i in (1, 2)],
+                     _lists([p[3] for p in prefixes], np.int64)],
+                    names=["doc", "n", "first", "tokens", "second", "third", "sketch"],
                 )
 
     return run
@@ -264,7 +278,7 @@ def link_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
         if likely is not None:
             discard(likely)
         likely, parts = grown, _renewed(parts, copies, grown)
-    met.append(_unmet(members, parts, met, percent))
+    met.append(_unmet(members, index, parts, met, percent))
     grown = stored(_grown(likely, _filtered(met[-1], index, percent)), "ngram-likely")
     discard(likely)
     likely = grown
@@ -273,7 +287,7 @@ def link_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
     parts = _renewed(parts, copies, links)
     if links.count() < likely.count():
         # Only members of one likely component may still have to meet; all have their sets here.
-        met.append(_unmet(members, parts, met, percent))
+        met.append(_unmet(members, index, parts, met, percent))
         hidden = stored(_filtered(met[-1], index, percent), "ngram-likely")
         found = stored(_verified(hidden, sets, percent), "ngram-links")
         if not found.isEmpty():
@@ -368,11 +382,16 @@ def _new(pairs: DataFrame, met: list[DataFrame]) -> DataFrame:
     return stored(pairs, "ngram-met")
 
 
-def _unmet(members: DataFrame, parts: DataFrame, met: list[DataFrame], percent: int) -> DataFrame:
-    """Pairs (a, b) that share a signature, fit in size, are in different components and have not met."""
+def _unmet(members: DataFrame, index: DataFrame, parts: DataFrame, met: list[DataFrame], percent: int) -> DataFrame:
+    """Pairs (a, b) that share a signature, fit in size and sketch, are in different components and have not met."""
     open_ = _placed(members, parts)
-    a, b = open_.alias("a"), open_.alias("b")
+    bits = [f"s{i}" for i in range(SKETCH)]
+    sketches = index.where("first IS NULL AND n > 0").select("doc", "n", *[F.get("sketch", F.lit(i)).alias(s) for i, s in enumerate(bits)])
+    drawn = open_.join(sketches, ["doc", "n"])
+    a, b = drawn.alias("a"), drawn.alias("b")
+    differ = " + ".join(f"bit_count(a.{s} ^ b.{s})" for s in bits)
     meet = f"a.token = b.token AND a.doc < b.doc AND a.part <> b.part AND {_fits('a.n', 'b.n', percent)}"
+    meet += f" AND {100 + percent} * ({differ}) <= {100 - percent} * (a.n + b.n)"
     pairs = a.join(b, F.expr(meet)).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
     found = _new(pairs, met)
     discard(open_)

@@ -190,6 +190,36 @@ def test_documents_that_share_a_rare_passage_do_not_meet(spark):
     assert ngram_join._members(ngram_join.stored(index, "index")).count() < 30
 
 
+def test_sketches_differ_in_no_more_bits_than_the_sets_in_tokens():
+    random_ = np.random.default_rng(5)
+    for n in (0, 1, 40, 300, 5000):
+        a = random_.integers(0, 1 << 62, n).astype(np.uint64)
+        for lost, more in ((0, 0), (n // 9, 0), (n // 5, n // 7 + 1), (n, n)):
+            b = np.concatenate([a[lost:], random_.integers(0, 1 << 62, more).astype(np.uint64)])
+            bits = int(np.bitwise_count(ngram_join.sketch(np.unique(a)) ^ ngram_join.sketch(np.unique(b))).sum())
+            assert bits <= len(np.setxor1d(a, b)) and (bits or not lost + more)
+
+
+def test_a_large_group_of_unlike_documents_makes_few_pairs(spark, monkeypatch):
+    random_ = random.Random(8)
+    common, rows, made = [f"c{i}" for i in range(150)], [], []
+    for i in range(240):  # many share a signature, few link
+        words = list(common)
+        for at in random_.sample(range(150), 12 if i % 6 else 2):
+            words[at] = f"n{i}w{at}"
+        rows.append((i, " ".join(words)))
+
+    def counted(pairs, met, new=ngram_join._new):
+        made.append(pairs.count())
+        return new(pairs, met)
+
+    monkeypatch.setattr(ngram_join, "_new", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_documents(docs).collect()}
+    assert got == brute.linked(rows, 4, 85)
+    assert max(made) < 10 * len(rows), made
+
+
 def test_links_of_odd_rows(odd, none):
     got = ngram_join.link_documents(odd).collect()
     assert len(got) == len(ODD)
