@@ -6,7 +6,8 @@ word that is not hot, so that a route holds whole partitions of the sorted
 pointers and stays small whatever the text. In a route the pointers are divided
 by three-way partitions, word after word: the size of an equal partition is the
 count of the words all its pointers share, and a partition below the least count
-is given up. Words below the least count end a pointer, as no candidate holds one.
+is given up. Words below the least count end a pointer, as no candidate holds one, and
+so do pairs of words below it, which are counted by their hashes before.
 
 A word counts as hot when it occurs more often than a route should hold. What
 pointers say of a phrase of hot words alone is spread over routes, so it is added
@@ -132,6 +133,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _joined(run: Tokens, known: np.ndarray) -> np.ndarray:
+    """Whether each word but the last is known and followed by a known one in its piece."""
+    return known[run.ids[:-1]] & known[run.ids[1:]] & (run.piece[:-1] == run.piece[1:])
+
+
+def _pair_hashes(run: Tokens, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """48 bits for each pair of a word and the next one; equal ones only add to a count."""
+    return mix(hashes[run.ids[at]] * _STEP + hashes[run.ids[at + 1]]) >> _U(16)
+
+
+def _count_pairs(shared):
+    """(hash, n) of the pairs of frequent words of each run."""
+
+    def run(batches):
+        for run in _runs(batches):
+            hashes = run.hashes
+            at = np.flatnonzero(_joined(run, _set_in(shared.value[0], hashes)))
+            found, n = np.unique(_pair_hashes(run, hashes, at), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
+
+    return run
+
+
 def _bitmap(words: DataFrame) -> np.ndarray:
     """A bitmap of BITS bits with those of the words' hashes set."""
     bit = F.col("hash").bitwiseAND(BITS - 1)
@@ -187,11 +211,12 @@ def _numbers(rows: list[bytes], sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, f"i{len(x) // n}").astype(np.int32) for x, n in zip(rows, sizes.tolist())])
 
 
-def _route(shared, routes: int):
+def _route(shared, routes: int, pairs=None):
     """Suffix pointers by route, equal ones of a run counted together: rows of POINTERS.
 
     ``ids`` holds DEPTH places in ``words`` per pointer, -1 past its end, and
-    ``done`` how many leading words have decided its route.
+    ``done`` how many leading words have decided its route. ``pairs`` is a bitmap of
+    the pairs of words that a pointer may hold.
     """
 
     def run(batches):
@@ -203,8 +228,12 @@ def _route(shared, routes: int):
             ids = np.full((n, DEPTH), -1, dtype=np.int32)
             valid = known[run.ids]
             ids[:, 0][valid] = run.ids[valid]
+            follows = _joined(run, known)
+            if pairs is not None:
+                at = np.flatnonzero(follows)
+                follows[at] = _set_in(pairs.value, _pair_hashes(run, hashes, at))
             for j in range(1, min(DEPTH, n)):
-                valid[: n - j] &= known[run.ids[j:]] & (run.piece[j:] == run.piece[: n - j])
+                valid[: n - j] &= follows[j - 1 :]
                 valid[n - j :] = False
                 at = np.flatnonzero(valid)
                 ids[at, j] = run.ids[at + j]
@@ -304,7 +333,9 @@ def phrase_counts(docs: DataFrame, least: int = MIN_COUNT, route: int = ROUTE) -
     totals = lexicon.where("word IS NULL").select("lang", "n")
     whole = totals.agg(F.sum("n")).head()[0] or 0
     shared = spark.sparkContext.broadcast((_bitmap(single), _bitmap(single.where(F.col("n") > route))))
-    pointers = rows.mapInArrow(_route(shared, min(-(-whole // route), 2**31 - 1) or 1), POINTERS)
+    pairs = rows.mapInArrow(_count_pairs(shared), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    pairs = spark.sparkContext.broadcast(_bitmap(stored(pairs.where(F.col("n") >= least).select("hash"), "phrase-pairs")))
+    pointers = rows.mapInArrow(_route(shared, min(-(-whole // route), 2**31 - 1) or 1, pairs), POINTERS)
     mined = pointers.groupBy("route").applyInArrow(_mine(least), PHRASES).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     counts = single.select("lang", F.col("word").alias("phrase"), "n").unionByName(mined.where(F.col("n") >= least))
     return stored(counts, "phrase-counts"), totals

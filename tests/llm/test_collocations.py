@@ -131,3 +131,20 @@ def test_blocks_of_routes_hold_the_same_pointers(monkeypatch):
         parts.append(len(made))
         rows.append([row for part in made for row in part.to_pylist()])
     assert rows[0] == rows[1] == rows[2] and parts[0] == len(rows[0]) > parts[1] > parts[2] == 1
+
+
+def test_pairs_below_the_least_count_end_a_pointer(spark, monkeypatch):
+    draw, routed = random.Random(4), []
+    rows = [(i, " ".join(draw.choice([f"w{k}" for k in range(200)]) for _ in range(100)) + " so it goes", "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    old = type(docs).groupBy
+
+    def seen(frame, *by):
+        if by == ("route",):
+            routed.append(frame.agg(F.sum(F.length("done"))).head()[0])
+        return old(frame, *by)
+
+    monkeypatch.setattr(type(docs), "groupBy", seen)
+    got = result(docs, least=100, route=1000)
+    assert got == plain([(r[2], r[1]) for r in rows], 100, 2000) and got
+    assert routed[0] < 1000
