@@ -6,6 +6,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,6 +221,13 @@ def test_a_large_group_of_unlike_documents_makes_few_pairs(spark, monkeypatch):
     assert max(made) < 10 * len(rows), made
 
 
+def test_texts_are_indexed_in_small_slices():
+    none = np.zeros(0, np.int64)
+    batch = pa.record_batch([pa.array(range(3000)), pa.array([f"a b c d e {i}" for i in range(3000)])], names=["doc", "text"])
+    sizes = [b.num_rows for b in ngram_join._index(4, 85, ngram_join.Orders((none, none), (none, none)))([batch])]
+    assert sum(sizes) == 3000 and max(sizes) <= 512
+
+
 def test_links_of_odd_rows(odd, none):
     got = ngram_join.link_documents(odd).collect()
     assert len(got) == len(ODD)
