@@ -2,16 +2,16 @@
 
 Every word is a suffix pointer: the start of the words that follow it in its
 piece, five at most. Pointers are routed by their leading words, up to the first
-word that is not hot, so that a route holds whole partitions of the sorted
-pointers and stays small whatever the text. In a route the pointers are divided
-by three-way partitions, word after word: the size of an equal partition is the
-count of the words all its pointers share, and a partition below the least count
-is given up. Words below the least count end a pointer, as no candidate holds one, and
+word that is not hot or makes no hot pair with the one before, so that a route
+holds whole partitions of the sorted pointers and stays small whatever the text.
+In a route the pointers are divided by three-way partitions, word after word: the
+size of an equal partition is the count of the words all its pointers share, and a
+partition below the least count is given up. Words below the least count end a pointer, as no candidate holds one, and
 so do pairs of words below it, which are counted by their hashes before.
 
-A word counts as hot when it occurs more often than a route should hold. What
-pointers say of a phrase of hot words alone is spread over routes, so it is added
-up afterwards; all other counts are complete within their route.
+A word or a pair of words counts as hot when it occurs more often than a route should
+hold. What pointers say of a phrase of hot pairs alone is spread over routes, so it is
+added up afterwards; all other counts are complete within their route.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from reviewflow.session import ship_package, stored
 DEPTH = 5  # words of the longest phrase
 MIN_COUNT = 100
 BEST = 2000  # phrases reported per language
-RUN = 1 << 23  # bytes of text taken together by a task
-ROUTE = 1 << 17  # pointers of a route, and occurrences above which a word is hot
+RUN = 1 << 21  # bytes of text taken together by a task; its arrays take some twenty times as much
+ROUTE = 1 << 17  # pointers of a route, and occurrences above which a word or a pair is hot
 BLOCK = 1 << 17  # pointers handed on together, at route ends
 BITS = 1 << 25  # of a bitmap of words: 4 MB, whatever the data
 
@@ -215,8 +215,8 @@ def _route(shared, routes: int, pairs=None):
     """Suffix pointers by route, equal ones of a run counted together: rows of POINTERS.
 
     ``ids`` holds DEPTH places in ``words`` per pointer, -1 past its end, and
-    ``done`` how many leading words have decided its route. ``pairs`` is a bitmap of
-    the pairs of words that a pointer may hold.
+    ``done`` how many leading words have decided its route. ``pairs`` has a bitmap of
+    the pairs of words that a pointer may hold, and one of the hot pairs.
     """
 
     def run(batches):
@@ -229,25 +229,29 @@ def _route(shared, routes: int, pairs=None):
             valid = known[run.ids]
             ids[:, 0][valid] = run.ids[valid]
             follows = _joined(run, known)
+            leads = np.append(common[run.ids[:-1]] & common[run.ids[1:]] & follows, False)
             if pairs is not None:
                 at = np.flatnonzero(follows)
-                follows[at] = _set_in(pairs.value, _pair_hashes(run, hashes, at))
+                both = _pair_hashes(run, hashes, at)
+                follows[at], leads[at] = _set_in(pairs.value[0], both), leads[at] & _set_in(pairs.value[1], both)
             for j in range(1, min(DEPTH, n)):
                 valid[: n - j] &= follows[j - 1 :]
                 valid[n - j :] = False
                 at = np.flatnonzero(valid)
                 ids[at, j] = run.ids[at + j]
-            ids = ids[ids[:, 1] >= 0]
+            at = np.flatnonzero(ids[:, 1] >= 0)
+            ids = ids[at]
             if not len(ids):
                 continue
             lead, whole = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
             done, undecided = np.zeros(len(ids), np.int8), np.ones(len(ids), dtype=bool)
-            hashes, common = np.append(hashes, _U(0)), np.append(common, False)  # place -1: the end
+            hashes = np.append(hashes, _U(0))  # place -1: the end
             for j in range(DEPTH):
                 whole = mix(whole * _STEP + hashes[ids[:, j]])
                 done += undecided
                 lead = np.where(undecided, whole, lead)
-                undecided &= common[ids[:, j]]
+                # A place past the end of the pointer decides like a word that is not hot.
+                undecided &= (ids[:, j] >= 0) & (leads[np.minimum(at + j - 1, n - 1)] if j else common[ids[:, 0]])
             route = (lead % _U(routes)).astype(np.int64)
             key = (route.astype(np.uint64) << _U(32)) | (whole >> _U(32))
             order = np.argsort(key)
@@ -298,7 +302,7 @@ def equal_partitions(ids: np.ndarray, weights: np.ndarray, done: np.ndarray, lea
 
 
 def _mine(least: int):
-    """The phrases of a route, those of hot words alone with the part of their count it holds."""
+    """The phrases of a route, those of hot pairs alone with the part of their count it holds."""
 
     def run(table: pa.Table) -> pa.Table:
         lists = {name: table.column(name).to_pylist() for name in ("langs", "lang_of", "words", "ids", "done", "n")}
@@ -334,7 +338,8 @@ def phrase_counts(docs: DataFrame, least: int = MIN_COUNT, route: int = ROUTE) -
     whole = totals.agg(F.sum("n")).head()[0] or 0
     shared = spark.sparkContext.broadcast((_bitmap(single), _bitmap(single.where(F.col("n") > route))))
     pairs = rows.mapInArrow(_count_pairs(shared), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    pairs = spark.sparkContext.broadcast(_bitmap(stored(pairs.where(F.col("n") >= least).select("hash"), "phrase-pairs")))
+    pairs = stored(pairs.where(F.col("n") >= least), "phrase-pairs")
+    pairs = spark.sparkContext.broadcast((_bitmap(pairs), _bitmap(pairs.where(F.col("n") > route))))
     pointers = rows.mapInArrow(_route(shared, min(-(-whole // route), 2**31 - 1) or 1, pairs), POINTERS)
     mined = pointers.groupBy("route").applyInArrow(_mine(least), PHRASES).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     counts = single.select("lang", F.col("word").alias("phrase"), "n").unionByName(mined.where(F.col("n") >= least))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 from types import SimpleNamespace
 
@@ -148,3 +149,46 @@ def test_pairs_below_the_least_count_end_a_pointer(spark, monkeypatch):
     got = result(docs, least=100, route=1000)
     assert got == plain([(r[2], r[1]) for r in rows], 100, 2000) and got
     assert routed[0] < 1000
+
+
+@pytest.mark.parametrize("step", ["words", "pairs", "pointers"])
+def test_a_task_holds_the_arrays_of_a_small_part_of_its_texts(step):
+    """Two tasks share an executor's memory with its heap."""
+    every = np.full(collocations.BITS >> 6, -1, dtype=np.int64)
+    shared = SimpleNamespace(value=(every, np.zeros_like(every)))
+    draw = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(5000)])
+    texts = [" ".join(words[draw.integers(0, 5000, 400)]) for _ in range(4500)]
+    batch = pa.record_batch([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+    assert batch.nbytes > 1 << 23
+    work = {"words": collocations._count, "pairs": collocations._count_pairs(shared), "pointers": collocations._route(shared, 40)}[step]
+    pairs = 0
+    tracemalloc.start()
+    for made in work([batch]):
+        pairs += sum(made.column(1).to_numpy()) if step == "pairs" else 0
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20
+    assert pairs == (4500 * 399 if step == "pairs" else 0)
+
+
+def test_phrases_of_hot_words_come_from_one_route(spark, monkeypatch):
+    """Only hot pairs are spread over routes: rows made do not grow with the routes."""
+    draw, made = random.Random(6), []
+    rows = [(i, " ".join(draw.choice("abcdefgh") for _ in range(100)) + ". so it goes", "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    old = type(docs).groupBy
+
+    def seen(frame, *by):
+        if by == ("lang", "phrase"):
+            made.append(frame.count())
+        return old(frame, *by)
+
+    monkeypatch.setattr(type(docs), "groupBy", seen)
+    for route in (1000, 400):  # below the count of a word, then of the pairs too
+        counts, _ = collocations.phrase_counts(docs, 40, route)
+        found = {(r.lang, r.phrase): r.n for r in counts.collect()}
+        want = Counter(tuple(p[i : i + k]) for _, text, _ in rows for p in (x.split() for x in text.split(".")) for k in range(1, 6) for i in range(len(p) - k + 1))
+        assert found == {("en", " ".join(p)): n for p, n in want.items() if n >= 40}
+    phrases = sum(n >= 40 and len(p) > 1 for p, n in want.items())
+    assert made[0] == phrases < made[1]
