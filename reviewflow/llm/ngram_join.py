@@ -19,7 +19,7 @@ the corpus last, by their counts.
    a component need no test.
 In the last round the sketches of a pair (``sketch``) are compared while its group is
 joined, so that of a large group only the few pairs come out that may link.
-A pair must fit in size, share prefix tokens under the other orders, and its prefixes
+A pair must fit in size and in sketches as wide as the sets, share prefix tokens under the other orders, and its prefixes
 must not show more differing tokens than the threshold allows; only then are the
 whole sets compared. A pair that fails there may have hidden others from the last
 round, which is then repeated.
@@ -47,7 +47,7 @@ WORDS = 1 << 15  # frequent words listed at most: 0.5 MB
 STARS, LEADERS = 2, 3  # rounds, and members that a document meets in each
 ROWS = 512  # texts hashed together in a task
 REMEMBERED = 1 << 16  # sets of a task by which copies are known
-BITMAP = 1 << 22  # bits: 512 KB
+BITMAP = 1 << 24  # bits: 2 MB, as 262,144 rows
 SKETCH = 8  # numbers of 64 bits in a sketch
 
 
@@ -186,26 +186,31 @@ class Orders:
         return np.concatenate(found)
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """For each of 64 * SKETCH parts of all tokens, whether the set has an odd number of them.
+def sketch(tokens: np.ndarray, numbers: int = SKETCH) -> np.ndarray:
+    """For each of 64 * numbers parts of all tokens, whether the set has an odd number of them.
 
     A token that only one of two sets holds turns one bit, so they differ in at least
     as many tokens as their sketches in bits.
     """
-    odd = np.bincount((mix(tokens, 9) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    odd = np.bincount((mix(tokens, 9) % np.uint64(64 * numbers)).astype(np.int64), minlength=64 * numbers) & 1
     return np.packbits(odd.astype(bool)).view(np.uint64)
 
 
+def wide_sketch(tokens: np.ndarray) -> np.ndarray:
+    """A sketch of as many bits as tokens at least, in numbers a power of two: half of it is a fold of both halves."""
+    return sketch(tokens, 1 << max(-(-len(tokens) // 64) - 1, 0).bit_length())
+
+
 def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
     ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(kind) if parts else np.zeros(0, kind)))
 
 
-INDEX = "doc long, n long, first long, tokens array<long>, second array<int>, third array<int>, sketch array<long>"
+INDEX = "doc long, n long, first long, tokens array<long>, second array<int>, third array<int>, sketch array<long>, wide array<long>"
 
 
 def _index(size: int, percent: int, orders: Orders):
-    """Rows of INDEX: the signatures, the prefix keys under the other orders, and the sketch.
+    """Rows of INDEX: the signatures, the prefix keys under the other orders, and the sketches.
 
     A document with the same set as an earlier one of the task names that one as
     ``first`` and has none of them.
@@ -213,7 +218,7 @@ def _index(size: int, percent: int, orders: Orders):
 
     def run(batches):
         seen: dict[bytes, int] = {}
-        none = np.zeros(0, np.uint64), *[np.zeros(0, np.int32)] * (ORDERS - 1), np.zeros(0, np.uint64)
+        none = np.zeros(0, np.uint64), *[np.zeros(0, np.int32)] * (ORDERS - 1), *[np.zeros(0, np.uint64)] * 2
         for batch in batches:
             for part in _slices(batch):
                 ids, sizes, first, prefixes = part.column(0).to_pylist(), [], [], []
@@ -227,14 +232,15 @@ def _index(size: int, percent: int, orders: Orders):
                     alone = earlier == doc and earlier is not None
                     first.append(None if alone else earlier)
                     prefixes.append(
-                        (orders.signatures(found, weights, percent), *[orders.prefix(found, percent, i) for i in range(1, ORDERS)], sketch(found))
+                        (orders.signatures(found, weights, percent), *[orders.prefix(found, percent, i) for i in range(1, ORDERS)],
+                         sketch(found), wide_sketch(found))
                         if alone else none
                     )
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()),
                      _lists([p[0] for p in prefixes], np.int64), *[_lists([p[i] for p in prefixes], np.int32) for i in (1, 2)],
-                     _lists([p[3] for p in prefixes], np.int64)],
-                    names=["doc", "n", "first", "tokens", "second", "third", "sketch"],
+                     *[_lists([p[i] for p in prefixes], np.int64) for i in (3, 4)]],
+                    names=["doc", "n", "first", "tokens", "second", "third", "sketch", "wide"],
                 )
 
     return run
@@ -398,80 +404,76 @@ def _unmet(members: DataFrame, index: DataFrame, parts: DataFrame, met: list[Dat
     return found
 
 
-def _attach(pairs: DataFrame, side: DataFrame, key: str, rows: int) -> DataFrame:
-    """Give the pairs the columns of one side; a document of very many pairs is dealt to several tasks."""
+def _near(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows whose doc is one of ``docs``, and few others.
+
+    A bitmap of BITMAP bits at most, whatever the data, is broadcast, so that no rows are shuffled.
+    """
+    bit = f"pmod(xxhash64(doc), {BITMAP})"
+    words = docs.select(F.expr(f"{bit} DIV 64 AS _word"), F.expr(f"shiftleft(1L, CAST({bit} % 64 AS INT)) AS _mask"))
+    words = words.groupBy("_word").agg(F.bit_or("_mask").alias("_mask"))
+    placed = rows.withColumn("_word", F.expr(f"{bit} DIV 64"))
+    return placed.join(F.broadcast(words), "_word").where(f"getbit(_mask, CAST({bit} % 64 AS INT)) = 1").select(*rows.columns)
+
+
+def _attach(whole: DataFrame, pairs: DataFrame, side: DataFrame, key: str, rows: int) -> DataFrame:
+    """Give ``whole``, the ``pairs`` and what they have got, the columns of one side.
+
+    Of the side only documents of the pairs are shuffled, as far as a bitmap tells; a document of
+    very many pairs is dealt to several tasks.
+    """
+    side = _near(side, pairs.select(F.col(key).alias("doc")))
     side = side.select(F.col("doc").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in side.columns if c != "doc"])
     hot = hot_keys(pairs.groupBy(key).agg(F.count("*").alias("n")), [key], rows)
-    return spread_join(pairs, side, [key], hot, F.xxhash64("a", "b"))
+    return spread_join(whole, side, [key], hot, F.xxhash64("a", "b"))
 
 
 def _filtered(pairs: DataFrame, index: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the prefix filters of the other orders.
+    """The pairs (a, b) that pass the wide sketches and the prefix filters of the other orders.
 
-    A key of one prefix that lies below the other prefix's last key and is not in
+    Of sketches the longer is folded to the shorter's size; if it is more than twice as long,
+    the sketches say nothing. A key of one prefix that lies below the other prefix's last key and is not in
     it belongs to a token that the other set lacks.
     """
-    rows = pairs.count()
-    indexed = index.where("first IS NULL")
+    rows, whole = pairs.count(), pairs
+    indexed = index.where("first IS NULL AND n > 0").select("doc", "n", "second", "third", "wide")
     for key in "ab":
-        pairs = _attach(pairs, indexed.select("doc", "n", "second", "third"), key, rows)
+        whole = _attach(whole, pairs, indexed, key, rows)
+    least = "least(size(a_wide), size(b_wide))"
+    for x in "ab":
+        folded = f"zip_with(slice({x}_wide, 1, {least}), slice({x}_wide, {least} + 1, {least}), (v, w) -> v ^ coalesce(w, 0L))"
+        whole = whole.withColumn(f"_{x}", F.expr(folded))
+    differ = "aggregate(zip_with(_a, _b, (v, w) -> bit_count(v ^ w)), 0, (v, w) -> v + w)"
+    longer = f"greatest(size(a_wide), size(b_wide)) > 2 * {least}"
+    whole = whole.where(f"{longer} OR {100 + percent} * {differ} <= {100 - percent} * (a_n + b_n)").drop("_a", "_b")
     shared = f"ceil({percent} * (a_n + b_n) / {100 + percent})"
     for name in ("second", "third"):
-        pairs = pairs.where(f"arrays_overlap(a_{name}, b_{name})")
+        whole = whole.where(f"arrays_overlap(a_{name}, b_{name})")
         for x, y in ("ab", "ba"):
             lacking = f"size(array_except(filter({x}_{name}, k -> k < element_at({y}_{name}, -1)), {y}_{name}))"
-            pairs = pairs.where(f"{lacking} <= {x}_n - {shared}")
-    return pairs.select("a", "b").distinct()
-
-
-def _bits(pairs: DataFrame) -> np.ndarray:
-    """A bitmap of BITMAP bits, whatever the data, with those of all documents of the pairs set."""
-    docs = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
-    bits = docs.selectExpr(f"CAST(pmod(xxhash64(doc), {BITMAP}) AS INT) AS bit").selectExpr("bit DIV 32 AS word", "shiftleft(1L, bit % 32) AS mask")
-    found = bits.groupBy("word").agg(F.bit_or("mask").alias("bits")).toPandas()
-    out = np.zeros(BITMAP // 32, dtype=np.uint32)
-    out[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
-    return out
-
-
-def _wanted(bitmap: np.ndarray):
-    """Rows (doc, text, bit) whose bit is set."""
-
-    def run(batches):
-        for batch in batches:
-            bit = np.asarray(batch.column(2))
-            yield batch.filter(pa.array(bitmap[bit >> 5] >> (bit & 31).astype(np.uint32) & 1 == 1)).select(["doc", "text"])
-
-    return run
+            whole = whole.where(f"{lacking} <= {x}_n - {shared}")
+    return whole.select("a", "b").distinct()
 
 
 def _sets_of(texts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """doc and tokens of the documents of the pairs.
-
-    A bitmap of fixed size drops most other texts before the shuffle; the join
-    drops the rest.
-    """
-    bit = F.pmod(F.xxhash64("doc"), F.lit(BITMAP))
-    near = texts.where("doc IS NOT NULL").select("doc", "text", bit.alias("bit")).mapInArrow(_wanted(_bits(pairs)), "doc long, text string")
-    docs = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    """doc and tokens of the documents of the pairs, and of few others."""
+    near = _near(texts.where("doc IS NOT NULL"), pairs.select(F.explode(F.array("a", "b")).alias("doc")))
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in _slices(batch):
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), _lists(list(shingle_sets(part.column(1), size)), np.int64)], names=["doc", "tokens"]
                 )
 
-    return near.join(docs.hint("shuffle_hash"), "doc", "left_semi").select("doc", "text").mapInArrow(run, "doc long, tokens array<long>")
+    return near.select("doc", "text").mapInArrow(run, "doc long, tokens array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold."""
-    rows = pairs.count()
-    whole = pairs
+    rows, whole = pairs.count(), pairs
     for key in "ab":
-        whole = _attach(whole, sets, key, rows)
+        whole = _attach(whole, pairs, sets, key, rows)
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
     union = F.size("a_tokens") + F.size("b_tokens") - shared
     return whole.where(100 * shared >= percent * union).select("a", "b").distinct()

@@ -221,6 +221,42 @@ def test_a_large_group_of_unlike_documents_makes_few_pairs(spark, monkeypatch):
     assert max(made) < 10 * len(rows), made
 
 
+def test_wide_sketches_fold_to_half():
+    random_ = np.random.default_rng(6)
+    for n in (1, 64, 65, 200, 3000):
+        tokens = random_.integers(0, 1 << 62, n).astype(np.uint64)
+        wide = ngram_join.wide_sketch(tokens)
+        assert n <= 64 * len(wide) < max(2 * n, 65)
+        assert len(wide) == 1 or (wide[: len(wide) // 2] ^ wide[len(wide) // 2 :] == ngram_join.sketch(tokens, len(wide) // 2)).all()
+
+
+def test_only_documents_of_pairs_that_may_link_are_shuffled(spark, monkeypatch):
+    random_, rows, sides, passed = random.Random(9), [], [], []
+    for i in range(300):  # long texts; 40 are in pairs, of which every other one is not quite alike
+        words = [f"t{i}w{j}" for j in range(1500)]
+        if 0 < i < 40 and i % 2:
+            words = rows[-1][1].split()
+            for at in random_.sample(range(1500), 90 if i % 4 == 1 else 20):
+                words[at] = f"n{i}w{at}"
+        rows.append((i, " ".join(words)))
+
+    def joined(left, right, *more, old=ngram_join.spread_join):
+        sides.append(right.count())
+        return old(left, right, *more)
+
+    def filtered(*args, old=ngram_join._filtered):
+        out = old(*args)
+        passed.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "spread_join", joined)
+    monkeypatch.setattr(ngram_join, "_filtered", filtered)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_documents(docs).collect()}
+    assert got == brute.linked(rows, 4, 85) and sum(i != c for i, (_, c) in got.items()) == 10
+    assert max(sides) <= 40 and sum(passed) <= 12, (sides, passed)
+
+
 def test_texts_are_indexed_in_small_slices():
     none = np.zeros(0, np.int64)
     batch = pa.record_batch([pa.array(range(3000)), pa.array([f"a b c d e {i}" for i in range(3000)])], names=["doc", "text"])
