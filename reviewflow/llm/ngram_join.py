@@ -328,9 +328,16 @@ def _members(index: DataFrame) -> DataFrame:
     pairs and make one group. Equal documents are told by their number, the sum and
     the exclusive or of their hashes, which make the group's ``token``; should two
     groups fall on the same token, their documents all meet. All signatures are shuffled
-    once, without more than the doc_id; most are of one document and go no further.
+    once, as 48 of their bits, which only brings some more documents together, and the
+    doc_id, of which the low 16 bits fill up the first number; most are of one document
+    and go no further.
     """
-    rows = index.select(F.explode("tokens").alias("signature"), "doc")
+    rows = index.select(F.explode("tokens").alias("signature"), "doc").selectExpr(
+        "(signature & -65536L) | (doc & 65535L) AS packed", "shiftright(doc, 16) AS high"
+    )
+    rows = rows.repartition(F.expr("shiftrightunsigned(packed, 16)")).selectExpr(
+        "shiftrightunsigned(packed, 16) AS signature", "shiftleft(high, 16) | (packed & 65535L) AS doc"
+    )
     same = Window.partitionBy("signature")
     rows = rows.select(
         "doc", F.count("*").over(same).alias("docs"), F.min("doc").over(same).alias("least"), F.max("doc").over(same).alias("most"),

@@ -95,6 +95,15 @@ def test_components_of_a_chain_a_star_and_a_ring(spark):
     assert {r.node: r.component_id for r in got} == want and len(got) == len(want)
 
 
+def test_components_of_stars_take_one_step(spark, monkeypatch):
+    written = []
+    monkeypatch.setitem(components.__globals__, "stored", lambda df, what, old=components.__globals__["stored"]: written.append(what) or old(df, what))
+    links = [(10 * i, 10 * i + j) for i in range(30) for j in range(1, 2 + i % 4)]
+    got = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r.node: r.component_id for r in got} == {n: n // 10 * 10 for link in links for n in link}
+    assert written == ["links", "large-star"]
+
+
 def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
@@ -191,6 +200,24 @@ def test_documents_that_share_a_rare_passage_do_not_meet(spark):
     assert ngram_join._members(ngram_join.stored(index, "index")).count() < 30
 
 
+def test_signatures_are_shuffled_as_two_numbers(spark):
+    ids = [0, 1, 65535, 65536, -1, -65537, (1 << 63) - 1, -(1 << 63), 1 << 40]
+    rows = [(d, 3, None, [7 << 20, -(5 << 30), 9 * d + 1 << 16 if abs(d) < 1 << 45 else 3], [], [], [], []) for d in ids]
+    members = []
+
+    def kept(df, what):
+        members.append(df)
+        return df
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ngram_join, "stored", kept)
+        found = ngram_join._members(spark.createDataFrame(rows, ngram_join.INDEX)).collect()
+    assert {r.doc for r in found} == set(ids) and {r.n for r in found} == {3}
+    plan = members[0]._jdf.queryExecution().executedPlan().toString()
+    signatures = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and ("signature" in line or "packed" in line)]
+    assert len(signatures) == len([x for x in signatures if "shiftrightunsigned(packed" in x]) >= 1, plan
+
+
 def test_sketches_differ_in_no_more_bits_than_the_sets_in_tokens():
     random_ = np.random.default_rng(5)
     for n in (0, 1, 40, 300, 5000):
